@@ -353,35 +353,37 @@ def text_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """All counts over text values that quality, threats and corrections need, in one scan."""
     columns = text_columns(df) if columns is None else columns
     v = F.col("value")
-    shapes = {name: F.count_if(v.rlike(p)) for name, p in K.PII_PATTERNS.items()}
-    return (
-        long_text(df, columns)
-        .groupBy("column_name")
-        .agg(
-            F.count(v).alias("present"),
-            F.count_if(numeric_looking(v)).alias("numeric_like"),
-            F.count_if(v.rlike(K.REFERENCE_MARK)).alias("references"),
-            F.count_if(v.rlike(K.CURRENCY)).alias("currency"),
-            F.count_if(v != strip(v)).alias("edge_space"),
-            F.count_if(v.rlike(K.YEAR_RANGE)).alias("year_like"),
-            *[e.alias(name) for name, e in shapes.items()],
-        )
-    )
+    flags = {
+        "present": v.isNotNull(),
+        "numeric_like": numeric_looking(v),
+        "references": v.rlike(K.REFERENCE_MARK),
+        "currency": v.rlike(K.CURRENCY),
+        "edge_space": v != strip(v),
+        "year_like": v.rlike(K.YEAR_RANGE),
+        **{name: v.rlike(p) for name, p in K.PII_PATTERNS.items()},
+    }
+    return count_flags(long_text(df, columns), flags)
+
+
+def count_flags(long: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """How often each condition holds, per column. Flags are projected first: sums of plain
+    integers keep the aggregate's generated code small."""
+    marked = long.select("column_name", *[f.cast("int").alias(k) for k, f in flags.items()])
+    return marked.groupBy("column_name").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags])
 
 
 def text_distincts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct values as written, lower-cased, and lower-cased and stripped."""
     columns = text_columns(df) if columns is None else columns
     v = F.col("value")
+    keyed = long_text(df, columns).filter(v.isNotNull()).select(
+        "column_name", value_key(v).alias("written"), value_key(F.lower(v)).alias("lowered"), value_key(norm(v)).alias("normal"))
     return (
-        long_text(df, columns)
-        .filter(v.isNotNull())
-        .groupBy("column_name", value_key(v).alias("written"), value_key(F.lower(v)).alias("lowered"),
-                 value_key(norm(v)).alias("normal"))
-        .agg(F.count("*").alias("n"))
+        keyed.groupBy("column_name", "written")
+        .agg(F.min("lowered").alias("lowered"), F.min("normal").alias("normal"))
         .groupBy("column_name")
         .agg(
-            F.count("*").alias("distinct"),
+            F.count("written").alias("distinct"),
             F.count_distinct("lowered").alias("distinct_lower"),
             F.count_distinct("normal").alias("distinct_norm"),
         )
@@ -418,45 +420,67 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- correlation
 
-FLAT_PAIRS = 60
+FLAT_SUMS = 90
 
 
-def _centres(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """Column means: subtracting them first keeps the sums of products accurate."""
-    means = long_numbers(df, columns).groupBy("column_name").agg(F.avg("value").alias("mean")).collect()
-    return {r.column_name: r["mean"] or 0.0 for r in means}
+def spreads(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """Mean, population deviation and missing count per numeric column."""
+    v = F.col("value")
+    rows = long_numbers(df, columns).groupBy("column_name").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.count(v).alias("count"), F.count("*").alias("rows"))
+    return {r.column_name: {"mean": r["mean"], "std_pop": r.std_pop, "count": r["count"], "missing": r.rows - r["count"]}
+            for r in rows.collect()}
 
 
-def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[str, dict] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where both are present.
 
-    Centred sums instead of the ``corr`` aggregate: few pairs go into one flat aggregate, many
-    pairs are unpivoted and grouped by pair, so the plan stays small however wide the table is.
+    Means are subtracted first, which keeps sums of products accurate. A pair without missing
+    values then needs one sum, a pair with missing values six. Few sums go into one flat
+    aggregate; many pairs are unpivoted and grouped by pair, so the plan stays small however
+    wide the table is. ``known`` passes column spreads measured before.
     """
     columns = numeric_columns(df) if columns is None else columns
     schema = "col1 string, col2 string, r double"
-    pairs = list(itertools.combinations(columns, 2))
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+    known = known or spreads(df, columns)
+    usable = [c for c in columns if known.get(c, {}).get("count")]
+    full = {c for c in usable if not known[c]["missing"]}
+    centred = df.select(*[(as_double(df, c) - F.lit(float(known[c]["mean"]))).alias(c) for c in usable])
+    pairs = list(itertools.combinations(usable, 2))
+    simple = [(a, b) for a, b in pairs if a in full and b in full]
+    partial = [(a, b) for a, b in pairs if (a, b) not in set(simple)]
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    centre = _centres(df, columns)
-    centred = df.select(*[(as_double(df, c) - F.lit(float(centre.get(c, 0.0)))).alias(f"c{i}")
-                          for i, c in enumerate(columns)])
-    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    unknown = F.lit(None).cast("double")
 
     def sums(x: Column, y: Column) -> dict[str, Column]:
         xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return {"n": F.count(xx + yy), "sx": F.sum(xx), "sy": F.sum(yy), "sxy": F.sum(xx * yy),
+        return {"n": F.count(xx + yy), "sxy": F.sum(xx * yy), "sx": F.sum(xx), "sy": F.sum(yy),
                 "sxx": F.sum(xx * xx), "syy": F.sum(yy * yy)}
 
-    if len(pairs) <= FLAT_PAIRS:
-        wanted = [e.alias(f"{k}_{i}") for i, (a, b) in enumerate(pairs) for k, e in sums(F.col(at[a]), F.col(at[b])).items()]
-        cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"),
-                          *[F.col(f"{k}_{i}").alias(k) for k in ("n", "sx", "sy", "sxy", "sxx", "syy")])
-                 for i, (a, b) in enumerate(pairs)]
+    def spread(a: str, b: str) -> list[Column]:
+        """n, variances times n and no offsets, for a pair without missing values."""
+        n = known[a]["count"]
+        return [F.lit(n).alias("n"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"),
+                F.lit(n * known[a]["std_pop"] ** 2).alias("sxx"), F.lit(n * known[b]["std_pop"] ** 2).alias("syy")]
+
+    if len(simple) + 6 * len(partial) <= FLAT_SUMS:
+        wanted, cells = [], []
+        for i, (a, b) in enumerate(pairs):
+            names = [F.lit(a).alias("col1"), F.lit(b).alias("col2")]
+            if a in full and b in full:
+                wanted.append(F.sum(col(a) * col(b)).alias(f"sxy_{i}"))
+                n, sx, sy, sxx, syy = spread(a, b)
+                cells.append(F.struct(*names, n, F.col(f"sxy_{i}").alias("sxy"), sx, sy, sxx, syy))
+            else:
+                parts = sums(col(a), col(b))
+                wanted += [e.alias(f"{k}_{i}") for k, e in parts.items()]
+                cells.append(F.struct(*names, *[F.col(f"{k}_{i}").alias(k) for k in parts]))
         summed = centred.agg(*wanted).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
     else:
-        cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(at[a]).alias("x"), F.col(at[b]).alias("y"))
-                 for a, b in pairs]
+        cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), col(a).alias("x"), col(b).alias("y")) for a, b in pairs]
         summed = (
             centred.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
             .groupBy("col1", "col2")
@@ -467,7 +491,7 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
     var_y = F.col("syy") - F.col("sy") * F.col("sy") / n
     r = F.when((n >= 2) & (var_x > 0) & (var_y > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(var_x * var_y))))
-    return summed.select("col1", "col2", r.alias("r"))
+    return summed.select("col1", "col2", r.otherwise(unknown).alias("r"))
 
 
 def correlation_pairs(df: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -559,7 +583,9 @@ def measure(df: DataFrame, name: str = "table", top_k: int = 5) -> TableProfile:
     for c, (n, first, last) in date_spans(df).items():
         metrics[c].update(dates=n, first_date=first, last_date=last)
     duplicates = duplicate_summary(df).first().exact_duplicates
-    pairs = [r.asDict() for r in correlations(df, numbers).filter("r is not null").collect()]
+    spread = {c: {**metrics[c], "count": metrics[c].get("count", 0), "missing": metrics[c]["rows"] - metrics[c].get("count", 0)}
+              for c in numbers}
+    pairs = [r.asDict() for r in correlations(df, numbers, spread).filter("r is not null").collect()]
     order = {c: i for i, c in enumerate(numbers)}
     pairs.sort(key=lambda p: (order[p["col1"]], order[p["col2"]]))
     return TableProfile(spark, name, counts.rows, duplicates, list(metrics.values()), pairs, tops)
