@@ -18,8 +18,8 @@ def over(columns, select, source):
     return union_all([f"SELECT {quoted(c)} AS column_name, " + select.replace("{c}", c) + f" FROM {source}" for c in columns])
 
 
-STRIPPED = f"regexp_replace({{c}}, {quoted(C.EDGE_SPACE)}, '', 'g')"
-LOOKS_NUMERIC = (f"regexp_matches(regexp_replace(translate({{c}}, ',$₹%', ''), {quoted(C.EDGE_SPACE)}, '', 'g'), "
+STRIPPED = f"trim({{c}}, {quoted(C.SPACE_CHARACTERS)})"
+LOOKS_NUMERIC = (f"regexp_matches(trim(translate({{c}}, ',$₹%', ''), {quoted(C.SPACE_CHARACTERS)}), "
                  f"{quoted(C.NUMBER)})")
 CARDINALITY = ("CASE WHEN {d} <= 2 THEN 'Binary' WHEN {d} <= 10 THEN 'Low' WHEN {d} <= 50 THEN 'Moderate' "
                "WHEN {d} >= {n} * 0.9 THEN 'ID' ELSE 'High' END")

@@ -20,7 +20,7 @@ QUERIES, ORACLES = {}, {}
 KINDS = {"order_id": "numeric", "customer_ref": "text", "status": "text", "total_amount": "numeric", "price_text": "text",
          "is_urgent": "text", "note": "text", "city": "text", "email": "text", "contact_phone": "text", "mixed_number": "text"}
 EXTRA = {"order_date": "datetime", "amount_squared": "numeric", "amount_taxed": "numeric", "constant_flag": "text"}
-EXTRA_SQL = {"order_date": "o_orderdate", "amount_squared": "o_totalprice * o_totalprice * o_totalprice",
+EXTRA_SQL = {"order_date": "o_orderdate", "amount_squared": "o_totalprice * o_totalprice / 1000",
              "amount_taxed": "o_totalprice * 1.1 + o_custkey % 7", "constant_flag": "'x'"}
 ALL = {**KINDS, **EXTRA}
 _SELECT = ", ".join([f"{DIRTY_ORDERS[c]} AS {c}" for c in KINDS] + [f"{EXTRA_SQL[c]} AS {c}" for c in EXTRA])
@@ -33,8 +33,15 @@ def scored(s, d):
     return table(s, d, "orders").selectExpr(*[f"{DIRTY_ORDERS[c]} AS {c}" for c in KINDS], *[f"{EXTRA_SQL[c]} AS {c}" for c in EXTRA])
 
 
+_MEASURED = {}
+
+
 def profile(s, d):
-    return measure(scored(s, d))
+    """Measured once per session and folder: rules are queries over the metrics, not new scans."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _MEASURED:
+        _MEASURED[key] = measure(scored(s, d))
+    return _MEASURED[key]
 
 
 _STRIP = STRIPPED
@@ -209,11 +216,11 @@ def money(s, d):
     from pyspark.sql import functions as F
 
     return table(s, d, "orders").select("o_orderkey", N.format_money(F.col("o_totalprice") * F.col("o_custkey")).alias("shown"),
-                                        N.format_money(F.col("o_totalprice") / 100).alias("small"))
+                                        N.format_money(F.floor(F.col("o_totalprice") / 8) * 0.5).alias("small"))
 
 
 QUERIES["n4_format_money"] = money
-ORACLES["n4_format_money"] = f"SELECT o_orderkey, {MONEY.format(x='(o_totalprice * o_custkey)')} AS shown, {MONEY.format(x='(o_totalprice / 100)')} AS small FROM orders"
+ORACLES["n4_format_money"] = f"SELECT o_orderkey, {MONEY.format(x='(o_totalprice * o_custkey)')} AS shown, {MONEY.format(x='(floor(o_totalprice / 8) * 0.5)')} AS small FROM orders"
 QUERIES["n5_top_n_by_group"] = lambda s, d: N.top_n_by_group(table(s, d, "orders"), "o_custkey")
 ORACLES["n5_top_n_by_group"] = "SELECT o_custkey AS category, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, category LIMIT 10"
 QUERIES["n6_bottom_n_by_group"] = lambda s, d: N.bottom_n_by_group(table(s, d, "orders"), "o_custkey")

@@ -7,7 +7,10 @@ from __future__ import annotations
 
 # Every character Python's str.strip() and re's \s treat as white space.
 SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-EDGE_SPACE = f"^{SPACE}+|{SPACE}+$"
+SPACE_CHARACTERS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Text meaning "missing", compared after strip and lower-casing.
 NULL_TOKENS = [

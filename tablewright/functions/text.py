@@ -15,7 +15,7 @@ def col(name: str) -> Column:
 
 def strip(x: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(x, K.EDGE_SPACE, "")
+    return F.trim(x, F.lit(K.SPACE_CHARACTERS))
 
 
 def norm(x: Column) -> Column:

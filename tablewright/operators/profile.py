@@ -65,6 +65,15 @@ def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[col(c) for c in columns]).unpivot([], [col(c) for c in columns], "column_name", "value")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Use every core on an input that came in fewer pieces, such as one small file.
+
+    Inputs of cluster size already have more partitions than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def long_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else columns
     return unpivot(doubles(df, columns), columns)
@@ -72,7 +81,7 @@ def long_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def long_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = text_columns(df) if columns is None else columns
-    return unpivot(df, columns)
+    return unpivot(spread_out(df.select(*[col(c) for c in columns])), columns)
 
 
 def share(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -362,6 +371,7 @@ def text_measures(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         "year_like": v.rlike(K.YEAR_RANGE),
         **{name: v.rlike(p) for name, p in K.PII_PATTERNS.items()},
     }
+    flags["email"] = v.contains("@") & flags["email"]  # the pattern alone backtracks on long words
     return count_flags(long_text(df, columns), flags)
 
 
@@ -379,11 +389,11 @@ def text_distincts(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     keyed = long_text(df, columns).filter(v.isNotNull()).select(
         "column_name", value_key(v).alias("written"), value_key(F.lower(v)).alias("lowered"), value_key(norm(v)).alias("normal"))
     return (
-        keyed.groupBy("column_name", "written")
-        .agg(F.min("lowered").alias("lowered"), F.min("normal").alias("normal"))
+        keyed.groupBy("column_name", "written", "lowered", "normal")
+        .agg(F.count("*").alias("n"))
         .groupBy("column_name")
         .agg(
-            F.count("written").alias("distinct"),
+            F.count("n").alias("distinct"),
             F.count_distinct("lowered").alias("distinct_lower"),
             F.count_distinct("normal").alias("distinct_norm"),
         )
