@@ -74,12 +74,13 @@ def paren_value(x: Column) -> Column:
 
 def email_value(x: Column) -> Column:
     """Lower case, with the domain replaced when it is a known typo."""
-    low = norm(x)
-    at = F.locate("@", low)
-    domain = F.substring_index(low, "@", -1)
-    known = F.create_map(*[F.lit(v) for kv in K.EMAIL_DOMAIN_FIXES.items() for v in kv])
-    fixed = F.concat(F.substring_index(low, "@", F.length(low) - F.length(F.replace(low, F.lit("@"), F.lit("")))), F.lit("@"), known[domain])
-    return F.when((at > 0) & known[domain].isNotNull(), fixed).otherwise(low)
+    import re
+
+    out = norm(x)
+    for right in sorted(set(K.EMAIL_DOMAIN_FIXES.values())):
+        typos = "|".join(re.escape(bad) for bad, good in K.EMAIL_DOMAIN_FIXES.items() if good == right)
+        out = F.regexp_replace(out, f"@({typos})$", "@" + right)
+    return out
 
 
 def prefix_pattern(prefixes: list[str]) -> str:

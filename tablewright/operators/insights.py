@@ -15,11 +15,14 @@ from tablewright.operators.threats import rank_threats, threat_counts
 def format_money(x: Column) -> Column:
     """Rupee amounts in crore, lakh or thousand."""
     size = F.abs(x)
+
+    def shown(amount: Column, digits: int, unit: str) -> Column:
+        plain = F.replace(F.format_number(amount, digits), F.lit(","), F.lit(""))
+        return F.concat(F.lit("₹"), plain, F.lit(unit))
+
     return (
-        F.when(size >= 1e7, F.format_string("₹%.2fCr", x / 1e7))
-        .when(size >= 1e5, F.format_string("₹%.2fL", x / 1e5))
-        .when(size >= 1e3, F.format_string("₹%.1fK", x / 1e3))
-        .otherwise(F.format_string("₹%.2f", x)))
+        F.when(size >= 1e7, shown(x / 1e7, 2, "Cr")).when(size >= 1e5, shown(x / 1e5, 2, "L"))
+        .when(size >= 1e3, shown(x / 1e3, 1, "K")).otherwise(shown(x, 2, "")))
 
 
 def kpis(df: DataFrame) -> DataFrame:

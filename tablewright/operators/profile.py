@@ -61,8 +61,13 @@ def doubles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long form (column_name, value) of same-typed columns."""
-    return df.select(*[col(c) for c in columns]).unpivot([], [col(c) for c in columns], "column_name", "value")
+    """Long form (column_name, value) of same-typed columns.
+
+    ``stack`` keeps its output in local variables of the generated code, where later stages of
+    many expressions still compile.
+    """
+    cells = [x for c in columns for x in (F.lit(c), col(c))]
+    return df.select(F.stack(F.lit(len(columns)), *cells).alias("column_name", "value"))
 
 
 def spread_out(df: DataFrame) -> DataFrame:
@@ -612,7 +617,7 @@ def date_spans(df: DataFrame) -> dict[str, tuple[int, dt.datetime | None, dt.dat
             cells[f.name] = parse_date(col(f.name))
     if not cells:
         return {}
-    long = df.select(*[e.alias(c) for c, e in cells.items()]).unpivot([], [col(c) for c in cells], "column_name", "value")
+    long = unpivot(df.select(*[e.alias(c) for c, e in cells.items()]), list(cells))
     rows = long.groupBy("column_name").agg(F.count("value").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"))
     return {r.column_name: (r.n, r.a, r.b) for r in rows.collect()}
 

@@ -18,7 +18,7 @@ from tablewright.functions.text import col, name_has_token
 from tablewright.functions import constants as K
 from tablewright.operators import cleaners as C
 from tablewright.operators.fixes import fix_cleaner
-from tablewright.operators.profile import count_flags, numeric_columns, rows_frame, spread_out, text_columns
+from tablewright.operators.profile import count_flags, numeric_columns, rows_frame, spread_out, text_columns, unpivot
 
 AUDIT_SCHEMA = "step int, action string, column_name string, rows_affected long, confidence int, source string"
 
@@ -90,7 +90,7 @@ def tally(df: DataFrame, expressions: dict[str, Column], cleaners: list[C.Cleane
     for c in cleaners:
         flags.update(c.counts(value))
     narrow = spread_out(df.select(*[expressions[c].alias(c) for c in columns]))
-    long = narrow.unpivot([], [col(c) for c in columns], "column_name", "value")
+    long = unpivot(narrow, columns)
     return {r.column_name: {k: v for k, v in r.asDict().items() if k != "column_name"} for r in count_flags(long, flags).collect()}
 
 
@@ -157,7 +157,7 @@ def _lead_counts(df: DataFrame, lead: list[C.Cleaner], columns: list[str]) -> di
         flags.update({f"{i}__{k}": e for k, e in cleaner.counts(x).items()})
         x = cleaner.apply(x, {}, "")
     narrow = spread_out(df.select(*[col(c) for c in columns]))
-    long = narrow.unpivot([], [col(c) for c in columns], "column_name", "value")
+    long = unpivot(narrow, columns)
     found = {r.column_name: r.asDict() for r in count_flags(long, flags).collect()}
     out = {}
     for c in columns:
