@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,17 +160,6 @@ def plain_form(x: Column) -> Column:
     return strip(F.regexp_replace(bare, f"({suffixes})$", ""))
 
 
-def _similarity(pairs: pd.DataFrame) -> pd.Series:
-    from difflib import SequenceMatcher
-
-    def best(a: str, b: str, sa: str, sb: str) -> float:
-        if a == b:
-            return 1.0
-        return max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, sa, sb).ratio())
-
-    return pd.Series([best(*row) for row in pairs[["a", "b", "sa", "sb"]].itertuples(index=False)], dtype=float)
-
-
 def fuzzy_merges(df: DataFrame) -> DataFrame:
     """Likely typos and word-order variants among the values that case merging leaves.
 
@@ -195,8 +183,15 @@ def fuzzy_merges(df: DataFrame) -> DataFrame:
         F.col("a.sorted").alias("sa"), F.col("b.sorted").alias("sb"))
 
     def score(batches):
+        from difflib import SequenceMatcher
+
+        def best(a: str, b: str, sa: str, sb: str) -> float:
+            if a == b:
+                return 1.0
+            return max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, sa, sb).ratio())
+
         for pdf in batches:
-            yield pdf.assign(ratio=_similarity(pdf))[
+            yield pdf.assign(ratio=[best(*row) for row in pdf[["a", "b", "sa", "sb"]].itertuples(index=False)])[
                 ["column_name", "old_value", "new_value", "winner_n", "n", "a", "b", "ratio"]]
 
     scored = pairs.mapInPandas(
