@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.quantiles import order_statistics
@@ -39,3 +39,48 @@ def segment_of(at: Column, starts: list[float]) -> Column:
     if not starts:
         return F.lit(0)
     return F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= at))
+
+
+def haloed(df: DataFrame, keys: list[str], order: str, tie: str, reach: int, segments: int | None = None) -> DataFrame:
+    """Rows with their segment, plus copies of the rows up to ``reach`` away on either side.
+
+    A window partitioned by keys and ``__segment`` then sees the true neighbours of every row
+    where ``__own`` holds. Only the first and last ``reach`` rows of each (key, segment) are
+    considered for copying, so the window that places them stays small.
+    """
+    starts = segment_starts(df, order, segments)
+    placed = df.withColumn("__segment", segment_of(sortable(df, order), starts)).withColumn("__own", F.lit(True))
+    if not starts:
+        return placed
+    group = [col(k) for k in keys] + [F.col("__segment")]
+    up = Window.partitionBy(*group).orderBy(col(order), col(tie))
+    down = Window.partitionBy(*group).orderBy(F.desc(order), F.desc(tie))
+    first = placed.withColumn("__rank", F.row_number().over(up)).filter(F.col("__rank") <= reach).drop("__rank")
+    last = placed.withColumn("__rank", F.row_number().over(down)).filter(F.col("__rank") <= reach).drop("__rank")
+    ends = first.unionByName(last).dropDuplicates([*keys, order, tie])
+    along = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order), col(tie))
+    near = F.array(*[shift("__segment", i).over(along) for i in range(1, reach + 1) for shift in (F.lag, F.lead)])
+    targets = F.array_distinct(F.filter("__near", lambda s: s.isNotNull() & (s != F.col("__segment"))))
+    copies = ends.withColumn("__near", near).withColumn("__to", F.explode(targets)).drop("__near").withColumn("__segment", F.col("__to")).withColumn("__own", F.lit(False)).drop("__to")
+    return placed.unionByName(copies)
+
+
+def cumulative(counts: DataFrame, value: str, amounts: list[str], segments: int | None = None) -> DataFrame:
+    """Running totals of amounts in value order, over one row per distinct value.
+
+    Totals run inside even segments; what lies before each segment is a handful of numbers.
+    """
+    starts = segment_starts(counts, value, segments)
+    placed = counts.withColumn("__segment", segment_of(sortable(counts, value), starts))
+    totals = {r["__segment"]: r for r in placed.groupBy("__segment").agg(*[F.sum(a).alias(a) for a in amounts]).collect()}
+    before, offsets = {a: 0 for a in amounts}, {}
+    for s in range(len(starts) + 1):
+        offsets[s] = dict(before)
+        if s in totals:
+            before = {a: before[a] + (totals[s][a] or 0) for a in amounts}
+    inside = Window.partitionBy("__segment").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed
+    for a in amounts:
+        offset = F.create_map(*[F.lit(x) for s, o in offsets.items() for x in (s, o[a])])[F.col("__segment")]
+        out = out.withColumn(f"upto_{a}", F.sum(a).over(inside) + offset)
+    return out.drop("__segment")
