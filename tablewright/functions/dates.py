@@ -26,13 +26,17 @@ DATE_PATTERNS = [
 ]
 
 
+# Any text with one of the shapes; everything else is not tried.
+DATE_LIKE = r"^(\d{1,4}[-/.]\d{1,2}[-/.]\d|\d{8}$|[A-Za-z]{3,9} \d|\d{1,2} [A-Za-z]{3})"
+
+
 def parse_date(x: Column) -> Column:
     """Timestamp of a date text, NULL when no known shape fits.
 
     The shape picks the patterns, so each value is parsed at most twice.
     """
     s = strip(x)
-    out = F.when(F.lit(False), F.lit(None).cast("timestamp"))
+    out = F.when(~s.rlike(DATE_LIKE), F.lit(None).cast("timestamp"))
     for shape, patterns in DATE_PATTERNS:
         out = out.when(s.rlike(shape), F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in patterns]))
     return out

@@ -76,14 +76,19 @@ def fix_mojibake(x: Column) -> Column:
 
 def clean_space(x: Column) -> Column:
     """Drop zero-width characters, turn odd white space into spaces, collapse and strip."""
-    visible = F.translate(x, "\u00a0\u200b\u200c\u200d\ufeff", " ")
-    single = F.regexp_replace(visible, r"[\t\r\n]+", " ")
-    return strip(F.regexp_replace(single, K.SPACE + "{2,}", " "))
+    plain = F.translate(x, "\u00a0\t\r\n\u200b\u200c\u200d\ufeff", "    ")
+    return strip(F.regexp_replace(plain, K.SPACE + "{2,}", " "))
 
 
 def is_null_token(x: Column, extra: tuple[str, ...] = ()) -> Column:
     return norm(x).isin(*K.NULL_TOKENS, *extra)
 
 
+def words(x: Column) -> Column:
+    """Words between white space of any kind."""
+    plain = F.translate(x, K.SPACE_CHARACTERS, " " * len(K.SPACE_CHARACTERS))
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
 def title_case(x: Column) -> Column:
     return F.initcap(x)

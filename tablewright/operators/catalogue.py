@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import constants as K
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.functions.segments import cumulative, haloed
-from tablewright.functions.text import clean_space, col, norm
+from tablewright.functions.text import clean_space, col, norm, words
 from tablewright.operators import profile as P
 
 SMALL_SIDE = 1_000_000  # rows of a summary that may be broadcast
@@ -92,8 +92,7 @@ def duration_features(df: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def text_length(df: DataFrame, name: str) -> DataFrame:
-    words = F.filter(F.split(col(name), K.SPACE + "+"), lambda w: w != "")
-    return df.withColumn("text_length", F.length(col(name)).cast("long")).withColumn("word_count", F.size(words).cast("long"))
+    return df.withColumn("text_length", F.length(col(name)).cast("long")).withColumn("word_count", F.size(words(col(name))).cast("long"))
 
 
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -228,7 +227,7 @@ def mask_pii(df: DataFrame, id: str, text: str) -> DataFrame:
     masked = F.regexp_replace(masked, K.PII_PATTERNS["ssn"], "[id]")
     masked = F.regexp_replace(masked, CARD, "[card]")
     masked = F.regexp_replace(masked, r"\+?\d{1,3}[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?(\d{4})", "[phone]$1")
-    return df.select(col(id), masked.alias(text), F.sha2(x, 256).alias("fingerprint"))
+    return P.spread_out(df.select(col(id), x)).select(col(id), masked.alias(text), F.sha2(x, 256).alias("fingerprint"))
 
 
 def card_numbers(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -286,7 +285,7 @@ def spearman(df: DataFrame, a: str, b: str, segments: int | None = None) -> Data
 def near_duplicates(df: DataFrame, id: str, text: str) -> DataFrame:
     """Groups of texts that differ only in case and white space, by digest of the plain form."""
     form = norm(clean_space(col(text)))
-    groups = df.select(F.md5(form.cast("binary")).alias("form"), F.md5(col(text).cast("binary")).alias("exact"), col(id).alias("id"))
+    groups = P.spread_out(df.select(col(id), col(text))).select(F.md5(form.cast("binary")).alias("form"), F.md5(col(text).cast("binary")).alias("exact"), col(id).alias("id"))
     folded = groups.groupBy("form", "exact").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     return folded.groupBy("form").agg(F.sum("n").alias("copies"), F.count("*").alias("spellings"), F.min("id").alias("first_id")).filter("copies > 1")
 

@@ -35,6 +35,7 @@ class Cleaner:
     apply: Callable[[Column, Tally, str], Column]
     affected: Callable[[Tally, str], int]
     output: Callable[[Tally], str | None] = field(default=lambda t: None)  # new type, None stays text
+    concerns: Callable[[str], bool] = field(default=lambda n: True)  # column names worth counting for
 
 
 # --------------------------------------------------------------------------- expressions
@@ -190,14 +191,14 @@ EMAILS = Cleaner(
     lambda x: {"email_changes": email_value(x) != strip(x)},
     lambda t, n: name_has_token(n, K.EMAIL_NAMES) and t["email_changes"] > 0,
     lambda x, t, n: email_value(x),
-    lambda t, n: t["email_changes"])
+    lambda t, n: t["email_changes"], concerns=lambda n: name_has_token(n, K.EMAIL_NAMES))
 
 PHONES = Cleaner(
     "phone_numbers", "NORMALIZE_PHONES", 90,
     lambda x: {"phones": strip(x).rlike(K.PHONE), "phone_changes": phone_value(x) != x},
     lambda t, n: name_has_token(n, K.PHONE_NAMES) and ratio(t, "phones") >= 0.5 and t["phone_changes"] > 0,
     lambda x, t, n: phone_value(x),
-    lambda t, n: t["phone_changes"])
+    lambda t, n: t["phone_changes"], concerns=lambda n: name_has_token(n, K.PHONE_NAMES))
 
 INDIAN_NUMBERS = Cleaner(
     "indian_numbers", "CLEAN_INDIAN_NUMBERS", 88,
@@ -282,14 +283,14 @@ PARSE_YEARS = Cleaner(
     lambda x: {"years": strip(x).rlike(K.YEAR_ONLY)},
     lambda t, n: name_has_token(n, K.PARSE_DATE_NAMES) and ratio(t, "years") > 0.8,
     lambda x, t, n: to_double(F.regexp_replace(strip(x), r"\.0$", "")).cast("long"),
-    lambda t, n: t["years"], lambda t: "bigint")
+    lambda t, n: t["years"], lambda t: "bigint", lambda n: name_has_token(n, K.PARSE_DATE_NAMES))
 
 PARSE_DATES = Cleaner(
     "parse_dates", "PARSE_DATE", 92,
     lambda x: {"dates": parse_date(x).isNotNull()},
     lambda t, n: name_has_token(n, K.PARSE_DATE_NAMES) and ratio(t, "dates") > 0.7,
     lambda x, t, n: parse_date(x),
-    lambda t, n: t["dates"], lambda t: "timestamp")
+    lambda t, n: t["dates"], lambda t: "timestamp", lambda n: name_has_token(n, K.PARSE_DATE_NAMES))
 
 # The order is part of the result: text-only repairs first, then the first type that fits.
 SEMANTIC = [NULL_STRINGS, WHITESPACE, TEXT_PREFIXES, RATINGS, PERCENTAGES, BOOLEANS, NEGATIVE_PARENS, EMAILS, PHONES]

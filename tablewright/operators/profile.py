@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import itertools
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,6 +80,25 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@contextmanager
+def held(df: DataFrame):
+    """The table for several passes: a small one spread over the cores and held in memory.
+
+    Small means fewer partitions than cores, so what is held is bounded by the cores' own
+    partitions. A table of cluster size is read again by every pass, which prunes to the columns
+    that pass needs. Lost blocks are computed again from the source.
+    """
+    spread = spread_out(df)
+    if spread is df:
+        yield df
+        return
+    spread.persist()
+    try:
+        yield spread
+    finally:
+        spread.unpersist()
+
+
 def long_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else columns
     return unpivot(doubles(df, columns), columns)
@@ -236,6 +256,11 @@ def measure_numbers(df: DataFrame, columns: list[str] | None = None, quantiles:
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return {}
+    with held(doubles(df, columns)) as numbers:
+        return _measure_numbers(numbers, columns, quantiles)
+
+
+def _measure_numbers(df: DataFrame, columns: list[str], quantiles: bool) -> dict[str, dict]:
     stats = {r.column_name: r.asDict() for r in moments(df, columns).collect()}
     stats = {c: stats.get(c, {"column_name": c, "count": 0}) for c in columns}
     if not quantiles:
@@ -566,6 +591,11 @@ class TableProfile:
 
 def measure(df: DataFrame, name: str = "table", top_k: int = 5) -> TableProfile:
     """Profile a table in a fixed number of scans; each collects a few numbers per column."""
+    with held(df) as table:
+        return _measure(table, name, top_k)
+
+
+def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
     spark = df.sparkSession
     text, numbers = text_columns(df), numeric_columns(df)
     metrics = {

@@ -18,7 +18,7 @@ from tablewright.functions.text import col, name_has_token
 from tablewright.functions import constants as K
 from tablewright.operators import cleaners as C
 from tablewright.operators.fixes import fix_cleaner
-from tablewright.operators.profile import count_flags, numeric_columns, rows_frame, spread_out, text_columns, unpivot
+from tablewright.operators.profile import count_flags, held, numeric_columns, rows_frame, spread_out, text_columns, unpivot
 
 AUDIT_SCHEMA = "step int, action string, column_name string, rows_affected long, confidence int, source string"
 
@@ -88,7 +88,10 @@ def tally(df: DataFrame, expressions: dict[str, Column], cleaners: list[C.Cleane
     value = F.col("value")
     flags: dict[str, Column] = {"present": value.isNotNull()}
     for c in cleaners:
-        flags.update(c.counts(value))
+        named = [n for n in columns if c.concerns(n)]
+        for k, e in c.counts(value).items():
+            concerned = e if len(named) == len(columns) else F.col("column_name").isin(*named) & e if named else F.lit(False)
+            flags[k] = flags[k] | concerned if k in flags and len(named) < len(columns) else concerned
     narrow = spread_out(df.select(*[expressions[c].alias(c) for c in columns]))
     long = unpivot(narrow, columns)
     return {r.column_name: {k: v for k, v in r.asDict().items() if k != "column_name"} for r in count_flags(long, flags).collect()}
@@ -102,9 +105,14 @@ def measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str] |
     gate opens, so the number of scans is one more than the most text changes any column needs.
     """
     columns = text_columns(df) if columns is None else columns
-    plan = CleaningPlan()
     if not columns:
-        return plan
+        return CleaningPlan()
+    with held(df.select(*[col(c) for c in columns])) as table:
+        return _measure_plan(table, cleaners, columns)
+
+
+def _measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str]) -> CleaningPlan:
+    plan = CleaningPlan()
     lead = 0
     while lead < len(cleaners) and cleaners[lead].name in UNGATED:
         lead += 1
@@ -207,7 +215,7 @@ def apply_fixes(df: DataFrame, fixes: dict[str, list[dict]], min_confidence: flo
 def run_cleaners(df: DataFrame, cleaners: list[C.Cleaner] = C.RUN_ALL, columns: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
     """Cleaned table and audit rows. The table is lazy: one projection over the input."""
     plan = measure_plan(df, cleaners, columns)
-    return plan.apply(df), plan.audit()
+    return plan.apply(spread_out(df)) if plan.steps else df, plan.audit()
 
 
 def clean_numeric_years(df: DataFrame, cutoff: int = 30) -> tuple[DataFrame, list[dict]]:
