@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,16 +31,27 @@ def matches(x: Column, pattern: str) -> Column:
 def to_double(x: Column) -> Column:
     """Text to double, NULL when it is not a plain decimal number."""
     s = strip(x)
-    return F.when(s.rlike(K.NUMBER), s.try_cast("double"))
+    return F.when(number_start(s) & s.rlike(K.NUMBER), s.try_cast("double"))
+
+
+def number_start(x: Column) -> Column:
+    """Does the text begin like a number (sign, point or digit)? Spares the pattern on other text."""
+    return F.ascii(x).between(43, 57)
 
 
 def without(x: Column, characters: str) -> Column:
     return F.translate(x, characters, "")
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def numeric_looking(x: Column) -> Column:
     """Does the text read as a number once separators, currency and percent signs are gone?"""
-    return strip(without(x, ",$₹%")).rlike(K.NUMBER)
+    s = strip(without(x, ",$₹%"))
+    return number_start(s) & s.rlike(K.NUMBER)
 
 
 def value_key(x: Column) -> Column:
@@ -74,10 +87,15 @@ def fix_mojibake(x: Column) -> Column:
     return F.replace(out, F.lit("\u00a0"), F.lit(" "))
 
 
+# Text without any of these is tidy already: edge or double spaces, or anything but printable ASCII.
+UNTIDY = r"^ | $|  |[^\x20-\x7E]"
+
+
 def clean_space(x: Column) -> Column:
     """Drop zero-width characters, turn odd white space into spaces, collapse and strip."""
     plain = F.translate(x, "\u00a0\t\r\n\u200b\u200c\u200d\ufeff", "    ")
-    return strip(F.regexp_replace(plain, K.SPACE + "{2,}", " "))
+    tidy = strip(F.regexp_replace(plain, K.SPACE + "{2,}", " "))
+    return F.when(x.rlike(UNTIDY), tidy).otherwise(x)
 
 
 def is_null_token(x: Column, extra: tuple[str, ...] = ()) -> Column:

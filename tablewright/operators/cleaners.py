@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import constants as K
 from tablewright.functions.dates import parse_date
-from tablewright.functions.text import (clean_space, fix_mojibake, is_null_token, name_has_token, norm, numeric_looking,
+from tablewright.functions.text import (clean_space, fix_mojibake, is_null_token, let, name_has_token, norm, number_start,
                                         strip, to_double, without)
 
 Tally = dict  # name of a count -> its value; "present" holds the non-null values
@@ -55,11 +55,15 @@ def boolean_value(x: Column, true: list[str] = K.TRUE_TOKENS, false: list[str] =
 
 
 def year_value(x: Column, named: bool, cutoff: int = 30) -> Column:
-    number = to_double(F.regexp_replace(strip(x), r"\.0$", ""))
-    if named:
-        short = (number >= 0) & (number <= 99) & (number == F.floor(number))
-        number = F.when(short, number + F.when(number <= cutoff, 2000).otherwise(1900)).otherwise(number)
-    return F.when(number.between(1900, 2100) & (number == F.floor(number)), number.cast("int"))
+    def settled(number: Column) -> Column:
+        whole = (number == F.floor(number))
+        full = F.when(whole & number.between(1900, 2100), number)
+        if named:
+            full = F.when(whole & number.between(0, cutoff), number + 2000).when(whole & number.between(0, 99), number + 1900).otherwise(full)
+        return F.when(full.between(1900, 2100), full).cast("int")
+
+    s = strip(x)
+    return F.when(number_start(s), let(to_double(F.regexp_replace(s, r"\.0$", "")), settled))
 
 
 def phone_value(x: Column) -> Column:
@@ -68,9 +72,36 @@ def phone_value(x: Column) -> Column:
 
 def paren_value(x: Column) -> Column:
     """Text with accounting negatives rewritten as signed numbers."""
+    s, inner = strip(x), _inside_parens(x)
+    return F.when(in_parens(x) & inner.isNotNull(), (-inner).cast("string")).otherwise(s)
+
+
+def _inside_parens(x: Column) -> Column:
+    return to_double(F.regexp_replace(strip(x), r"[\(\)\$₹£€¥,\s]", ""))
+
+
+def in_parens(x: Column) -> Column:
+    s = strip(x)
+    return s.startswith("(") & s.endswith(")") & s.rlike(K.PAREN_NUMBER)
+
+
+def paren_numeric(x: Column) -> Column:
+    """Is the value a number once accounting negatives are read?"""
+    return F.when(in_parens(x), _inside_parens(x).isNotNull()).otherwise(to_double(x).isNotNull())
+
+
+def is_percent(x: Column) -> Column:
+    s = strip(x)
+    return s.endswith("%") & s.rlike(K.PERCENT)
+
+
+def is_rating(x: Column) -> Column:
+    return F.lower(x).contains("out") & strip(x).rlike(K.RATING)
+
+
+def digit_first(x: Column, pattern: str) -> Column:
     s = strip(x)
-    inner = to_double(F.regexp_replace(s, r"[\(\)\$₹£€¥,\s]", ""))
-    return F.when(s.rlike(K.PAREN_NUMBER) & inner.isNotNull(), (-inner).cast("string")).otherwise(s)
+    return F.ascii(s).between(48, 57) & s.rlike(pattern)
 
 
 def email_value(x: Column) -> Column:
@@ -141,7 +172,7 @@ WHITESPACE = Cleaner(
 
 
 def prefix_cleaner(extra: tuple[str, ...] = ()) -> Cleaner:
-    prefixes = K.LABEL_PREFIXES + list(extra)
+    prefixes = K.LABEL_PREFIXES + [p.lower() for p in extra]
     pattern = prefix_pattern(prefixes)
     return Cleaner(
         "text_prefixes", "STRIP_TEXT_PREFIXES", 95,
@@ -155,14 +186,14 @@ TEXT_PREFIXES = prefix_cleaner()
 
 RATINGS = Cleaner(
     "rating_strings", "EXTRACT_RATING", 97,
-    lambda x: {"ratings": strip(x).rlike(K.RATING)},
+    lambda x: {"ratings": is_rating(x)},
     lambda t, n: ratio(t, "ratings") >= 0.4,
     lambda x, t, n: rating_value(x),
     lambda t, n: t["ratings"], lambda t: "double")
 
 PERCENTAGES = Cleaner(
     "percentages", "CLEAN_PERCENTAGES", 94,
-    lambda x: {"percents": strip(x).rlike(K.PERCENT)},
+    lambda x: {"percents": is_percent(x)},
     lambda t, n: ratio(t, "percents") >= 0.4,
     lambda x, t, n: percent_value(x),
     lambda t, n: t["percents"], lambda t: "double")
@@ -181,7 +212,7 @@ def _parens_numeric(t: Tally) -> bool:
 
 NEGATIVE_PARENS = Cleaner(
     "negative_parens", "CLEAN_NEGATIVE_PARENS", 94,
-    lambda x: {"parens": strip(x).rlike(K.PAREN_NUMBER), "paren_numeric": to_double(paren_value(x)).isNotNull()},
+    lambda x: {"parens": in_parens(x), "paren_numeric": paren_numeric(x)},
     lambda t, n: t["parens"] >= 2 and ratio(t, "parens") >= 0.05,
     lambda x, t, n: to_double(paren_value(x)) if _parens_numeric(t) else paren_value(x),
     lambda t, n: t["parens"], lambda t: "double" if _parens_numeric(t) else None)
@@ -202,7 +233,7 @@ PHONES = Cleaner(
 
 INDIAN_NUMBERS = Cleaner(
     "indian_numbers", "CLEAN_INDIAN_NUMBERS", 88,
-    lambda x: {"indian": strip(x).rlike(K.INDIAN_NUMBER), "western": strip(x).rlike(K.WESTERN_NUMBER)},
+    lambda x: {"indian": digit_first(x, K.INDIAN_NUMBER), "western": digit_first(x, K.WESTERN_NUMBER)},
     lambda t, n: t["indian"] >= 3 and ratio(t, "indian") >= 0.3 and t["western"] < t["indian"],
     lambda x, t, n: separated_value(x),
     lambda t, n: t["indian"], lambda t: "double")
@@ -215,7 +246,7 @@ def _year_like(t: Tally, n: str) -> float:
 
 YEARS = Cleaner(
     "years", "CLEAN_YEARS", 95,
-    lambda x: {"years": strip(x).rlike(K.YEAR_ONLY), "short_years": strip(x).rlike(K.YEAR_SHORT),
+    lambda x: {"years": digit_first(x, K.YEAR_ONLY), "short_years": digit_first(x, K.YEAR_SHORT),
                "valid_years": year_value(x, True).isNotNull(), "valid_long_years": year_value(x, False).isNotNull()},
     lambda t, n: (_year_like(t, n) >= 0.5 and t["valid_years"] > 0) if name_has_token(n, K.YEAR_NAMES)
     else (_year_like(t, n) >= 0.7 and t["valid_long_years"] > 0),
@@ -224,7 +255,7 @@ YEARS = Cleaner(
 
 DATES = Cleaner(
     "dates", "NORMALIZE_DATES", 90,
-    lambda x: {"years": strip(x).rlike(K.YEAR_ONLY), "dates": parse_date(x).isNotNull()},
+    lambda x: {"years": digit_first(x, K.YEAR_ONLY), "dates": parse_date(x).isNotNull()},
     lambda t, n: t["present"] > 0 and ratio(t, "years") <= 0.7 and t["dates"] > 0
     and ratio(t, "dates") >= (0.3 if name_has_token(n, K.DATE_NAMES) else 0.5),
     lambda x, t, n: parse_date(x),
@@ -280,7 +311,7 @@ STANDARD_NUMBERS = Cleaner(
 
 PARSE_YEARS = Cleaner(
     "parse_years", "PARSE_YEAR", 95,
-    lambda x: {"years": strip(x).rlike(K.YEAR_ONLY)},
+    lambda x: {"years": digit_first(x, K.YEAR_ONLY)},
     lambda t, n: name_has_token(n, K.PARSE_DATE_NAMES) and ratio(t, "years") > 0.8,
     lambda x, t, n: to_double(F.regexp_replace(strip(x), r"\.0$", "")).cast("long"),
     lambda t, n: t["years"], lambda t: "bigint", lambda n: name_has_token(n, K.PARSE_DATE_NAMES))

@@ -275,13 +275,12 @@ def _measure_numbers(df: DataFrame, columns: list[str], quantiles: bool) -> dict
     known = [c for c, s in stats.items() if s["count"]]
     if known:
         v = F.col("value")
-        fences = {k: F.create_map(*[F.lit(x) for c in known for x in (c, float(stats[c][k]))])[F.col("column_name")]
-                  for k in ("lower", "upper", "far_lower", "far_upper")}
+        sides = ("lower", "upper", "far_lower", "far_upper")
+        cells = [x for c in known for x in (F.lit(c), as_double(df, c), *[F.lit(float(stats[c][k])) for k in sides])]
         outside = (v < F.col("lower")) | (v > F.col("upper"))
         far = (v < F.col("far_lower")) | (v > F.col("far_upper"))
         rows = (
-            long_numbers(df, known)
-            .select("column_name", "value", *[e.alias(k) for k, e in fences.items()])
+            df.select(F.stack(F.lit(len(known)), *cells).alias("column_name", "value", *sides))
             .filter(outside)
             .groupBy("column_name")
             .agg(
