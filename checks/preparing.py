@@ -74,14 +74,14 @@ ORACLES["i9_impute_constant"] = f"SELECT order_id, amount, coalesce(cust, 0) AS
 QUERIES["i10_impute_median_with_indicator"] = lambda s, d: I.impute_with(gaps(s, d), "median_indicator", ["rare"])
 ORACLES["i10_impute_median_with_indicator"] = f"SELECT order_id, amount, cust, coalesce(rare, (SELECT median(rare) FROM {_GSQL})) AS rare, prio, CAST(rare IS NULL AS INTEGER) AS rare_was_missing FROM {_GSQL}"
 
-_WIDE = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "spread": "l_extendedprice * l_extendedprice * l_quantity",
+_WIDE = {"l_orderkey": "l_orderkey", "l_linenumber": "l_linenumber", "spread": "l_extendedprice * l_quantity",
          "burst": "CASE WHEN l_partkey % 25 = 0 THEN l_partkey * 1000 ELSE l_partkey % 40 END"}
 _WSQL = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _WIDE.items()) + " FROM lineitem)"
-QUERIES["i11_winsorize"] = lambda s, d: I.winsorize(table(s, d, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()]))[0].withColumn("spread", F.round("spread", 2))
+QUERIES["i11_winsorize"] = lambda s, d: I.winsorize(table(s, d, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _WIDE.items()]))[0].withColumn("spread", F.round("spread", 4))
 ORACLES["i11_winsorize"] = f"""WITH q AS (SELECT quantile_cont(spread, 0.01) AS a, quantile_cont(spread, 0.99) AS b, round_even(quantile_cont(CAST(burst AS DOUBLE), 0.01), 0) AS c,
 round_even(quantile_cont(CAST(burst AS DOUBLE), 0.99), 0) AS d FROM {_WSQL}),
 g AS (SELECT max(column_name = 'spread' AND pct > 2) AS s, max(column_name = 'burst' AND pct > 2) AS t FROM (SELECT column_name, round(outliers * 100.0 / n, 2) AS pct FROM ({fences(['spread', 'burst'], _WSQL)})))
-SELECT l_orderkey, l_linenumber, round(CASE WHEN g.s THEN least(greatest(spread, a), b) ELSE spread END, 2) AS spread, CAST(CASE WHEN g.t THEN least(greatest(burst, c), d) ELSE burst END AS BIGINT) AS burst FROM {_WSQL}, q, g"""
+SELECT l_orderkey, l_linenumber, round(CASE WHEN g.s THEN least(greatest(spread, a), b) ELSE spread END, 4) AS spread, CAST(CASE WHEN g.t THEN least(greatest(burst, c), d) ELSE burst END AS BIGINT) AS burst FROM {_WSQL}, q, g"""
 _EV = "(SELECT event_id, user_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS value FROM events)"
 
 

@@ -20,7 +20,7 @@ QUERIES, ORACLES = {}, {}
 KINDS = {"order_id": "numeric", "customer_ref": "text", "status": "text", "total_amount": "numeric", "price_text": "text",
          "is_urgent": "text", "note": "text", "city": "text", "email": "text", "contact_phone": "text", "mixed_number": "text"}
 EXTRA = {"order_date": "datetime", "amount_squared": "numeric", "amount_taxed": "numeric", "constant_flag": "text"}
-EXTRA_SQL = {"order_date": "o_orderdate", "amount_squared": "o_totalprice * o_totalprice / 1000",
+EXTRA_SQL = {"order_date": "o_orderdate", "amount_squared": "o_totalprice * o_totalprice / 1e6",
              "amount_taxed": "o_totalprice * 1.1 + o_custkey % 7", "constant_flag": "'x'"}
 ALL = {**KINDS, **EXTRA}
 _SELECT = ", ".join([f"{DIRTY_ORDERS[c]} AS {c}" for c in KINDS] + [f"{EXTRA_SQL[c]} AS {c}" for c in EXTRA])
