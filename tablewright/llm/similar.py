@@ -5,13 +5,15 @@ is the same, which sets of similarity s share with chance s. Any partition gives
 keeps near copies together. Three steps lead from groups to links:
 
 1. *Matrix.* A row (shingle, group) says that a group's union holds a shingle. Only the rows that can matter are made:
-   if two sets are at least t similar, they share one of the first n - ceil(t * n) + 1 shingles in any common order, so
-   only these are indexed, rarest first. Rows are kept once per group, however many sets share them.
-2. *Bound.* Groups that share an indexed shingle are candidates. A group is stored as blocks of sets of
-   bounded size, each with the union of its shingles; no set of a block can overlap a query in more shingles than the
-   union does. Blocks, and queries within them, whose bound misses the threshold stay closed.
-3. *Open.* In the open part overlaps are counted exactly, as a matrix product. A pair of blocks returns each linked
-   set once, with the smallest set it is connected to, so nothing quadratic leaves a task.
+   if two sets are at least t similar, then, in any common order and for any k up to their overlap, the first
+   n - ceil(t * n) + k shingles of both hold k common ones. These are indexed, rarest first, with k = n / ``DEEPER``. Rows are kept
+   once per group, however many sets share them.
+2. *Bound.* Groups that share fewer indexed shingles than the smaller k of any of their sets, or whose set sizes are too far
+   apart, stay closed. The others are stored as blocks of sets of bounded size, each with the union of its
+   shingles; no set of a block can overlap a query in more shingles than the union does, which closes blocks and queries within them.
+3. *Open.* Of two blocks the lighter one asks. A task holds one block and a bounded number of the sets that ask it; in what
+   its bounds leave open, overlaps are counted exactly, as a matrix product. It returns each linked set once, with the
+   smallest set it is connected to, so nothing quadratic leaves a task.
 
 The order of rarity comes from a table of at most ``FREQUENT`` shingles that repeat, counted over all texts. It bounds a
 broadcast and steers cost only: any order gives the same links.
@@ -33,7 +35,9 @@ from tablewright.llm.shared import components, shuffle_partitions, stored
 from tablewright.llm.words import mixed, slice_shingles, slice_words, text_slices
 
 FREQUENT = 1 << 17
+DEEPER = 16
 BLOCK_SHINGLES = 1 << 17
+BLOCK_SETS = 1 << 10
 WINDOW = 1 << 20
 FILTER_BITS = 1 << 23
 PACK = "block long, ids binary, sizes binary, shingles binary"
@@ -46,9 +50,9 @@ def _bytes(parts: list[np.ndarray]) -> pa.Array:
 class _Sets:
     """Shingle sets of the texts of one slice."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray, starts: np.ndarray, n: int):
+    def __init__(self, ids: pa.Array, data: np.ndarray, starts: np.ndarray, n: int):
         text, _, _, words = slice_words(data, starts)
-        self.ids, count = ids, len(starts) - 1
+        self.ids, count = ids, len(starts) - 1  # ids: an Arrow array, which keeps nulls and all digits
         self.owner, self.hashes = slice_shingles(text, words, n, count)
         self.sizes = np.bincount(self.owner, minlength=count)
         self.ends = np.concatenate([[0], np.cumsum(self.sizes)])
@@ -62,9 +66,8 @@ class _Sets:
 
 def _each(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[_Sets]:
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for row, data, starts in text_slices(batch.column(1)):
-            yield _Sets(ids[row : row + len(starts) - 1], data, starts, n)
+            yield _Sets(batch.column(0).slice(row, len(starts) - 1), data, starts, n)
 
 
 def _facts(n: int):
@@ -80,7 +83,7 @@ def _facts(n: int):
         names = ["doc_id", "n", "one", "two", "key", "shingle", "times"]
         for s in _each(batches, n):
             none = pa.nulls(len(s.ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(s.ids, pa.int64()), pa.array(s.sizes.astype(np.int64)), pa.array(s.one.view(np.int64)), pa.array(s.two.view(np.int64)), pa.array(s.key.view(np.int64)), none, none], names)
+            yield pa.RecordBatch.from_arrays([s.ids, pa.array(s.sizes.astype(np.int64)), pa.array(s.one.view(np.int64)), pa.array(s.two.view(np.int64)), pa.array(s.key.view(np.int64)), none, none], names)
             for i, sig in enumerate(zip(s.one.tolist(), s.two.tolist())):
                 if sig not in seen:
                     seen.add(sig)
@@ -125,7 +128,7 @@ def _matrix(n: int, percent: int, buckets: int, frequent: np.ndarray, weight: np
             owner = s.owner[order]
             rank = np.arange(len(owner)) - s.ends[owner]
             sizes = s.sizes[owner]
-            keep = rank < sizes - -(-percent * sizes // 100) + 1
+            keep = rank < sizes - -(-percent * sizes // 100) + np.maximum(1, sizes // DEEPER)
             shingles.append(s.hashes[order][keep])
             groups.append(s.key[owner[keep]])
             held += int(keep.sum())
@@ -161,7 +164,7 @@ def _whole_sets(n: int, bits: np.ndarray):
         for s in _each(batches, n):
             place = mixed(s.one ^ s.two) % np.uint64(FILTER_BITS)
             take = np.flatnonzero((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 & (s.sizes > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(s.ids[take], pa.int64()), pa.array(s.one[take].view(np.int64)), pa.array(s.two[take].view(np.int64)), _bytes([s.hashes[s.ends[i] : s.ends[i + 1]] for i in take])], ["doc_id", "one", "two", "shingles"])
+            yield pa.RecordBatch.from_arrays([s.ids.take(pa.array(take)), pa.array(s.one[take].view(np.int64)), pa.array(s.two[take].view(np.int64)), _bytes([s.hashes[s.ends[i] : s.ends[i + 1]] for i in take])], ["doc_id", "one", "two", "shingles"])
 
     return run
 
@@ -172,9 +175,8 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": [ids.astype(np.int64).tobytes()], "sizes": [np.array([len(x) for x in sets], dtype=np.int64).tobytes()], "shingles": [np.concatenate(sets).tobytes()]})
 
 
-def linked(a: tuple, b: tuple, percent: int, width: int = 4096) -> list[tuple[int, int]]:
+def linked(a: tuple, b: tuple, percent: int) -> list[tuple[int, int]]:
     """Links between the sets of two blocks (ids, sizes, shingles), as (id, smallest id it is connected to)."""
-    ids, overlap_of = [], []
     sides = []
     for (own_ids, sizes, shingles), (_, other_sizes, other) in ((a, b), (b, a)):
         union = np.unique(other)
@@ -190,6 +192,13 @@ def linked(a: tuple, b: tuple, percent: int, width: int = 4096) -> list[tuple[in
         sides.append((own_ids[opened], sizes[opened], number[owner[keep]], shingles[keep]))
     (ia, na, oa, ta), (ib, nb, ob, tb) = sides
     tokens = np.intersect1d(ta, tb)
+    if np.isin(ia, ib).any():  # sets on both sides: what one set alone holds adds nothing to a pair
+        every, owner = np.concatenate([ta, tb]), np.concatenate([ia[oa], ib[ob]])
+        order = np.lexsort((owner, every))
+        every, owner = every[order], owner[order]
+        other = (every[1:] == every[:-1]) & (owner[1:] != owner[:-1])
+        tokens = np.unique(every[1:][other])
+    width = int(np.clip((1 << 22) // max(len(ia), len(ib)), 64, 4096))
     overlap = np.zeros((len(ia), len(ib)), dtype=np.float32)
     pa_, pb_ = np.searchsorted(tokens, ta), np.searchsorted(tokens, tb)
     pa_[pa_ == len(tokens)] = 0
@@ -219,14 +228,15 @@ def linked(a: tuple, b: tuple, percent: int, width: int = 4096) -> list[tuple[in
     return sorted(found)
 
 
-def _open(percent: int):
-    def unpacked(batch, side, i):
-        return tuple(np.frombuffer(batch.column(f"{c}_{side}")[i].as_py(), dtype=np.uint64 if c == "shingles" else np.int64) for c in ("ids", "sizes", "shingles"))
+def _block(table: pa.Table) -> tuple:
+    """Rows of packed sets as one block (ids, sizes, shingles)."""
+    return tuple(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64 if c == "shingles" else np.int64) for x in table[c]]) for c in ("ids", "sizes", "shingles"))
 
-    def run(batches):
-        for batch in batches:
-            found = [x for i in range(batch.num_rows) for x in linked(unpacked(batch, "x", i), unpacked(batch, "y", i), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+def _open(percent: int):
+    def run(queries: pa.Table, group: pa.Table) -> pa.Table:
+        found = linked(_block(queries), _block(group), percent) if queries.num_rows and group.num_rows else []
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return run
 
@@ -241,39 +251,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = stored(texts.mapInArrow(_facts(words), "doc_id long, n long, one long, two long, key long, shingle long, times long"), "facts")
     counts = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where("times >= 8")
-    top = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT).collect()
-    top = sorted((r.shingle % 2**64, r.times) for r in top)
-    frequent, weight = np.array([x[0] for x in top], dtype=np.uint64), np.array([x[1] for x in top], dtype=np.int64)
+    top = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
+    frequent, weight = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64), top["times"].to_numpy(dtype=np.int64)
+    rising = np.argsort(frequent)
+    frequent, weight = frequent[rising], weight[rising]
 
     light = facts.where("n is not null").select("doc_id", "n", "one", "two", "key")
     sets = light.where("n > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("key").alias("key"))
     sets = stored(sets, "sets")
     matrix = texts.where("doc_id is not null").mapInArrow(_matrix(words, percent, buckets, frequent, weight), "bucket long, shingles binary, groups binary")
     rows = stored(matrix.groupBy("bucket").applyInArrow(_shared_shingles, "shingle long, grp long"), "matrix")
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr("x.shingle = y.shingle and x.grp < y.grp")).select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
-    loads = sets.groupBy("key").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("members"))
-    pairs = stored(pairs.union(loads.where("members > 1").select("key", "key")), "pairs")
+    loads = sets.groupBy("key").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    shared = rows.alias("x").join(rows.alias("y"), F.expr("x.shingle = y.shingle and x.grp < y.grp")).groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).agg(F.count(F.lit(1)).alias("shared"))
+    sides = [loads.select(F.col("key").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}")) for k in "gh"]
+    near = shared.join(sides[0], "g").join(sides[1], "h").where(
+        f"shared >= greatest(1, floor(least(low_g, low_h) / {DEEPER})) and 100 * high_g >= {percent} * low_h and 100 * high_h >= {percent} * low_g")
+    pairs = stored(near.select("g", "h").union(loads.where("members > 1").select("key", "key")), "pairs")
 
     wanted = pairs.select("g").union(pairs.select("h")).distinct().withColumnRenamed("g", "key")
-    parts = loads.join(wanted, "key").select("key", F.ceil(F.col("load") / BLOCK_SHINGLES).alias("parts"))
-    members = stored(sets.join(parts, "key").select("rep", "one", "two", "key", F.xxhash64("key", F.pmod(F.xxhash64("one", "two"), "parts")).alias("block")), "members")
-    blocks = members.select("key", "block").distinct()
-    x = blocks.select(F.col("key").alias("g"), F.col("block").alias("bx"))
-    y = blocks.select(F.col("key").alias("h"), F.col("block").alias("by"))
-    tiles = pairs.join(x, "g").join(y, "h").where("g <> h or bx <= by").select(F.least("bx", "by").alias("bx"), F.greatest("bx", "by").alias("by")).distinct()
+    parts = loads.join(wanted, "key").select("key", F.ceil(F.greatest(F.col("load") / BLOCK_SHINGLES, F.col("members") / BLOCK_SETS)).alias("parts"))
+    members = stored(sets.join(parts, "key").select("rep", "one", "two", "n", "key", F.xxhash64("key", F.pmod(F.xxhash64("one", "two"), "parts")).alias("block")), "members")
+    blocks = members.groupBy("key", "block").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("members"))
+    x = blocks.select(F.col("key").alias("g"), F.struct("load", "block", "members").alias("x"))
+    y = blocks.select(F.col("key").alias("h"), F.struct("load", "block", "members").alias("y"))
+    tiles = pairs.join(x, "g").join(y, "h").where("g <> h or x <= y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    tiles = stored(tiles.select(F.col("x.block").alias("query"), F.col("y.block").alias("block"), F.col("x.load").alias("load"), F.col("x.members").alias("members")), "tiles")
+    # the lighter side asks; a block that many ask meets them in chunks of bounded size
+    chunks = tiles.groupBy("block").agg(F.ceil(F.greatest(F.sum("load") / (2 * BLOCK_SHINGLES), F.sum("members") / (2 * BLOCK_SETS))).cast("int").alias("chunks"))
+    tiles = tiles.join(chunks, "block").select("query", "block", F.pmod(F.xxhash64("query"), "chunks").cast("int").alias("chunk"))
 
     bits = _filter_bits(members)
     whole = texts.where("doc_id is not null").mapInArrow(_whole_sets(words, bits), "doc_id long, one long, two long, shingles binary")
     whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "one", "two"]).select("block", F.col("doc_id").alias("rep"), "one", "two", "shingles").dropDuplicates(["block", "rep", "one", "two"])
     packed = stored(whole.select("block", "rep", "shingles").groupBy("block").applyInArrow(_pack, PACK), "packed")
-    sides = [packed.select(F.col("block").alias(f"b{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "sizes", "shingles")]) for s in "xy"]
-    opened = tiles.join(sides[0], "bx").join(sides[1], "by").drop("bx", "by")
-    links = opened.mapInArrow(_open(percent), "a long, b long")
-    # rows of one id with several texts hang together too
-    several = sets.select("rep", "one", "two").join(light.where("doc_id is not null").select("doc_id", "one", "two").distinct(), ["one", "two"]).where("doc_id <> rep")
+    sent = packed.select(F.col("block").alias("query"), *[F.col(c).alias(c) for c in ("ids", "sizes", "shingles")])
+    asking = tiles.join(sent, "query").drop("query")
+    asked = packed.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    links = asking.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(_open(percent), "a long, b long")
     repeated = light.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    several = several.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    classes = components(links.union(several))
+    if not repeated.isEmpty():  # the texts of one id hang together
+        own = light.join(repeated, "doc_id", "left_semi").select("doc_id", "one", "two").distinct().join(sets.select("rep", "one", "two"), ["one", "two"])
+        links = links.union(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    classes = components(links)
     first = sets.select("one", "two", "rep").join(classes, F.col("rep") == F.col("node"), "left").select("one", "two", F.coalesce("component", "rep").alias("component"))
     own = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("own"))
     out = light.join(first, ["one", "two"], "left").join(own, "doc_id", "left")
