@@ -1,15 +1,16 @@
 """Similarity join of whole texts on word shingles with a token-group matrix.
 
-Distinct shingle sets are partitioned into groups of similar sets: a group is all sets whose smallest shingle hash
-is the same, which sets of similarity s share with chance s. Any partition gives exact results; a good one
+Distinct shingle sets are partitioned into groups of similar sets: a group is all sets whose smallest shingle by
+two hashes is the same, which sets of similarity s share with a chance of about s * s. Any partition gives exact results; a good one
 keeps near copies together. Three steps lead from groups to links:
 
 1. *Matrix.* A row (shingle, group) says that a group's union holds a shingle. Only the rows that can matter are made:
    if two sets are at least t similar, then, in any common order and for any k up to their overlap, the first
    n - ceil(t * n) + k shingles of both hold k common ones. These are indexed, rarest first, with k = n / ``DEEPER``. Rows are kept
    once per group, however many sets share them.
-2. *Bound.* Groups that share fewer indexed shingles than the smaller k of any of their sets, or whose set sizes are too far
-   apart, stay closed. The others are stored as blocks of sets of bounded size, each with the union of its
+2. *Bound.* Of two sets, one has the earlier last indexed shingle; all that it shares up to there is indexed by both, and
+   all that it can share beyond is the rest of it, so the number of shared indexed shingles and the sizes bound the overlap. Groups that
+   share too few for any of their sizes, or whose sizes are too far apart, stay closed. The others are stored as blocks of sets of bounded size, each with the union of its
    shingles; no set of a block can overlap a query in more shingles than the union does, which closes blocks and queries within them.
 3. *Open.* Of two blocks the lighter one asks. A task holds one block and a bounded number of the sets that ask it; in what
    its bounds leave open, overlaps are counted exactly, as a matrix product. It returns each linked set once, with the
@@ -38,7 +39,7 @@ FREQUENT = 1 << 17
 DEEPER = 16
 BLOCK_SHINGLES = 1 << 17
 BLOCK_SETS = 1 << 10
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 FILTER_BITS = 1 << 23
 PACK = "block long, ids binary, sizes binary, shingles binary"
 
@@ -59,7 +60,8 @@ class _Sets:
         full = np.flatnonzero(self.sizes)
         self.key, self.one, self.two = (np.zeros(count, dtype=np.uint64) for _ in range(3))
         if len(full):
-            self.key[full] = self.hashes[self.ends[full]]
+            other = mixed(self.hashes ^ np.uint64(0x2545F4914F6CDD1D))
+            self.key[full] = mixed(self.hashes[self.ends[full]]) ^ np.minimum.reduceat(other, self.ends[full])
             self.one[full] = np.add.reduceat(mixed(self.hashes), self.ends[full])
             self.two[full] = np.add.reduceat(mixed(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), self.ends[full])
 
@@ -170,8 +172,9 @@ def _whole_sets(n: int, bits: np.ndarray):
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["shingles"]]
-    ids = table["rep"].to_numpy()
+    rows = sorted(set(zip(table["rep"].to_pylist(), (x.as_py() for x in table["shingles"]))))  # a repeated row is one set
+    sets = [np.frombuffer(x, dtype=np.uint64) for _, x in rows]
+    ids = np.array([i for i, _ in rows])
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "ids": [ids.astype(np.int64).tobytes()], "sizes": [np.array([len(x) for x in sets], dtype=np.int64).tobytes()], "shingles": [np.concatenate(sets).tobytes()]})
 
 
@@ -264,8 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loads = sets.groupBy("key").agg(F.sum("n").alias("load"), F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
     shared = rows.alias("x").join(rows.alias("y"), F.expr("x.shingle = y.shingle and x.grp < y.grp")).groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).agg(F.count(F.lit(1)).alias("shared"))
     sides = [loads.select(F.col("key").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}")) for k in "gh"]
+    least = f"greatest(floor(least(low_g, low_h) / {DEEPER}), 1)"
+    overlap, rest = f"ceil({percent} * (low_g + low_h) / {100 + percent})", f"ceil({percent} * greatest(high_g, high_h) / 100)"
     near = shared.join(sides[0], "g").join(sides[1], "h").where(
-        f"shared >= greatest(1, floor(least(low_g, low_h) / {DEEPER})) and 100 * high_g >= {percent} * low_h and 100 * high_h >= {percent} * low_g")
+        f"shared >= greatest({least}, {overlap} - {rest} + {least}) and 100 * high_g >= {percent} * low_h and 100 * high_h >= {percent} * low_g")
     pairs = stored(near.select("g", "h").union(loads.where("members > 1").select("key", "key")), "pairs")
 
     wanted = pairs.select("g").union(pairs.select("h")).distinct().withColumnRenamed("g", "key")
@@ -282,8 +287,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bits = _filter_bits(members)
     whole = texts.where("doc_id is not null").mapInArrow(_whole_sets(words, bits), "doc_id long, one long, two long, shingles binary")
-    whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "one", "two"]).select("block", F.col("doc_id").alias("rep"), "one", "two", "shingles").dropDuplicates(["block", "rep", "one", "two"])
-    packed = stored(whole.select("block", "rep", "shingles").groupBy("block").applyInArrow(_pack, PACK), "packed")
+    whole = whole.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "one", "two"]).select("block", F.col("doc_id").alias("rep"), "shingles")
+    packed = stored(whole.groupBy("block").applyInArrow(_pack, PACK), "packed")
     sent = packed.select(F.col("block").alias("query"), *[F.col(c).alias(c) for c in ("ids", "sizes", "shingles")])
     asking = tiles.join(sent, "query").drop("query")
     asked = packed.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")

@@ -38,12 +38,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** n modulo 2**64, kept between calls and grown by doubling."""
     key = str(base)
     if key not in _POWERS or len(_POWERS[key]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        size = max(1 << 16, 1 << int(n).bit_length())
         _POWERS[key] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, dtype=np.uint64)]), dtype=np.uint64)
     return _POWERS[key][: n + 1]
 
 
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
