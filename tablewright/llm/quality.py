@@ -189,7 +189,7 @@ def fit(stats: np.ndarray, text: np.ndarray, length: np.ndarray, label: np.ndarr
     return Field(edges, weights, pair, (float(max(a, 0.05)), float(b)))
 
 
-def _score(field: Field):
+def _score(field: Field, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             scores = []
@@ -203,7 +203,8 @@ def _score(field: Field):
                 a, b = field.curve
                 scores.append(1 / (1 + np.exp(-(a * _logit(_mean(chance, text, length, texts)) + b))))
             out = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(out, pa.float64())], [batch.schema.names[0], *batch.schema.names[2:], "score"])
+            kept = [i for i in range(batch.num_columns) if i != 1 or with_text]
+            yield pa.RecordBatch.from_arrays([*(batch.columns[i] for i in kept), pa.array(out, pa.float64())], [*(batch.schema.names[i] for i in kept), "score"])
 
     return run
 
@@ -236,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def line_field_quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Row per text: its id as ``doc_id``, the columns ``keep``, and ``score`` (0 to 1)."""
-    spark_types = dict(docs.dtypes)
-    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
-    schema = ", ".join(["doc_id long", *[f"`{c}` {spark_types[c]}" for c in keep], "score double"])
-    return inputs.mapInArrow(_score(field), schema)
+    kinds = dict(docs.dtypes)
+    others = [c for c in keep if c not in (id_col, text_col)]
+    inputs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(f"`{c}`") for c in others])
+    schema = ", ".join(["doc_id long", *["text string"] * (text_col in keep), *[f"`{c}` {kinds[c]}" for c in others], "score double"])
+    return inputs.mapInArrow(_score(field, text_col in keep), schema)
