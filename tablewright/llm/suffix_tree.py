@@ -1,24 +1,25 @@
-"""Language-model scores of whole texts with a probabilistic suffix tree.
+"""Language-model scores of whole texts with a probabilistic suffix tree over words.
 
-*Symbols.* A text is its words, A-Z as a-z, one space between them and one end. Symbols are the bytes of that; the 62
-most frequent bytes of the training texts have a symbol of their own, the others share one, spread evenly over its bytes; the end
-is symbol 0. Before a text stand ``DEPTH`` ends.
+*Symbols.* A text is its words, A-Z as a-z, and one end. The end is symbol 0, the ``SYMBOLS`` - 2 most frequent training words
+have a symbol each, all other words share the last one. A word of the shared symbol gets that symbol's chance times its
+own share of it; all words never seen are one word, whose chance is what absolute discounting takes from the seen ones.
 
-*Tree.* A state is a context of up to ``DEPTH`` symbols. All training texts are counted: how often each symbol follows each context.
-A context is kept if it occurs ``LEAST`` times and its next-symbol distribution diverges from that of its suffix by
-``DIVERGENCE`` bits or more in total (occurrences times Kullback-Leibler divergence); the suffixes of a kept context are kept too. At most
-``STATES`` contexts, the most divergent, are kept, which bounds the model that is sent to the tasks. Distributions are smoothed
-towards that of the longest kept suffix, with a weight of ``PULL`` occurrences; the empty context is smoothed evenly.
+*Tree.* A state is a context of up to ``DEPTH`` symbols; before a text stands an end. Level by level, over all training texts,
+it is counted how often each symbol follows each context that occurs ``LEAST`` times. A context is kept if its next-symbol distribution
+diverges from that of its suffix: the texts it predicts must gain ``DIVERGENCE`` bits, each occurrence left out of
+its own estimate. The suffixes of a kept context are kept too. A level has at most ``STATES`` contexts, the most frequent, which bounds
+the model that is sent to the tasks. A context's distribution is smoothed towards that of its suffix with a weight of ``PULL``.
 
 *Scores.* Each symbol is predicted by the longest state that the text before it ends in; the score is the sum of log10.
 
-*Base.* Words counted over all training texts, each end a token. Counts of the ``SENT`` most frequent words are sent to the tasks;
-the rest of a text's words meet their counts in a join, so the vocabulary may grow with the data.
+*Base.* Words counted over all training texts, each end a token. The ``SENT`` most frequent words are sent to the tasks with their
+counts; the rest of a text's words meet their counts in a join, so the vocabulary may grow with the data.
 
 Training texts are those whose crc32 of the id as text, modulo 7, is not 2. Words count as equal if their 64-bit hashes are.
 
 Defined cases: null and empty texts are an end alone. A null id counts as empty text in the fold. Rows of one id are scored
-one by one. An empty table gives an empty one; without training texts all counts are 0. Extra columns are ignored.
+one by one. An empty table gives an empty one; without training texts all counts are 0 and every symbol is equally likely. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,59 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import stored
-from tablewright.llm.words import SPACES, slice_words, text_slices
-
-DEPTH = 4
-LEAST = 20
-DIVERGENCE = 30.0
-STATES = 1 << 16
-PULL = 4.0
+from tablewright.llm.words import slice_words, text_slices
+
+BITS = 12
+SYMBOLS = 1 << BITS
+DEPTH = 3
+LEAST = 32
+DIVERGENCE = 20.0
+STATES = 1 << 14
+PULL = 8.0
 SENT = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 END_WORD = 0x0E4D  # stands for the end among word hashes
-_BITS = 6
-_MASK = (1 << _BITS) - 1
-_SPACE = np.isin(np.arange(256), SPACES)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
+END, OTHER = 0, SYMBOLS - 1
 FOLD = f"pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), {FOLDS}) = {HELD_OUT}"
-
-
-def plain_bytes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a slice as the model sees them (256 stands for the end), and where each text starts."""
-    space = _SPACE[data]
-    value = np.where(space, 32, _LOWER[data])
-    value[starts[1:] - 1] = 256
-    last = np.zeros(len(data), dtype=bool)
-    last[starts[1:] - 1] = True
-    # a space stays if a word came before it in its text and another one follows
-    before = np.zeros(len(data), dtype=bool)
-    before[1:] = space[:-1] & ~last[:-1]
-    head = np.zeros(len(data), dtype=bool)
-    head[starts[:-1]] = True
-    drop = space & ~last & (before | head)
-    drop[:-1] |= space[:-1] & ~last[:-1] & last[1:]
-    keep = ~drop
-    # a run of spaces at the start of a text: its first one goes, so do the others; one at the end leaves its first one behind
-    kept = value[keep]
-    tail = np.zeros(len(kept), dtype=bool)
-    tail[:-1] = (kept[:-1] == 32) & (kept[1:] == 256)
-    kept = kept[~tail]
-    ends = np.flatnonzero(kept == 256)
-    return kept, np.concatenate([[0], ends + 1])
-
-
-def symbols_in(values: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Context (``DEPTH`` symbols as one number, the nearest in the lowest bits) and next symbol at every place."""
-    symbol = table[values].astype(np.int64)
-    padded = np.insert(symbol, np.repeat(starts[:-1], DEPTH), 0)
-    place = np.ones(len(padded), dtype=bool)
-    place[(starts[:-1] + DEPTH * np.arange(len(starts) - 1))[:, None] + np.arange(DEPTH)] = False
-    at = np.flatnonzero(place)
-    context = np.zeros(len(at), dtype=np.int64)
-    for k in range(1, DEPTH + 1):
-        context |= padded[at - k] << (_BITS * (k - 1))
-    return context, padded[at]
+COUNTS = "key long, times long"
 
 
 def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,190 +59,277 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int32)), pa.array(keys.view(np.int64) if keys.dtype == np.uint64 else keys, pa.int64()), pa.array(counts, pa.int64())], ["kind", "key", "times"])
+def _summed(parts: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """(key, times) of many arrays of keys, summed over several before they leave; at most about ``most`` keys are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def out():
+        keys, times = _merged(held)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(times, pa.int64())], ["key", "times"])
 
-def _byte_counts(batches: Iterator[pa.RecordBatch]):
-    total = np.zeros(257, dtype=np.int64)
-    for batch in batches:
-        for _, data, starts in text_slices(batch.column(1)):
-            total += np.bincount(plain_bytes(data, starts)[0], minlength=257)
-    yield _rows(0, np.arange(257), total)
+    for keys in parts:
+        held.append(_tallied(keys))
+        if len(held) == 16:
+            held[:] = [_merged(held)]
+            if len(held[0][0]) > most:
+                yield out()
+                held.clear()
+    if held:
+        yield out()
 
 
-def _counts(table: np.ndarray):
-    """Words (kind 1) and contexts with their next symbol (kind 2) of training texts, summed over many slices before they leave."""
+def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every token of a slice, ends included, in order."""
+    text, _, _, hashes = slice_words(data, starts)
+    cuts = np.searchsorted(text, np.arange(1, len(starts)))
+    return np.insert(text, cuts, np.arange(len(starts) - 1)), np.insert(hashes, cuts, np.uint64(END_WORD))
 
-    def run(batches):
-        words: list = []
-        paths: list = []
 
-        def flush():
-            out = [_rows(1, *_merged(words)), _rows(2, *_merged(paths))]
-            words.clear()
-            paths.clear()
-            return out
+def _word_counts(batches: Iterator[pa.RecordBatch]):
+    yield from _summed(_words(data, starts)[1] for batch in batches for _, data, starts in text_slices(batch.column(0)))
 
-        for batch in batches:
-            for _, data, starts in text_slices(batch.column(0)):
-                hashes = slice_words(data, starts)[3]
-                words.append(_tallied(np.concatenate([hashes, np.full(len(starts) - 1, END_WORD, dtype=np.uint64)])))
-                context, symbol = symbols_in(*plain_bytes(data, starts), table)
-                paths.append(_tallied(context << _BITS | symbol))
-                if len(words) == 8:
-                    words[:], paths[:] = [_merged(words)], [_merged(paths)]
-                    if len(words[0][0]) > 1 << 20 or len(paths[0][0]) > 1 << 21:
-                        yield from flush()
-        if words:
-            yield from flush()
+
+@dataclasses.dataclass
+class Alphabet:
+    """Sorted hashes of the words that have a symbol, and the symbols."""
+
+    hashes: np.ndarray
+    symbols: np.ndarray
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.symbols[place], OTHER)
+
+
+def contexts(text: np.ndarray, symbols: np.ndarray, levels: list[np.ndarray]) -> list[np.ndarray]:
+    """For each level of sorted contexts, the number of the context before every token, -1 where it is none of them.
+
+    A context of k symbols holds the nearest one in its lowest bits. Its number comes from that of the k - 1 farther ones, which stood
+    before the token in front. ``levels`` holds, per length, the sorted contexts.
+    """
+    before = np.empty(len(symbols), dtype=np.int64)
+    before[:1], before[1:] = END, symbols[:-1]
+    first = np.ones(len(symbols), dtype=bool)
+    first[1:] = text[1:] != text[:-1]
+    before[first] = END
+    out, last = [], np.zeros(len(symbols), dtype=np.int64)  # the empty context
+    for k, known in enumerate(levels):
+        farther = np.empty_like(last)
+        farther[:1], farther[1:] = -1, last[:-1]
+        if k == 0:
+            farther[:] = 0
+        else:
+            farther[first] = -1
+        number = np.full(len(symbols), -1, dtype=np.int64)
+        if len(known):
+            ok = farther >= 0
+            key = (levels[k - 1][farther[ok]] << BITS if k else 0) | before[ok]
+            place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            number[ok] = np.where(known[place] == key, place, -1)
+        out.append(number)
+        last = number
+    return out
+
+
+def _next_counts(alphabet, levels):
+    """Counts of (context of the last level, next symbol) in training texts."""
+
+    def run(batches):
+        names, known = alphabet.value, levels.value
+
+        def keys():
+            for batch in batches:
+                for _, data, starts in text_slices(batch.column(0)):
+                    text, hashes = _words(data, starts)
+                    symbols = names.of(hashes)
+                    if not known:
+                        yield symbols
+                        continue
+                    number = contexts(text, symbols, known)[-1]
+                    at = number >= 0
+                    yield known[-1][number[at]] << BITS | symbols[at]
+
+        yield from _summed(keys())
 
     return run
 
 
 @dataclasses.dataclass
 class Tree:
-    """Symbol of every byte value (256: end), states in a dense table by context, log10 of each state's next-symbol chances, and what
-    to subtract for bytes that share the last symbol."""
-
-    table: np.ndarray
-    contexts: list[tuple[np.ndarray, np.ndarray]]  # per length: sorted contexts and their state numbers
-    chances: np.ndarray
-    shared: float
-
-    def state_of(self) -> np.ndarray:
-        """The longest kept suffix of every full context."""
-        state = np.zeros(1, dtype=np.int32)
-        for k in range(1, DEPTH + 1):
-            state = np.tile(state, 1 << _BITS)  # the new, farthest symbol is in the highest bits
-            own, number = self.contexts[k - 1]
-            state[own] = number
-        return state
-
-
-def _alphabet(counts: np.ndarray) -> np.ndarray:
-    order = np.argsort(-counts[:256], kind="stable")
-    table = np.full(257, _MASK, dtype=np.uint8)
-    table[order[: _MASK - 1]] = np.arange(1, _MASK)
-    table[256] = 0
-    return table
-
-
-def grow(paths: DataFrame, states: int = STATES, least: int = LEAST, divergence: float = DIVERGENCE) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Kept contexts per length and the smoothed chances per state, from counts (key = context and next symbol, times)."""
-    levels = {DEPTH: paths}
-    for k in range(DEPTH - 1, -1, -1):
-        levels[k] = levels[k + 1].select(F.col("key").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1)).alias("key"), "times").groupBy("key").agg(F.sum("times").alias("times"))
-    gains = None
-    for k in range(1, DEPTH + 1):
-        own = levels[k].select("key", "times", F.expr(f"shiftright(key, {_BITS})").alias("context"))
-        total = own.groupBy("context").agg(F.sum("times").alias("all")).where(F.col("all") >= least)
-        short = levels[k - 1].select(F.col("key").alias("short"), F.col("times").alias("short_times"))
-        short_total = levels[k - 1].groupBy(F.expr(f"shiftright(key, {_BITS})").alias("short_context")).agg(F.sum("times").alias("short_all"))
-        low = F.col("context").bitwiseAND(F.lit((1 << _BITS * (k - 1)) - 1))
-        rows = own.join(total, "context").withColumn("short", F.col("key").bitwiseAND(F.lit((1 << _BITS * k) - 1))).withColumn("short_context", low).join(short, "short").join(short_total, "short_context")
-        share, wide = F.col("times") / F.col("all"), F.col("short_times") / F.col("short_all")
-        gain = rows.groupBy("context").agg(F.sum(F.col("times") * F.log2(share / wide)).alias("gain")).where(F.col("gain") >= divergence).withColumn("length", F.lit(k))
-        gains = gain if gains is None else gains.union(gain)
-    best = gains.orderBy(F.desc("gain"), "length", "context").limit(states // DEPTH).collect()
-    kept = [set() for _ in range(DEPTH + 1)]
-    for row in best:
-        for k in range(row.length + 1):
-            kept[k].add(row.context & ((1 << _BITS * k) - 1))
-    kept[0] = {0}
-    counts = []
-    for k in range(DEPTH + 1):
-        own = np.array(sorted(kept[k]), dtype=np.int64)
-        wanted = paths.sparkSession.createDataFrame(pa.table({"context": own}).to_pandas()) if len(own) else None
-        if wanted is None:
-            counts.append((own, np.zeros((0, 1 << _BITS))))
-            continue
-        rows = levels[k].select(F.expr(f"shiftright(key, {_BITS})").alias("context"), F.col("key").bitwiseAND(F.lit(_MASK)).alias("symbol"), "times").join(F.broadcast(wanted), "context").toPandas()
-        table = np.zeros((len(own), 1 << _BITS))
-        table[np.searchsorted(own, rows["context"].to_numpy(dtype=np.int64)), rows["symbol"].to_numpy(dtype=np.int64)] = rows["times"].to_numpy(dtype=float)
-        counts.append((own, table))
-    wide = (counts[0][1] + 1.0) / (counts[0][1] + 1.0).sum(axis=1, keepdims=True)
-    chances, number, contexts = [wide], {(0, 0): 0}, []
-    for k in range(1, DEPTH + 1):
-        own, table = counts[k]
-        # the suffix of a kept context is kept, so the state one shorter is there
-        parent = np.array([number[k - 1, int(c) & ((1 << _BITS * (k - 1)) - 1)] for c in own], dtype=np.int64)
-        before = np.concatenate(chances)[parent] if len(own) else np.zeros((0, 1 << _BITS))
-        start = sum(map(len, chances))
-        chances.append((table + PULL * before) / (table.sum(axis=1, keepdims=True) + PULL))
-        number.update({(k, int(c)): start + i for i, c in enumerate(own)})
-        contexts.append((own, np.arange(start, start + len(own), dtype=np.int32)))
-    return contexts, np.log10(np.concatenate(chances)).astype(np.float32)
-
-
-_STATES: dict[str, tuple] = {}
+    """Per length: sorted contexts that may lead to a state, whether each is one, the weight of its suffix (log10 of ``PULL`` over
+    occurrences plus ``PULL``), and log10 chances of the symbols seen after it. ``root``: log10 chance of every symbol."""
+
+    alphabet: Alphabet
+    root: np.ndarray
+    levels: list[np.ndarray]
+    kept: list[np.ndarray]
+    back: list[np.ndarray]
+    seen: list[tuple[np.ndarray, np.ndarray]]
+
+    def log_chances(self, text: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """log10 of the chance of every token's symbol in the longest state before it."""
+        out = self.root[symbols]
+        for number, known, kept, back, (pairs, chance) in zip(contexts(text, symbols, self.levels), self.levels, self.kept, self.back, self.seen):
+            at = np.flatnonzero((number >= 0) & kept[number] if len(kept) else number >= 0)
+            if not len(at):
+                continue
+            key = known[number[at]] << BITS | symbols[at]
+            place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+            # a symbol not seen after the context has its suffix's chance, weighed down
+            out[at] = np.where(pairs[place] == key, chance[place], out[at] + back[number[at]])
+        return out
+
+
+def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root: np.ndarray, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, states: int = STATES) -> Tree:
+    """The tree, level by level. ``count_level(levels)`` gives the stored counts after the contexts of the last level."""
+    levels: list[np.ndarray] = []
+    tables: list[DataFrame] = []
+    gains: list[dict[int, float]] = []
+    totals: list[dict[int, int]] = []
+    candidates = np.flatnonzero(root_counts >= least)[: states].astype(np.int64)
+    floor = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(10.0**root)], "symbol long, root double")
+    for k in range(depth):
+        levels.append(np.sort(candidates))
+        counts = count_level(levels)
+        tables.append(counts)
+        rows = counts.select("key", "times", F.shiftright("key", BITS).alias("context"), F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)).alias("symbol"))
+        total = rows.groupBy("context").agg(F.sum("times").alias("all"))
+        own = rows.join(total, "context").join(floor, "symbol")
+        if k:
+            short = tables[k - 1].select(F.col("key").alias("short"), F.col("times").alias("short_times"))
+            short_all = tables[k - 1].groupBy(F.shiftright("key", BITS).alias("short_context")).agg(F.sum("times").alias("short_all"))
+            own = (own.withColumn("short", F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))).withColumn("short_context", F.shiftright("short", BITS))
+                   .join(short, "short", "left").join(short_all, "short_context", "left"))
+            wide = (F.coalesce("short_times", F.lit(0)) + PULL * F.col("root")) / (F.coalesce("short_all", F.lit(0)) + PULL)
+        else:
+            wide = F.col("root")
+        left_out = (F.col("times") - 1 + PULL * wide) / (F.col("all") - 1 + PULL)
+        gain = own.groupBy("context").agg(F.sum(F.col("times") * F.log2(left_out / wide)).alias("gain"), F.first("all").alias("all"))
+        found = gain.collect()  # a row per context of a bounded level
+        gains.append({r.context: r.gain for r in found})
+        totals.append({r.context: r["all"] for r in found})
+        if k + 1 < depth:
+            mask = (1 << BITS * (k + 2)) - 1
+            more = counts.where(f"times >= {least}").where((F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)) != END)).orderBy(F.desc("times"), "key").limit(states)
+            candidates = np.array([r.key & mask for r in more.select("key").collect()], dtype=np.int64)
+    keep: list[set[int]] = [set() for _ in range(depth)]
+    for k in range(depth - 1, -1, -1):
+        for context, gain in gains[k].items():
+            if gain >= divergence or context in keep[k]:
+                for j in range(k + 1):
+                    keep[j].add(context & ((1 << BITS * (j + 1)) - 1))
+    kept, back, seen = [], [], []
+    for k in range(depth):
+        known = levels[k]
+        flags = np.array([int(c) in keep[k] and int(c) in totals[k] for c in known], dtype=bool)
+        occurrences = np.array([totals[k].get(int(c), 0) for c in known], dtype=float)
+        wanted = spark.createDataFrame([(int(c),) for c in known[flags]], "context long")
+        rows = tables[k].withColumn("context", F.shiftright("key", BITS)).join(F.broadcast(wanted), "context").select("key", "times").toPandas()
+        pairs, times = rows["key"].to_numpy(dtype=np.int64), rows["times"].to_numpy(dtype=float)
+        order = np.argsort(pairs)
+        pairs, times = pairs[order], times[order]
+        place = np.searchsorted(known, pairs >> BITS)
+        # the suffix's chance: its own seen one, or its suffix's, weighed down
+        lower = root[pairs & (SYMBOLS - 1)].astype(float)
+        for j in range(k):
+            short = pairs & ((1 << BITS * (j + 2)) - 1)
+            here = np.minimum(np.searchsorted(levels[j], short >> BITS), max(len(levels[j]) - 1, 0))
+            is_state = (levels[j][here] == short >> BITS) & kept[j][here] if len(levels[j]) else np.zeros(len(short), dtype=bool)
+            own, chance = seen[j]
+            if len(own):
+                found_at = np.minimum(np.searchsorted(own, short), len(own) - 1)
+                lower = np.where(is_state, np.where(own[found_at] == short, chance[found_at], lower + back[j][here]), lower)
+        chance = np.log10((times + PULL * 10.0**lower) / (occurrences[place] + PULL)) if len(pairs) else np.empty(0)
+        kept.append(flags)
+        back.append(np.log10(PULL / (occurrences + PULL)))
+        seen.append((pairs, chance))
+    return Tree(alphabet, root, levels, kept, back, seen)
 
 
 def _score(model, words):
-    """Per text: tokens, known tokens and base sum over the words sent along, its score, and the other words with their times."""
+    """Per text: tokens, and over the words sent along: known tokens, base sum, score; and the other words with their times."""
 
     def run(batches):
         tree = model.value
-        known, weight, scale = words.value
-        state_of = tree.state_of()
+        known, weight, inside = words.value
         for batch in batches:
-            out = []
             for row, data, starts in text_slices(batch.column(1)):
                 texts = len(starts) - 1
-                text, _, _, hashes = slice_words(data, starts)
-                text = np.concatenate([text, np.arange(texts)])
-                hashes = np.concatenate([hashes, np.full(texts, END_WORD, dtype=np.uint64)])
+                text, hashes = _words(data, starts)
                 place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 hit = known[place] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
                 base = np.bincount(text[hit], weight[place[hit]], minlength=texts)
-                values, begins = plain_bytes(data, starts)
-                context, symbol = symbols_in(values, begins, tree.table)
-                chance = tree.chances[state_of[context], symbol] - np.where(symbol == _MASK, tree.shared, 0.0)
-                rest = ~hit
-                order = np.lexsort((hashes[rest], text[rest]))
-                own, rare = text[rest][order], hashes[rest][order]
+                symbols = tree.alphabet.of(hashes)
+                chance = tree.log_chances(text, symbols)
+                shared = hit & (symbols == OTHER)
+                chance[shared] += inside[place[shared]]
+                order = np.lexsort((hashes[~hit], text[~hit]))
+                own, rare = text[~hit][order], hashes[~hit][order]
                 new = np.ones(len(own), dtype=bool)
                 new[1:] = (own[1:] != own[:-1]) | (rare[1:] != rare[:-1])
                 at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(own)))
-                cuts = np.searchsorted(own[at], np.arange(texts + 1))
-                out.append(pa.RecordBatch.from_arrays([
+                cuts = pa.array(np.searchsorted(own[at], np.arange(texts + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, texts), pa.array(np.bincount(text, minlength=texts), pa.int64()), pa.array(np.bincount(text[hit], minlength=texts), pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(np.add.reduceat(chance.astype(np.float64), begins[:-1]), pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare[at].view(np.int64), pa.int64())), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times, pa.int64())),
-                ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_times"]))
-            yield from out
+                    pa.array(base, pa.float64()), pa.array(np.bincount(text, chance, minlength=texts), pa.float64()),
+                    pa.ListArray.from_arrays(cuts, pa.array(rare[at].view(np.int64), pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(own))), pa.int64())),
+                ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_times"])
 
     return run
 
 
+def _root(facts, symbol_counts: np.ndarray, symbol_words: int) -> tuple[np.ndarray, float, float, float]:
+    """log10 chances of the symbols in the empty context; the discount; chance of the shared symbol; chance of all unseen words."""
+    n, v = max(facts.n, 1), facts.v
+    if not facts.n:
+        return np.full(SYMBOLS, -np.log10(SYMBOLS)), 0.5, 1 / SYMBOLS, 1 / SYMBOLS
+    discount = min(0.9, max(0.1, facts.once / v))
+    unseen = discount * v / n
+    chance = np.maximum(symbol_counts - discount, 0) / n
+    chance[OTHER] = (symbol_counts[OTHER] - discount * (v - symbol_words)) / n + unseen
+    chance = np.maximum(chance, 1e-12)
+    return np.log10(chance / chance.sum()), discount, float(chance[OTHER]), unseen
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    training = texts.where(f"not ({FOLD})")
-    first = training.mapInArrow(_byte_counts, "kind int, key long, times long").groupBy("key").agg(F.sum("times").alias("times")).collect()
-    bytes_seen = np.zeros(257, dtype=np.int64)
-    for row in first:
-        bytes_seen[row.key] = row.times
-    table = _alphabet(bytes_seen)
-    counted = training.select("text").mapInArrow(_counts(table), "kind int, key long, times long").groupBy("kind", "key").agg(F.sum("times").alias("times"))
-    counted = stored(counted, "word-counts")
-    vocabulary, paths = counted.where("kind = 1").select("key", "times"), counted.where("kind = 2").select("key", "times")
-    total = vocabulary.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    scale = np.log10(total.n + total.v + 1.0)
+    training = texts.where(f"not ({FOLD})").select("text")
+    vocabulary = stored(training.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("times").alias("times")), "words")
+    facts = vocabulary.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("times") == 1).alias("once")).first()
     top = vocabulary.orderBy(F.desc("times"), "key").limit(SENT).toPandas()
-    top = top.assign(hash=top["key"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("hash")
-    known = (top["hash"].to_numpy(dtype=np.uint64), np.log10(top["times"].to_numpy(dtype=float) + 1) - scale, scale)
-    contexts, chances = grow(paths)
-    model = spark.sparkContext.broadcast(Tree(table, contexts, chances, float(np.log10(256 - (_MASK - 1)))))
-    words = spark.sparkContext.broadcast(known)
-    rows = texts.mapInArrow(_score(model, words), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, rare_times array<long>")
+    hashes, times = top["key"].to_numpy(dtype=np.int64).view(np.uint64), top["times"].to_numpy(dtype=np.int64)
+    named = np.flatnonzero(hashes != END_WORD)[: SYMBOLS - 2]
+    own = np.append(hashes[named], np.uint64(END_WORD))
+    own_symbols = np.append(np.arange(1, len(named) + 1), END)
+    rising = np.argsort(own)
+    alphabet = Alphabet(own[rising], own_symbols[rising])
+    counts = np.zeros(SYMBOLS)
+    counts[1 : len(named) + 1] = times[named]
+    counts[END] = times[hashes == END_WORD].sum()
+    counts[OTHER] = facts.n - counts.sum()
+    root, discount, shared, unseen = _root(facts, counts, len(named) + int(facts.n > 0))
+    names = spark.sparkContext.broadcast(alphabet)
+
+    def count_level(levels):
+        known = spark.sparkContext.broadcast(levels)
+        return stored(training.mapInArrow(_next_counts(names, known), COUNTS).groupBy("key").agg(F.sum("times").alias("times")), "follows")
+
+    tree = spark.sparkContext.broadcast(grow(spark, count_level, alphabet, counts, root))
+    scale, n = np.log10(facts.n + facts.v + 1.0), float(max(facts.n, 1))
+    rising = np.argsort(hashes)
+    inside = np.log10(np.maximum(times - discount, 1e-12) / n / shared)
+    words = spark.sparkContext.broadcast((hashes[rising], (np.log10(times + 1.0) - scale)[rising], inside[rising]))
+    rows = texts.mapInArrow(_score(tree, words), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, rare_times array<long>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_times").alias("n"))
     rare = rare.join(vocabulary, "key", "left").withColumn("c", F.coalesce("times", F.lit(0)))
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(1.0)) - F.lit(float(scale)))).alias("more_base"))
+    share = F.when(F.col("c") > 0, F.log10((F.col("c") - F.lit(discount)) / F.lit(n * shared))).otherwise(F.lit(float(np.log10(unseen / shared))))
+    rare = rare.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(1.0)) - F.lit(float(scale)))).alias("more_base"),
+        F.sum(F.col("n") * share).alias("more_score"))
     out = rows.drop("rare", "rare_times").join(rare, "row", "left")
     return out.select(
-        "doc_id", F.expr(FOLD).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score")
+        "doc_id", F.expr(FOLD).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(facts.n)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))

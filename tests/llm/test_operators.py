@@ -293,34 +293,69 @@ def test_base_scores_of_awkward_rows(spark, monkeypatch):
     assert suffix_tree.scores(docs.limit(0)).count() == 0
 
 
-def test_symbols_follow_the_definition():
+def test_tokens_follow_the_definition():
     import pyarrow as pa
-    from tablewright.llm.words import text_slices
+    from tablewright.llm.words import text_slices, word_hashes
 
-    rows = [t for _, t in cases.TEXTS if t != cases.LONG and t is not None]
-    for _, data, starts in text_slices(pa.array(rows)):
-        values, begins = suffix_tree.plain_bytes(data, starts)
-        for k, t in enumerate(rows):
-            own = values[begins[k] : begins[k + 1]].tolist()
-            assert own == [*" ".join(cases.words(cases.lower(t))).encode(), 256]
+    rows = [t for _, t in cases.TEXTS if t is not None]
+    for row, data, starts in text_slices(pa.array(rows), 2000):
+        text, hashes = suffix_tree._words(data, starts)
+        for k in range(len(starts) - 1):
+            assert hashes[text == k].tolist() == [*word_hashes(rows[row + k]).tolist(), suffix_tree.END_WORD]
 
 
-def test_states_are_distributions_and_longest(spark):
+@pytest.fixture(scope="module")
+def small_tree(spark):
+    """A tree over sequences in which a symbol depends on the two before it."""
     rng = np.random.default_rng(2)
-    docs = documents(spark, [(k, " ".join("ab" if rng.random() < 0.8 else "ba" for _ in range(60))) for k in range(80)])
-    texts = docs.select("doc_id", "text")
-    table = suffix_tree._alphabet(np.bincount([ord(c) for c in "abab "], minlength=257))
-    from pyspark.sql import functions as F
-
-    counted = texts.select("text").mapInArrow(suffix_tree._counts(table), "kind int, key long, times long").where("kind = 2").groupBy("key").agg(F.sum("times").alias("times"))
-    contexts, chances = suffix_tree.grow(counted)
-    assert np.allclose((10.0**chances).sum(axis=1), 1, atol=1e-4)
-    state = suffix_tree.Tree(table, contexts, chances, 0.0).state_of()
-    known = {(k + 1, int(c)): int(s) for k, (own, numbers) in enumerate(contexts) for c, s in zip(own, numbers)}
-    assert known
-    for context in rng.integers(0, 1 << 24, 2000).tolist() + [c for _, c in known]:
-        want = next((known[k, context & ((1 << 6 * k) - 1)] for k in range(4, 0, -1) if (k, context & ((1 << 6 * k) - 1)) in known), 0)
-        assert state[context] == want
+    B, rows = suffix_tree.BITS, []
+    for _ in range(400):
+        own = [int(rng.integers(1, 6))]
+        while len(own) < 30:
+            own.append((own[-1] + (own[-2] if len(own) > 1 else 0)) % 5 + 1 if rng.random() < 0.7 else int(rng.integers(1, 6)))
+        rows.append([*own, 0])
+    text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    symbols = np.concatenate(rows)
+    counts = np.bincount(symbols, minlength=suffix_tree.SYMBOLS).astype(float)
+    root = np.log10((counts + 1) / (counts + 1).sum())
+
+    def count_level(levels):
+        number = suffix_tree.contexts(text, symbols, levels)[-1]
+        keys, times = np.unique(levels[-1][number[number >= 0]] << B | symbols[number >= 0], return_counts=True)
+        return spark.createDataFrame([(int(k), int(n)) for k, n in zip(keys, times)], "key long, times long")
+
+    return suffix_tree.grow(spark, count_level, None, counts, root), rows
+
+
+def test_states_are_distributions(small_tree):
+    tree, rows = small_tree
+    assert any(kept.any() for kept in tree.kept[1:])  # longer contexts earn their place here
+    every = np.arange(suffix_tree.SYMBOLS)
+    for own in rows[:40]:
+        for before in (own[:1], own[:2], own[:3], own[3:7]):
+            text = np.repeat(every, len(before) + 1)
+            symbols = np.concatenate([[*before, s] for s in every])
+            last = tree.log_chances(text, symbols)[len(before) :: len(before) + 1]
+            assert math.isclose((10.0**last).sum(), 1, abs_tol=1e-6)
+
+
+def test_longest_state_predicts(small_tree):
+    tree, rows = small_tree
+    B = suffix_tree.BITS
+    state = [{int(c): i for i, c in enumerate(known) if kept[i]} for known, kept in zip(tree.levels, tree.kept)]
+    seen = [dict(zip(p.tolist(), c.tolist())) for p, c in tree.seen]
+
+    def chance(before, symbol):
+        out = tree.root[symbol]
+        for k in range(min(len(before), suffix_tree.DEPTH)):
+            key = sum(int(x) << B * i for i, x in enumerate(reversed(before[-k - 1 :])))
+            if key in state[k]:
+                out = seen[k].get(key << B | int(symbol), out + tree.back[k][state[k][key]])
+        return out
+
+    for own in rows[:30]:
+        got = tree.log_chances(np.zeros(len(own), dtype=int), np.array(own))
+        assert np.allclose(got, [chance([0, *own[:i]], s) for i, s in enumerate(own)])
 
 
 # 8. quality
