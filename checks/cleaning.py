@@ -249,10 +249,33 @@ _MERGE = ["order_id", "city", "status", "note"]
 QUERIES["x13_case_variant_merges"] = lambda s, d: correct.case_variant_merges(dirty_orders(s, d, *_MERGE))
 ORACLES["x13_case_variant_merges"] = _VARIANTS
 QUERIES["x14_fuzzy_merges"] = lambda s, d: correct.fuzzy_merges(dirty_orders(s, d, *_MERGE))
+# Spellings that belong together, each with the likeness of its plain forms.
+_ALIKE = [("new york", "new yorkk", 0.94), ("new york", "york new", 1.0), ("new yorkk", "york new", 0.94), ("san francisco", "san fransisco", 0.92), ("acme inc", "the acme", 1.0), ("chicago", "chcago", 0.92)]
+_FUZZY = f"""SELECT 'city' AS column_name, old_value, new_value, n, confidence, 'fuzzy_merge' AS type FROM (
+WITH counts AS (SELECT city AS value, lower({strip('city')}) AS form, count(*) AS n FROM {source('city')} GROUP BY 1, 2),
+kept AS (SELECT * FROM (SELECT *, first_value(value) OVER (PARTITION BY form ORDER BY n DESC, value) AS best FROM counts) WHERE value = best),
+alike(a, b, r) AS (VALUES {', '.join(f"('{a}', '{b}', {r}::DOUBLE), ('{b}', '{a}', {r}::DOUBLE)" for a, b, r in _ALIKE)}),
+met AS (SELECT o.value AS old_value, w.value AS new_value, o.n, r AS confidence, row_number() OVER (PARTITION BY o.value ORDER BY r DESC, w.n DESC, w.value) AS k
+ FROM kept o JOIN alike ON o.form = a JOIN kept w ON w.form = b WHERE w.n > o.n OR (w.n = o.n AND w.value < o.value))
+SELECT * FROM met WHERE k = 1 AND new_value NOT IN (SELECT old_value FROM met WHERE k = 1))"""
+ORACLES["x14_fuzzy_merges"] = _FUZZY
 QUERIES["x15_merge_case_variants"] = lambda s, d: correct.merge_categories(dirty_orders(s, d, *_MERGE), fuzzy=False)[0]
 ORACLES["x15_merge_case_variants"] = f"""WITH m AS ({_VARIANTS}) SELECT order_id, coalesce(a.new_value, city) AS city, coalesce(b.new_value, status) AS status, note FROM {source('city', 'status', 'note')}
 LEFT JOIN (SELECT * FROM m WHERE column_name = 'city') a ON city = a.old_value LEFT JOIN (SELECT * FROM m WHERE column_name = 'status') b ON status = b.old_value"""
 QUERIES["x15_merge_categories"] = lambda s, d: correct.merge_categories(dirty_orders(s, d, *_MERGE))[0].groupBy("city", "status", "note").agg(F.count("*").alias("n"))
+ORACLES["x15_merge_categories"] = f"""WITH m AS ({_VARIANTS} UNION ALL {_FUZZY}) SELECT coalesce(a.new_value, city) AS city, coalesce(b.new_value, status) AS status, note, count(*) AS n FROM {source('city', 'status', 'note')}
+LEFT JOIN (SELECT * FROM m WHERE column_name = 'city') a ON city = a.old_value LEFT JOIN (SELECT * FROM m WHERE column_name = 'status') b ON status = b.old_value GROUP BY 1, 2, 3"""
+
+
+def wide_categories(s, d):
+    """Part names with planted variants: more spellings than any narrow column has."""
+    names = table(s, d, "part").select(F.concat(F.lit("maker "), F.col("p_name"), F.lit(" "), F.col("p_partkey").cast("string")).alias("name"))
+    return correct.case_variant_merges(names.union(names.select(F.upper("name"))).union(names.select(F.upper("name"))))
+
+
+QUERIES["x13_case_variants_of_a_wide_column"] = wide_categories
+ORACLES["x13_case_variants_of_a_wide_column"] = """SELECT 'name' AS column_name, name AS old_value, upper(name) AS new_value, n, CAST(0.95 AS DOUBLE) AS confidence, 'case_variant' AS type
+FROM (SELECT concat('maker ', p_name, ' ', p_partkey) AS name, count(*) AS n FROM part GROUP BY 1)"""
 QUERIES["x20_value_frequency_sample"] = lambda s, d: correct.value_frequency_sample(dirty_orders(s, d, "status", "city", "customer_ref"))
 ORACLES["x20_value_frequency_sample"] = union_all([
     f"SELECT '{c}' AS column_name, value, n FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS a, row_number() OVER (ORDER BY n, value DESC) AS b FROM "

@@ -34,7 +34,7 @@ def csv_round_trip(s, d):
 
 def csv_inferred(s, d):
     path = folder(s)
-    writers.write_csv(table(s, d, "documents").select("doc_id", F.regexp_replace("text", "[\r\n]+", " ").alias("text"), "lang"), path)
+    writers.write_csv(table(s, d, "documents").select("doc_id", "text", "lang"), path)
     return readers.read_csv(s, path)
 
 
@@ -48,7 +48,7 @@ def csv_latin(s, d):
 
 
 QUERIES["s1_read_csv"] = csv_inferred
-ORACLES["s1_read_csv"] = "SELECT CAST(doc_id AS INTEGER) AS doc_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text, lang FROM documents"
+ORACLES["s1_read_csv"] = "SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang FROM documents"
 QUERIES["s2_read_csv_fallback_encoding"] = csv_latin
 _WORDS = "regexp_replace(array_to_string(string_split(text, ' ')[1:3], ' '), '[\\r\\n\"]+', ' ', 'g')"
 ORACLES["s2_read_csv_fallback_encoding"] = f"SELECT doc_id, trim(regexp_replace({_WORDS}, '[^\\x{{20}}-\\x{{FF}}]', '', 'g')) AS words FROM documents"
@@ -61,7 +61,7 @@ def catalog_sql(s, d):
 
 def whole_table(s, d):
     table(s, d, "nation").createOrReplaceTempView("nation_table")
-    return readers.read_catalog_sql(s, "nation_table")
+    return readers.read_catalog_sql(s, table="nation_table")
 
 
 QUERIES["s3_read_sql"] = catalog_sql
@@ -84,6 +84,18 @@ def payloads(s, d):
 
 QUERIES["s4_read_json_payload"] = payloads
 ORACLES["s4_read_json_payload"] = "SELECT c_nationkey, c_custkey AS k, c_name AS name FROM customer"
+def broken_payloads(s, d):
+    """Customers packed as lists and objects, of which every third is cut off."""
+    one = F.to_json(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")))
+    whole = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one)
+    payload = F.when(F.col("c_custkey") % 3 == 0, F.substring(whole, 1, 12)).otherwise(whole)
+    packed = table(s, d, "customer").select("c_custkey", payload.alias("payload"))
+    good = readers.payload_rows(packed, "payload", _ROW, ["c_custkey"]).select("c_custkey", F.lit("row").alias("what"))
+    return good.union(readers.malformed_payloads(packed, "payload", ["c_custkey"]).select("c_custkey", F.lit("malformed")))
+
+
+QUERIES["s4_malformed_payloads"] = broken_payloads
+ORACLES["s4_malformed_payloads"] = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'malformed' ELSE 'row' END AS what FROM customer"
 QUERIES["s4_event_props"] = lambda s, d: readers.payload_rows(table(s, d, "events"), "props", "k BIGINT", ["event_id"])
 ORACLES["s4_event_props"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 QUERIES["s5_normalize_headers_api"] = lambda s, d: correct.normalize_headers(table(s, d, "nation").toDF(" N__NationKey ", "N_Name", "REGION__Key"))

@@ -64,7 +64,12 @@ _SQ = "(SELECT o_orderkey, CASE WHEN o_custkey % 50 = 0 THEN o_totalprice * 20 E
 QUERIES["m9_iqr_anomalies"] = lambda s, d: M.iqr_anomalies(table(s, d, "orders").selectExpr(
     "o_orderkey", "CASE WHEN o_custkey % 50 = 0 THEN o_totalprice * 20 ELSE o_totalprice END AS price"), "price", "o_orderkey")
 ORACLES["m9_iqr_anomalies"] = f"""SELECT o_orderkey, round(price, 2) AS value FROM {_SQ}, (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM {_SQ})
-WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1) ORDER BY o_orderkey LIMIT 30"""
+WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1)"""
+QUERIES["m9_iqr_summary"] = lambda s, d: M.iqr_summary(table(s, d, "orders").selectExpr("CASE WHEN o_custkey % 50 = 0 THEN o_totalprice * 20 ELSE o_totalprice END AS price"), "price")
+ORACLES["m9_iqr_summary"] = f"""WITH f AS (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM {_SQ})),
+a AS (SELECT CAST(count(*) AS DOUBLE) AS count, CAST(count(*) FILTER (WHERE price < low OR price > high) AS DOUBLE) AS anomalies, round(count(*) FILTER (WHERE price < low OR price > high) * 100.0 / count(*), 2) AS anomaly_pct,
+round(avg(price), 2) AS mean, round(stddev_samp(price), 2) AS std, round(any_value(low), 2) AS lower, round(any_value(high), 2) AS upper FROM {_SQ}, f)
+SELECT unnest(['count', 'anomalies', 'anomaly_pct', 'mean', 'std', 'lower', 'upper']) AS item, unnest([count, anomalies, anomaly_pct, mean, std, lower, upper]) AS value FROM a"""
 QUERIES["m10_feature_correlations"] = lambda s, d: M.feature_correlations(correlated(s, d))
 ORACLES["m10_feature_correlations"] = f"SELECT col1, col2, round(r, 3) AS correlation FROM ({pair_sql(CORR_COLUMNS, CORR_SOURCE)}) WHERE abs(r) > 0.3 ORDER BY abs(r) DESC, col1, col2 LIMIT 10"
 

@@ -39,8 +39,8 @@ _CASE = ["order_id", "status", "city", "note", "customer_ref"]
 
 
 def title(x):
-    """Capital after every space, the rest lower."""
-    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: concat(upper(w[1]), lower(w[2:]))), ' ')"
+    """A capital for the first letter of every run of letters, the rest lower."""
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '\\p{{L}}+|\\P{{L}}+'), lambda w: concat(upper(w[1]), lower(w[2:]))), '')"
 
 
 QUERIES["i4_standardize_case"] = lambda s, d: I.standardize_case(dirty_orders(s, d, *_CASE))[0]

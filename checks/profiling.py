@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.sql import functions as F
+
 from checks.common import (DIRTY_ORDERS, LINEITEM_NUMBERS, dirty_orders, dirty_orders_sql, quoted, table, union_all)
 from tablewright.functions import constants as C
+from tablewright.operators import impute
 from tablewright.operators import profile as P
 
 QUERIES, ORACLES = {}, {}
@@ -203,3 +206,16 @@ ORACLES["p14_full_profile"] = profile_sql(PROFILE_KINDS, PROFILE_SOURCE)
 LINE_KINDS = {**{c: "numeric" for c in LINEITEM_NUMBERS}, "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "datetime"}
 QUERIES["p14_full_profile_lineitem"] = lambda s, d: P.full_profile(table(s, d, "lineitem"))
 ORACLES["p14_full_profile_lineitem"] = profile_sql(LINE_KINDS, "lineitem")
+
+
+# Not-a-number counts as missing --------------------------------------------------------------
+def with_nan(s, d):
+    return table(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') WHEN o_orderkey % 11 = 0 THEN NULL ELSE double(o_totalprice) END AS price")
+
+
+_NAN = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) END AS price FROM orders)"
+QUERIES["p2_missing_with_nan"] = lambda s, d: P.missing_by_column(with_nan(s, d))
+ORACLES["p2_missing_with_nan"] = f"""SELECT 'price' AS column_name, count(*) - count(price) AS missing, round((count(*) - count(price)) * 100.0 / count(*), 2) AS missing_pct,
+CASE WHEN (count(*) - count(price)) / count(*) > 0.3 THEN 'critical' WHEN (count(*) - count(price)) / count(*) > 0.05 THEN 'warning' ELSE 'low' END AS severity FROM {_NAN}"""
+QUERIES["i6_impute_median_with_nan"] = lambda s, d: impute.impute_with(with_nan(s, d), "median_indicator", ["price"]).withColumn("price", F.round("price", 4))
+ORACLES["i6_impute_median_with_nan"] = f"""SELECT o_orderkey, round(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM {_NAN})), 4) AS price, CAST(price IS NULL AS INTEGER) AS price_was_missing FROM {_NAN}"""

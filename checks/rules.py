@@ -261,16 +261,17 @@ QUERIES["n14_dataset_summary"] = lambda s, d: N.dataset_summary(profile(s, d))
 ORACLES["n14_dataset_summary"] = f"""SELECT 'size' AS section, 'rows' AS item, CAST(count(*) AS DOUBLE) AS value FROM {SRC} UNION ALL SELECT 'size', 'cols', CAST({len(ALL)} AS DOUBLE)
 UNION ALL SELECT 'missing', 'cells', CAST(sum(missing) AS DOUBLE) FROM ({MISSING}) UNION ALL SELECT 'missing', 'pct', round(sum(missing) * 100.0 / sum(n), 2) FROM ({MISSING})
 UNION ALL SELECT 'duplicates', 'rows', CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {SRC})) AS DOUBLE) FROM {SRC}
-UNION ALL """ + union_all([f"SELECT '{c}', '{k}', round({e.format(c=c)}, 2) FROM {SRC}" for c in NUM[:5] for k, e in _SUMMARY_STATS.items()])
+UNION ALL """ + union_all([f"SELECT '{c}', '{k}', round({e.format(c=c)}, 2) FROM {SRC}" for c in NUM for k, e in _SUMMARY_STATS.items()])
 QUERIES["n15_report_facts"] = lambda s, d: N.report_facts(profile(s, d), AS_OF)
-_MONEY_COLUMNS = [c for c in NUM if any(w in c for w in C.REPORT_MONEY_NAMES)][:3]
+_MONEY_COLUMNS = [c for c in NUM if any(w in c for w in C.REPORT_MONEY_NAMES)]
 ORACLES["n15_report_facts"] = DIMENSIONS + f""", th AS ({ALL_THREATS}), ov AS (SELECT sum(score * weight) AS o FROM dims)
 SELECT 'size' AS section, 'rows' AS item, CAST(count(*) AS DOUBLE) AS value FROM {SRC} UNION ALL SELECT 'size', 'cols', CAST({len(ALL)} AS DOUBLE)
 UNION ALL SELECT 'effort', 'analyst_hours_saved', CAST(greatest(5, count(*) // 500) AS DOUBLE) FROM {SRC}
 UNION ALL """ + union_all([f"SELECT 'money', '{c} {k}', round(CAST({e.format(c=c)} AS DOUBLE), 2) FROM {SRC}" for c in _MONEY_COLUMNS
                            for k, e in (("total", "sum({c})"), ("mean", "avg({c})"), ("median", "quantile_cont({c}, 0.5)"))]) + f"""
-UNION ALL SELECT 'category', 'status', CAST(count(DISTINCT status) AS DOUBLE) FROM {SRC}
-UNION ALL SELECT * FROM (SELECT 'category', concat('status = ', status), CAST(count(*) AS DOUBLE) AS n FROM {SRC} GROUP BY status ORDER BY n DESC, status LIMIT 3)
+UNION ALL """ + union_all([f"""SELECT 'category', '{c}', CAST(count(DISTINCT {c}) AS DOUBLE) FROM {SRC} HAVING count(DISTINCT {c}) BETWEEN 1 AND 20
+UNION ALL SELECT * FROM (SELECT 'category', concat('{c} = ', {c}), CAST(count(*) AS DOUBLE) AS n FROM {SRC} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, {c} LIMIT 3) WHERE (SELECT count(DISTINCT {c}) FROM {SRC}) BETWEEN 1 AND 20"""
+                           for c, k in ALL.items() if k == "text"]) + f"""
 UNION ALL SELECT 'score', concat('overall ', {GRADE.format(x='o')}), round(o, 1) FROM ov
 UNION ALL SELECT 'threats', 'total', CAST(count(*) AS DOUBLE) FROM th
 UNION ALL SELECT 'threats', 'critical', CAST(count(*) FILTER (WHERE severity = 'critical') AS DOUBLE) FROM th
@@ -280,7 +281,7 @@ QUERIES["n16_histograms"] = lambda s, d: N.histograms(table(s, d, "lineitem"))
 ORACLES["n16_histograms"] = "SELECT column_name, CAST(bin AS INTEGER) AS bin, count(*) AS n FROM (" + union_all([
     f"""SELECT '{c}' AS column_name, k - CASE WHEN v < a + k * ((b - a) / 30) THEN 1 ELSE 0 END + CASE WHEN k < 29 AND v >= a + (k + 1) * ((b - a) / 30) THEN 1 ELSE 0 END AS bin FROM (
  SELECT v, a, b, least(29, floor((v - a) * (30.0::DOUBLE / (b - a)))) AS k FROM (SELECT CAST({c} AS DOUBLE) AS v, CAST(min({c}) OVER () AS DOUBLE) AS a, CAST(max({c}) OVER () AS DOUBLE) AS b FROM lineitem))"""
-    for c in LINEITEM_NUMBERS[:6]]) + ") GROUP BY ALL"
+    for c in LINEITEM_NUMBERS]) + ") GROUP BY ALL"
 QUERIES["n17_correlation_matrix"] = lambda s, d: N.correlation_matrix(table(s, d, "lineitem"))
 ORACLES["n17_correlation_matrix"] = f"SELECT col2 AS row_column, col1 AS col_column, round(r, 2) + 0 AS r FROM ({pair_sql(LINEITEM_NUMBERS, 'lineitem')})"
 QUERIES["n18_describe_all"] = lambda s, d: N.describe_all(profile(s, d))

@@ -149,7 +149,7 @@ def contexts(s, d):
 
 QUERIES["g10_context_assembly"] = contexts
 ORACLES["g10_context_assembly"] = f"""WITH h AS (SELECT *, 0 AS part FROM ({nearest_sql(3, 'label = 4')}) UNION ALL SELECT *, 1 FROM ({nearest_sql(5)}))
-SELECT query_id, count(*) AS hits, string_agg(CASE WHEN part = 0 THEN concat('**[Dataset]** ', left(text, 600)) ELSE concat('### Source ', rank, ' (', source, ') relevance ', relevance, E'\\n', left(text, 800)) END, E'\\n' ORDER BY part, rank) AS context
+SELECT query_id, count(*) AS hits, string_agg(CASE WHEN part = 0 THEN concat('**[Dataset]** ', text) ELSE concat('### Source ', rank, ' (', source, ') relevance ', relevance, E'\\n', text) END, E'\\n' ORDER BY part, rank) AS context
 FROM h JOIN documents ON doc_id = vec_id GROUP BY query_id"""
 
 

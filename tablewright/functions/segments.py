@@ -1,44 +1,22 @@
-"""Splitting ordered work into even pieces, so that no key or series lands in one task."""
+"""Splitting ordered work into even pieces, so that no key or series lands in one task.
+
+Rows are range-partitioned by the order and a second column that splits its ties, and the number of the partition becomes a column.
+What crosses an edge is a few rows per piece and stays a DataFrame. The pieces are written once: a second look must find the same ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.quantiles import order_statistics
 from tablewright.functions.text import col
-
-ROWS_PER_SEGMENT = 2_000_000
-
-
-def sortable(df: DataFrame, name: str) -> Column:
-    """A date, time or number as a double that sorts alike (times in microseconds)."""
-    kind = df.schema[name].dataType.simpleString()
-    if kind.startswith("timestamp"):
-        return F.unix_micros(col(name).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(col(name)).cast("double")
-    return col(name).cast("double")
-
-
-def segment_starts(df: DataFrame, name: str, segments: int | None = None) -> list[float]:
-    """Inner boundaries that cut the values of a column into pieces of about equal count."""
-    only = df.select(sortable(df, name).alias("at"))
-    row = only.agg(F.count("at").alias("n"), F.min("at").alias("a"), F.max("at").alias("b")).first()
-    segments = segments or max(1, -(-row.n // ROWS_PER_SEGMENT))
-    segments = min(segments, max(row.n, 1))
-    if segments <= 1:
-        return []
-    ranks = sorted({row.n * i // segments for i in range(1, segments)})
-    found = order_statistics(only, {"at": (row.a, row.b)}, {"at": ranks})["at"]
-    return sorted(set(found.values()))
+from tablewright.session import cut_lineage
 
 
-def segment_of(at: Column, starts: list[float]) -> Column:
-    """Number of the segment a value lies in."""
-    if not starts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: s <= at))
+def segmented(df: DataFrame, order: list[str], segments: int | None = None) -> DataFrame:
+    """``df`` with ``__segment``, rising along ``order``; as many pieces as the session has shuffle partitions, unless told."""
+    pieces = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(pieces, *[col(c) for c in order]).withColumn("__segment", F.spark_partition_id()))
 
 
 def haloed(df: DataFrame, keys: list[str], order: str, tie: str, reach: int, segments: int | None = None) -> DataFrame:
@@ -48,17 +26,14 @@ def haloed(df: DataFrame, keys: list[str], order: str, tie: str, reach: int, seg
     where ``__own`` holds. Only the first and last ``reach`` rows of each (key, segment) are
     considered for copying, so the window that places them stays small.
     """
-    starts = segment_starts(df, order, segments)
-    placed = df.withColumn("__segment", segment_of(sortable(df, order), starts)).withColumn("__own", F.lit(True))
-    if not starts:
-        return placed
+    placed = segmented(df, [order, tie], segments).withColumn("__own", F.lit(True))
     group = [col(k) for k in keys] + [F.col("__segment")]
     up = Window.partitionBy(*group).orderBy(col(order), col(tie))
     down = Window.partitionBy(*group).orderBy(F.desc(order), F.desc(tie))
     first = placed.withColumn("__rank", F.row_number().over(up)).filter(F.col("__rank") <= reach).drop("__rank")
     last = placed.withColumn("__rank", F.row_number().over(down)).filter(F.col("__rank") <= reach).drop("__rank")
-    ends = first.unionByName(last).dropDuplicates([*keys, order, tie])
-    along = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(order), col(tie))
+    ends = first.unionByName(last).dropDuplicates(list(dict.fromkeys([*keys, order, tie])))
+    along = Window.partitionBy(*([col(k) for k in keys] or [F.lit(0)])).orderBy(col(order), col(tie))  # a few rows per segment
     near = F.array(*[shift("__segment", i).over(along) for i in range(1, reach + 1) for shift in (F.lag, F.lead)])
     targets = F.array_distinct(F.filter("__near", lambda s: s.isNotNull() & (s != F.col("__segment"))))
     copies = ends.withColumn("__near", near).withColumn("__to", F.explode(targets)).drop("__near").withColumn("__segment", F.col("__to")).withColumn("__own", F.lit(False)).drop("__to")
@@ -68,19 +43,12 @@ def haloed(df: DataFrame, keys: list[str], order: str, tie: str, reach: int, seg
 def cumulative(counts: DataFrame, value: str, amounts: list[str], segments: int | None = None) -> DataFrame:
     """Running totals of amounts in value order, over one row per distinct value.
 
-    Totals run inside even segments; what lies before each segment is a handful of numbers.
+    Totals run inside the segments; what lies before each segment comes from one row per segment.
     """
-    starts = segment_starts(counts, value, segments)
-    placed = counts.withColumn("__segment", segment_of(sortable(counts, value), starts))
-    totals = {r["__segment"]: r for r in placed.groupBy("__segment").agg(*[F.sum(a).alias(a) for a in amounts]).collect()}
-    before, offsets = {a: 0 for a in amounts}, {}
-    for s in range(len(starts) + 1):
-        offsets[s] = dict(before)
-        if s in totals:
-            before = {a: before[a] + (totals[s][a] or 0) for a in amounts}
+    placed = segmented(counts, [value], segments)
+    before = Window.partitionBy(F.lit(0)).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__segment").agg(*[F.sum(a).alias(f"__all_{a}") for a in amounts])
+    offsets = totals.select("__segment", *[F.coalesce(F.sum(f"__all_{a}").over(before), F.lit(0)).alias(f"__before_{a}") for a in amounts])
     inside = Window.partitionBy("__segment").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed
-    for a in amounts:
-        offset = F.create_map(*[F.lit(x) for s, o in offsets.items() for x in (s, o[a])])[F.col("__segment")]
-        out = out.withColumn(f"upto_{a}", F.sum(a).over(inside) + offset)
-    return out.drop("__segment")
+    running = placed.withColumns({f"__upto_{a}": F.sum(a).over(inside) for a in amounts}).join(offsets, "__segment")
+    return running.select(*[col(c) for c in counts.columns], *[(F.col(f"__upto_{a}") + F.col(f"__before_{a}")).alias(f"upto_{a}") for a in amounts])

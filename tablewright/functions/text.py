@@ -68,16 +68,25 @@ def name_has(name: str, words: list[str]) -> bool:
     return any(w in low for w in words)
 
 
+# Column names often join two words; the last one tells what they hold.
+COMPOUNDS = {
+    "date": {"datetime", "orderdate", "shipdate", "commitdate", "receiptdate", "duedate", "startdate", "enddate", "birthdate", "hiredate", "saledate"},
+    "time": {"datetime", "timestamp", "starttime", "endtime"},
+    "phone": {"telephone", "cellphone", "phonenumber", "phoneno", "homephone", "workphone"},
+    "mail": {"email"}, "email": {"emailaddress", "useremail"}, "year": {"birthyear", "fiscalyear"}, "mobile": {"mobilenumber", "mobileno"},
+}
+
+
 def name_has_token(name: str, words: list[str]) -> bool:
-    """Does any token of a column name start with one of the words?
+    """Is any token of a column name one of the words, its plural, or a listed compound of it?
 
-    Tokens split at non-letters and at camelCase humps, so 'tel' meets 'tel_no' but not 'hotel'.
+    Tokens split at non-letters and at camelCase humps, so 'date' meets 'order_date' but not 'candidate'.
     """
     import re
 
     humps = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
-    tokens = [t for t in re.split(r"[^a-z]+", humps.lower()) if t]
-    return any(t == w or (len(w) > 3 and (t.startswith(w) or t.endswith(w))) for t in tokens for w in words)
+    tokens = {t for t in re.split(r"[^a-z]+", humps.lower()) if t}
+    return any(w in tokens or w + "s" in tokens or tokens & COMPOUNDS.get(w, set()) for w in words)
 
 
 def fix_mojibake(x: Column) -> Column:
@@ -109,4 +118,5 @@ def words(x: Column) -> Column:
 
 
 def title_case(x: Column) -> Column:
-    return F.initcap(x)
+    """Upper case for the first letter of every run of letters, lower case for the others."""
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), F.initcap), "")

@@ -11,20 +11,12 @@ from tablewright.functions.segments import cumulative, haloed
 from tablewright.functions.text import clean_space, col, norm, words
 from tablewright.operators import profile as P
 
-SMALL_SIDE = 1_000_000  # rows of a summary that may be broadcast
-
-
-def sized(summary: DataFrame) -> DataFrame:
-    """Broadcast a per-key summary when a count shows it is small; otherwise leave it to a shuffle join."""
-    return F.broadcast(summary) if summary.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE else summary
-
-
 # --------------------------------------------------------------------------- outliers
 
 
 def zscore_outliers(df: DataFrame, value: str, id: str, limit: float = 3.0) -> DataFrame:
     s = P.measure_numbers(df, [value], quantiles=False)[value]
-    z = (P.as_double(df, value) - F.lit(s["mean"])) / F.lit(s["std"])
+    z = F.try_divide(P.as_double(df, value) - F.lit(s.get("mean")), F.lit(s.get("std")).cast("double"))
     return df.select(col(id), P.as_double(df, value).alias("value"), F.round(z, 4).alias("z")).filter(F.abs("z") > limit)
 
 
@@ -60,7 +52,7 @@ def impossible_values(df: DataFrame, rules: dict[str, str]) -> DataFrame:
 def frequency_encoding(df: DataFrame, name: str) -> DataFrame:
     """Each value's count, joined from a grouped count so that a hot value is not windowed in one task."""
     counts = df.groupBy(col(name).alias("__value")).agg(F.count("*").alias(f"{name}_frequency"))
-    return df.join(sized(counts), col(name).eqNullSafe(F.col("__value")), "left").drop("__value")
+    return df.join(counts, col(name).eqNullSafe(F.col("__value")), "left").drop("__value")
 
 
 def ordinal_encoding(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -73,7 +65,7 @@ def target_encoding(df: DataFrame, name: str, target: str, smoothing: float = 20
     overall = df.agg(F.avg(P.as_double(df, target)).alias("m")).first().m
     y = P.as_double(df, target)
     means = df.groupBy(col(name).alias("__value")).agg(((F.sum(y) + smoothing * overall) / (F.count(y) + smoothing)).alias(f"{name}_target"))
-    return df.join(sized(means), col(name).eqNullSafe(F.col("__value")), "left").drop("__value")
+    return df.join(means, col(name).eqNullSafe(F.col("__value")), "left").drop("__value")
 
 
 def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -98,7 +90,7 @@ def text_length(df: DataFrame, name: str) -> DataFrame:
 def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     y = P.as_double(df, value)
     stats = df.groupBy(col(key).alias("__key")).agg(F.avg(y).alias("group_mean"), F.count(y).alias("group_count"), F.stddev_samp(y).alias("group_std"))
-    return df.join(sized(stats), col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return df.join(stats, col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 
 
 # --------------------------------------------------------------------------- suspicious columns and labels
@@ -227,7 +219,7 @@ def mask_pii(df: DataFrame, id: str, text: str) -> DataFrame:
     masked = F.regexp_replace(masked, K.PII_PATTERNS["ssn"], "[id]")
     masked = F.regexp_replace(masked, CARD, "[card]")
     masked = F.regexp_replace(masked, r"\+?\d{1,3}[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?(\d{4})", "[phone]$1")
-    return P.spread_out(df.select(col(id), x)).select(col(id), masked.alias(text), F.sha2(x, 256).alias("fingerprint"))
+    return df.select(col(id), masked.alias(text), F.sha2(x, 256).alias("fingerprint"))
 
 
 def card_numbers(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -278,14 +270,14 @@ def spearman(df: DataFrame, a: str, b: str, segments: int | None = None) -> Data
     n = both.count()
     w, x, y = F.col("w"), F.col("x") - (n + 1) / 2, F.col("y") - (n + 1) / 2  # ranks always average (n + 1) / 2
     r = F.try_divide(F.sum(w * x * y), F.sqrt(F.sum(w * x * x) * F.sum(w * y * y)))
-    return pairs.join(sized(ranks_a), "a").join(sized(ranks_b), "b").agg(F.round(r, 4).alias("spearman")).select(
+    return pairs.join(ranks_a, "a").join(ranks_b, "b").agg(F.round(r, 4).alias("spearman")).select(
         F.lit(a).alias("col1"), F.lit(b).alias("col2"), "spearman")
 
 
 def near_duplicates(df: DataFrame, id: str, text: str) -> DataFrame:
     """Groups of texts that differ only in case and white space, by digest of the plain form."""
     form = norm(clean_space(col(text)))
-    groups = P.spread_out(df.select(col(id), col(text))).select(F.md5(form.cast("binary")).alias("form"), F.md5(col(text).cast("binary")).alias("exact"), col(id).alias("id"))
+    groups = df.select(F.md5(form.cast("binary")).alias("form"), F.md5(col(text).cast("binary")).alias("exact"), col(id).alias("id"))
     folded = groups.groupBy("form", "exact").agg(F.count("*").alias("n"), F.min("id").alias("id"))
     return folded.groupBy("form").agg(F.sum("n").alias("copies"), F.count("*").alias("spellings"), F.min("id").alias("first_id")).filter("copies > 1")
 
@@ -326,11 +318,11 @@ def basket_pairs(items: DataFrame, basket: str, item: str, least_support: float
     held = items.select(col(basket).alias("basket"), col(item).alias("item")).distinct()
     baskets = held.select("basket").distinct().count()
     counts = held.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least_support * baskets)
-    kept = held.join(sized(counts.select("item")), "item", "left_semi")
+    kept = held.join(counts.select("item"), "item", "left_semi")
     a, b = kept.alias("a"), kept.alias("b")
     pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a.item") < F.col("b.item"))).groupBy(
         F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(F.count("*").alias("together")).filter(F.col("together") >= least_support * baskets)
     na, nb = counts.select(F.col("item").alias("item_a"), F.col("n").alias("na")), counts.select(F.col("item").alias("item_b"), F.col("n").alias("nb"))
-    return pairs.join(sized(na), "item_a").join(sized(nb), "item_b").select(
+    return pairs.join(na, "item_a").join(nb, "item_b").select(
         "item_a", "item_b", "together", F.round(F.col("together") / baskets, 6).alias("support"), F.round(F.col("together") / F.col("na"), 4).alias("confidence"),
         F.round(F.col("together") * F.lit(float(baskets)) / (F.col("na") * F.col("nb")), 4).alias("lift"))

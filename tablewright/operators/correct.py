@@ -12,27 +12,31 @@ from tablewright.functions.text import col, name_has, norm, strip, to_double
 from tablewright.operators import cleaners as C
 from tablewright.operators.profile import count_flags, long_text, rows_frame, text_columns, value_key
 
-CASE_VALUES, FUZZY_VALUES = 100, 80  # widest columns looked at for variants
-MAP_ROWS = 100_000  # mapping rows that may be broadcast
+LONGEST_NAME, BANDS = 100, 32  # longest value that can be a category name; bands of hashed character pairs
+
+
+def _header(name: str) -> str:
+    """A header without broken sequences and odd white space."""
+    for bad, good in K.MOJIBAKE:
+        name = name.replace(bad, good)
+    return " ".join(name.replace("\u00a0", " ").split()) or "unnamed"
 
 
 def clean_column_names(df: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """Repaired, stripped, unique headers. Metadata only."""
-    names, seen, changed = [], {}, 0
-    for name in df.columns:
-        new = name
-        for bad, good in K.MOJIBAKE:
-            new = new.replace(bad, good)
-        new = re.sub(r"\s+", " ", new.replace("\u00a0", " ").strip()) or "unnamed"
-        if new in seen:
-            seen[new] += 1
-            new = f"{new}_{seen[new]}"
-        else:
-            seen[new] = 0
-        names.append(new)
-        changed += new != name
+    """Repaired, stripped, unique headers. Metadata only.
+
+    The first column of a name keeps it. Later ones get the smallest number that no column has, be it there from the start or given here.
+    """
+    wanted = [_header(name) for name in df.columns]
+    taken, placed, names = set(wanted), set(), []
+    for name in wanted:
+        if name in placed:
+            name = next(f"{name}_{i}" for i in range(1, len(wanted) + len(taken)) if f"{name}_{i}" not in taken)
+            taken.add(name)
+        placed.add(name)
+        names.append(name)
     audit = [{"step": 0, "action": "CLEAN_COLUMN_NAMES", "rows_affected": 0, "confidence": 95, "source": "deterministic"}]
-    return df.toDF(*names), audit if changed else []
+    return df.toDF(*names), audit if names != df.columns else []
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:
@@ -123,33 +127,29 @@ def drop_empty_reference_columns(df: DataFrame) -> tuple[DataFrame, list[dict]]:
 MERGE_SCHEMA = "column_name string, old_value string, new_value string, n long, confidence double, type string"
 
 
-def category_counts(df: DataFrame, limit: int = CASE_VALUES) -> DataFrame:
-    """Value counts of the text columns that have 2 to ``limit`` distinct values.
-
-    Columns are picked by a distinct count first, so wide columns never send their values.
-    """
-    from tablewright.operators.profile import text_distincts
+def _keyed(df: DataFrame) -> DataFrame:
+    """(column_name, value, key, form) of the text values present; key and form are short stand-ins."""
+    v = F.col("value")
+    return long_text(df).filter(v.isNotNull()).select("column_name", "value", value_key(v).alias("key"), value_key(norm(v)).alias("form"))
 
-    keep = [r.column_name for r in text_distincts(df).filter(F.col("distinct").between(2, limit)).collect()]
-    keep = [c for c in text_columns(df) if c in keep]
-    if not keep:
-        return df.sparkSession.createDataFrame([], "column_name string, value string, n long")
-    return (long_text(df, keep).filter(F.col("value").isNotNull())
-            .groupBy("column_name", "value").agg(F.count("*").alias("n")))
 
+def case_families(df: DataFrame) -> DataFrame:
+    """(column_name, value, form, n) of the values that are spelled in more than one way.
 
-def _case_variants(counts: DataFrame) -> DataFrame:
-    family = Window.partitionBy("column_name", "form")
-    ranked = counts.withColumn("form", norm(F.col("value"))).withColumn(
-        "new_value", F.first("value").over(family.orderBy(F.desc("n"), "value")))
-    return ranked.filter("value <> new_value").select(
-        "column_name", F.col("value").alias("old_value"), "new_value", "n", F.lit(0.95).alias("confidence"),
-        F.lit("case_variant").alias("type"))
+    Spellings are counted by key, so long texts stay where they are; only the texts of families with several spellings are read again.
+    """
+    keyed = _keyed(df)
+    several = (keyed.groupBy("column_name", "form", "key").agg(F.count("*").alias("n")).groupBy("column_name", "form").agg(F.count("*").alias("spellings"))
+               .filter("spellings > 1").select("column_name", "form"))
+    return keyed.join(several, ["column_name", "form"], "left_semi").groupBy("column_name", "form", "value").agg(F.count("*").alias("n"))
 
 
 def case_variant_merges(df: DataFrame) -> DataFrame:
-    """Spellings that differ only in case or edge space, with the most frequent as canonical."""
-    return _case_variants(category_counts(df))
+    """Spellings that differ only in case or edge space, with the most frequent as canonical. Columns of any width are looked at."""
+    family = Window.partitionBy("column_name", "form")
+    ranked = case_families(df).withColumn("new_value", F.first("value").over(family.orderBy(F.desc("n"), "value")))
+    return ranked.filter("value <> new_value").select(
+        "column_name", F.col("value").alias("old_value"), "new_value", "n", F.lit(0.95).alias("confidence"), F.lit("case_variant").alias("type"))
 
 
 def plain_form(x: Column) -> Column:
@@ -160,27 +160,40 @@ def plain_form(x: Column) -> Column:
     return strip(F.regexp_replace(bare, f"({suffixes})$", ""))
 
 
-def fuzzy_merges(df: DataFrame) -> DataFrame:
-    """Likely typos and word-order variants among the values that case merging leaves.
+def block_keys(form: Column) -> Column:
+    """Keys that likely variants share: the text with one character left out, and minima of hashed character pairs.
 
-    Only columns with at most 80 such values are compared, so a column has at most 3,160 pairs;
-    the widest columns were dropped by count before any value was paired. Of a pair the more
-    frequent value wins; a variant goes to its closest winner, and no winner is itself a variant.
+    One left-out character on either side covers every single edit. Of two longer texts whose pairs agree to a share s, one of
+    the ``BANDS`` bands of three minima agrees with chance 1 - (1 - s ** 3) ** BANDS: over 0.99 for s of 0.55.
     """
-    counts = category_counts(df)
-    left = counts.join(_case_variants(counts).select("column_name", F.col("old_value").alias("value")),
-                       ["column_name", "value"], "left_anti")
-    few = left.groupBy("column_name").agg(F.count("*").alias("values")).filter(F.col("values").between(2, FUZZY_VALUES))
+    dropped = F.transform(F.sequence(F.lit(0), F.length(form)), lambda i: F.concat(F.substring(form, F.lit(1), i), form.substr(i + F.lit(2), F.length(form))))
+    pairs = F.transform(F.sequence(F.lit(0), F.length(form)), lambda i: F.concat(F.lit(" "), form, F.lit(" ")).substr(i + F.lit(1), F.lit(2)))
+    bands = [F.xxhash64(F.lit(b), *[F.array_min(F.transform(pairs, lambda p, seed=3 * b + j: F.xxhash64(F.lit(seed), p))) for j in range(3)]) for b in range(BANDS)]
+    return F.concat(F.transform(dropped, lambda d: F.xxhash64(d)), F.array(*bands))
+
+
+def fuzzy_merges(df: DataFrame, longest: int = LONGEST_NAME) -> DataFrame:
+    """Likely typos and word-order variants among the values that case merging leaves, whatever their number.
+
+    Values meet by block key, so unlike ones are never paired. Values whose digits differ are different things. Of a pair the more
+    frequent value wins; a variant goes to its closest winner, and no winner is itself a variant. Values over ``longest`` characters
+    are prose, not names, and are left alone.
+    """
+    counts = _keyed(df).filter(F.length("value") <= longest).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    left = counts.join(case_variant_merges(df).select("column_name", F.col("old_value").alias("value")), ["column_name", "value"], "left_anti")
     form = plain_form(F.col("value"))
-    values = left.join(F.broadcast(few.select("column_name")), "column_name", "left_semi").select(
+    values = left.select(
         "column_name", "value", "n", norm(F.col("value")).alias("low"), form.alias("form"),
-        F.array_join(F.array_sort(F.split(form, r"\s+")), " ").alias("sorted"))
-    a, b = values.alias("a"), values.alias("b")
+        F.array_join(F.array_sort(F.split(form, r"\s+")), " ").alias("sorted"), F.regexp_replace("value", "[^0-9]", "").alias("digits"))
+    keyed = values.select("column_name", "value", "n", "low", "digits", F.explode(F.array_distinct(F.concat(block_keys(F.col("form")), block_keys(F.col("sorted"))))).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
     wins = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.value") < F.col("b.value")))
-    pairs = a.join(b, (F.col("a.column_name") == F.col("b.column_name")) & wins & (F.col("a.low") != F.col("b.low"))).select(
-        F.col("a.column_name").alias("column_name"), F.col("a.value").alias("new_value"), F.col("a.n").alias("winner_n"),
-        F.col("b.value").alias("old_value"), F.col("b.n").alias("n"), F.col("a.form").alias("a"), F.col("b.form").alias("b"),
-        F.col("a.sorted").alias("sa"), F.col("b.sorted").alias("sb"))
+    same = (F.col("a.column_name") == F.col("b.column_name")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.digits") == F.col("b.digits"))
+    met = a.join(b, same & wins & (F.col("a.low") != F.col("b.low"))).select("a.column_name", F.col("a.value").alias("new_value"), F.col("b.value").alias("old_value")).distinct()
+    side = values.select("column_name", "value", "n", "form", "sorted")
+    pairs = (met.join(side.select("column_name", F.col("value").alias("new_value"), F.col("n").alias("winner_n"), F.col("form").alias("a"), F.col("sorted").alias("sa")), ["column_name", "new_value"])
+             .join(side.select("column_name", F.col("value").alias("old_value"), "n", F.col("form").alias("b"), F.col("sorted").alias("sb")), ["column_name", "old_value"])
+             .select("column_name", "new_value", "winner_n", "old_value", "n", "a", "b", "sa", "sb"))
 
     def score(batches):
         from difflib import SequenceMatcher
@@ -212,24 +225,29 @@ def category_merges(df: DataFrame, fuzzy: bool = True) -> DataFrame:
 def apply_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:
     """Exact-value replacement from (column_name, old_value, new_value) rows.
 
-    A mapping of counted, bounded size is broadcast; a larger one is joined by value. The
-    broadcast path keeps a hot value from gathering in one task.
+    Each column is joined by value; Spark broadcasts a mapping that it measures to be small and splits hot values of others. Of several new values
+    for one old value the smallest is used; ``correction_conflicts`` lists them.
     """
     out = df
-    sizes = {r.column_name: r.n for r in corrections.groupBy("column_name").agg(F.count("*").alias("n")).collect()}
+    named = {r.column_name for r in corrections.select("column_name").distinct().collect()}  # one row per column
     for c in df.columns:
-        if c not in sizes:
+        if c not in named:
             continue
         kind = df.schema[c].dataType.simpleString()
         mapping = corrections.filter(F.col("column_name") == c).groupBy(F.col("old_value").alias("__old")).agg(
             F.min("new_value").alias("__new"))
-        side = F.broadcast(mapping) if sizes[c] <= MAP_ROWS else mapping
-        joined = out.join(side, col(c).cast("string") == F.col("__old"), "left")
+        joined = out.join(mapping, col(c).cast("string") == F.col("__old"), "left")
         new = F.col("__new") if kind == "string" else F.col("__new").try_cast(kind)
         out = joined.select(*[(F.coalesce(new, col(x)).alias(x) if x == c else col(x)) for x in df.columns])
     return out
 
 
+def correction_conflicts(corrections: DataFrame) -> DataFrame:
+    """Old values that were given more than one new value, with all of them."""
+    return (corrections.groupBy("column_name", "old_value").agg(F.array_sort(F.collect_set("new_value")).alias("new_values"))
+            .filter(F.size("new_values") > 1))
+
+
 def correction_counts(df: DataFrame, corrections: DataFrame) -> DataFrame:
     """Rows each correction touches."""
     wanted = [r.column_name for r in corrections.select("column_name").distinct().collect()]
@@ -240,17 +258,14 @@ def correction_counts(df: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def merge_categories(df: DataFrame, threshold: float = 0.90, fuzzy: bool = True) -> tuple[DataFrame, list[dict]]:
-    """Apply the merges that are sure enough; at most 100 values per column are involved."""
+    """Apply the merges that are sure enough. One row per merge comes back; a column of many merges is joined, not compiled in."""
     merges = [r for r in category_merges(df, fuzzy).collect() if r.confidence >= threshold]
     audit = [{"step": i, "action": "MERGE_CATEGORY", "column_name": r.column_name, "rows_affected": r.n,
               "confidence": int(round(r.confidence * 100)), "source": "deterministic"} for i, r in enumerate(merges)]
-    by_column: dict[str, dict] = {}
-    for r in merges:
-        by_column.setdefault(r.column_name, {})[r.old_value] = r.new_value
-    out = df.select(*[
-        F.coalesce(F.create_map(*[F.lit(x) for kv in by_column[c].items() for x in kv])[col(c)], col(c)).alias(c)
-        if c in by_column else col(c) for c in df.columns])
-    return out, audit
+    if not merges:
+        return df, []
+    sure = df.sparkSession.createDataFrame([(r.column_name, r.old_value, r.new_value) for r in merges], "column_name string, old_value string, new_value string")
+    return apply_corrections(df, sure), audit
 
 
 def value_frequency_sample(df: DataFrame, head: int = 15, tail: int = 15) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.quantiles import exact_quantiles
-from tablewright.functions.segments import segment_of, segment_starts, sortable
+from tablewright.functions.segments import segmented
 from tablewright.functions.text import col, strip, title_case
 from tablewright.operators import profile as P
 from tablewright.operators.profile import TableProfile, cardinality_class
@@ -77,6 +77,7 @@ def filled(df: DataFrame, name: str, value: object) -> Column:
 
 def measure_fills(df: DataFrame, choices: dict[str, str]) -> list[Fill]:
     """Fill values for the chosen strategies, one pass per kind of statistic."""
+    df = P.with_nulls(df)
     missing = {r.column_name: r.missing for r in P.missing_counts(df.select(*[col(c) for c in choices])).collect()}
     by = {s: [c for c, k in choices.items() if k == s and missing[c]] for s in STRATEGIES}
     value: dict[str, object] = {}
@@ -93,7 +94,8 @@ def measure_fills(df: DataFrame, choices: dict[str, str]) -> list[Fill]:
 
 
 def apply_fills(df: DataFrame, fills: list[Fill]) -> tuple[DataFrame, list[dict]]:
-    """One projection for all fills, with indicator columns added at the end."""
+    """One projection for all fills, with indicator columns added at the end. NaN counts as missing."""
+    df = P.with_nulls(df)
     use = {f.column: f for f in fills if f.strategy != "skip" and f.value is not None}
     out = [filled(df, c, use[c].value).alias(c) if c in use else col(c) for c in df.columns]
     taken = set(df.columns)
@@ -175,32 +177,31 @@ def forward_fill(df: DataFrame, order_by: str, tie_break: str, keys: list[str],
                  most_missing: float = 0.15, segments: int | None = None) -> DataFrame:
     """Carry the last value forward within each key, in (order_by, tie_break) order.
 
-    Time is cut into segments of equal row count. Values are carried inside a (key, segment)
-    group by a window, and across segments by a window over one row per group, so a key with a
-    third of all rows is spread over all segments.
+    The order is cut into segments, ties by ``tie_break``. Values are carried inside a (key, segment)
+    group by a window, and across segments by a window over one row per group, so a key, or a moment, with a
+    third of all rows is spread over many segments.
     """
     columns = P.numeric_columns(df) if columns is None else columns
     counts = {r.column_name: r for r in P.missing_counts(df.select(*[col(c) for c in columns])).collect()}
     todo = [c for c in columns if c not in (order_by, tie_break) and 0 < counts[c].missing <= counts[c].rows * most_missing]
     if not todo:
         return df
-    starts = segment_starts(df, order_by, segments)
-    marked = df.withColumn("__segment", segment_of(sortable(df, order_by), starts))
+    marked = segmented(df, [order_by, tie_break], segments)
     group = [col(k) for k in keys] + [F.col("__segment")]
     within = Window.partitionBy(*group).orderBy(col(order_by), col(tie_break)).rowsBetween(Window.unboundedPreceding, 0)
-    for i, c in enumerate(todo):
-        marked = marked.withColumn(f"__inside{i}", F.last(col(c), ignorenulls=True).over(within))
-    if starts:
-        at = F.struct(col(order_by), col(tie_break))
-        ends = df.withColumn("__segment", segment_of(sortable(df, order_by), starts)).groupBy(*group).agg(
-            *[F.max_by(col(c), F.when(col(c).isNotNull(), at)).alias(f"__end{i}") for i, c in enumerate(todo)])
-        before = Window.partitionBy(*[col(k) for k in keys]).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*group, *[F.last(f"__end{i}", ignorenulls=True).over(before).alias(f"__carry{i}") for i in range(len(todo))])
-        match = [marked[k].eqNullSafe(carried[k]) for k in keys] + [marked["__segment"] == carried["__segment"]]
-        joined = marked.join(carried.select(*[carried[k] for k in keys], "__segment", *[f"__carry{i}" for i in range(len(todo))]), match, "left")
-        values = {c: F.coalesce(f"__inside{i}", f"__carry{i}") for i, c in enumerate(todo)}
-        return joined.select(*[values[c].alias(c) if c in values else marked[c] for c in df.columns])
-    return marked.select(*[F.col(f"__inside{todo.index(c)}").alias(c) if c in todo else col(c) for c in df.columns])
+    at = F.struct(col(order_by), col(tie_break))
+    ends = marked.groupBy(*group).agg(*[F.max_by(col(c), F.when(col(c).isNotNull(), at)).alias(f"__end{i}") for i, c in enumerate(todo)])
+    before = Window.partitionBy(*([col(k) for k in keys] or [F.lit(0)])).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *[col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__segment").alias("__after"),
+        *[F.last(f"__end{i}", ignorenulls=True).over(before).alias(f"__carry{i}") for i in range(len(todo))])
+    inside = marked.withColumns({f"__inside{i}": F.last(col(c), ignorenulls=True).over(within) for i, c in enumerate(todo)})
+    match = F.col("__segment") == F.col("__after")
+    for i, k in enumerate(keys):
+        match = match & col(k).eqNullSafe(F.col(f"__key{i}"))
+    joined = inside.join(carried, match, "left")
+    values = {c: F.coalesce(f"__inside{i}", f"__carry{i}") for i, c in enumerate(todo)}
+    return joined.select(*[values[c].alias(c) if c in values else col(c) for c in df.columns])
 
 
 def monotonic_check(df: DataFrame, value: str, order_by: str, segments: int | None = None) -> DataFrame:
@@ -208,9 +209,7 @@ def monotonic_check(df: DataFrame, value: str, order_by: str, segments: int | No
 
     Neighbours are compared inside segments of the order, then the ends of adjacent segments.
     """
-    starts = segment_starts(df, order_by, segments)
-    rows = df.filter(col(value).isNotNull()).select(
-        col(value).alias("v"), col(order_by).alias("at"), segment_of(sortable(df, order_by), starts).alias("segment"))
+    rows = segmented(df.filter(col(value).isNotNull()).select(col(value).alias("v"), col(order_by).alias("at")), ["at"], segments).withColumnRenamed("__segment", "segment")
     step = Window.partitionBy("segment").orderBy("at")
     inside = (
         rows.withColumn("previous", F.lag("v").over(step)).groupBy("segment")

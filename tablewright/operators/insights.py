@@ -59,14 +59,16 @@ def extreme_values(df: DataFrame) -> DataFrame:
         F.round("median", 2).alias("median_value"))
 
 
-def default_measure(df: DataFrame) -> str:
+def default_measure(df: DataFrame) -> str | None:
     numbers = P.numeric_columns(df)
-    return next((c for c in numbers if name_has(c, K.MEASURE_NAMES)), numbers[-1])
+    return next((c for c in numbers if name_has(c, K.MEASURE_NAMES)), numbers[-1] if numbers else None)
 
 
 def _n_by_group(df: DataFrame, category: str | None, measure: str | None, n: int, ascending: bool) -> DataFrame:
-    category = category or P.text_columns(df)[0]
+    category = category or next(iter(P.text_columns(df)), None)
     measure = measure or default_measure(df)
+    if category is None or measure is None:  # nothing to group or to sum
+        return df.sparkSession.createDataFrame([], "category string, total double")
     total = F.round(F.sum(P.as_double(df, measure)), 2)
     grouped = df.filter(col(category).isNotNull()).groupBy(col(category).alias("category")).agg(total.alias("total"))
     return grouped.orderBy(F.asc("total") if ascending else F.desc("total"), "category").limit(n)
@@ -148,9 +150,9 @@ def _facts(p: P.TableProfile) -> list[dict]:
 
 
 def dataset_summary(p: P.TableProfile) -> DataFrame:
-    """Size, gaps, copies and the first five numeric columns, as (section, item, value)."""
+    """Size, gaps, copies and the numeric columns, as (section, item, value)."""
     rows = _facts(p)
-    for m in [m for m in p.metrics if m["kind"] == "numeric"][:5]:
+    for m in [m for m in p.metrics if m["kind"] == "numeric"]:
         rows += [{"section": m["column_name"], "item": k, "value": m[k]} for k in ("mean", "median", "min", "max")]
     return P.rows_frame(p.spark, rows, "section string, item string, value double").select("section", "item", F.round("value", 2).alias("value"))
 
@@ -160,9 +162,9 @@ def report_facts(p: P.TableProfile, as_of: str) -> DataFrame:
     rows = [{"section": "size", "item": "rows", "value": p.rows}, {"section": "size", "item": "cols", "value": p.cols},
             {"section": "effort", "item": "analyst_hours_saved", "value": max(5, p.rows // 500)}]
     money = [m for m in p.metrics if m["kind"] == "numeric" and m["present"] and name_has(m["column_name"], K.REPORT_MONEY_NAMES)]
-    for m in money[:3]:
+    for m in money:
         rows += [{"section": "money", "item": f"{m['column_name']} {k}", "value": m[k]} for k in ("total", "mean", "median")]
-    for m in [m for m in p.metrics if m["kind"] == "text"][:3]:
+    for m in [m for m in p.metrics if m["kind"] == "text"]:
         if 0 < m["distinct"] <= 20:
             rows.append({"section": "category", "item": m["column_name"], "value": m["distinct"]})
             rows += [{"section": "category", "item": f"{m['column_name']} = {t['value']}", "value": t["n"]}
@@ -177,7 +179,9 @@ def report_facts(p: P.TableProfile, as_of: str) -> DataFrame:
 
 def histograms(df: DataFrame, columns: list[str] | None = None, bins: int = 30) -> DataFrame:
     """Equal-width histograms; the last bin includes the maximum. Empty bins are left out."""
-    columns = (columns or P.numeric_columns(df))[:6]
+    columns = P.numeric_columns(df) if columns is None else columns
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, bin int, n long")
     long = P.long_numbers(df, columns).filter(F.col("value").isNotNull())
     ends = {r.column_name: (r.a, r.b) for r in long.groupBy("column_name").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()}
     spread = {c: (a - 0.5, b + 0.5) if a == b else (a, b) for c, (a, b) in ends.items()}

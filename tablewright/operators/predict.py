@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.dates import parse_date
 from tablewright.functions.quantiles import exact_quantiles
-from tablewright.functions.segments import segment_of, segment_starts
+from tablewright.functions.segments import haloed
 from tablewright.functions.text import col
 from tablewright.operators import impute
 from tablewright.operators import profile as P
 
 DAY_MICROS = 86_400_000_000
-SMALL_SIDE = 1_000_000  # rows of a per-key summary that may be broadcast
+LABELLED = 200_000  # rows, about, that a forest learns from: those with the smallest hash of their id
+FOREST = {"numTrees": 50, "maxDepth": 12, "maxBins": 64, "seed": 42}
+LEAST_ANOMALY_ROWS = 20
 
 # --------------------------------------------------------------------------- missing values
 
@@ -46,13 +48,20 @@ def _features(df: DataFrame, target: str, id: str) -> tuple[DataFrame, list[str]
 
 
 def _forest(df: DataFrame, target: str, id: str, numeric: bool):
-    """Fitted model, labelled rows and unlabelled rows; None when there is too little to learn from."""
+    """Fitted model, labelled rows and unlabelled rows; None when there is too little to learn from.
+
+    Forests have the depth and bins of ``FOREST``; numbers are learned over all features at each split, classes over a random share.
+    """
     table, columns = _features(df, target, id)
     known = table.filter(col(target).isNotNull())
-    if not columns or known.limit(10).count() < 10:
+    labelled = known.count() if columns else 0
+    if labelled < 10:
         return None
-    settings = dict(featuresCol="features", numTrees=50, seed=42)
+    share = min(1.0, LABELLED / labelled)
+    known = known.filter(F.pmod(F.xxhash64(col(id)), F.lit(1_000_000)) < F.lit(int(1_000_000 * share)))
+    settings = dict(featuresCol="features", **FOREST)
     if numeric:
+        settings["featureSubsetStrategy"] = "all"
         known = known.withColumn("label", col(target).cast("double"))
         model = RandomForestRegressor(labelCol="label", **settings).fit(known)
         return model, known, table.filter(col(target).isNull()), columns, None
@@ -80,14 +89,18 @@ def predict_missing(df: DataFrame, target: str, id: str) -> DataFrame:
 def prediction_summary(df: DataFrame, target: str, id: str) -> DataFrame:
     """(item, value): training score, top importances, and the spread or counts of predictions."""
     numeric = target in P.numeric_columns(df)
-    model, known, unknown, columns, labels = _forest(df, target, id, numeric)
+    found = _forest(df, target, id, numeric)
+    missing = df.filter(col(target).isNull()).count()
+    if found is None:  # the fallback answers, as in predict_missing
+        return P.rows_frame(df.sparkSession, [{"item": "method statistical_fallback", "value": 1.0}, {"item": "missing_count", "value": missing}], "item string, value double")
+    model, known, unknown, columns, labels = found
     fitted = model.transform(known)
     if numeric:
         score = RegressionEvaluator(labelCol="label", metricName="r2").evaluate(fitted)
     else:
         score = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy").evaluate(fitted)
     weights = sorted(zip(columns, model.featureImportances.toArray()), key=lambda x: -x[1])[:5]
-    rows = [{"item": "train_score", "value": round(score, 3)}] + [{"item": f"importance {c}", "value": round(float(w), 3)} for c, w in weights]
+    rows = [{"item": "method random_forest", "value": 1.0}, {"item": "train_score", "value": round(score, 3)}] + ([] if numeric else [{"item": "missing_count", "value": missing}]) + [{"item": f"importance {c}", "value": round(float(w), 3)} for c, w in weights]
     facts = P.rows_frame(df.sparkSession, rows, "item string, value double")
     predicted = model.transform(unknown)
     if numeric:
@@ -97,7 +110,7 @@ def prediction_summary(df: DataFrame, target: str, id: str) -> DataFrame:
                                F.round(F.max(p), 2).alias("max_predicted"))
         return facts.unionByName(spread.unpivot([], spread.columns, "item", "value"))
     names = IndexToString(inputCol="prediction", outputCol="name", labels=labels).transform(predicted)
-    counts = names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(10)
+    counts = names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name")
     return facts.unionByName(counts.select(F.concat(F.lit("predicted "), "name").alias("item"), F.col("n").cast("double").alias("value")))
 
 
@@ -124,8 +137,7 @@ def _series(df: DataFrame, ts: str, value: str, keys: list[str]) -> DataFrame:
         start = points.agg(F.min("ts").alias("start")).first().start
         return points.withColumn("x", _days(F.col("ts"), F.lit(start).cast("timestamp")))
     starts = points.groupBy(*[col(k) for k in keys]).agg(F.min("ts").alias("start"))
-    small = starts.limit(SMALL_SIDE + 1).count() <= SMALL_SIDE  # otherwise joined by key, skew split by AQE
-    joined = points.join(F.broadcast(starts) if small else starts, keys)
+    joined = points.join(starts, keys)  # Spark broadcasts what it measures to be small and splits hot keys
     return joined.withColumn("x", _days(F.col("ts"), F.col("start")))
 
 
@@ -194,14 +206,24 @@ def series_summary(df: DataFrame, ts: str, value: str, tie_break: str, keys: lis
 # --------------------------------------------------------------------------- anomalies
 
 
-def iqr_anomalies(df: DataFrame, value: str, id: str, limit: int = 30) -> DataFrame:
-    """The first values outside the fences, in id order."""
+def iqr_summary(df: DataFrame, value: str) -> DataFrame:
+    """(item, value): rows, mean, deviation and fences of a column, and how many values lie outside."""
+    s = P.measure_numbers(df, [value])[value]
+    enough = s["count"] >= LEAST_ANOMALY_ROWS
+    facts = {"count": s["count"], "anomalies": s["outliers"] if enough else 0, "anomaly_pct": round(s["outliers"] * 100.0 / s["count"], 2) if enough else 0.0,
+             **({k: round(s[k], 2) for k in ("mean", "std", "lower", "upper")} if enough else {})}
+    return P.rows_frame(df.sparkSession, [{"item": k, "value": v} for k, v in facts.items()], "item string, value double")
+
+
+def iqr_anomalies(df: DataFrame, value: str, id: str, limit: int | None = None) -> DataFrame:
+    """The values outside the fences; with a limit, the first ones in id order."""
     s = P.measure_numbers(df, [value])[value]
     v = P.as_double(df, value)
-    if s["count"] < 20:
+    if s["count"] < LEAST_ANOMALY_ROWS:
         return df.filter(F.lit(False)).select(col(id), F.lit(0.0).alias("value"))
     outside = (v < s["lower"]) | (v > s["upper"])
-    return df.filter(outside).select(col(id), F.round(v, 2).alias("value")).orderBy(col(id)).limit(limit)
+    found = df.filter(outside).select(col(id), F.round(v, 2).alias("value"))
+    return found if limit is None else found.orderBy(col(id)).limit(limit)
 
 
 TREES, SAMPLE = 100, 256
@@ -229,11 +251,12 @@ def forest_steps(df: DataFrame, value: str, id: str, seed: int = 42) -> tuple[li
         df.select(P.as_double(df, value).alias("v"), F.xxhash64(col(id), F.lit(seed)).alias("h"))
         .filter("v IS NOT NULL").orderBy("h", "v").limit(TREES * SAMPLE))
     sampled = pool.collect()  # 25,600 numbers at most
+    if len(sampled) < LEAST_ANOMALY_ROWS:
+        return [], [], len(sampled)
     size = min(SAMPLE, len(sampled))
     values = [r.v for r in sampled]
     spark = df.sparkSession
     trees = spark.range(TREES).repartition(min(TREES, spark.sparkContext.defaultParallelism), "id")
-    disjoint = len(values) >= TREES * SAMPLE
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     mean_path = {n: _mean_path(n) for n in range(size + 1)}
@@ -243,7 +266,7 @@ def forest_steps(df: DataFrame, value: str, id: str, seed: int = 42) -> tuple[li
             out = []
             for t in pdf["id"]:
                 rng = np.random.default_rng(seed + int(t))
-                pick = np.array(values[t * size:(t + 1) * size]) if disjoint else rng.choice(values, size, replace=False)
+                pick = rng.choice(values, size, replace=False)
                 stack = [(np.sort(pick), -np.inf, 0)]
                 while stack:
                     part, left, depth = stack.pop()
@@ -274,6 +297,9 @@ def isolation_scores(df: DataFrame, value: str, id: str, contamination: float =
     score, found from row counts per piece of the step function.
     """
     cuts, paths, size = forest_steps(df, value, id)
+    if not paths:  # too few values to call any of them odd
+        none = df.filter(P.as_double(df, value).isNotNull())
+        return none.select(col(id), P.as_double(df, value).alias("value"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("anomaly"))
     scale = _mean_path(size) or 1.0
     scores = [2.0 ** (-p / scale) for p in paths]
 
@@ -310,23 +336,11 @@ def neighbour_distances(df: DataFrame, value: str, k: int = 10, segments: int |
     """(value, n, distance): mean distance from each distinct value to its k nearest rows.
 
     Copies are folded into counts first, so a value that fills a third of the table is one row.
-    Distinct values are cut into even segments; each segment also gets the k values on either
-    side of it, found from the k ends of every segment, so neighbours are exact at the edges.
+    Distinct values are cut into segments; each segment also gets the k values on either
+    side of it, so neighbours are exact at the edges.
     """
     distinct = df.select(P.as_double(df, value).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    starts = segment_starts(distinct, "v", segments)
-    placed = distinct.withColumn("segment", segment_of(F.col("v"), starts))
-    low, high = Window.partitionBy("segment").orderBy("v"), Window.partitionBy("segment").orderBy(F.desc("v"))
-    first = placed.withColumn("rank", F.row_number().over(low)).filter(F.col("rank") <= k).drop("rank")
-    last = placed.withColumn("rank", F.row_number().over(high)).filter(F.col("rank") <= k).drop("rank")
-    ends = sorted({(r.segment, r.v, r.n) for r in first.unionByName(last).collect()})  # at most 2k rows per segment
-    halo = []
-    for s in range(len(starts) + 1):
-        halo += [(v, n, s) for _, v, n in [e for e in ends if e[0] < s][-k:]] + [(v, n, s) for _, v, n in [e for e in ends if e[0] > s][:k]]
-    own = placed.withColumn("own", F.lit(True))
-    if halo:
-        extra = df.sparkSession.createDataFrame(halo, "v double, n long, segment int").withColumn("own", F.lit(False))
-        own = own.unionByName(extra)
+    own = haloed(distinct, [], "v", "v", k, segments).withColumnsRenamed({"__segment": "segment", "__own": "own"})
     order = Window.partitionBy("segment").orderBy("v")
     near = []
     for i in range(1, k + 1):

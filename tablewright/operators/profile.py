@@ -12,6 +12,8 @@ import itertools
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,20 @@ def doubles(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*[as_double(df, c).alias(c) for c in (numeric_columns(df) if columns is None else columns)])
 
 
+def with_nulls(df: DataFrame) -> DataFrame:
+    """``df`` with NaN as NULL in float and double columns."""
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not floating:
+        return df
+    return df.select(*[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floating else col(c) for c in df.columns])
+
+
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all values of a row and where NULLs stand: a key of 16 bytes for rows of any width."""
+    cells = [x for c in df.columns for x in (col(c).isNull(), col(c))]
+    return [F.xxhash64(F.lit(seed), *cells).alias(f"__row{seed}") for seed in (1, 2)]
+
+
 def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Long form (column_name, value) of same-typed columns.
 
@@ -118,15 +134,16 @@ def share(part: Column, whole: Column, digits: int = 2) -> Column:
 
 def overview(df: DataFrame) -> DataFrame:
     """Rows, columns, kinds, missing cells and duplicate rows, in one grouped pass."""
+    df = with_nulls(df)
     kinds = [kind_of(f.dataType) for f in df.schema.fields]
     missing = sum((col(c).isNull().cast("int") for c in df.columns), F.lit(0))
     width = len(df.columns)
     return (
-        df.groupBy(*[col(c) for c in df.columns])
-        .agg(F.count("*").alias("copies"))
+        df.select(*row_digest(df), missing.alias("missing")).groupBy("__row1", "__row2")
+        .agg(F.count("*").alias("copies"), F.sum("missing").alias("missing"))
         .agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
-            F.coalesce(F.sum(F.col("copies") * missing), F.lit(0)).alias("total_missing"),
+            F.coalesce(F.sum("missing"), F.lit(0)).alias("total_missing"),
             F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("total_duplicates"),
         )
         .select(
@@ -153,7 +170,7 @@ def _per_column(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
-    counted = _per_column(df, df.columns, {"present": lambda c: F.count(col(c))})
+    counted = _per_column(with_nulls(df), df.columns, {"present": lambda c: F.count(col(c))})
     return counted.select("column_name", "rows", (F.col("rows") - F.col("present")).alias("missing"))
 
 
@@ -442,9 +459,10 @@ def mixed_type_flags(df: DataFrame) -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each identical group. Copies combine before the shuffle."""
+    """Rows beyond the first of each identical group. Rows meet by digest, and copies combine before the shuffle."""
+    df = with_nulls(df)
     return (
-        df.groupBy(*[col(c) for c in df.columns])
+        df.select(*row_digest(df)).groupBy("__row1", "__row2")
         .agg(F.count("*").alias("copies"))
         .agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
              F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("exact_duplicates"))
@@ -459,9 +477,6 @@ def duplicate_summary(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- correlation
 
-FLAT_SUMS = 90
-
-
 def spreads(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Mean, population deviation and missing count per numeric column."""
     v = F.col("value")
@@ -474,10 +489,9 @@ def spreads(df: DataFrame, columns: list[str]) -> dict[str, dict]:
 def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[str, dict] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns over rows where both are present.
 
-    Means are subtracted first, which keeps sums of products accurate. A pair without missing
-    values then needs one sum, a pair with missing values six. Few sums go into one flat
-    aggregate; many pairs are unpivoted and grouped by pair, so the plan stays small however
-    wide the table is. ``known`` passes column spreads measured before.
+    Means are subtracted first, which keeps sums of products accurate. Each task multiplies its batches into square blocks of counts, sums and products, whose
+    size depends on the number of columns alone, and gives them once; summing the blocks of all tasks is one small shuffle. The plan is the same for
+    any width. ``known`` passes column spreads measured before.
     """
     columns = numeric_columns(df) if columns is None else columns
     schema = "col1 string, col2 string, r double"
@@ -485,52 +499,32 @@ def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[st
         return df.sparkSession.createDataFrame([], schema)
     known = known or spreads(df, columns)
     usable = [c for c in columns if known.get(c, {}).get("count")]
-    full = {c for c in usable if not known[c]["missing"]}
-    centred = df.select(*[(as_double(df, c) - F.lit(float(known[c]["mean"]))).alias(c) for c in usable])
-    pairs = list(itertools.combinations(usable, 2))
-    simple = [(a, b) for a, b in pairs if a in full and b in full]
-    partial = [(a, b) for a, b in pairs if (a, b) not in set(simple)]
-    if not pairs:
+    if len(usable) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    unknown = F.lit(None).cast("double")
-
-    def sums(x: Column, y: Column) -> dict[str, Column]:
-        xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return {"n": F.count(xx + yy), "sxy": F.sum(xx * yy), "sx": F.sum(xx), "sy": F.sum(yy),
-                "sxx": F.sum(xx * xx), "syy": F.sum(yy * yy)}
-
-    def spread(a: str, b: str) -> list[Column]:
-        """n, variances times n and no offsets, for a pair without missing values."""
-        n = known[a]["count"]
-        return [F.lit(n).alias("n"), F.lit(0.0).alias("sx"), F.lit(0.0).alias("sy"),
-                F.lit(n * known[a]["std_pop"] ** 2).alias("sxx"), F.lit(n * known[b]["std_pop"] ** 2).alias("syy")]
-
-    if len(simple) + 6 * len(partial) <= FLAT_SUMS:
-        wanted, cells = [], []
-        for i, (a, b) in enumerate(pairs):
-            names = [F.lit(a).alias("col1"), F.lit(b).alias("col2")]
-            if a in full and b in full:
-                wanted.append(F.sum(col(a) * col(b)).alias(f"sxy_{i}"))
-                n, sx, sy, sxx, syy = spread(a, b)
-                cells.append(F.struct(*names, n, F.col(f"sxy_{i}").alias("sxy"), sx, sy, sxx, syy))
-            else:
-                parts = sums(col(a), col(b))
-                wanted += [e.alias(f"{k}_{i}") for k, e in parts.items()]
-                cells.append(F.struct(*names, *[F.col(f"{k}_{i}").alias(k) for k in parts]))
-        summed = centred.agg(*wanted).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-    else:
-        cells = [F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), col(a).alias("x"), col(b).alias("y")) for a, b in pairs]
-        summed = (
-            centred.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
-            .groupBy("col1", "col2")
-            .agg(*[e.alias(k) for k, e in sums(F.col("x"), F.col("y")).items()])
-        )
+    centred = df.select(*[(as_double(df, c) - F.lit(float(known[c]["mean"]))).alias(f"c{i}") for i, c in enumerate(usable)])
+    left, right = (np.array(x) for x in zip(*itertools.combinations(range(len(usable)), 2)))
+
+    def blocks(batches):
+        n = sx = sy = sxx = syy = sxy = 0.0
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns])
+            here = (~np.isnan(x)).astype("float64")
+            x = np.nan_to_num(x, nan=0.0)
+            n, sx, sxx, sxy = n + here.T @ here, sx + x.T @ here, sxx + (x * x).T @ here, sxy + x.T @ x
+        if np.ndim(n):
+            sy, syy = sx.T, sxx.T
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left), pa.array(right), *[pa.array(m[left, right]) for m in (n, sx, sy, sxx, syy, sxy)]], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
+    summed = centred.mapInArrow(blocks, "i long, j long, " + ", ".join(f"{s} double" for s in sums)).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
     n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    var_y = F.col("syy") - F.col("sy") * F.col("sy") / n
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    var_x = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    var_y = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     r = F.when((n >= 2) & (var_x > 0) & (var_y > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(var_x * var_y))))
-    return summed.select("col1", "col2", r.otherwise(unknown).alias("r"))
+    names = F.array(*[F.lit(c) for c in usable])
+    return summed.select(names[F.col("i").cast("int")].alias("col1"), names[F.col("j").cast("int")].alias("col2"), r.alias("r"))
 
 
 def correlation_pairs(df: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -590,7 +584,7 @@ class TableProfile:
 
 def measure(df: DataFrame, name: str = "table", top_k: int = 5) -> TableProfile:
     """Profile a table in a fixed number of scans; each collects a few numbers per column."""
-    with held(df) as table:
+    with held(with_nulls(df)) as table:
         return _measure(table, name, top_k)
 
 

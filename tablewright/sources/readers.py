@@ -12,9 +12,13 @@ from tablewright.functions.text import col
 ENVELOPE_KEYS = ["records", "data", "rows", "results", "items"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """CSV with a header. Without a schema, types are inferred, which costs one more scan."""
-    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", False).option("quote", '"').option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Without a schema, types are inferred, which costs one more scan.
+
+    Quoted values may hold line ends, as those that ``write_csv`` makes do; a file is then read by one task. Large single
+    files without such values read in pieces with ``multi_line`` off.
+    """
+    reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
@@ -30,30 +34,42 @@ def read_csv_any_encoding(spark: SparkSession, path: str, schema: str | T.Struct
     return read_csv(spark, path, schema)
 
 
-def sql_text(source: str, table: str | None = None, limit: int | None = None) -> str:
-    """The statement a database is sent: a query as it is, or all of a named table, with a row limit."""
-    query = f"SELECT * FROM {table or source}" if table or " " not in source.strip() else source
-    return f"{query} LIMIT {limit}" if limit and "LIMIT" not in query.upper() else query
+def statement(query: str | None = None, table: str | None = None) -> str:
+    """What a database is asked: a query, or every column of a named table. Exactly one of them is given."""
+    if (query is None) == (table is None):
+        raise ValueError("give a query or a table")
+    return query.strip().rstrip(";") if table is None else f"SELECT * FROM {table}"
 
 
-def read_sql(spark: SparkSession, url: str, source: str, table: str | None = None, limit: int | None = None, properties: dict | None = None,
+def read_sql(spark: SparkSession, url: str, query: str | None = None, table: str | None = None, limit: int | None = None, properties: dict | None = None,
              partition_column: str | None = None, bounds: tuple | None = None, partitions: int = 64) -> DataFrame:
-    """A database query over JDBC. With a partition column and its bounds, the read is split into
-    range queries; the whole statement is sent to the database either way."""
+    """A database query over JDBC. With a partition column and its bounds, the read is split into range queries.
+
+    The row limit is Spark's, over the whole result, so it holds however many queries the read is split into; Spark passes
+    it on to the database where that is safe.
+    """
     reader = spark.read.format("jdbc").option("url", url).options(**(properties or {}))
+    asked = statement(query, table)
     if partition_column and bounds:
-        return (reader.option("dbtable", f"({sql_text(source, table, limit)}) AS source_query").option("partitionColumn", partition_column)
-                .option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions).load())
-    return reader.option("query", sql_text(source, table, limit)).load()
+        found = (reader.option("dbtable", f"({asked}) AS asked").option("partitionColumn", partition_column)
+                 .option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions).load())
+    else:
+        found = reader.option("query", asked).load()
+    return found if limit is None else found.limit(limit)
 
 
-def read_catalog_sql(spark: SparkSession, source: str, table: str | None = None, limit: int | None = None) -> DataFrame:
-    """The same statement over tables and views the session knows."""
-    return spark.sql(sql_text(source, table, limit))
+def read_catalog_sql(spark: SparkSession, query: str | None = None, table: str | None = None, limit: int | None = None) -> DataFrame:
+    """The same over tables and views the session knows."""
+    found = spark.sql(statement(query, table))
+    return found if limit is None else found.limit(limit)
 
 
 def payload_rows(df: DataFrame, payload: str, row_schema: str, keep: list[str] | None = None) -> DataFrame:
-    """Rows of JSON payloads: a top-level list, else the first list under a known key, else the object itself."""
+    """Rows of JSON payloads: a top-level list, else the first list under a known key, else the object itself.
+
+    Payloads that are not JSON give no row here; ``malformed_payloads`` lists them.
+    """
+    df = df.filter(F.try_parse_json(col(payload)).isNotNull())
     text = col(payload)
     listed = F.from_json(text, f"array<struct<{row_schema}>>")
     envelope = F.from_json(text, ", ".join(f"`{k}` array<struct<{row_schema}>>" for k in ENVELOPE_KEYS))
@@ -63,6 +79,12 @@ def payload_rows(df: DataFrame, payload: str, row_schema: str, keep: list[str] |
     return df.select(*[col(c) for c in keep or []], F.explode(rows).alias("row")).select(*[col(c) for c in keep or []], "row.*")
 
 
+def malformed_payloads(df: DataFrame, payload: str, keep: list[str] | None = None) -> DataFrame:
+    """The payloads that start like JSON but are not, whole."""
+    start = F.substring(F.ltrim(col(payload)), 1, 1)
+    return df.filter(start.isin("[", "{") & F.try_parse_json(col(payload)).isNull()).select(*[col(c) for c in keep or []], col(payload))
+
+
 def payload_table(df: DataFrame, payload: str, csv_schema: str, row_schema: str, keep: list[str] | None = None) -> DataFrame:
     """JSON payload rows, and one CSV record per line of payloads that are not JSON (header skipped)."""
     start = F.substring(F.ltrim(col(payload)), 1, 1)
