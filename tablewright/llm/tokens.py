@@ -10,8 +10,8 @@ the codes. Blocks are rows of a table of the shared folder: (file, block, texts,
 block numbers rising with the id. A table survives a lost executor as any job's output does.
 
 *Encoding.* White space other than the space before a word is never inside a piece of the byte-level tokenizer, so a text cut
-before every run of spaces and line ends encodes to the same ids piece by piece; the pieces' ids are kept in a bounded table.
-Texts with other white space, and other tokenizers, are encoded whole.
+before every run of spaces and line ends encodes to the same ids piece by piece. A piece is encoded once and its ids
+kept, by 64-bit hash, in a bounded table of the worker. Texts with other white space, and other tokenizers, are encoded whole.
 
 Defined cases: null and empty texts hold the end id alone. Null ids come first, equal ids in order of their text's digest, each row
 a text of its own. An empty table has no tokens. Extra columns are ignored.
@@ -19,6 +19,7 @@ a text of its own. An empty table has no tokens. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -32,14 +33,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import shuffle_partitions, stored
+from tablewright.llm.words import span_hashes, text_slices
 
 END = 2
 BLOCK = 1 << 18
 STEP = 512
-KEPT = 1 << 18
+KEPT = 1 << 21
+SLICE = 1 << 22
 TABLE = "file int, block int, texts int, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
 
-_PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+#: Bytes that other white space may start with; a text that has one is looked at.
+_ODD = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3])
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -98,7 +102,7 @@ class Codes:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file; pieces seen before come from a table of at most ``KEPT`` entries."""
+    """Ids of texts by a tokenizer file. Pieces are encoded once; their ids stay in a table of at most about ``KEPT`` pieces, sorted by hash."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -108,59 +112,98 @@ class Encoder:
         before = parts.get("pre_tokenizer") or {}
         self.by_piece = (
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not parts.get("normalizer")
-            and not any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") and re.search(r"\s", t["content"]) for t in parts.get("added_tokens", []))
+            and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in parts.get("added_tokens", []))
         )
-        self.kept: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if not self.by_piece:
-            return self.whole(texts)
-        out = []
-        for text in texts:
-            if _OTHER_SPACE.search(text):
-                out.append(self.whole([text])[0])
-                continue
-            pieces = _PIECE.findall(text)
-            new = [p for p in dict.fromkeys(pieces) if p not in self.kept]
-            if new:
-                if len(self.kept) + len(new) > KEPT:
-                    self.kept.clear()
-                    new = list(dict.fromkeys(pieces))
-                self.kept.update(zip(new, self.whole(new)))
-            out.append(b"".join(map(self.kept.__getitem__, pieces)))
-        return out
+        self.forget()
+
+    def pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of every piece of a slice: texts, cut before every run of spaces and line ends if that is safe."""
+        texts = len(starts) - 1
+        first = np.zeros(len(data), dtype=bool)
+        first[starts[:-1]] = True
+        last = starts[1:] - 1
+        if self.by_piece and texts:
+            gap = (data == 32) | (data == 10)
+            cut = np.zeros(len(data), dtype=bool)
+            cut[1:] = gap[1:] & ~gap[:-1]
+            odd = _ODD[data]
+            odd[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+            for t in np.flatnonzero(np.add.reduceat(odd, starts[:-1])):
+                if _OTHER_SPACE.search(data[starts[t] : last[t]].tobytes().decode()):
+                    cut[starts[t] : last[t]] = False
+            first |= cut
+        first[last] = False  # the space that follows a text; so an empty text has no piece
+        begin = np.flatnonzero(first)
+        end = np.append(begin[1:], len(data))
+        return begin, np.minimum(end, last[np.searchsorted(starts, begin, "right") - 1])
+
+    def looked_up(self, text: bytes, hashes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pieces (sorted by hash) stand in the store, and how many they are; pieces it lacks are encoded first."""
+        if len(self.keys) + len(hashes) > KEPT:
+            self.forget()
+        near = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        new = self.keys[near] != hashes if len(self.keys) else np.ones(len(hashes), dtype=bool)
+        if new.any():
+            out = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(begin[new].tolist(), stop[new].tolist())], add_special_tokens=False)
+            ids = [x.ids for x in out]
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            place = np.searchsorted(self.keys, hashes[new])
+            self.keys = np.insert(self.keys, place, hashes[new])
+            self.offset = np.insert(self.offset, place, len(self.store) + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, place, sizes)
+            self.store = np.concatenate([self.store, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
+        at = np.searchsorted(self.keys, hashes)
+        return self.offset[at], self.sizes[at]
+
+    def forget(self) -> None:
+        """Empty the table of pieces."""
+        self.keys, self.offset, self.sizes, self.store = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, each followed by ``end``, and their number per text."""
+        texts = len(starts) - 1
+        begin, stop = self.pieces(data, starts)
+        hashes, at, which = np.unique(span_hashes(data, begin, stop), return_index=True, return_inverse=True)
+        offset, sizes = self.looked_up(data.tobytes(), hashes, begin[at], stop[at])
+        owner = np.searchsorted(starts, begin, "right") - 1
+        size = sizes[which]
+        before = np.cumsum(size) - size
+        place = np.arange(size.sum())
+        counts = np.bincount(owner, size, minlength=texts).astype(np.int64) + 1
+        out = np.full(int(counts.sum()), end, dtype=np.uint32)
+        out[place + np.repeat(owner, size)] = self.store[place + np.repeat(offset[which] - before, size)]
+        return out, counts
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        encoder, last = Encoder(path), np.array([end], dtype="<u4").tobytes()
-        ids, held, size, made = [], [], 0, 0
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encoder = _ENCODERS[path]
+        names, counts, ids, made = [], [], [], 0
         file = TaskContext.get().partitionId()
 
         def block():
-            nonlocal ids, held, size, made
-            names = pa.array(ids, pa.int64())
-            counts = np.array([len(x) // 4 for x in held], dtype="<u4")
+            nonlocal names, counts, ids, made
+            own, count = pa.concat_arrays(names), np.concatenate(counts)
             row = pa.RecordBatch.from_arrays([
-                pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([size], pa.int64()),
-                pa.array([names.fill_null(0).to_numpy().tobytes()], pa.binary()), pa.array([np.packbits(names.is_null().to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
-                pa.array([counts.tobytes()], pa.binary()), pa.array([encode_codes(np.frombuffer(b"".join(held), dtype="<u4"))], pa.binary()),
+                pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([int(count.sum())], pa.int64()),
+                pa.array([own.fill_null(0).to_numpy().tobytes()], pa.binary()), pa.array([np.packbits(own.is_null().to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
+                pa.array([count.astype("<u4").tobytes()], pa.binary()), pa.array([encode_codes(np.concatenate(ids))], pa.binary()),
             ], [f.split()[0] for f in TABLE.split(", ")])
-            ids, held, size, made = [], [], 0, made + 1
+            names, counts, ids, made = [], [], [], made + 1
             return row
 
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            for i in range(batch.num_rows):
-                ids.append(names[i])
-                held.append(encoder([texts[i].as_py() or ""])[0] + last)
-                size += len(held[-1]) // 4
-                if size >= BLOCK:
+            for row, data, starts in text_slices(batch.column(1), SLICE):
+                out, count = encoder(data, starts, end)
+                names.append(batch.column(0).slice(row, len(count)))
+                counts.append(count)
+                ids.append(out)
+                if sum(map(len, ids)) >= BLOCK:
                     yield block()
         if ids:
             yield block()
