@@ -251,13 +251,20 @@ ORACLES["x13_case_variant_merges"] = _VARIANTS
 QUERIES["x14_fuzzy_merges"] = lambda s, d: correct.fuzzy_merges(dirty_orders(s, d, *_MERGE))
 # Spellings that belong together, each with the likeness of its plain forms.
 _ALIKE = [("new york", "new yorkk", 0.94), ("new york", "york new", 1.0), ("new yorkk", "york new", 0.94), ("san francisco", "san fransisco", 0.92), ("acme inc", "the acme", 1.0), ("chicago", "chcago", 0.92)]
-_FUZZY = f"""SELECT 'city' AS column_name, old_value, new_value, n, confidence, 'fuzzy_merge' AS type FROM (
-WITH counts AS (SELECT city AS value, lower({strip('city')}) AS form, count(*) AS n FROM {source('city')} GROUP BY 1, 2),
+
+
+def fuzzy_sql(table):
+    """Similar spellings of a table's city column, as the merges define them."""
+    return f"""SELECT 'city' AS column_name, old_value, new_value, n, confidence, 'fuzzy_merge' AS type FROM (
+WITH counts AS (SELECT city AS value, lower({strip('city')}) AS form, count(*) AS n FROM {table} GROUP BY 1, 2),
 kept AS (SELECT * FROM (SELECT *, first_value(value) OVER (PARTITION BY form ORDER BY n DESC, value) AS best FROM counts) WHERE value = best),
 alike(a, b, r) AS (VALUES {', '.join(f"('{a}', '{b}', {r}::DOUBLE), ('{b}', '{a}', {r}::DOUBLE)" for a, b, r in _ALIKE)}),
 met AS (SELECT o.value AS old_value, w.value AS new_value, o.n, r AS confidence, row_number() OVER (PARTITION BY o.value ORDER BY r DESC, w.n DESC, w.value) AS k
  FROM kept o JOIN alike ON o.form = a JOIN kept w ON w.form = b WHERE w.n > o.n OR (w.n = o.n AND w.value < o.value))
 SELECT * FROM met WHERE k = 1 AND new_value NOT IN (SELECT old_value FROM met WHERE k = 1))"""
+
+
+_FUZZY = fuzzy_sql(source('city'))
 ORACLES["x14_fuzzy_merges"] = _FUZZY
 QUERIES["x15_merge_case_variants"] = lambda s, d: correct.merge_categories(dirty_orders(s, d, *_MERGE), fuzzy=False)[0]
 ORACLES["x15_merge_case_variants"] = f"""WITH m AS ({_VARIANTS}) SELECT order_id, coalesce(a.new_value, city) AS city, coalesce(b.new_value, status) AS status, note FROM {source('city', 'status', 'note')}

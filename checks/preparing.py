@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import cleaning as K
+from checks.cleaning import fuzzy_sql
 from checks.common import AS_OF, DIRTY_ORDERS, dirty_orders, dirty_orders_sql, quoted, table, union_all
 from checks.profiling import fences
 from checks.rules import ALL, RATED, SRC, profile, scored
@@ -93,6 +94,19 @@ QUERIES["i12_forward_fill"] = lambda s, d: I.forward_fill(gappy_events(s, d), "t
 ORACLES["i12_forward_fill"] = f"SELECT event_id, user_id, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM {_EV}"
 
 
+def filled_audit(s, d):
+    """The audit of a sorted fill, and none for a column whose order is not steady."""
+    events = gappy_events(s, d).withColumn("moment", F.col("event_id") * 2)
+    _, audit = I.forward_fill_sorted(events, "moment", "event_id", ["user_id"], columns=["value"], segments=16)
+    _, none = I.forward_fill_sorted(events.withColumn("unsteady", F.col("event_id") % 7), "unsteady", "event_id", ["user_id"], columns=["value"], segments=16)
+    return cleaning.audit_frame(s, audit + none).select("action", "column_name", "rows_affected", "confidence")
+
+
+QUERIES["i12_forward_fill_audit"] = filled_audit
+ORACLES["i12_forward_fill_audit"] = f"""SELECT 'FORWARD_FILL' AS action, 'value' AS column_name, count(*) FILTER (WHERE value IS NULL AND before IS NOT NULL) AS rows_affected, CAST(82 AS INTEGER) AS confidence
+FROM (SELECT value, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before FROM {_EV})"""
+
+
 def monotonic(s, d):
     events, orders = table(s, d, "events"), table(s, d, "orders")
     return (I.monotonic_check(events, "ts", "event_id", 16).withColumn("table_name", F.lit("events"))
@@ -171,10 +185,11 @@ UNION ALL SELECT 'IMPUTE_MEAN', 'price_text', count(*) - count(price_text), 88 F
 UNION ALL SELECT 'SKIP_COLUMN', 'is_urgent', 0, 70"""
 
 
-# X18 over the same view: correction without case merging by similarity.
-QUERIES["x18_auto_correct"] = lambda s, d: pipeline.auto_correct(dirty_orders(s, d, *_AUTO), fuzzy=False).table
+# X18 over the same view, merging by similarity included.
+QUERIES["x18_auto_correct"] = lambda s, d: pipeline.auto_correct(dirty_orders(s, d, *_AUTO)).table
 _X18 = f"""SELECT order_id, {K.base('customer_ref')} AS customer_ref, {K.base('status')} AS status, total_amount, {K.currency(K.base('price_text'))} AS price_text,
 {K.boolean(K.base('is_urgent'))} AS is_urgent, {K.marks(K.base(K.mojibake('note')))} AS note, {K.base('city')} AS city FROM {_ASQL}"""
 _CANON = ("SELECT value, first_value(value) OVER (PARTITION BY lower(trim(value)) ORDER BY n DESC, value) AS best FROM (SELECT {c} AS value, count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY {c})")
-ORACLES["x18_auto_correct"] = f"""WITH t AS ({_X18}), a AS ({_CANON.format(c='status')}), b AS ({_CANON.format(c='city')})
-SELECT order_id, customer_ref, a.best AS status, total_amount, price_text, is_urgent, note, b.best AS city FROM t LEFT JOIN a ON a.value = status LEFT JOIN b ON b.value = city"""
+ORACLES["x18_auto_correct"] = f"""WITH t AS ({_X18}), a AS ({_CANON.format(c='status')}), b AS ({_CANON.format(c='city')}), f AS ({fuzzy_sql('t')})
+SELECT order_id, customer_ref, a.best AS status, total_amount, price_text, is_urgent, note, coalesce(f.new_value, b.best) AS city
+FROM t LEFT JOIN a ON a.value = status LEFT JOIN b ON b.value = city LEFT JOIN f ON f.old_value = city"""

@@ -292,3 +292,27 @@ ORACLES["n18_describe_all"] = union_all([
     f"""SELECT '{c}', count({c}), {'count(DISTINCT ' + c + ')' if k == 'text' else 'NULL'}, """
     + (f"(SELECT {c} FROM {SRC} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1), (SELECT count(*) AS k FROM {SRC} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY k DESC LIMIT 1)" if k == "text" else "NULL, NULL")
     + f", NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {SRC}" for c, k in ALL.items()])
+
+
+# Rules that the scored table never trips, over planted values ------------------------------------
+_PLANTED = {"order_id": "o_orderkey", "price": "CASE WHEN o_custkey % 50 = 0 THEN o_totalprice * 20 ELSE o_totalprice END",
+            "code": "CASE WHEN o_orderkey % 2 = 0 THEN concat('x', CAST(o_orderkey % 90 AS STRING)) ELSE CAST(o_orderkey % 90 AS STRING) END"}
+_PSRC = "(SELECT " + ", ".join(f"{e} AS {c}" for c, e in _PLANTED.items()) + " FROM orders)"
+
+
+def planted(s, d):
+    return table(s, d, "orders").selectExpr(*[f"{e} AS {c}" for c, e in _PLANTED.items()])
+
+
+_POUT, _PFAR = fences(["order_id", "price"], _PSRC, "1.5"), fences(["order_id", "price"], _PSRC, "3")
+QUERIES["n11_outlier_report_planted"] = lambda s, d: N.outlier_report(planted(s, d))
+ORACLES["n11_outlier_report_planted"] = ORACLES["n11_outlier_report"].replace(OUT, _POUT)
+QUERIES["t5_outliers_planted"] = lambda s, d: T.outlier_threats(measure(planted(s, d))).select(*BRIEF)
+ORACLES["t5_outliers_planted"] = THREAT_PARTS["t5_outliers"].replace(OUT, _POUT)
+QUERIES["t4_mixed_types_planted"] = lambda s, d: T.mixed_type_threats(measure(planted(s, d))).select(*BRIEF)
+ORACLES["t4_mixed_types_planted"] = f"""SELECT 'mt_code' AS id, 'critical' AS severity, 'Mixed data types in code' AS title, 'code' AS column_name, 'Data Quality' AS category, CAST(91 AS INTEGER) AS confidence
+FROM (SELECT count(*) FILTER (WHERE o_orderkey % 2 <> 0) * 100.0 / count(*) AS pct FROM orders) WHERE pct > 20 AND pct < 95"""
+QUERIES["n3_extreme_values_planted"] = lambda s, d: N.extreme_values(planted(s, d))
+ORACLES["n3_extreme_values_planted"] = f"""WITH f AS (SELECT q1 - 3 * (q3 - q1) AS low, q3 + 3 * (q3 - q1) AS high, m FROM (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.75) AS q3 FROM {_PSRC}))
+SELECT 'price' AS column_name, count(*) FILTER (WHERE price < low OR price > high) AS extreme_count, round(count(*) FILTER (WHERE price < low OR price > high) * 100.0 / count(*), 2) AS extreme_pct,
+round(min(price) FILTER (WHERE price < low OR price > high), 2) AS min_extreme, round(max(price) FILTER (WHERE price < low OR price > high), 2) AS max_extreme, round(any_value(m), 2) AS median_value FROM {_PSRC}, f"""

@@ -204,6 +204,19 @@ def forward_fill(df: DataFrame, order_by: str, tie_break: str, keys: list[str],
     return joined.select(*[values[c].alias(c) if c in values else col(c) for c in df.columns])
 
 
+def forward_fill_sorted(df: DataFrame, order_by: str, tie_break: str, keys: list[str] | tuple[str, ...] = (), **options) -> tuple[DataFrame, list[dict]]:
+    """Forward fill where ``order_by`` rises or falls steadily along ``tie_break``, the order the rows came in; else the table as it is."""
+    steady = monotonic_check(df, order_by, tie_break).first()
+    if not (steady.non_decreasing or steady.non_increasing):
+        return df, []
+    numbers = options.get("columns") or P.numeric_columns(df)
+    filled = forward_fill(df, order_by, tie_break, list(keys), **options)
+    before, after = ({r.column_name: r.missing for r in P.missing_counts(x.select(*[col(c) for c in numbers])).collect()} for x in (df, filled))
+    audit = [{"step": i, "action": "FORWARD_FILL", "column_name": c, "rows_affected": before[c] - after[c], "confidence": 82, "source": "deterministic"}
+             for i, c in enumerate(c for c in numbers if before[c] > after[c])]
+    return filled, audit
+
+
 def monotonic_check(df: DataFrame, value: str, order_by: str, segments: int | None = None) -> DataFrame:
     """Is a column non-decreasing or non-increasing in the order of a unique column?
 

@@ -87,7 +87,8 @@ def auto_clean(df: DataFrame, fixes: dict[str, list[dict]] | None = None, strate
         out, done = impute.winsorize(out)
         audit += done
     if order:
-        out = impute.forward_fill(out, **order)
+        out, done = impute.forward_fill_sorted(out, **order)
+        audit += done
     return Result(out, _numbered(audit), (rows, len(df.columns)), (left, len(out.columns)))
 
 
