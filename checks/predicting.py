@@ -123,3 +123,35 @@ ORACLES["t6_knn_distances"] = """WITH v AS (SELECT l_discount AS value, count(*)
 c AS (SELECT a.value, a.n, abs(a.value - b.value) AS gap, CASE WHEN a.value = b.value THEN b.n - 1 ELSE b.n END AS copies FROM v a, v b),
 o AS (SELECT *, sum(copies) OVER (PARTITION BY value ORDER BY gap, copies ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - copies AS before FROM c)
 SELECT value, any_value(n) AS n, round(sum(gap * greatest(0, least(copies, 10 - before))) / sum(greatest(0, least(copies, 10 - before))), 6) AS distance FROM o GROUP BY value"""
+_NEAR = """(WITH v AS (SELECT price AS value, count(*) AS n, row_number() OVER (ORDER BY price) AS i FROM {src} WHERE price IS NOT NULL GROUP BY price),
+c AS (SELECT a.value, a.n, abs(a.value - b.value) AS gap, CASE WHEN a.i = b.i THEN b.n - 1 ELSE b.n END AS copies FROM v a JOIN v b ON b.i BETWEEN a.i - 10 AND a.i + 10),
+o AS (SELECT *, sum(copies) OVER (PARTITION BY value ORDER BY gap, copies ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - copies AS before FROM c),
+d AS (SELECT value, any_value(n) AS n, sum(gap * greatest(0, least(copies, 10 - before))) / sum(greatest(0, least(copies, 10 - before))) AS distance FROM o GROUP BY value)
+SELECT sum(n) AS present, sum(n) FILTER (WHERE exp(-distance / (SELECT sum(distance * n) / sum(n) FROM d)) < 0.15) AS far FROM d)"""
+ORACLES["t6_knn_outliers"] = f"""SELECT 'knn_price' AS id, CASE WHEN round(far * 100.0 / present, 1) > 1 THEN 'warning' ELSE 'low' END AS severity, concat('Isolated values in price (', far, ')') AS title,
+'price' AS column_name, 'Anomaly Detection' AS category, CAST(92 AS INTEGER) AS confidence FROM {_NEAR.format(src=_SQ)} WHERE far > 0"""
+
+
+# A target that one feature decides: the forests must give it back exactly.
+def steps(s, d):
+    return table(s, d, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS line_id", "l_quantity", "l_partkey", "CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_quantity > 25 THEN 100.0D ELSE 10.0D END AS price",
+        "CASE WHEN l_orderkey % 17 = 0 THEN NULL WHEN l_quantity > 25 THEN 'bulk' ELSE 'small' END AS kind")
+
+
+QUERIES["m1_predict_step"] = lambda s, d: M.predict_missing(steps(s, d).drop("kind"), "price", "line_id")
+ORACLES["m1_predict_step"] = "SELECT l_orderkey * 10 + l_linenumber AS line_id, CASE WHEN l_quantity > 25 THEN 100.0::DOUBLE ELSE 10.0 END AS predicted_value FROM lineitem WHERE l_orderkey % 17 = 0"
+QUERIES["m2_predict_step"] = lambda s, d: M.predict_missing(steps(s, d).drop("price"), "kind", "line_id")
+ORACLES["m2_predict_step"] = "SELECT l_orderkey * 10 + l_linenumber AS line_id, CASE WHEN l_quantity > 25 THEN 'bulk' ELSE 'small' END AS predicted_value FROM lineitem WHERE l_orderkey % 17 = 0"
+
+
+def far_away(s, d):
+    """Every planted far value must be among the five in a hundred that are flagged."""
+    orders = table(s, d, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 64 = 0 THEN o_totalprice + 1e8 ELSE o_totalprice END AS price")
+    return M.isolation_scores(orders, "price", "o_orderkey").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("value") > 5e7).alias("planted"), F.count_if((F.col("value") > 5e7) & F.col("anomaly")).alias("planted_found"),
+        F.count_if("anomaly").cast("double").between(F.lit(0), F.count("*") * 0.0501).alias("flagged_in_share"))
+
+
+QUERIES["m8_isolation_planted"] = far_away
+ORACLES["m8_isolation_planted"] = """SELECT count(*) AS "rows", count(*) FILTER (WHERE o_orderkey % 64 = 0) AS planted, count(*) FILTER (WHERE o_orderkey % 64 = 0) AS planted_found, true AS flagged_in_share FROM orders"""
