@@ -287,6 +287,10 @@ QUERIES["x20_value_frequency_sample"] = lambda s, d: correct.value_frequency_sam
 ORACLES["x20_value_frequency_sample"] = union_all([
     f"SELECT '{c}' AS column_name, value, n FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS a, row_number() OVER (ORDER BY n, value DESC) AS b FROM "
     f"(SELECT {c} AS value, count(*) AS n FROM {source('status', 'city', 'customer_ref')} WHERE {c} IS NOT NULL GROUP BY {c})) WHERE a <= 15 OR b <= 15" for c in ("status", "city", "customer_ref")])
+QUERIES["x20_value_frequency_draw"] = lambda s, d: correct.value_frequency_draw(dirty_orders(s, d, "status", "city", "customer_ref"), seed=7)
+ORACLES["x20_value_frequency_draw"] = union_all([
+    f"""SELECT '{c}' AS column_name, value, n, CASE WHEN a <= 10 THEN 'head' ELSE 'draw' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY a <= 10 ORDER BY md5(concat('7:', value))) AS b FROM (
+SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS a FROM (SELECT {c} AS value, count(*) AS n FROM {source('status', 'city', 'customer_ref')} WHERE {c} IS NOT NULL GROUP BY {c}))) WHERE a <= 10 OR b <= 5""" for c in ("status", "city", "customer_ref")])
 QUERIES["x19_analyze"] = lambda s, d: correct.analyze(dirty_orders(s, d, *_DETECT), fuzzy=False)
 ORACLES["x19_analyze"] = f"""SELECT column_name, 'encoding' AS area, 'broken_sequences' AS issue, CAST(sum(occurrences) AS BIGINT) AS count FROM ({ORACLES['x2_detect_encoding']}) WHERE column_name = 'note' GROUP BY 1
 UNION ALL SELECT column_name, 'format', issue, CAST(1 AS BIGINT) FROM ({ORACLES['x4_detect_format_mix']})

@@ -316,3 +316,18 @@ QUERIES["n3_extreme_values_planted"] = lambda s, d: N.extreme_values(planted(s,
 ORACLES["n3_extreme_values_planted"] = f"""WITH f AS (SELECT q1 - 3 * (q3 - q1) AS low, q3 + 3 * (q3 - q1) AS high, m FROM (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS m, quantile_cont(price, 0.75) AS q3 FROM {_PSRC}))
 SELECT 'price' AS column_name, count(*) FILTER (WHERE price < low OR price > high) AS extreme_count, round(count(*) FILTER (WHERE price < low OR price > high) * 100.0 / count(*), 2) AS extreme_pct,
 round(min(price) FILTER (WHERE price < low OR price > high), 2) AS min_extreme, round(max(price) FILTER (WHERE price < low OR price > high), 2) AS max_extreme, round(any_value(m), 2) AS median_value FROM {_PSRC}, f"""
+QUERIES["n2_category_summary"] = lambda s, d: N.category_summary(scored(s, d))
+ORACLES["n2_category_summary"] = union_all([
+    f"""SELECT '{c}' AS column_name, count(DISTINCT {c}) AS "distinct", (SELECT {c} FROM {SRC} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode,
+(SELECT count(*) AS k FROM {SRC} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY k DESC LIMIT 1) AS mode_count, count(DISTINCT {c}) <= 50 AS listed FROM {SRC} HAVING count({c}) > 0""" for c in TEXT])
+
+
+def duplicate_share(s, d):
+    from tablewright.operators.profile import duplicate_summary
+
+    return duplicate_summary(table(s, d, "documents").select("text", "lang"))
+
+
+QUERIES["n10_duplicate_share"] = duplicate_share
+ORACLES["n10_duplicate_share"] = """SELECT k AS exact_duplicates, round(k * 100.0 / n, 2) AS duplicate_pct, CASE WHEN k / n > 0.05 THEN 'critical' WHEN k > 0 THEN 'warning' ELSE 'none' END AS severity
+FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS k FROM documents)"""

@@ -279,6 +279,17 @@ def value_frequency_sample(df: DataFrame, head: int = 15, tail: int = 15) -> Dat
     return first.union(last).distinct()
 
 
+def value_frequency_draw(df: DataFrame, head: int = 10, tail: int = 5, seed: int = 0) -> DataFrame:
+    """The most frequent values of each text column and a seeded draw of the others: those with the smallest digest of seed and value."""
+    v = F.col("value")
+    counts = long_text(df).filter(v.isNotNull()).groupBy("column_name", value_key(v).alias("value")).agg(F.count("*").alias("n"))
+    top = Window.partitionBy("column_name").orderBy(F.desc("n"), "value")
+    first = counts.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= head).select("column_name", "value", "n", F.lit("head").alias("part"))
+    rest = counts.join(first.select("column_name", "value"), ["column_name", "value"], "left_anti")
+    drawn = Window.partitionBy("column_name").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), v)))
+    return first.union(rest.withColumn("rank", F.row_number().over(drawn)).filter(F.col("rank") <= tail).select("column_name", "value", "n", F.lit("draw")))
+
+
 def analyze(df: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Everything that could be corrected, as (column_name, area, issue, count) rows."""
     encoding = detect_encoding(df).groupBy("column_name").agg(F.sum("occurrences").alias("count")).select(

@@ -50,6 +50,19 @@ def category_distribution(df: DataFrame, k: int = 10, limit: int = 50) -> DataFr
     return P.restore_long_values(df.select(*[col(c) for c in ordered]), P.top_values(df, ordered, k))
 
 
+def category_summary(df: DataFrame, limit: int = 50) -> DataFrame:
+    """(column_name, distinct, mode, mode_count, listed) of every text column that has values.
+
+    ``listed`` tells whether the column has at most ``limit`` values and so appears in ``category_distribution``; the others are named here, not dropped unseen.
+    """
+    columns = P.text_columns(df)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column_name string, distinct long, mode string, mode_count long, listed boolean")
+    best = P.restore_long_values(df, P.top_values(df, columns, 1)).select("column_name", F.col("value").alias("mode"), F.col("n").alias("mode_count"))
+    counts = P.text_distincts(df).select("column_name", "distinct")
+    return counts.join(best, "column_name").select("column_name", "distinct", "mode", "mode_count", (F.col("distinct") <= limit).alias("listed"))
+
+
 def extreme_values(df: DataFrame) -> DataFrame:
     stats = [s for s in P.measure_numbers(df).values() if s["count"] >= 20 and s["extremes"]]
     raw = P.rows_frame(df.sparkSession, stats, "column_name string, count long, extremes long, min_extreme double, max_extreme double, median double")

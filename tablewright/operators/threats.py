@@ -49,9 +49,10 @@ def duplicate_threats(p: TableProfile) -> DataFrame:
         "Data Quality", F.lit("Totals and counts may be inflated"), F.lit(95), ["Review the groups", "Keep one row of each"])
 
 
-def inconsistent_category_threats(p: TableProfile) -> DataFrame:
+def inconsistent_category_threats(p: TableProfile, limit: int = 100) -> DataFrame:
+    """Text columns of at most ``limit`` values that differ in case; ``insights.category_summary`` names the wider ones."""
     name, extra = F.col("column_name"), F.col("distinct") - F.col("distinct_lower")
-    found = p.frame().filter("kind = 'text' AND distinct > distinct_lower AND distinct <= 100")
+    found = p.frame().filter("kind = 'text' AND distinct > distinct_lower").filter(F.col("distinct") <= limit)
     return _threat(
         found, F.concat(F.lit("inc_"), name), F.when(extra > 3, "warning").otherwise("low"),
         F.concat(F.lit("Inconsistent categories in "), name), name, "Data Quality",
