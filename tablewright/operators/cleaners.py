@@ -7,6 +7,7 @@ is the expression to run when it does. Running them on a table is the plan modul
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -156,12 +157,23 @@ def iso_date(x: Column) -> Column:
 
 # --------------------------------------------------------------------------- the cleaners
 
-NULL_STRINGS = Cleaner(
-    "null_strings", "CLEAN_NULL_STRINGS", 96,
-    lambda x: {"null_tokens": is_null_token(x)},
-    lambda t, n: t["null_tokens"] > 0,
-    lambda x, t, n: nullify(x),
-    lambda t, n: t["null_tokens"])
+def with_option(name: str, option) -> str:
+    """A cleaner's name with its option, which ``named`` turns back into the cleaner."""
+    return name if option is None else f"{name}:{json.dumps(option)}"
+
+
+def null_strings(extra: tuple[str, ...] = ()) -> Cleaner:
+    """Texts that stand for nothing, and any of ``extra`` (compared without case and edge space)."""
+    extra = tuple(token.strip().lower() for token in extra)
+    return Cleaner(
+        with_option("null_strings", list(extra) or None), "CLEAN_NULL_STRINGS", 96,
+        lambda x: {"null_tokens": is_null_token(x, extra)},
+        lambda t, n: t["null_tokens"] > 0,
+        lambda x, t, n: nullify(x, extra),
+        lambda t, n: t["null_tokens"])
+
+
+NULL_STRINGS = null_strings()
 
 WHITESPACE = Cleaner(
     "whitespace", "CLEAN_WHITESPACE", 98,
@@ -191,12 +203,17 @@ RATINGS = Cleaner(
     lambda x, t, n: rating_value(x),
     lambda t, n: t["ratings"], lambda t: "double")
 
-PERCENTAGES = Cleaner(
-    "percentages", "CLEAN_PERCENTAGES", 94,
-    lambda x: {"percents": is_percent(x)},
-    lambda t, n: ratio(t, "percents") >= 0.4,
-    lambda x, t, n: percent_value(x),
-    lambda t, n: t["percents"], lambda t: "double")
+def percentages(as_share: bool = False) -> Cleaner:
+    """Percentages as numbers: 45% is 45, or 0.45 ``as_share``."""
+    return Cleaner(
+        with_option("percentages", as_share or None), "CLEAN_PERCENTAGES", 94,
+        lambda x: {"percents": is_percent(x)},
+        lambda t, n: ratio(t, "percents") >= 0.4,
+        lambda x, t, n: percent_value(x) / 100 if as_share else percent_value(x),
+        lambda t, n: t["percents"], lambda t: "double")
+
+
+PERCENTAGES = percentages()
 
 BOOLEANS = Cleaner(
     "booleans", "NORMALIZE_BOOLEANS", 93,
@@ -244,14 +261,20 @@ def _year_like(t: Tally, n: str) -> float:
     return (t["years"] + (t["short_years"] if named else 0)) / t["present"] if t["present"] else 0.0
 
 
-YEARS = Cleaner(
-    "years", "CLEAN_YEARS", 95,
-    lambda x: {"years": digit_first(x, K.YEAR_ONLY), "short_years": digit_first(x, K.YEAR_SHORT),
-               "valid_years": year_value(x, True).isNotNull(), "valid_long_years": year_value(x, False).isNotNull()},
-    lambda t, n: (_year_like(t, n) >= 0.5 and t["valid_years"] > 0) if name_has_token(n, K.YEAR_NAMES)
-    else (_year_like(t, n) >= 0.7 and t["valid_long_years"] > 0),
-    lambda x, t, n: year_value(x, name_has_token(n, K.YEAR_NAMES)),
-    lambda t, n: t["valid_years"] if name_has_token(n, K.YEAR_NAMES) else t["valid_long_years"], lambda t: "int")
+def years(cutoff: int | None = None) -> Cleaner:
+    """Years as whole numbers; two digits up to the cutoff (30 unless told) are of this century."""
+    last = 30 if cutoff is None else cutoff
+    return Cleaner(
+        with_option("years", cutoff), "CLEAN_YEARS", 95,
+        lambda x: {"years": digit_first(x, K.YEAR_ONLY), "short_years": digit_first(x, K.YEAR_SHORT),
+                   "valid_years": year_value(x, True, last).isNotNull(), "valid_long_years": year_value(x, False, last).isNotNull()},
+        lambda t, n: (_year_like(t, n) >= 0.5 and t["valid_years"] > 0) if name_has_token(n, K.YEAR_NAMES)
+        else (_year_like(t, n) >= 0.7 and t["valid_long_years"] > 0),
+        lambda x, t, n: year_value(x, name_has_token(n, K.YEAR_NAMES), last),
+        lambda t, n: t["valid_years"] if name_has_token(n, K.YEAR_NAMES) else t["valid_long_years"], lambda t: "int")
+
+
+YEARS = years()
 
 DATES = Cleaner(
     "dates", "NORMALIZE_DATES", 90,
@@ -331,3 +354,11 @@ FORMAT_FIXES = [STANDARD_DATES, STANDARD_NUMBERS]
 CORRECT = [MOJIBAKE, *SEMANTIC, *TYPE_FIXES, *FORMAT_FIXES]
 DATE_FIXES = [PARSE_YEARS, PARSE_DATES]
 EVERY = {c.name: c for c in [MOJIBAKE, *RUN_ALL, *TYPE_FIXES, *FORMAT_FIXES, *DATE_FIXES]}
+
+
+def named(name: str) -> Cleaner:
+    """The cleaner of a name, with its option if the name carries one."""
+    if name in EVERY:
+        return EVERY[name]
+    base, _, option = name.partition(":")
+    return {"null_strings": null_strings, "percentages": percentages, "years": years}[base](json.loads(option))

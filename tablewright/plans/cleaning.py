@@ -36,7 +36,7 @@ class Step:
 
     @property
     def rule(self) -> C.Cleaner:
-        return fix_cleaner(self.fix) if self.fix else C.EVERY[self.cleaner]
+        return fix_cleaner(self.fix) if self.fix else C.named(self.cleaner)
 
 
 @dataclass
@@ -114,7 +114,7 @@ def measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str] |
 def _measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str]) -> CleaningPlan:
     plan = CleaningPlan()
     lead = 0
-    while lead < len(cleaners) and cleaners[lead].name in UNGATED:
+    while lead < len(cleaners) and cleaners[lead].name.partition(":")[0] in UNGATED:
         lead += 1
     counted = _lead_counts(df, cleaners[:lead], columns)
     expressions: dict[str, Column] = {}

@@ -129,3 +129,14 @@ def test_entry_without_the_text_subpackage(monkeypatch):
     monkeypatch.setattr(entry.importlib, "import_module", gone)
     names = entry.queries()
     assert "p1_overview" in names and not any(n.startswith("op") or n == "pipeline" for n in names)
+
+
+def test_cleaner_options_survive_a_plan(spark):
+    from tablewright.operators import cleaners as C
+    from tablewright.plans import cleaning
+
+    df = spark.createDataFrame([("45%", "85", "gone"), ("78%", "35", "kept"), ("100%", "22", " Gone "), ("5%", "1999", "kept")], "rate string, year string, note string")
+    plan = cleaning.measure_plan(df, [C.null_strings(("gone",)), C.percentages(True), C.years(40)])
+    for p in (plan, cleaning.CleaningPlan.from_json(plan.to_json())):
+        got = p.apply(df).collect()
+        assert [r.rate for r in got] == [0.45, 0.78, 1.0, 0.05] and [r.year for r in got] == [1985, 2035, 2022, 1999] and [r.note for r in got] == [None, "kept", None, "kept"]
