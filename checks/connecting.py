@@ -39,19 +39,18 @@ def csv_inferred(s, d):
 
 
 def csv_latin(s, d):
+    """Whole texts, but for characters that Latin-1 lacks, in a file that is not UTF-8."""
     path = folder(s)
-    words = table(s, d, "documents").select("doc_id", F.regexp_replace(F.substring_index("text", " ", 3), "[\r\n\"]+", " ").alias("words")).filter(
-        F.col("words").cast("binary").isNotNull())
-    words.withColumn("words", F.regexp_replace("words", "[^\\x{20}-\\x{FF}]", "")).write.option("header", True).option("encoding", "ISO-8859-1").option(
-        "quote", '"').option("escape", '"').csv(path)
-    return readers.read_csv_any_encoding(s, path, "doc_id BIGINT, words STRING").withColumn("words", F.trim(F.coalesce("words", F.lit(""))))
+    texts = table(s, d, "documents").select("doc_id", F.regexp_replace("text", "[^\n\\x{20}-\\x{FF}]", "").alias("text"))
+    texts.write.option("header", True).option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_csv_any_encoding(s, path, "doc_id BIGINT, text STRING").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 QUERIES["s1_read_csv"] = csv_inferred
 ORACLES["s1_read_csv"] = "SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang FROM documents"
 QUERIES["s2_read_csv_fallback_encoding"] = csv_latin
-_WORDS = "regexp_replace(array_to_string(string_split(text, ' ')[1:3], ' '), '[\\r\\n\"]+', ' ', 'g')"
-ORACLES["s2_read_csv_fallback_encoding"] = f"SELECT doc_id, trim(regexp_replace({_WORDS}, '[^\\x{{20}}-\\x{{FF}}]', '', 'g')) AS words FROM documents"
+ORACLES["s2_read_csv_fallback_encoding"] = "SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\n\\x{20}-\\x{FF}]', '', 'g') AS text FROM documents"
 
 
 def catalog_sql(s, d):
@@ -150,14 +149,16 @@ ORACLES["stream_frozen_plan"] = "SELECT " + ", ".join(f"{FINAL[c]} AS {c}" for c
 
 
 def streamed_quality(s, d):
+    """Windows are written once the watermark has passed them, and their state goes."""
     events = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    source, name = folder(s), f"quality_{uuid.uuid4().hex}"
+    source, path = folder(s), folder(s)
     events.write.parquet(source)
     windows = stream.windowed_quality(stream.read_files(s, source, events.schema), "ts", {"low_values": "value < 10", "errors": "event_type = 'error'"})
-    query = windows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{source}-checkpoint").trigger(availableNow=True).start()
+    query = stream.write_clean(windows, path, f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return s.table(name)
+    return s.read.schema(windows.schema).parquet(path)
 
 
 QUERIES["stream_windowed_quality"] = streamed_quality
-ORACLES["stream_windowed_quality"] = """SELECT date_trunc('day', ts) AS window_start, count(*) AS "rows", count(*) FILTER (WHERE value < 10) AS low_values, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1"""
+ORACLES["stream_windowed_quality"] = """SELECT date_trunc('day', ts) AS window_start, count(*) AS "rows", count(*) FILTER (WHERE value < 10) AS low_values, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1
+HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
