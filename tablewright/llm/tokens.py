@@ -38,8 +38,9 @@ from tablewright.llm.words import span_hashes, text_slices
 END = 2
 BLOCK = 1 << 18
 STEP = 512
-KEPT = 1 << 21
-SLICE = 1 << 22
+KEPT = 1 << 20
+SLICE = 1 << 21
+AT_ONCE = 1 << 13
 TABLE = "file int, block int, texts int, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
 
 #: Bytes that other white space may start with; a text that has one is looked at.
@@ -144,14 +145,18 @@ class Encoder:
         near = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
         new = self.keys[near] != hashes if len(self.keys) else np.ones(len(hashes), dtype=bool)
         if new.any():
-            out = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in zip(begin[new].tolist(), stop[new].tolist())], add_special_tokens=False)
-            ids = [x.ids for x in out]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            where, parts, lengths = list(zip(begin[new].tolist(), stop[new].tolist())), [], []
+            for i in range(0, len(where), AT_ONCE):  # the library's results are large
+                out = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in where[i : i + AT_ONCE]], add_special_tokens=False)
+                ids = [x.ids for x in out]
+                lengths.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+                parts.append(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(lengths[-1].sum())))
+            sizes = np.concatenate(lengths)
             place = np.searchsorted(self.keys, hashes[new])
             self.keys = np.insert(self.keys, place, hashes[new])
             self.offset = np.insert(self.offset, place, len(self.store) + np.cumsum(sizes) - sizes)
             self.sizes = np.insert(self.sizes, place, sizes)
-            self.store = np.concatenate([self.store, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))])
+            self.store = np.concatenate([self.store, *parts])
         at = np.searchsorted(self.keys, hashes)
         return self.offset[at], self.sizes[at]
 
