@@ -8,7 +8,8 @@ own share of it; all words never seen are one word, whose chance is what absolut
 it is counted how often each symbol follows each context that occurs ``LEAST`` times. A context is kept if its next-symbol distribution
 diverges from that of its suffix: the texts it predicts must gain ``DIVERGENCE`` bits, each occurrence left out of
 its own estimate. The suffixes of a kept context are kept too. A level has at most ``STATES`` contexts, the most frequent, which bounds
-the model that is sent to the tasks. A context's distribution is smoothed towards that of its suffix with a weight of ``PULL``.
+the model that is sent to the tasks. A kept context's distribution is that of the symbols seen twice or more after it, smoothed towards that of its suffix with a
+weight of ``PULL``.
 
 *Scores.* Each symbol is predicted by the longest state that the text before it ends in; the score is the sum of log10.
 
@@ -40,9 +41,9 @@ SYMBOLS = 1 << BITS
 DEPTH = 3
 LEAST = 32
 DIVERGENCE = 20.0
-STATES = 1 << 14
+STATES = 1 << 13
 PULL = 8.0
-SENT = 1 << 18
+SENT = 1 << 17
 FOLDS, HELD_OUT = 7, 2
 END_WORD = 0x0E4D  # stands for the end among word hashes
 END, OTHER = 0, SYMBOLS - 1
@@ -174,9 +175,11 @@ class Tree:
             if not len(at):
                 continue
             key = known[number[at]] << BITS | symbols[at]
-            place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            # a symbol not seen after the context has its suffix's chance, weighed down
-            out[at] = np.where(pairs[place] == key, chance[place], out[at] + back[number[at]])
+            lower = out[at] + back[number[at]]  # a symbol not seen after the context has its suffix's chance, weighed down
+            if len(pairs):
+                place = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+                lower = np.where(pairs[place] == key, chance[place], lower)
+            out[at] = lower
         return out
 
 
@@ -222,13 +225,13 @@ def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root:
     for k in range(depth):
         known = levels[k]
         flags = np.array([int(c) in keep[k] and int(c) in totals[k] for c in known], dtype=bool)
-        occurrences = np.array([totals[k].get(int(c), 0) for c in known], dtype=float)
         wanted = spark.createDataFrame([(int(c),) for c in known[flags]], "context long")
-        rows = tables[k].withColumn("context", F.shiftright("key", BITS)).join(F.broadcast(wanted), "context").select("key", "times").toPandas()
-        pairs, times = rows["key"].to_numpy(dtype=np.int64), rows["times"].to_numpy(dtype=float)
+        rows = tables[k].where("times >= 2").withColumn("context", F.shiftright("key", BITS)).join(F.broadcast(wanted), "context").select("key", "times").toArrow()
+        pairs, times = rows["key"].to_numpy(), rows["times"].to_numpy().astype(float)
         order = np.argsort(pairs)
         pairs, times = pairs[order], times[order]
         place = np.searchsorted(known, pairs >> BITS)
+        occurrences = np.bincount(place, times, minlength=len(known))
         # the suffix's chance: its own seen one, or its suffix's, weighed down
         lower = root[pairs & (SYMBOLS - 1)].astype(float)
         for j in range(k):
@@ -236,9 +239,10 @@ def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root:
             here = np.minimum(np.searchsorted(levels[j], short >> BITS), max(len(levels[j]) - 1, 0))
             is_state = (levels[j][here] == short >> BITS) & kept[j][here] if len(levels[j]) else np.zeros(len(short), dtype=bool)
             own, chance = seen[j]
-            if len(own):
-                found_at = np.minimum(np.searchsorted(own, short), len(own) - 1)
-                lower = np.where(is_state, np.where(own[found_at] == short, chance[found_at], lower + back[j][here]), lower)
+            if len(levels[j]):
+                found_at = np.minimum(np.searchsorted(own, short), max(len(own) - 1, 0))
+                known_pair = own[found_at] == short if len(own) else np.zeros(len(short), dtype=bool)
+                lower = np.where(is_state, np.where(known_pair, chance[found_at] if len(own) else 0.0, lower + back[j][here]), lower)
         chance = np.log10((times + PULL * 10.0**lower) / (occurrences[place] + PULL)) if len(pairs) else np.empty(0)
         kept.append(flags)
         back.append(np.log10(PULL / (occurrences + PULL)))
@@ -298,8 +302,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     training = texts.where(f"not ({FOLD})").select("text")
     vocabulary = stored(training.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("times").alias("times")), "words")
     facts = vocabulary.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("times") == 1).alias("once")).first()
-    top = vocabulary.orderBy(F.desc("times"), "key").limit(SENT).toPandas()
-    hashes, times = top["key"].to_numpy(dtype=np.int64).view(np.uint64), top["times"].to_numpy(dtype=np.int64)
+    top = vocabulary.orderBy(F.desc("times"), "key").limit(SENT).toArrow()
+    hashes, times = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["times"].to_numpy().astype(np.int64)
     named = np.flatnonzero(hashes != END_WORD)[: SYMBOLS - 2]
     own = np.append(hashes[named], np.uint64(END_WORD))
     own_symbols = np.append(np.arange(1, len(named) + 1), END)
