@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = stored(texts.mapInArrow(_facts(words), "doc_id long, n long, one long, two long, key long, shingle long, times long"), "facts")
     counts = facts.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where("times >= 8")
-    top = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
-    frequent, weight = top["shingle"].to_numpy(dtype=np.int64).view(np.uint64), top["times"].to_numpy(dtype=np.int64)
+    top = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT).toArrow()
+    frequent, weight = top["shingle"].to_numpy().astype(np.int64).view(np.uint64), top["times"].to_numpy().astype(np.int64)
     rising = np.argsort(frequent)
     frequent, weight = frequent[rising], weight[rising]
 
@@ -313,7 +313,7 @@ def _filter_bits(members: DataFrame) -> np.ndarray:
             place = mixed(one ^ two) % np.uint64(FILTER_BITS)
             yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(5)).astype(np.int64)), pa.array(np.left_shift(1, (place & np.uint64(31)).astype(np.int64)))], ["word", "bit"])
 
-    rows = members.select("one", "two").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    rows = members.select("one", "two").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
     field = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    field[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    field[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
     return field.view(np.uint8)
