@@ -73,11 +73,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: rows of ``docs``, once per time a text is taken, the one on the edge cut after its last word taken."""
-    took = mix(docs, id_col, text_col, source_col).where("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("taken"), F.first("size").alias("size"))
+    taken = mix(docs, id_col, text_col, source_col)
+    key = ["doc_id", "digest"]
+    repeated = not taken.groupBy(*key).count().where("count > 1").isEmpty()
+    took = taken.where("taken > 0").groupBy(*key).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"), *[F.col(f"`{c}`") for c in docs.columns])
-    rows = own.join(took.select(F.col("doc_id").alias("_took"), F.col("digest").alias("_d"), F.col("taken").alias("_taken"), F.col("size").alias("_size")), F.col("_id").eqNullSafe(F.col("_took")) & (F.col("_digest") == F.col("_d")))
-    rows = rows.dropDuplicates(["_id", "_digest"]).withColumn("_round", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
+    # texts meet their decision by id and digest; an id that may be null is joined as text
+    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("_id")
+    own = docs.select(name, F.xxhash64(text).alias("_digest"), *[F.col(f"`{c}`") for c in docs.columns])
+    took = took.select(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"), F.col("digest").alias("_digest"), "_taken", "_size")
+    rows = own.join(took, ["_id", "_digest"])
+    if repeated:  # equal rows stand for one, which is taken as often as all of them
+        rows = rows.dropDuplicates(["_id", "_digest"])
+    rows = rows.withColumn("_round", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     left = F.col("_taken") - (F.col("_round") - 1) * F.col("_size")
     cut = F.when(left >= F.col("_size"), text).otherwise(F.concat_ws("", F.slice(F.split(text, SPACE_LIMIT), F.lit(1), left.cast("int"))))
     rows = rows.withColumn("_cut", cut)
