@@ -20,7 +20,7 @@ from tablewright.operators import cleaners as C
 from tablewright.operators.fixes import fix_cleaner
 from tablewright.operators.profile import count_flags, held, numeric_columns, rows_frame, spread_out, text_columns, unpivot
 
-AUDIT_SCHEMA = "step int, action string, column_name string, rows_affected long, confidence int, source string"
+AUDIT_SCHEMA = "step int, action string, column_name string, rows_affected long, confidence int, source string, detail string"
 
 # Cleaners that leave a column alone when they have nothing to do: they run before any gate
 # is read, so their effect does not cost a scan of its own.
@@ -61,7 +61,7 @@ class CleaningPlan:
         return [
             {"step": i, "action": s.rule.action, "column_name": s.column,
              "rows_affected": s.rule.affected(s.tally, s.column), "confidence": _confidence(s),
-             "source": "plan" if s.fix else "deterministic"}
+             "source": "plan" if s.fix else "deterministic", "detail": _detail(s)}
             for i, s in enumerate(self.steps)]
 
     def to_json(self) -> str:
@@ -72,6 +72,19 @@ class CleaningPlan:
         return cls([Step(**s) for s in json.loads(text)])
 
 
+def values_lost(step: Step) -> int:
+    """Values that a change of type leaves missing, because they could not be read as the new type."""
+    if not step.rule.output(step.tally):
+        return 0
+    return max(step.tally.get("present", 0) - step.rule.affected(step.tally, step.column), 0)
+
+
+def _detail(step: Step) -> str:
+    lost = values_lost(step)
+    changed = f"{step.rule.affected(step.tally, step.column)} of {step.tally.get('present', 0)} values changed"
+    return changed + (f"; {lost} could not be read and are missing now" if lost else "")
+
+
 def _confidence(step: Step) -> int:
     if step.cleaner == C.DATES.name and not name_has_token(step.column, K.DATE_NAMES):
         return 82

@@ -140,3 +140,13 @@ def test_cleaner_options_survive_a_plan(spark):
     for p in (plan, cleaning.CleaningPlan.from_json(plan.to_json())):
         got = p.apply(df).collect()
         assert [r.rate for r in got] == [0.45, 0.78, 1.0, 0.05] and [r.year for r in got] == [1985, 2035, 2022, 1999] and [r.note for r in got] == [None, "kept", None, "kept"]
+
+
+def test_audit_tells_what_was_lost(spark):
+    from tablewright.operators import cleaners as C
+    from tablewright.plans import cleaning
+
+    df = spark.createDataFrame([("2024-01-01",), ("Jan 5, 2024",), ("soon",), (None,)], "order_date string")
+    plan = cleaning.measure_plan(df, [C.DATES])
+    row = cleaning.audit_frame(spark, plan.audit()).first()
+    assert (row.rows_affected, row.detail) == (2, "2 of 3 values changed; 1 could not be read and are missing now")
