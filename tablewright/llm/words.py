@@ -52,10 +52,12 @@ def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.
     Gives the row of the first text, the bytes of the texts with one space after each, and where each
     text starts (one entry more than texts). Null is an empty text.
     """
-    column = column.fill_null("").cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return
-    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    size = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], dtype=size)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
     row = 0
     while row < len(column):
