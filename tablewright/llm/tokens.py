@@ -39,8 +39,7 @@ END = 2
 BLOCK = 1 << 18
 STEP = 512
 KEPT = 1 << 20
-SLICE = 1 << 21
-AT_ONCE = 1 << 13
+AT_ONCE = 1 << 11
 TABLE = "file int, block int, texts int, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
 
 #: Bytes that other white space may start with; a text that has one is looked at.
@@ -203,7 +202,7 @@ def _encode(path: str, end: int):
             return row
 
         for batch in batches:
-            for row, data, starts in text_slices(batch.column(1), SLICE):
+            for row, data, starts in text_slices(batch.column(1)):
                 out, count = encoder(data, starts, end)
                 names.append(batch.column(0).slice(row, len(count)))
                 counts.append(count)

@@ -8,11 +8,25 @@ about n * n / 2**65.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+
+def give_back_memory(threshold: int = 1 << 20) -> None:
+    """Have the C library return arrays of ``threshold`` bytes or more to the system as soon as they are freed.
+
+    Left alone it keeps them for the next ones, and a worker that lives through many stages stays as large as the largest of them.
+    """
+    try:
+        ctypes.CDLL(None).mallopt(-3, threshold)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+give_back_memory()
 SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint8)
 _GAP = np.isin(np.arange(256), SPACES)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,10 +49,10 @@ _BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2**64, kept between calls and grown by doubling."""
+    """base ** 0 .. base ** n modulo 2**64, kept between calls and grown by an eighth more than needed."""
     key = str(base)
     if key not in _POWERS or len(_POWERS[key]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = max(1 << 16, n + n // 8)
         _POWERS[key] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, dtype=np.uint64)]), dtype=np.uint64)
     return _POWERS[key][: n + 1]
 
