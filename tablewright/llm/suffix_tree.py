@@ -1,17 +1,22 @@
 """Language-model scores of whole texts with a probabilistic suffix tree over words.
 
-*Symbols.* A text is its words, A-Z as a-z, and one end. The end is symbol 0, the ``SYMBOLS`` - 2 most frequent training words
-have a symbol each, all other words share the last one. A word of the shared symbol gets that symbol's chance times its
-own share of it; all words never seen are one word, whose chance is what absolute discounting takes from the seen ones.
+*Symbols.* A text is its words, A-Z as a-z, and one end. The end and every training word seen ``LEAST`` times have a symbol each, all
+other words share one. A word of the shared symbol gets that symbol's chance times its own share of it; all words never seen are one
+word, whose chance is what absolute discounting takes from the seen ones.
 
-*Tree.* A state is a context of up to ``DEPTH`` symbols; before a text stands an end. Level by level, over all training texts,
-it is counted how often each symbol follows each context that occurs ``LEAST`` times. A context is kept if its next-symbol distribution
-diverges from that of its suffix: the texts it predicts must gain ``DIVERGENCE`` bits, each occurrence left out of
-its own estimate. The suffixes of a kept context are kept too. A level has at most ``STATES`` contexts, the most frequent, which bounds
-the model that is sent to the tasks. A kept context's distribution is that of the symbols seen twice or more after it, smoothed towards that of its suffix with a
-weight of ``PULL``.
+*Tree.* A state is a context of up to ``DEPTH`` symbols; before a text stands an end. Level by level, over all training texts, it is
+counted how often each symbol follows each context that occurs ``LEAST`` times. A context is kept if its next-symbol distribution
+diverges from that of its suffix: the texts it predicts must gain ``DIVERGENCE`` bits, each occurrence left out of its own estimate.
+The suffixes of a kept context are kept too. A kept context's distribution is that of all symbols seen after it, smoothed towards
+that of its suffix with a weight of ``PULL``.
 
-*Scores.* Each symbol is predicted by the longest state that the text before it ends in; the score is the sum of log10.
+*Tables.* Alphabet, contexts and chances are stored tables with a row per (context, symbol), as large as the texts make them. A context
+of k symbols followed by one is a context of k + 1, so one 64-bit key names both. Tasks get filters of a fixed size, which let every
+admitted key pass; the few others that pass find no row in the exact join.
+
+*Scores.* Each symbol is predicted by the longest state that the text before it ends in; the score is the sum of log10. As the suffixes
+of states are states, it is the score of the empty context plus what each state on the way adds, so the keys of a text are summed
+within the text and meet their states and pairs in plain joins. The most frequent of these, about ``INLINE``, are sent to the tasks.
 
 *Base.* Words counted over all training texts, each end a token. The ``SENT`` most frequent words are sent to the tasks with their
 counts; the rest of a text's words meet their counts in a join, so the vocabulary may grow with the data.
@@ -19,8 +24,8 @@ counts; the rest of a text's words meet their counts in a join, so the vocabular
 Training texts are those whose crc32 of the id as text, modulo 7, is not 2. Words count as equal if their 64-bit hashes are.
 
 Defined cases: null and empty texts are an end alone. A null id counts as empty text in the fold. Rows of one id are scored
-one by one. An empty table gives an empty one; without training texts all counts are 0 and every symbol is equally likely. Extra columns
-are ignored.
+one by one. An empty table gives an empty one; without training texts all counts are 0, and the end and the shared symbol are equally
+likely. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,25 +35,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import stored
-from tablewright.llm.words import slice_words, text_slices
+from tablewright.llm.words import mixed, slice_words, text_slices
 
 BITS = 12
-SYMBOLS = 1 << BITS
+SYMBOLS = 1 << BITS  # of a tree in memory
 DEPTH = 3
 LEAST = 32
 DIVERGENCE = 20.0
-STATES = 1 << 13
 PULL = 8.0
 SENT = 1 << 17
+INLINE = 1 << 20
+GATE_BITS = 26
 FOLDS, HELD_OUT = 7, 2
 END_WORD = 0x0E4D  # stands for the end among word hashes
+OTHER_WORD = 0x07E4  # and for all words without a symbol
+TURN = 17
 END, OTHER = 0, SYMBOLS - 1
 FOLD = f"pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), {FOLDS}) = {HELD_OUT}"
 COUNTS = "key long, times long"
+LEVEL = "key long, context long, short long, times long"
 
 
 def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,29 +141,6 @@ def contexts(text: np.ndarray, symbols: np.ndarray, levels: list[np.ndarray]) ->
     return out
 
 
-def _next_counts(alphabet, levels):
-    """Counts of (context of the last level, next symbol) in training texts."""
-
-    def run(batches):
-        names, known = alphabet.value, levels.value
-
-        def keys():
-            for batch in batches:
-                for _, data, starts in text_slices(batch.column(0)):
-                    text, hashes = _words(data, starts)
-                    symbols = names.of(hashes)
-                    if not known:
-                        yield symbols
-                        continue
-                    number = contexts(text, symbols, known)[-1]
-                    at = number >= 0
-                    yield known[-1][number[at]] << BITS | symbols[at]
-
-        yield from _summed(keys())
-
-    return run
-
-
 @dataclasses.dataclass
 class Tree:
     """Per length: sorted contexts that may lead to a state, whether each is one, the weight of its suffix (log10 of ``PULL`` over
@@ -183,13 +169,16 @@ class Tree:
         return out
 
 
-def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root: np.ndarray, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, states: int = STATES) -> Tree:
-    """The tree, level by level. ``count_level(levels)`` gives the stored counts after the contexts of the last level."""
+def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root: np.ndarray, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> Tree:
+    """The tree of a small alphabet in memory, level by level; ``levels`` of the tables below hold the same for any.
+
+    ``count_level(levels)`` gives the stored counts after the contexts of the last level.
+    """
     levels: list[np.ndarray] = []
     tables: list[DataFrame] = []
     gains: list[dict[int, float]] = []
     totals: list[dict[int, int]] = []
-    candidates = np.flatnonzero(root_counts >= least)[: states].astype(np.int64)
+    candidates = np.flatnonzero(root_counts >= least).astype(np.int64)
     floor = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(10.0**root)], "symbol long, root double")
     for k in range(depth):
         levels.append(np.sort(candidates))
@@ -208,12 +197,12 @@ def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root:
             wide = F.col("root")
         left_out = (F.col("times") - 1 + PULL * wide) / (F.col("all") - 1 + PULL)
         gain = own.groupBy("context").agg(F.sum(F.col("times") * F.log2(left_out / wide)).alias("gain"), F.first("all").alias("all"))
-        found = gain.collect()  # a row per context of a bounded level
+        found = gain.collect()
         gains.append({r.context: r.gain for r in found})
         totals.append({r.context: r["all"] for r in found})
         if k + 1 < depth:
             mask = (1 << BITS * (k + 2)) - 1
-            more = counts.where(f"times >= {least}").where((F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)) != END)).orderBy(F.desc("times"), "key").limit(states)
+            more = counts.where(f"times >= {least}").where((F.col("key").bitwiseAND(F.lit(SYMBOLS - 1)) != END))
             candidates = np.array([r.key & mask for r in more.select("key").collect()], dtype=np.int64)
     keep: list[set[int]] = [set() for _ in range(depth)]
     for k in range(depth - 1, -1, -1):
@@ -226,7 +215,7 @@ def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root:
         known = levels[k]
         flags = np.array([int(c) in keep[k] and int(c) in totals[k] for c in known], dtype=bool)
         wanted = spark.createDataFrame([(int(c),) for c in known[flags]], "context long")
-        rows = tables[k].where("times >= 2").withColumn("context", F.shiftright("key", BITS)).join(F.broadcast(wanted), "context").select("key", "times").toArrow()
+        rows = tables[k].withColumn("context", F.shiftright("key", BITS)).join(F.broadcast(wanted), "context").select("key", "times").toArrow()
         pairs, times = rows["key"].to_numpy(), rows["times"].to_numpy().astype(float)
         order = np.argsort(pairs)
         pairs, times = pairs[order], times[order]
@@ -250,90 +239,297 @@ def grow(spark, count_level, alphabet: Alphabet, root_counts: np.ndarray, root:
     return Tree(alphabet, root, levels, kept, back, seen)
 
 
-def _score(model, words):
-    """Per text: tokens, and over the words sent along: known tokens, base sum, score; and the other words with their times."""
+def _turned(x: np.ndarray) -> np.ndarray:
+    return x << np.uint64(TURN) | x >> np.uint64(64 - TURN)
+
+
+def _turn(x: Column) -> Column:
+    return F.shiftleft(x, TURN).bitwiseOR(F.shiftrightunsigned(x, 64 - TURN))
+
+
+def _turn_back(x: Column) -> Column:
+    return F.shiftrightunsigned(x, TURN).bitwiseOR(F.shiftleft(x, 64 - TURN))
+
+
+def _symbol() -> Column:
+    """The last symbol of a key."""
+    return F.col("key").bitwiseXOR(_turn(F.col("context")))
+
+
+def context_keys(text: np.ndarray, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Place of every token in its text, and for 0 to ``depth`` symbols the key of the context before it, which needs a place of its length - 1.
+
+    The key of a context followed by a symbol is the context's, turned, xor the symbol; that of the empty context is 0.
+    """
+    first = np.ones(len(symbols), dtype=bool)
+    first[1:] = text[1:] != text[:-1]
+    starts = np.flatnonzero(first)
+    place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
+    before = np.zeros_like(symbols)
+    before[1:] = symbols[:-1]
+    before[first] = END_WORD
+    out = [np.zeros_like(symbols)]
+    for _ in range(depth):
+        farther = np.zeros_like(symbols)
+        farther[1:] = out[-1][:-1]
+        out.append(_turned(farther) ^ before)
+    return place, out
+
+
+def _salted(keys: np.ndarray, k: int, pair: bool) -> np.ndarray:
+    return keys ^ np.uint64(_salt(k, pair) % 2**64)
+
+
+def _salt(k: int, pair: bool) -> int:
+    """What tells the states and pairs of each length apart in one table, as a signed number."""
+    return int(mixed(np.array([2 * k + pair + 1], dtype=np.uint64)).view(np.int64)[0])
+
+
+def _places(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys) >> np.uint64(64 - GATE_BITS)
+
+
+def gate(keys: DataFrame) -> np.ndarray:
+    """Bits of a fixed number, one of which is set for each of the keys."""
 
     def run(batches):
-        tree = model.value
-        known, weight, inside = words.value
         for batch in batches:
-            for row, data, starts in text_slices(batch.column(1)):
-                texts = len(starts) - 1
-                text, hashes = _words(data, starts)
-                place = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                hit = known[place] == hashes if len(known) else np.zeros(len(hashes), dtype=bool)
+            places = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            word, first = np.unique(places >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first) if len(first) else places
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    rows = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << GATE_BITS - 6, dtype=np.uint64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    places = _places(keys)
+    return bits[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1) == 1
+
+
+def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is one of the sorted known ones, and where."""
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[place] == keys, place
+
+
+def _symbolised(batch: pa.RecordBatch, column: int, names: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Row of the first text, texts, and text number, hash and symbol of every token, slice by slice. The column after the text has the text's words with a symbol besides ``names``."""
+    own = batch.column(column + 1).flatten()
+    own = np.unique(own.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    for row, data, starts in text_slices(batch.column(column)):
+        text, hashes = _words(data, starts)
+        named = _among(names, hashes)[0] | _among(own, hashes)[0]
+        yield row, len(starts) - 1, text, hashes, np.where(named, hashes, np.uint64(OTHER_WORD))
+
+
+def _level_counts(names, k: int, bits, most: int = 1 << 20):
+    """(key, context, short, times) of symbols after contexts of ``k`` that pass; ``short`` is the key of the suffix and the symbol."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def merged():
+            keys, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
+            times = np.bincount(at, np.concatenate([h[3] for h in held]), minlength=len(keys)).astype(np.int64)
+            return [keys, *(np.concatenate([h[j] for h in held])[first] for j in (1, 2)), times]
+
+        def out(columns):
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in columns], ["key", "context", "short", "times"])
+
+        for batch in batches:
+            for _, _, text, _, symbols in _symbolised(batch, 0, names.value):
+                place, context = context_keys(text, symbols, k)
+                at = place >= k - 1
+                if bits is not None:
+                    at[at] = passes(bits.value, context[k][at])
+                key, first, times = np.unique(_turned(context[k][at]) ^ symbols[at], return_index=True, return_counts=True)
+                held.append([key, context[k][at][first], (_turned(context[k - 1][at]) ^ symbols[at])[first], times.astype(np.int64)])
+                if len(held) == 16:
+                    held[:] = [merged()]
+                    if len(held[0][0]) > most:
+                        yield out(held[0])
+                        held.clear()
+        if held:
+            yield out(merged())
+
+    return run
+
+
+def tables(training: DataFrame, names, alphabet: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+    """(key, value, times): log10 of what every state gives to its suffix's chances, and what every pair of state and symbol adds to that.
+
+    ``training`` has text and its further words with a symbol; ``alphabet`` key, times and root, the chance of every symbol.
+    """
+    spark = training.sparkSession
+    level = alphabet.select("key", F.lit(0).cast("long").alias("context"), "times", "root", F.col("root").alias("chance"))
+    levels, states = [], []
+    for k in range(1, depth + 1):
+        admitted = level.where(F.col("times") >= least) if k == 1 else level.where((F.col("times") >= least) & (_symbol() != END_WORD))
+        admitted = admitted.select(F.col("key").alias("context"), F.col("times").alias("all"))  # a context stands before a symbol as often as it occurs
+        bits = None if k == 1 else spark.sparkContext.broadcast(gate(admitted.select("context")))
+        counts = training.mapInArrow(_level_counts(names, k, bits), LEVEL).groupBy("key").agg(F.first("context").alias("context"), F.first("short").alias("short"), F.sum("times").alias("times"))
+        all_of = F.lit(None).cast("long") if k == 1 else F.col("all")
+        wider = level.select(F.col("key").alias("short"), F.col("times").alias("short_times"), all_of.alias("short_all"), "root", F.col("chance").alias("lower"))
+        own = counts.join(admitted, "context").join(wider, "short")
+        wide = F.col("root") if k == 1 else (F.col("short_times") + PULL * F.col("root")) / (F.col("short_all") + PULL)
+        left_out = (F.col("times") - 1 + PULL * wide) / (F.col("all") - 1 + PULL)
+        level = stored(own.select(
+            "key", "context", _turn_back(F.col("short").bitwiseXOR(_symbol())).alias("suffix"), "times", "all", "root", "lower",
+            ((F.col("times") + PULL * F.col("lower")) / (F.col("all") + PULL)).alias("chance"), (F.col("times") * F.log2(left_out / wide)).alias("gain")), "level")
+        levels.append(level)
+        states.append(stored(level.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("all").alias("all"), F.sum("gain").alias("gain")), "states"))
+    out, longer = [], None
+    for k in range(depth, 0, -1):
+        kept = states[k - 1].where(F.col("gain") >= divergence)
+        if longer is not None:
+            wanted = longer.select(F.col("suffix").alias("context")).union(kept.select("context")).distinct()
+            kept = states[k - 1].join(wanted, "context", "left_semi")
+        kept = longer = stored(kept.select("context", "suffix", "all"), "kept")
+        back = F.log10(F.lit(PULL) / (F.col("all") + PULL))
+        out.append(kept.select(F.col("context").bitwiseXOR(F.lit(_salt(k, False))).alias("key"), back.alias("value"), F.col("all").alias("times")))
+        pairs = levels[k - 1].join(kept.select("context"), "context", "left_semi")
+        out.append(pairs.select(F.col("key").bitwiseXOR(F.lit(_salt(k, True))).alias("key"), (F.log10(F.col("chance") / F.col("lower")) - back).alias("value"), "times"))
+    both = out[0]
+    for more in out[1:]:
+        both = both.union(more)
+    return stored(both, "weights")
+
+
+def _inline_from(weights: DataFrame, most: int) -> int:
+    """The number of times from which on at most ``most`` rows are, a power of 2 ** (1 / 8)."""
+    step = F.floor(F.log2(F.col("times").cast("double")) * 8)
+    total, least = 0, 2**62
+    for row in sorted(weights.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = int(np.ceil(2 ** (row.step / 8) - 1e-9))
+    return least
+
+
+def _score(names, words, inline, bits):
+    """Per text: tokens; over the words and weights sent along known tokens, base sum and score; the other words, and the other keys that may have a weight, with their times."""
+
+    def grouped(owner, keys, texts):
+        order = np.lexsort((keys, owner))
+        own, key = owner[order], keys[order]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        cuts = pa.array(np.searchsorted(own[at], np.arange(texts + 1)), pa.int32())
+        return [pa.ListArray.from_arrays(cuts, pa.array(key[at].view(np.int64), pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(own))), pa.int64()))]
+
+    def run(batches):
+        known, weight, root = words.value
+        heavy, value = inline.value
+        for batch in batches:
+            for row, texts, text, hashes, symbols in _symbolised(batch, 1, names.value):
+                hit, place = _among(known, hashes)
                 base = np.bincount(text[hit], weight[place[hit]], minlength=texts)
-                symbols = tree.alphabet.of(hashes)
-                chance = tree.log_chances(text, symbols)
-                shared = hit & (symbols == OTHER)
-                chance[shared] += inside[place[shared]]
-                order = np.lexsort((hashes[~hit], text[~hit]))
-                own, rare = text[~hit][order], hashes[~hit][order]
-                new = np.ones(len(own), dtype=bool)
-                new[1:] = (own[1:] != own[:-1]) | (rare[1:] != rare[:-1])
-                at = np.flatnonzero(new)
-                cuts = pa.array(np.searchsorted(own[at], np.arange(texts + 1)), pa.int32())
+                score = np.bincount(text[hit], root[place[hit]], minlength=texts)
+                place, context = context_keys(text, symbols, DEPTH)
+                owners, keys, at = [], [], np.arange(len(symbols))
+                for k in range(1, DEPTH + 1):
+                    at = at[place[at] >= k - 1]
+                    for pair in (False, True):
+                        own = _salted(_turned(context[k][at]) ^ symbols[at] if pair else context[k][at], k, pair)
+                        may = passes(bits.value, own)
+                        if not pair:  # without a state there is no pair and no longer state
+                            at, own, may = at[may], own[may], may[may]
+                        there, where = _among(heavy, own[may])
+                        score += np.bincount(text[at[may][there]], value[where[there]], minlength=texts)
+                        owners.append(text[at[may][~there]])
+                        keys.append(own[may][~there])
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(row, texts), pa.array(np.bincount(text, minlength=texts), pa.int64()), pa.array(np.bincount(text[hit], minlength=texts), pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(np.bincount(text, chance, minlength=texts), pa.float64()),
-                    pa.ListArray.from_arrays(cuts, pa.array(rare[at].view(np.int64), pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(own))), pa.int64())),
-                ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_times"])
+                    pa.array(base, pa.float64()), pa.array(score, pa.float64()), *grouped(text[~hit], hashes[~hit], texts), *grouped(np.concatenate(owners), np.concatenate(keys), texts),
+                ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_times", "far", "far_times"])
 
     return run
 
 
-def _root(facts, symbol_counts: np.ndarray, symbol_words: int) -> tuple[np.ndarray, float, float, float]:
-    """log10 chances of the symbols in the empty context; the discount; chance of the shared symbol; chance of all unseen words."""
-    n, v = max(facts.n, 1), facts.v
-    if not facts.n:
-        return np.full(SYMBOLS, -np.log10(SYMBOLS)), 0.5, 1 / SYMBOLS, 1 / SYMBOLS
-    discount = min(0.9, max(0.1, facts.once / v))
-    unseen = discount * v / n
-    chance = np.maximum(symbol_counts - discount, 0) / n
-    chance[OTHER] = (symbol_counts[OTHER] - discount * (v - symbol_words)) / n + unseen
-    chance = np.maximum(chance, 1e-12)
-    return np.log10(chance / chance.sum()), discount, float(chance[OTHER]), unseen
+def _rare_words(known):
+    """(row, key) of the distinct words of every text that are not among the known ones."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, data, starts in text_slices(batch.column(1)):
+                text, hashes = _words(data, starts)
+                rare = ~_among(known.value, hashes)[0]
+                own, key = text[rare], hashes[rare]
+                order = np.lexsort((key, own))
+                own, key = own[order], key[order]
+                new = np.ones(len(own), dtype=bool)
+                new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[row + own[new]], pa.int64()), pa.array(key[new].view(np.int64), pa.int64())], ["row", "key"])
+
+    return run
+
+
+def _with_names(texts: DataFrame, known, vocabulary: DataFrame) -> DataFrame:
+    """``texts`` with the words of each that have a symbol and are not among the known ones."""
+    rows = stored(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
+    rare = rows.select("row", "text").mapInArrow(_rare_words(known), "row long, key long")
+    named = rare.join(vocabulary.where(F.col("times") >= LEAST).select("key"), "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("named"))
+    return stored(rows.join(named, "row", "left").select("doc_id", "text", "named"), "named")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    send = spark.sparkContext.broadcast
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     training = texts.where(f"not ({FOLD})").select("text")
     vocabulary = stored(training.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("times").alias("times")), "words")
-    facts = vocabulary.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("times") == 1).alias("once")).first()
+    has_symbol = (F.col("times") >= LEAST) | (F.col("key") == END_WORD)
+    facts = vocabulary.agg(
+        F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("times") == 1).alias("once"),
+        F.count_if(has_symbol).alias("symbols"), F.coalesce(F.sum(F.when(~has_symbol, F.col("times"))), F.lit(0)).alias("other")).first()
     top = vocabulary.orderBy(F.desc("times"), "key").limit(SENT).toArrow()
     hashes, times = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["times"].to_numpy().astype(np.int64)
-    named = np.flatnonzero(hashes != END_WORD)[: SYMBOLS - 2]
-    own = np.append(hashes[named], np.uint64(END_WORD))
-    own_symbols = np.append(np.arange(1, len(named) + 1), END)
-    rising = np.argsort(own)
-    alphabet = Alphabet(own[rising], own_symbols[rising])
-    counts = np.zeros(SYMBOLS)
-    counts[1 : len(named) + 1] = times[named]
-    counts[END] = times[hashes == END_WORD].sum()
-    counts[OTHER] = facts.n - counts.sum()
-    root, discount, shared, unseen = _root(facts, counts, len(named) + int(facts.n > 0))
-    names = spark.sparkContext.broadcast(alphabet)
-
-    def count_level(levels):
-        known = spark.sparkContext.broadcast(levels)
-        return stored(training.mapInArrow(_next_counts(names, known), COUNTS).groupBy("key").agg(F.sum("times").alias("times")), "follows")
-
-    tree = spark.sparkContext.broadcast(grow(spark, count_level, alphabet, counts, root))
-    scale, n = np.log10(facts.n + facts.v + 1.0), float(max(facts.n, 1))
     rising = np.argsort(hashes)
-    inside = np.log10(np.maximum(times - discount, 1e-12) / n / shared)
-    words = spark.sparkContext.broadcast((hashes[rising], (np.log10(times + 1.0) - scale)[rising], inside[rising]))
-    rows = texts.mapInArrow(_score(tree, words), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, rare_times array<long>")
+    hashes, times = hashes[rising], times[rising]
+    n, v = max(facts.n, 1), max(facts.v, 1)
+    discount = min(0.9, max(0.1, facts.once / v))
+    unseen = discount * v / n if facts.n else 0.5  # the chance of all unseen words
+    scale = np.log10(facts.n + facts.v + 1.0)
+    own = np.union1d(hashes[(times >= LEAST) | (hashes == END_WORD)], np.array([END_WORD], dtype=np.uint64))
+    names, known = send(own), send(hashes)
+    if facts.symbols > len(own):
+        texts = _with_names(texts, known, vocabulary)
+    else:
+        texts = texts.withColumn("named", F.lit(None).cast("array<long>"))
+    root = (F.col("times") - F.lit(float(discount))) / F.lit(float(n))
+    shared = (facts.other - discount * (facts.v - facts.symbols)) / n + unseen
+    alphabet = vocabulary.where(has_symbol).select("key", "times", root.alias("root"))
+    if facts.n:
+        alphabet = alphabet.union(spark.createDataFrame([(OTHER_WORD, int(facts.other), float(shared))], "key long, times long, root double"))
+    weights = tables(texts.where(f"not ({FOLD})").select("text", "named"), names, stored(alphabet, "alphabet"), DEPTH, LEAST, DIVERGENCE)
+    from_times = _inline_from(weights, INLINE)
+    heavy = weights.where(F.col("times") >= from_times).select("key", "value").toArrow()
+    keys, value = heavy["key"].to_numpy().astype(np.int64).view(np.uint64), heavy["value"].to_numpy().astype(float)
+    rising = np.argsort(keys)
+    inline, bits = send((keys[rising], value[rising])), send(gate(weights.select("key")))
+    words = send((hashes, np.log10(times + 1.0) - scale, np.log10(np.maximum(times - discount, 1e-12) / n)))
+    rows = texts.mapInArrow(_score(names, words, inline, bits), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, rare_times array<long>, far array<long>, far_times array<long>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_times").alias("n"))
     rare = rare.join(vocabulary, "key", "left").withColumn("c", F.coalesce("times", F.lit(0)))
-    share = F.when(F.col("c") > 0, F.log10((F.col("c") - F.lit(discount)) / F.lit(n * shared))).otherwise(F.lit(float(np.log10(unseen / shared))))
+    chance = F.when(F.col("c") > 0, F.log10((F.col("c") - F.lit(float(discount))) / F.lit(float(n)))).otherwise(F.lit(float(np.log10(unseen))))
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(1.0)) - F.lit(float(scale)))).alias("more_base"),
-        F.sum(F.col("n") * share).alias("more_score"))
-    out = rows.drop("rare", "rare_times").join(rare, "row", "left")
+        F.sum(F.col("n") * chance).alias("more_score"))
+    far = rows.select("row", F.explode(F.arrays_zip("far", "far_times")).alias("w")).select("row", F.col("w.far").alias("key"), F.col("w.far_times").alias("n"))
+    far = far.join(weights.where(F.col("times") < from_times).select("key", "value"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("far_score"))
+    out = rows.drop("rare", "rare_times", "far", "far_times").join(rare, "row", "left").join(far, "row", "left")
     return out.select(
         "doc_id", F.expr(FOLD).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(facts.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"))
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + F.coalesce("far_score", F.lit(0.0))).alias("score"))
