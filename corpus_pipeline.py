@@ -1,8 +1,8 @@
 """From raw documents to token files: five stages, each over all that the stage before it kept.
 
 A stage takes (spark, docs, folder) and returns a DataFrame, which is written as Parquet and read again as the next stage's
-``docs``. All stages but the last return the columns of ``docs``. Rows without an id can't be joined back to a decision on
-their text: near duplicates among them stay, and so do contaminated ones.
+``docs``. All stages but the last return the columns of ``docs``. Where a decision on a text is joined back to it, the rows get a
+stored number of their own first, so rows without an id, or with the id of another text, are judged like all others.
 """
 
 from __future__ import annotations
@@ -21,18 +21,28 @@ def good_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return scored.where(F.col("score") >= queries.GOOD).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, stored, and the name of its column."""
+    name = "row_number"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One text of each class of near duplicates: the one with the smallest id."""
-    classes = similar.near_duplicates(docs)
-    kept = docs.join(classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """One text of each class of near duplicates: the one with the smallest id, then the smallest md5 of its text, then the smallest row number; no id comes last."""
+    rows, number = numbered(docs)
+    classes = similar.near_duplicates(rows, id_col=number).select(F.col("doc_id").alias(number), "component_id")
+    order = rows.select(number, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.md5("text").alias("digest"), number).alias("place"))
+    first = classes.join(order, number).groupBy("component_id").agg(F.min("place").alias("place")).select(F.col(f"place.{number}").alias(number))
+    return rows.join(first, number, "left_semi").select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts that the benchmark's windows don't cover by a twentieth or more."""
-    hits = decontam.contamination(docs, queries.table(spark, folder, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    rows, number = numbered(docs)
+    hits = decontam.contamination(rows, queries.table(spark, folder, "benchmark"), id_col=number).where("contaminated").select(F.col("doc_id").alias(number))
+    return rows.join(hits, number, "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
