@@ -1,12 +1,14 @@
 """Secret scans whose false positives a random forest removes.
 
-A candidate is a run of at least ``SHORTEST`` characters of [A-Za-z0-9+/_=.-] with a digit in it. Its features are its length, the
+A candidate is a run of at least ``SHORTEST`` characters of [A-Za-z0-9+/_=.-] with a digit in it; a value of any length and characters,
+quoted or unbroken, after a name of secrets with : or =; or the password part of an address. Its features are its length, the
 shares of character classes and of changes between them, entropy, how well the letters follow the letter triples of ordinary words,
 path and address marks, and the words before it. The dictionary is the number of times each of 26 ** 3 letter triples occurs in the
 words of all texts, a table of fixed size.
 
 The forest is trained on labelled findings (id, start, end, secret). ``known_findings`` makes them where there are none: candidates in
-formats that are only secrets, or only not, are labelled, and the format itself is no feature. Training takes at most ``SAMPLE``
+formats that are only secrets, or only not, are labelled, and the format itself is no feature. What has the format of no secret but
+stands after the name of one is left to the forest, and so is the password part of an address. Training takes at most ``SAMPLE``
 findings, those with the smallest hash.
 
 Defined cases: null and empty texts have no candidates. Null ids keep their rows. Repeated rows give repeated findings. Without
@@ -34,10 +36,16 @@ SAMPLE = 20000
 TREES, TREE_DEPTH = 24, 6
 FEATURES = ["length", "digits", "upper", "lower", "marks", "changes", "entropy", "dictionary", "distinct", "slashes", "dots", "only_digits", "hex", "assigned", "quoted", "named", "named_near", "address"]
 COLUMNS = ["doc_id", "start", "end", "candidate", *FEATURES]
+_ASSIGNED, _NAMED, _ADDRESS = (FEATURES.index(f) for f in ("assigned", "named", "address"))
 SCHEMA = "doc_id long, start long, end long, candidate string, " + ", ".join(f"{f} double" for f in FEATURES)
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=.\-]{%d,}" % SHORTEST)
 _NAME = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer", re.I)
+#: A word with : or = after it, the value there, and the password part of an address, in bytes
+_SET = re.compile(rb"(?<![A-Za-z0-9_.\-])([A-Za-z0-9_.\-]++)[\"'`\])]{0,2}\s*+[:=]{1,2}>?\s*+")
+_VALUE = re.compile(rb"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|[\"'`]?([^\s\"'`]\S*)")
+_LOGIN = re.compile(rb"://[^\s/?#@:]*:([^\s/?#]+)@")
+_AFTER_VALUE = b".,;\"'`)]}>"
 _HEX = re.compile(r"[0-9a-f]+")
 _OTHER = np.ones(256, dtype=bool)
 _OTHER[[*range(48, 58), *range(65, 91), *range(97, 123), 43, 47, 95, 61, 46, 45]] = False
@@ -99,6 +107,24 @@ def describe(candidate: str, before: str, after: str, triples: np.ndarray) -> li
     ]
 
 
+def _named_values(data: bytes, starts: np.ndarray) -> Iterator[tuple[int, int, bool]]:
+    """First byte and end of every value after a name of secrets, and of the password part of every address, which is told."""
+    for found in _SET.finditer(data):
+        if _NAME.search(found[1].decode()):
+            text = int(np.searchsorted(starts, found.start(), "right"))
+            stop = int(starts[text]) - 1
+            value = _VALUE.match(data, found.end(), stop) if found.end() < stop else None
+            if value:
+                kind = value.lastindex
+                a, b = value.span(kind)
+                if kind == 4:
+                    b = a + len(value[4].rstrip(_AFTER_VALUE))
+                if b > a:
+                    yield a, b, False
+    for found in _LOGIN.finditer(data):
+        yield *found.span(1), True
+
+
 def _candidates(triples: np.ndarray):
     def run(batches):
         for batch in batches:
@@ -107,40 +133,48 @@ def _candidates(triples: np.ndarray):
                 first, last = spans(data, _OTHER)
                 digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
                 take = (last - first >= SHORTEST) & (digits[last] > digits[first])
-                first, last = first[take], last[take]
-                text = np.searchsorted(starts, first, "right") - 1
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for a, b, t in zip(first.tolist(), last.tolist(), text.tolist()):
-                    begin, stop = int(starts[t]), int(starts[t + 1]) - 1
+                found = {}  # (first byte, end): after a name of secrets, password part of an address
+                for a, b in zip(first[take].tolist(), last[take].tolist()):
                     own = data[a:b].tobytes().decode()
-                    before = data[max(begin, a - 80) : a].tobytes().decode(errors="ignore")
-                    after = data[b : min(stop, b + 20)].tobytes().decode(errors="ignore")
                     # a name and its value, as in password=..., are one run; the value is the candidate
                     cut = own.find("=") + 1
                     if 0 < cut <= len(own) - 8 and _NAME.search(own[:cut]):
-                        a, before, own = a + cut, before + own[:cut], own[cut:]
-                    own = own.rstrip(".=")
-                    b = a + len(own)
-                    rows.append((batch.column(0)[row + t].as_py(), int(points[a] - points[begin]), int(points[b] - points[begin]), own, describe(own, before, after, triples) if own else [0.0] * len(FEATURES), bool(re.search(SECRET_CONTEXT, before))))
+                        a, own = a + cut, own[cut:]
+                    found[a, a + len(own.rstrip(".="))] = (False, False)
+                for a, b, login in _named_values(data.tobytes(), starts):
+                    found[a, b] = (True, login or found.get((a, b), (False, False))[1])
+                for (a, b), (named, login) in sorted(found.items()):
+                    t = int(np.searchsorted(starts, a, "right")) - 1
+                    begin, stop = int(starts[t]), int(starts[t + 1]) - 1
+                    own = data[a:b].tobytes().decode()
+                    before = data[max(begin, a - 80) : a].tobytes().decode(errors="ignore")
+                    after = data[b : min(stop, b + 20)].tobytes().decode(errors="ignore")
+                    features = describe(own, before, after, triples) if own else [0.0] * len(FEATURES)
+                    if named:
+                        features[_ASSIGNED] = features[_NAMED] = 1.0
+                    if login:  # not the address, but what it hides
+                        features[_ADDRESS] = 0.0
+                    rows.append((batch.column(0)[row + t].as_py(), int(points[a] - points[begin]), int(points[b] - points[begin]), own, features, bool(re.search(SECRET_CONTEXT, before)), login))
             values = np.array([r[4] for r in rows], dtype=float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.string()),
-                *[pa.array(v, pa.float64()) for v in values.T], pa.array([r[5] for r in rows], pa.bool_()),
-            ], [*COLUMNS, "secret_context"])
+                *[pa.array(v, pa.float64()) for v in values.T], pa.array([r[5] for r in rows], pa.bool_()), pa.array([r[6] for r in rows], pa.bool_()),
+            ], [*COLUMNS, "secret_context", "login"])
 
     return run
 
 
 def candidates(docs: DataFrame, triples: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per candidate of every text, stored: doc_id, start, end (code points), candidate, features, and whether a name of secrets stands before it."""
+    """Row per candidate of every text, stored: doc_id, start, end (code points), candidate, features, whether a name of secrets stands before it, and whether it is the password part of an address."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(texts.mapInArrow(_candidates(triples), SCHEMA + ", secret_context boolean"), "candidates")
+    return stored(texts.mapInArrow(_candidates(triples), SCHEMA + ", secret_context boolean, login boolean"), "candidates")
 
 
 def known_findings(found: DataFrame) -> DataFrame:
     """(doc_id, start, end, secret) of the candidates whose format or context has one reading only."""
-    secret = F.col("candidate").rlike(SECRET_FORMATS) | (F.col("secret_context") & (F.col("length") >= 16))
-    other = F.col("candidate").rlike(OTHER_FORMATS) | (F.col("address") == 1)
+    secret = F.col("candidate").rlike(SECRET_FORMATS) | (F.col("secret_context") & (F.col("length") >= 16) & F.col("candidate").rlike(r"^\S*[0-9]\S*$"))
+    other = (F.col("candidate").rlike(OTHER_FORMATS) | (F.col("address") == 1)) & ~F.col("secret_context") & ~F.col("login")
     return found.withColumn("secret", F.when(secret & ~other, 1).when(other & ~secret, 0)).where("secret is not null").select("doc_id", "start", "end", "secret")
 
 
