@@ -431,8 +431,8 @@ def _score(names, words, inline, bits):
         for batch in batches:
             for row, texts, text, hashes, symbols in _symbolised(batch, 1, names.value):
                 hit, place = _among(known, hashes)
-                base = np.bincount(text[hit], weight[place[hit]], minlength=texts)
-                score = np.bincount(text[hit], root[place[hit]], minlength=texts)
+                base = np.bincount(text[hit], weight[place[hit]], minlength=texts).astype(float)  # whole numbers where no word is known
+                score = np.bincount(text[hit], root[place[hit]], minlength=texts).astype(float)
                 place, context = context_keys(text, symbols, DEPTH)
                 owners, keys, at = [], [], np.arange(len(symbols))
                 for k in range(1, DEPTH + 1):
