@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontam, mixing, pii, quality, rules, secret_scan, similar, suffix_tree, tokens, urls
+from tablewright.llm import centroids, decontam, divergence, mixing, pii, quality, rules, secret_scan, simhash, similar, suffix_tree, tokens, urls
 
 GOOD = 0.3
 HELD_OUT = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) = 0"
@@ -75,9 +75,21 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(table(spark, folder, "documents")).drop("candidate")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op12_source_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clusters(table(spark, folder, "embeddings"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_ngram_jaccard_join, op2_pii, op3_quality_rules, op4_url_filters, op5_mixing, op6_decontamination, op7_lm_scoring, op8_quality_classifier,
-    op9_token_output, op10_secret_scans)}
+    op9_token_output, op10_secret_scans, op11_simhash_near_dedup, op12_source_divergence_audit, op13_centroid_clustering)}
 
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _PLAIN = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -102,4 +114,6 @@ words AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(
 items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
+    "op12_source_divergence_audit": divergence.sql(),
+    "op13_centroid_clustering": centroids.sql(),
 }
