@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tablewright.functions import constants as K
 from tablewright.functions.text import col, name_has, norm, strip, to_double
 from tablewright.operators import cleaners as C
+from tablewright.operators import spelling
 from tablewright.operators.profile import count_flags, long_text, rows_frame, text_columns, value_key
-
-LONGEST_NAME, BANDS = 100, 32  # longest value that can be a category name; bands of hashed character pairs
+from tablewright.session import cut_lineage
 
 
 def _header(name: str) -> str:
@@ -160,56 +160,28 @@ def plain_form(x: Column) -> Column:
     return strip(F.regexp_replace(bare, f"({suffixes})$", ""))
 
 
-def block_keys(form: Column) -> Column:
-    """Keys that likely variants share: the text with one character left out, and minima of hashed character pairs.
-
-    One left-out character on either side covers every single edit. Of two longer texts whose pairs agree to a share s, one of
-    the ``BANDS`` bands of three minima agrees with chance 1 - (1 - s ** 3) ** BANDS: over 0.99 for s of 0.55.
-    """
-    dropped = F.transform(F.sequence(F.lit(0), F.length(form)), lambda i: F.concat(F.substring(form, F.lit(1), i), form.substr(i + F.lit(2), F.length(form))))
-    pairs = F.transform(F.sequence(F.lit(0), F.length(form)), lambda i: F.concat(F.lit(" "), form, F.lit(" ")).substr(i + F.lit(1), F.lit(2)))
-    bands = [F.xxhash64(F.lit(b), *[F.array_min(F.transform(pairs, lambda p, seed=3 * b + j: F.xxhash64(F.lit(seed), p))) for j in range(3)]) for b in range(BANDS)]
-    return F.concat(F.transform(dropped, lambda d: F.xxhash64(d)), F.array(*bands))
-
-
-def fuzzy_merges(df: DataFrame, longest: int = LONGEST_NAME) -> DataFrame:
-    """Likely typos and word-order variants among the values that case merging leaves, whatever their number.
+def fuzzy_merges(df: DataFrame) -> DataFrame:
+    """Likely typos and word-order variants among the values that case merging leaves, whatever their number and length.
 
-    Values meet by block key, so unlike ones are never paired. Values whose digits differ are different things. Of a pair the more
-    frequent value wins; a variant goes to its closest winner, and no winner is itself a variant. Values over ``longest`` characters
-    are prose, not names, and are left alone.
+    All pairs of a column that are alike are found (``spelling``). Values whose digits differ are different things. Of a pair the more
+    frequent value wins; a variant goes to its closest winner, and no winner is itself a variant.
     """
-    counts = _keyed(df).filter(F.length("value") <= longest).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    counts = _keyed(df).groupBy("column_name", "value").agg(F.count("*").alias("n"))
     left = counts.join(case_variant_merges(df).select("column_name", F.col("old_value").alias("value")), ["column_name", "value"], "left_anti")
     form = plain_form(F.col("value"))
-    values = left.select(
-        "column_name", "value", "n", norm(F.col("value")).alias("low"), form.alias("form"),
-        F.array_join(F.array_sort(F.split(form, r"\s+")), " ").alias("sorted"), F.regexp_replace("value", "[^0-9]", "").alias("digits"))
-    keyed = values.select("column_name", "value", "n", "low", "digits", F.explode(F.array_distinct(F.concat(block_keys(F.col("form")), block_keys(F.col("sorted"))))).alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    wins = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.value") < F.col("b.value")))
-    same = (F.col("a.column_name") == F.col("b.column_name")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.digits") == F.col("b.digits"))
-    met = a.join(b, same & wins & (F.col("a.low") != F.col("b.low"))).select("a.column_name", F.col("a.value").alias("new_value"), F.col("b.value").alias("old_value")).distinct()
-    side = values.select("column_name", "value", "n", "form", "sorted")
-    pairs = (met.join(side.select("column_name", F.col("value").alias("new_value"), F.col("n").alias("winner_n"), F.col("form").alias("a"), F.col("sorted").alias("sa")), ["column_name", "new_value"])
-             .join(side.select("column_name", F.col("value").alias("old_value"), "n", F.col("form").alias("b"), F.col("sorted").alias("sb")), ["column_name", "old_value"])
-             .select("column_name", "new_value", "winner_n", "old_value", "n", "a", "b", "sa", "sb"))
-
-    def score(batches):
-        from difflib import SequenceMatcher
-
-        def best(a: str, b: str, sa: str, sb: str) -> float:
-            if a == b:
-                return 1.0
-            return max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, sa, sb).ratio())
-
-        for pdf in batches:
-            yield pdf.assign(ratio=[best(*row) for row in pdf[["a", "b", "sa", "sb"]].itertuples(index=False)])[
-                ["column_name", "old_value", "new_value", "winner_n", "n", "a", "b", "ratio"]]
-
-    scored = pairs.mapInPandas(
-        score, "column_name string, old_value string, new_value string, winner_n long, n long, a string, b string, ratio double")
-    close = scored.filter((F.col("ratio") >= 0.85) & ~((F.levenshtein("a", "b") > 4) & (F.col("ratio") < 0.92)))
+    values = cut_lineage(left.select(
+        F.monotonically_increasing_id().alias("id"), "column_name", "value", "n", norm(F.col("value")).alias("low"), form.alias("form"),
+        F.array_join(F.array_sort(F.split(form, r"\s+")), " ").alias("sorted"), F.xxhash64("column_name", F.regexp_replace("value", "[^0-9]", "")).alias("scope")))
+    side = lambda k: values.select(F.col("id").alias(k), F.struct("column_name", "value", "n", "low", "form", "sorted", F.regexp_replace("value", "[^0-9]", "").alias("digits")).alias(f"v{k}"))
+    met = spelling.candidate_pairs(values).join(side("a"), "a").join(side("b"), "b").select(F.col("va").alias("x"), F.col("vb").alias("y"))
+    same = (F.col("x.column_name") == F.col("y.column_name")) & (F.col("x.digits") == F.col("y.digits")) & (F.col("x.low") != F.col("y.low"))
+    wins = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.value") < F.col("y.value")))
+    met = met.filter(same).select(F.when(wins, F.col("x")).otherwise(F.col("y")).alias("w"), F.when(wins, F.col("y")).otherwise(F.col("x")).alias("o"))
+    pairs = met.select(
+        "o.column_name", F.col("o.value").alias("old_value"), F.col("w.value").alias("new_value"), F.col("w.n").alias("winner_n"), "o.n",
+        F.col("w.form").alias("a"), F.col("o.form").alias("b"), F.col("w.sorted").alias("sa"), F.col("o.sorted").alias("sb"))
+    far = F.levenshtein("a", "b", spelling.EDITS) < 0
+    close = spelling.with_likeness(pairs).filter((F.col("ratio") >= spelling.LIKE) & ~(far & (F.col("ratio") < spelling.VERY_LIKE)))
     best = Window.partitionBy("column_name", "old_value").orderBy(F.desc("ratio"), F.desc("winner_n"), "new_value")
     chosen = close.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
     variants = chosen.select("column_name", F.col("old_value").alias("new_value"))
