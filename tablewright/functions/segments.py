@@ -13,9 +13,17 @@ from tablewright.functions.text import col
 from tablewright.session import cut_lineage
 
 
+SEGMENT_ROWS = 1 << 18
+
+
+def pieces_for(df: DataFrame) -> int:
+    """As many pieces as keep each to about ``SEGMENT_ROWS`` rows, and the cores of a small table busy."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SEGMENT_ROWS))
+
+
 def segmented(df: DataFrame, order: list[str], segments: int | None = None) -> DataFrame:
-    """``df`` with ``__segment``, rising along ``order``; as many pieces as the session has shuffle partitions, unless told."""
-    pieces = segments or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` with ``__segment``, rising along ``order``; the number of pieces follows the number of rows, unless told."""
+    pieces = segments or pieces_for(df)
     return cut_lineage(df.repartitionByRange(pieces, *[col(c) for c in order]).withColumn("__segment", F.spark_partition_id()))
 
 

@@ -61,9 +61,9 @@ def ordinal_encoding(df: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 
 def target_encoding(df: DataFrame, name: str, target: str, smoothing: float = 20.0) -> DataFrame:
-    """Category mean pulled towards the overall mean when the category is rare."""
-    overall = df.agg(F.avg(P.as_double(df, target)).alias("m")).first().m
+    """Category mean pulled towards the overall mean when the category is rare; null where no row has a target."""
     y = P.as_double(df, target)
+    overall = F.lit(df.agg(F.avg(y).alias("m")).first().m).cast("double")
     means = df.groupBy(col(name).alias("__value")).agg(((F.sum(y) + smoothing * overall) / (F.count(y) + smoothing)).alias(f"{name}_target"))
     return df.join(means, col(name).eqNullSafe(F.col("__value")), "left").drop("__value")
 
@@ -110,7 +110,7 @@ def suspicious_columns(df: DataFrame, p: P.TableProfile, order: str | None = Non
         out = out.unionByName(packed.filter("packed > 0.2 * present").select("column_name", F.lit("delimiter_packed").alias("issue")))
     if order:
         others = [n for n in P.numeric_columns(df) if n != order]
-        r = P.correlations(df.select(col(order), *[col(n) for n in others])).filter(c("col1") == order)
+        r = P.correlations(df.select(col(order), *[col(n) for n in others]), against=order)
         out = out.unionByName(r.filter(F.abs("r") > 0.95).select(c("col2").alias("column_name"), F.lit("index_correlated").alias("issue")))
     return out
 
@@ -125,7 +125,7 @@ def class_imbalance(df: DataFrame, label: str) -> DataFrame:
 
 def target_leakage(df: DataFrame, target: str, limit: float = 0.95) -> DataFrame:
     """Features whose correlation with the target is too good."""
-    r = P.correlations(df).filter((F.col("col1") == target) | (F.col("col2") == target)).filter(F.abs("r") > limit)
+    r = P.correlations(df, against=target).filter(F.abs("r") > limit)
     return r.select(F.when(F.col("col1") == target, F.col("col2")).otherwise(F.col("col1")).alias("column_name"), F.round("r", 3).alias("correlation"))
 
 
@@ -173,16 +173,17 @@ def timezone_mixing(df: DataFrame) -> DataFrame:
 
 
 def distribution_drift(df: DataFrame, value: str, second: Column, segments: int | None = None) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance, means and deviations of two parts of a table."""
+    """Two-sample Kolmogorov-Smirnov distance and means of two parts of a table; without values on both sides no distance and no drift."""
     x = df.select(P.as_double(df, value).alias("v"), second.cast("int").alias("later")).filter("v IS NOT NULL AND later IS NOT NULL")
     counts = x.groupBy("v").agg(F.sum(1 - F.col("later")).alias("a"), F.sum("later").alias("b"))
     sums = x.agg(F.sum(1 - F.col("later")).alias("n_before"), F.sum("later").alias("n_after"),
                  F.avg(F.when(F.col("later") == 0, F.col("v"))).alias("mean_before"), F.avg(F.when(F.col("later") == 1, F.col("v"))).alias("mean_after")).first()
-    gap = F.abs(F.col("upto_a") / F.lit(sums.n_before) - F.col("upto_b") / F.lit(sums.n_after))
-    reach = 1.358 * ((sums.n_before + sums.n_after) / (sums.n_before * sums.n_after)) ** 0.5  # 5 % level
+    n, m = sums.n_before or 0, sums.n_after or 0
+    gap = F.abs(F.try_divide("upto_a", F.lit(n)) - F.try_divide("upto_b", F.lit(m)))
+    reach = 1.358 * ((n + m) / (n * m)) ** 0.5 if n and m else float("inf")  # 5 % level
     return cumulative(counts, "v", ["a", "b"], segments).agg(F.max(gap).alias("ks")).select(
-        F.lit(value).alias("column_name"), F.round("ks", 6).alias("ks_distance"), F.round(F.lit(sums.mean_before), 4).alias("mean_before"),
-        F.round(F.lit(sums.mean_after), 4).alias("mean_after"), (F.col("ks") > reach).alias("drifted"))
+        F.lit(value).alias("column_name"), F.round("ks", 6).alias("ks_distance"), F.round(F.lit(sums.mean_before).cast("double"), 4).alias("mean_before"),
+        F.round(F.lit(sums.mean_after).cast("double"), 4).alias("mean_after"), F.coalesce(F.col("ks") > reach, F.lit(False)).alias("drifted"))
 
 
 def schema_frame(df: DataFrame) -> DataFrame:

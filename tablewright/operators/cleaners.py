@@ -184,10 +184,11 @@ WHITESPACE = Cleaner(
 
 
 def prefix_cleaner(extra: tuple[str, ...] = ()) -> Cleaner:
-    prefixes = K.LABEL_PREFIXES + [p.lower() for p in extra]
+    extra = [p.lower() for p in extra]
+    prefixes = K.LABEL_PREFIXES + extra
     pattern = prefix_pattern(prefixes)
     return Cleaner(
-        "text_prefixes", "STRIP_TEXT_PREFIXES", 95,
+        with_option("text_prefixes", extra or None), "STRIP_TEXT_PREFIXES", 95,
         lambda x: {"prefixed": strip(x).rlike(pattern)},
         lambda t, n: t["prefixed"] > 0 and ratio(t, "prefixed") >= 0.3,
         lambda x, t, n: drop_prefix(x, prefixes),
@@ -361,4 +362,4 @@ def named(name: str) -> Cleaner:
     if name in EVERY:
         return EVERY[name]
     base, _, option = name.partition(":")
-    return {"null_strings": null_strings, "percentages": percentages, "years": years}[base](json.loads(option))
+    return {"null_strings": null_strings, "text_prefixes": prefix_cleaner, "percentages": percentages, "years": years}[base](json.loads(option))

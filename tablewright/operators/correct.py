@@ -194,24 +194,42 @@ def category_merges(df: DataFrame, fuzzy: bool = True) -> DataFrame:
     return merges.unionByName(fuzzy_merges(df)) if fuzzy else merges
 
 
+MAPPED_BYTES = 4 << 20  # largest mapping that is broadcast
+
+
 def apply_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Exact-value replacement from (column_name, old_value, new_value) rows.
+    """Exact-value replacement from (column_name, old_value, new_value) rows, all columns in one pass.
 
-    Each column is joined by value; Spark broadcasts a mapping that it measures to be small and splits hot values of others. Of several new values
-    for one old value the smallest is used; ``correction_conflicts`` lists them.
+    A mapping measured to be at most ``MAPPED_BYTES`` is broadcast and looked up column by column in one stage. Beyond that the table gets stored row
+    numbers, its cells to correct meet their corrections by (column, value), and what changes comes back as one row per changed row.
+    Of several new values for one old value the smallest is used; ``correction_conflicts`` lists them.
     """
-    out = df
-    named = {r.column_name for r in corrections.select("column_name").distinct().collect()}  # one row per column
-    for c in df.columns:
-        if c not in named:
-            continue
-        kind = df.schema[c].dataType.simpleString()
-        mapping = corrections.filter(F.col("column_name") == c).groupBy(F.col("old_value").alias("__old")).agg(
-            F.min("new_value").alias("__new"))
-        joined = out.join(mapping, col(c).cast("string") == F.col("__old"), "left")
-        new = F.col("__new") if kind == "string" else F.col("__new").try_cast(kind)
-        out = joined.select(*[(F.coalesce(new, col(x)).alias(x) if x == c else col(x)) for x in df.columns])
-    return out
+    text = {c: df.schema[c].dataType.simpleString() for c in df.columns}
+    wanted = corrections.filter(F.col("column_name").isin(*df.columns) & F.col("old_value").isNotNull() & F.col("new_value").isNotNull())
+    mapping = wanted.groupBy("column_name", "old_value").agg(F.min("new_value").alias("new_value"))
+    facts = mapping.agg(F.coalesce(F.sum(F.octet_length("old_value") + F.octet_length("new_value") + F.lit(64)), F.lit(0)).alias("bytes"), F.collect_set("column_name").alias("columns")).first()
+    named = [c for c in df.columns if c in facts.columns]
+    if not named:
+        return df
+
+    def corrected(new: Column, c: str) -> Column:
+        return F.coalesce(new if text[c] == "string" else new.try_cast(text[c]), col(c)).alias(c)
+
+    if facts.bytes <= MAPPED_BYTES:
+        rows: dict[str, list] = {c: [] for c in named}
+        for r in mapping.collect():
+            rows[r.column_name].append((r.old_value, r.new_value))
+        out = df
+        for i, c in enumerate(named):  # hash lookups of one stage, nothing is shuffled
+            small = F.broadcast(df.sparkSession.createDataFrame(rows[c], f"__old{i} string, __new{i} string"))
+            out = out.join(small, col(c).cast("string") == F.col(f"__old{i}"), "left")
+        return out.select(*[corrected(F.col(f"__new{named.index(c)}"), c) if c in named else col(c) for c in df.columns])
+    numbered = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).cast("string").alias("old_value")) for c in named]))
+    changed = numbered.select("__row", cells.alias("cell")).select("__row", "cell.*").join(mapping, ["column_name", "old_value"])
+    changed = changed.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "new_value"))).alias("__new"))
+    joined = numbered.join(changed, "__row", "left")
+    return joined.select(*[corrected(F.try_element_at("__new", F.lit(c)), c) if c in named else col(c) for c in df.columns])
 
 
 def correction_conflicts(corrections: DataFrame) -> DataFrame:
@@ -230,14 +248,13 @@ def correction_counts(df: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def merge_categories(df: DataFrame, threshold: float = 0.90, fuzzy: bool = True) -> tuple[DataFrame, list[dict]]:
-    """Apply the merges that are sure enough. One row per merge comes back; a column of many merges is joined, not compiled in."""
-    merges = [r for r in category_merges(df, fuzzy).collect() if r.confidence >= threshold]
-    audit = [{"step": i, "action": "MERGE_CATEGORY", "column_name": r.column_name, "rows_affected": r.n,
-              "confidence": int(round(r.confidence * 100)), "source": "deterministic"} for i, r in enumerate(merges)]
-    if not merges:
-        return df, []
-    sure = df.sparkSession.createDataFrame([(r.column_name, r.old_value, r.new_value) for r in merges], "column_name string, old_value string, new_value string")
-    return apply_corrections(df, sure), audit
+    """Apply the merges that are sure enough. They stay a stored table; the audit has one row per column and kind of merge."""
+    sure = cut_lineage(category_merges(df, fuzzy).filter(F.col("confidence") >= threshold))
+    told = sure.groupBy("column_name", "type").agg(F.sum("n").alias("n"), F.count("*").alias("merges"), F.min("confidence").alias("least")).collect()
+    order = {c: i for i, c in enumerate(df.columns)}
+    audit = [{"step": i, "action": "MERGE_CATEGORY", "column_name": r.column_name, "rows_affected": r.n, "confidence": int(round(r.least * 100)),
+              "source": "deterministic", "detail": f"{r.merges} values merged, {r.type}"} for i, r in enumerate(sorted(told, key=lambda r: (order[r.column_name], r.type)))]
+    return (apply_corrections(df, sure), audit) if told else (df, [])
 
 
 def value_frequency_sample(df: DataFrame, head: int = 15, tail: int = 15) -> DataFrame:

@@ -195,17 +195,18 @@ def histograms(df: DataFrame, columns: list[str] | None = None, bins: int = 30)
     columns = P.numeric_columns(df) if columns is None else columns
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, bin int, n long")
-    long = P.long_numbers(df, columns).filter(F.col("value").isNotNull())
-    ends = {r.column_name: (r.a, r.b) for r in long.groupBy("column_name").agg(F.min("value").alias("a"), F.max("value").alias("b")).collect()}
-    spread = {c: (a - 0.5, b + 0.5) if a == b else (a, b) for c, (a, b) in ends.items()}
-    cells = F.create_map(*[x for c, (a, b) in spread.items() for x in (F.lit(c), F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")))])
-    a, b, v = F.col("ends.a"), F.col("ends.b"), F.col("value")
+    found = P.long_numbers(df, columns).groupBy("column_name").agg(F.min("value").alias("a"), F.max("value").alias("b")).filter("a IS NOT NULL").collect()
+    if not found:
+        return df.sparkSession.createDataFrame([], "column_name string, bin int, n long")
+    spread = {r.column_name: (r.a - 0.5, r.b + 0.5) if r.a == r.b else (r.a, r.b) for r in found}
+    cells = [x for c, (low, high) in spread.items() for x in (F.lit(c), P.as_double(df, c), F.lit(float(low)), F.lit(float(high)))]
+    a, b, v = F.col("a"), F.col("b"), F.col("value")
     step = (b - a) / bins
     first = F.least(F.floor((v - a) * (F.lit(float(bins)) / (b - a))), F.lit(bins - 1))
     down = F.when(v < a + F.col("bin") * step, 1).otherwise(0)
     up = F.when((F.col("bin") < bins - 1) & (v >= a + (F.col("bin") + 1) * step), 1).otherwise(0)
     return (
-        long.withColumn("ends", cells[F.col("column_name")])
+        df.select(F.stack(F.lit(len(spread)), *cells).alias("column_name", "value", "a", "b")).filter(v.isNotNull())
         .withColumn("bin", first)
         .withColumn("bin", (F.col("bin") - down + up).cast("int"))
         .groupBy("column_name", "bin").agg(F.count("*").alias("n")))

@@ -8,7 +8,6 @@ is tiny and the plan does not grow with the table's width.
 from __future__ import annotations
 
 import datetime as dt
-import itertools
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -77,12 +76,14 @@ def row_digest(df: DataFrame) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *cells).alias(f"__row{seed}") for seed in (1, 2)]
 
 
-def unpivot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Long form (column_name, value) of same-typed columns.
+def unpivot(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:
+    """Long form (column_name, value) of same-typed columns; of no columns, no rows with values of that ``kind``.
 
     ``stack`` keeps its output in local variables of the generated code, where later stages of
     many expressions still compile.
     """
+    if not columns:
+        return df.select(F.lit("").alias("column_name"), F.lit(None).cast(kind).alias("value")).filter(F.lit(False))
     cells = [x for c in columns for x in (F.lit(c), col(c))]
     return df.select(F.stack(F.lit(len(columns)), *cells).alias("column_name", "value"))
 
@@ -117,7 +118,7 @@ def held(df: DataFrame):
 
 def long_numbers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     columns = numeric_columns(df) if columns is None else columns
-    return unpivot(doubles(df, columns), columns)
+    return unpivot(doubles(df, columns), columns, "double")
 
 
 def long_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -486,8 +487,8 @@ def spreads(df: DataFrame, columns: list[str]) -> dict[str, dict]:
             for r in rows.collect()}
 
 
-def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[str, dict] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns over rows where both are present.
+def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[str, dict] | None = None, against: str | None = None) -> DataFrame:
+    """Pearson correlation of every pair of numeric columns, or of every other column with ``against``, over rows where both are present.
 
     Means are subtracted first, which keeps sums of products accurate. Each task multiplies its batches into square blocks of counts, sums and products, whose
     size depends on the number of columns alone, and gives them once; summing the blocks of all tasks is one small shuffle. The plan is the same for
@@ -502,7 +503,11 @@ def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[st
     if len(usable) < 2:
         return df.sparkSession.createDataFrame([], schema)
     centred = df.select(*[(as_double(df, c) - F.lit(float(known[c]["mean"]))).alias(f"c{i}") for i, c in enumerate(usable)])
-    left, right = (np.array(x) for x in zip(*itertools.combinations(range(len(usable)), 2)))
+    if against is not None and against not in usable:
+        return df.sparkSession.createDataFrame([], schema)
+    others = list(range(len(usable))) if against is None else [usable.index(against)]
+    pairs = [(i, j) for i in range(len(usable)) for j in range(len(others)) if (i < others[j] if against is None else i != others[j])]
+    left, right = (np.array(x) for x in zip(*pairs))
 
     def blocks(batches):
         n = sx = sy = sxx = syy = sxy = 0.0
@@ -510,11 +515,13 @@ def correlations(df: DataFrame, columns: list[str] | None = None, known: dict[st
             x = np.column_stack([c.to_numpy(zero_copy_only=False).astype("float64") for c in batch.columns])
             here = (~np.isnan(x)).astype("float64")
             x = np.nan_to_num(x, nan=0.0)
-            n, sx, sxx, sxy = n + here.T @ here, sx + x.T @ here, sxx + (x * x).T @ here, sxy + x.T @ x
+            there, y = here[:, others], x[:, others]
+            n, sxy = n + here.T @ there, sxy + x.T @ y
+            sx, sxx, sy, syy = sx + x.T @ there, sxx + (x * x).T @ there, sy + here.T @ y, syy + here.T @ (y * y)
         if np.ndim(n):
-            sy, syy = sx.T, sxx.T
+            low, high = np.minimum(left, np.array(others)[right]), np.maximum(left, np.array(others)[right])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(left), pa.array(right), *[pa.array(m[left, right]) for m in (n, sx, sy, sxx, syy, sxy)]], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+                [pa.array(low), pa.array(high), *[pa.array(m[left, right]) for m in (n, sx, sy, sxx, syy, sxy)]], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
     sums = ("n", "sx", "sy", "sxx", "syy", "sxy")
     summed = centred.mapInArrow(blocks, "i long, j long, " + ", ".join(f"{s} double" for s in sums)).groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
