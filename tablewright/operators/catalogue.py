@@ -24,7 +24,7 @@ def mad_outliers(df: DataFrame, value: str, id: str, limit: float = 3.5) -> Data
     """Modified z-score from the median and the median absolute deviation, both exact."""
     s = P.measure_numbers(df, [value])[value]
     away = df.select(F.abs(P.as_double(df, value) - F.lit(s["median"])).alias("away"))
-    mad = exact_quantiles(away, P.measure_numbers(away, ["away"], quantiles=False), [0.5])["away"][0]
+    mad = exact_quantiles(away, ["away"], [0.5])["away"][0]
     score = F.try_divide(F.lit(0.6745) * (P.as_double(df, value) - F.lit(s["median"])), F.lit(mad))
     return df.select(col(id), P.as_double(df, value).alias("value"), F.round(score, 4).alias("score")).filter(F.abs("score") > limit)
 
@@ -292,7 +292,7 @@ def rfm(orders: DataFrame, customer: str, date: str, amount: str, as_of: str) ->
     per = orders.groupBy(col(customer).alias("customer")).agg(
         days.cast("long").alias("recency"), F.count("*").alias("frequency"), F.round(F.sum(col(amount)), 2).alias("monetary"))
     numbers = ["recency", "frequency", "monetary"]
-    cuts = exact_quantiles(P.doubles(per, numbers), P.measure_numbers(per, numbers, quantiles=False), [0.2, 0.4, 0.6, 0.8])
+    cuts = exact_quantiles(P.doubles(per, numbers), numbers, [0.2, 0.4, 0.6, 0.8])
 
     def score(name: str) -> Column:
         passed = sum(((F.col(name) > F.lit(c)).cast("int") for c in cuts[name]), F.lit(0))

@@ -48,8 +48,7 @@ class Fill:
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    stats = P.measure_numbers(df, columns, quantiles=False)
-    return {c: q[0] for c, q in exact_quantiles(P.doubles(df, columns), stats, [0.5]).items()}
+    return {c: q[0] for c, q in exact_quantiles(P.doubles(df, columns), columns, [0.5]).items()}
 
 
 def means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -151,13 +150,13 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 
 def winsorize(df: DataFrame, columns: list[str] | None = None, least_pct: float = 2.0) -> tuple[DataFrame, list[dict]]:
     """Clip to the 1st and 99th percentile the columns with more than 2 % outliers."""
-    stats = P.measure_numbers(df, columns)
+    stats = P.measure_numbers(df, columns, probabilities=(0.01, 0.99))
     wide = {c: s for c, s in stats.items() if s["count"] and round(s["outliers"] * 100.0 / s["count"], 2) > least_pct}
     if not wide:
         return df, []
-    limits = exact_quantiles(P.doubles(df, list(wide)), wide, [0.01, 0.99])
     out, counts = {}, []
-    for i, (c, (low, high)) in enumerate(limits.items()):
+    for i, c in enumerate(wide):
+        low, high = wide[c]["quantiles"][0.01], wide[c]["quantiles"][0.99]
         kind, x = df.schema[c].dataType, P.as_double(df, c)
         if isinstance(kind, T.IntegralType):
             low, high = round(low), round(high)

@@ -419,8 +419,7 @@ def ratio_feature(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def quantile_segments(df: DataFrame, name: str, labels: tuple[str, ...] = ("Low", "Medium", "High", "Premium")) -> DataFrame:
     """Equal-count segments; a value on a cut belongs to the lower one."""
-    stats = P.measure_numbers(df, [name], quantiles=False)
-    cuts = exact_quantiles(P.doubles(df, [name]), stats, [i / len(labels) for i in range(1, len(labels))])[name]
+    cuts = exact_quantiles(P.doubles(df, [name]), [name], [i / len(labels) for i in range(1, len(labels))])[name]
     v = P.as_double(df, name)
     segment = F.when(v.isNull(), F.lit(None).cast("string"))
     for cut, label in zip(cuts, labels):

@@ -8,6 +8,7 @@ is tiny and the plan does not grow with the table's width.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -19,7 +20,8 @@ from pyspark.sql import types as T
 
 from tablewright.functions import constants as K
 from tablewright.functions.dates import parse_date
-from tablewright.functions.quantiles import exact_quantiles
+from tablewright.functions.distincts import distincts
+from tablewright.functions.quantiles import column_facts
 from tablewright.functions.text import col, norm, numeric_looking, strip, value_key
 
 # --------------------------------------------------------------------------- column classes
@@ -191,6 +193,10 @@ def missing_by_column(df: DataFrame) -> DataFrame:
     )
 
 
+def countable_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+
+
 def cardinality_class(distinct: Column, rows: Column) -> Column:
     return (
         F.when(distinct <= 2, "Binary")
@@ -204,12 +210,13 @@ def cardinality_class(distinct: Column, rows: Column) -> Column:
 def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Distinct non-null values per column, their share of rows, and the cardinality class.
 
-    Long texts are counted by digest. ``approximate`` swaps the exact count for a sketch.
+    ``approximate`` swaps the exact count for a sketch.
     """
-    countable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    text = set(text_columns(df))
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    counted = _per_column(df, countable, {"distinct": lambda c: count(value_key(col(c)) if c in text else col(c))})
+    df, countable = with_nulls(df), countable_columns(df)
+    if approximate:
+        counted = _per_column(df, countable, {"distinct": lambda c: F.approx_count_distinct(col(c))})
+    else:
+        counted = distincts(df, {c: col(c) for c in countable}).withColumnRenamed("name", "column_name")
     return counted.select(
         "column_name",
         "distinct",
@@ -265,55 +272,41 @@ def distribution_shape(skewness: Column) -> Column:
     )
 
 
-def measure_numbers(df: DataFrame, columns: list[str] | None = None, quantiles: bool = True) -> dict[str, dict]:
-    """Moments, quartiles, fences and the counts outside them, per numeric column.
+def measure_numbers(df: DataFrame, columns: list[str] | None = None, quantiles: bool = True, probabilities: tuple[float, ...] = ()) -> dict[str, dict]:
+    """Moments, quartiles, limits of the quartiles and what lies beyond them, per numeric column: two scans, one without ``quantiles``.
 
-    Three kinds of pass, each collecting a few numbers per column: moments, quantile buckets,
-    and counts against the fences the first two gave.
+    ``probabilities`` asks for more quantiles, under ``quantiles``.
     """
     columns = numeric_columns(df) if columns is None else columns
     if not columns:
         return {}
-    with held(doubles(df, columns)) as numbers:
-        return _measure_numbers(numbers, columns, quantiles)
-
-
-def _measure_numbers(df: DataFrame, columns: list[str], quantiles: bool) -> dict[str, dict]:
-    stats = {r.column_name: r.asDict() for r in moments(df, columns).collect()}
-    stats = {c: stats.get(c, {"column_name": c, "count": 0}) for c in columns}
-    if not quantiles:
-        return stats
-    quarter = exact_quantiles(doubles(df, columns), stats, [0.25, 0.5, 0.75])
-    for c, s in stats.items():
-        s["q1"], s["median"], s["q3"] = quarter[c]
-        if s["count"]:
-            s["iqr"] = s["q3"] - s["q1"]
-            s["lower"], s["upper"] = s["q1"] - 1.5 * s["iqr"], s["q3"] + 1.5 * s["iqr"]
-            s["far_lower"], s["far_upper"] = s["q1"] - 3 * s["iqr"], s["q3"] + 3 * s["iqr"]
-    known = [c for c, s in stats.items() if s["count"]]
-    if known:
-        v = F.col("value")
-        sides = ("lower", "upper", "far_lower", "far_upper")
-        cells = [x for c in known for x in (F.lit(c), as_double(df, c), *[F.lit(float(stats[c][k])) for k in sides])]
-        outside = (v < F.col("lower")) | (v > F.col("upper"))
-        far = (v < F.col("far_lower")) | (v > F.col("far_upper"))
-        rows = (
-            df.select(F.stack(F.lit(len(known)), *cells).alias("column_name", "value", *sides))
-            .filter(outside)
-            .groupBy("column_name")
-            .agg(
-                F.count("*").alias("outliers"),
-                F.count_if(far).alias("extremes"),
-                F.min(F.when(far, v)).alias("min_extreme"),
-                F.max(F.when(far, v)).alias("max_extreme"),
-            )
-            .collect()
-        )
-        for c in known:
-            stats[c].update(outliers=0, extremes=0, min_extreme=None, max_extreme=None)
-        for r in rows:
-            stats[r.column_name].update(r.asDict())
-    return stats
+    wanted = (0.25, 0.5, 0.75, *probabilities) if quantiles else probabilities
+    facts = column_facts(doubles(df, columns), columns, wanted, (1.5, 3.0) if quantiles else ())
+    return {c: number_stats(c, facts[c]) for c in columns}
+
+
+def number_stats(name: str, facts: dict) -> dict:
+    """What ``column_facts`` found of one column, by the names of the profile."""
+    s, q = facts["summary"], facts["quantiles"]
+    out = dict.fromkeys(("total", "mean", "std", "std_pop", "min", "max", "skewness", "kurtosis", "q1", "median", "q3"))
+    out.update(column_name=name, count=s.n, quantiles=q)
+    if not s.n:
+        return out
+    n = s.n
+    g1 = math.sqrt(n) * s.m3 / s.m2**1.5 if s.m2 else 0.0
+    g2 = n * s.m4 / (s.m2 * s.m2) - 3.0 if s.m2 else 0.0
+    out.update(
+        total=s.total, mean=s.mean, min=s.low, max=s.high, std_pop=math.sqrt(s.m2 / n), std=math.sqrt(s.m2 / (n - 1)) if n > 1 else None,
+        skewness=(g1 * math.sqrt(n * (n - 1)) / (n - 2) if s.m2 else 0.0) if n >= 3 else None,
+        kurtosis=((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) if s.m2 else 0.0) if n >= 4 else None)
+    if facts["fences"]:
+        lower, upper, under, over, _, _ = facts["fences"][1.5]
+        far_lower, far_upper, far_under, far_over, below, above = facts["fences"][3.0]
+        out.update(
+            q1=q[0.25], median=q[0.5], q3=q[0.75], iqr=q[0.75] - q[0.25], lower=lower, upper=upper, far_lower=far_lower, far_upper=far_upper,
+            outliers=under + over, extremes=far_under + far_over,
+            min_extreme=s.low if far_under else above if far_over else None, max_extreme=s.high if far_over else below if far_under else None)
+    return out
 
 
 def rows_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -429,22 +422,23 @@ def count_flags(long: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return marked.groupBy("column_name").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags])
 
 
+FORMS = {"distinct": lambda x: x, "distinct_lower": F.lower, "distinct_norm": norm}
+
+
+def text_forms(columns: list[str]) -> dict[str, Column]:
+    """The values of each column as written, lower-cased, and lower-cased and stripped; three in a row per column."""
+    return {f"{i}:{k}": form(col(c)) for i, c in enumerate(columns) for k, form in FORMS.items()}
+
+
 def text_distincts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct values as written, lower-cased, and lower-cased and stripped."""
     columns = text_columns(df) if columns is None else columns
-    v = F.col("value")
-    keyed = long_text(df, columns).filter(v.isNotNull()).select(
-        "column_name", value_key(v).alias("written"), value_key(F.lower(v)).alias("lowered"), value_key(norm(v)).alias("normal"))
-    return (
-        keyed.groupBy("column_name", "written", "lowered", "normal")
-        .agg(F.count("*").alias("n"))
-        .groupBy("column_name")
-        .agg(
-            F.count("n").alias("distinct"),
-            F.count_distinct("lowered").alias("distinct_lower"),
-            F.count_distinct("normal").alias("distinct_norm"),
-        )
-    )
+    found = distincts(df, text_forms(columns))
+    if not columns:
+        return found.select(F.col("name").alias("column_name"), *[F.col("distinct").alias(k) for k in FORMS])
+    place = F.array_position(F.array(*[F.lit(n) for n in text_forms(columns)]), F.col("name")).cast("int") - 1
+    named = found.filter("present > 0").withColumn("place", place).withColumn("column_name", F.array(*[F.lit(c) for c in columns])[F.floor(F.col("place") / 3).cast("int")])
+    return named.groupBy("column_name").agg(*[F.max(F.when(F.col("place") % 3 == i, F.col("distinct"))).alias(k) for i, k in enumerate(FORMS)])
 
 
 def mixed_type_flags(df: DataFrame) -> DataFrame:
@@ -602,24 +596,25 @@ def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
         f.name: {"column_name": f.name, "position": i, "kind": kind_of(f.dataType), "dtype": f.dataType.simpleString()}
         for i, f in enumerate(df.schema.fields)
     }
-    countable = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType) and f.name not in text]
-    counts = df.agg(
-        F.count("*").alias("rows"),
-        *[F.count(col(c)).alias(f"present_{i}") for i, c in enumerate(df.columns)],
-        *[F.count_distinct(col(c)).alias(f"distinct_{df.columns.index(c)}") for c in countable],
-    ).first()
-    for i, c in enumerate(df.columns):
-        metrics[c].update(rows=counts.rows, present=counts[f"present_{i}"], missing=counts.rows - counts[f"present_{i}"])
+    countable = [c for c in countable_columns(df) if c not in text]
+    others = [c for c in df.columns if c not in countable and c not in text]  # maps: present or not is all that is counted
+    cells = {f"c:{c}": col(c) for c in countable} | {f"m:{c}": F.when(col(c).isNotNull(), F.lit(0)) for c in others} | text_forms(text)
+    counts = {r.name: r for r in distincts(df, cells).collect()}
+    rows = next((r.rows for r in counts.values()), 0)
+    for c in df.columns:
+        found = counts.get(f"{text.index(c)}:distinct" if c in text else f"c:{c}" if c in countable else f"m:{c}")
+        present = found.present if found else 0
+        metrics[c].update(rows=rows, present=present, missing=rows - present)
         if c in countable:
-            metrics[c]["distinct"] = counts[f"distinct_{i}"]
+            metrics[c]["distinct"] = found.distinct if found else 0
     for c, s in measure_numbers(df, numbers).items():
         metrics[c].update({k: v for k, v in s.items() if k != "column_name"})
     tops = []
     if text:
-        for r in text_measures(df, text).collect() + text_distincts(df, text).collect():
+        for i, c in enumerate(text):
+            metrics[c].update({k: counts[f"{i}:{k}"].distinct if counts else 0 for k in FORMS})
+        for r in text_measures(df, text).collect():
             metrics[r.column_name].update(r.asDict())
-        for c in text:
-            metrics[c].setdefault("distinct", 0)
         tops = [r.asDict() for r in restore_long_values(df, top_values(df, text, top_k)).collect()]
         tops.sort(key=lambda r: (metrics[r["column_name"]]["position"], r["rank"]))
         for r in tops:
@@ -633,7 +628,7 @@ def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
     pairs = [r.asDict() for r in correlations(df, numbers, spread).filter("r is not null").collect()]
     order = {c: i for i, c in enumerate(numbers)}
     pairs.sort(key=lambda p: (order[p["col1"]], order[p["col2"]]))
-    return TableProfile(spark, name, counts.rows, duplicates, list(metrics.values()), pairs, tops)
+    return TableProfile(spark, name, rows, duplicates, list(metrics.values()), pairs, tops)
 
 
 def date_spans(df: DataFrame) -> dict[str, tuple[int, dt.datetime | None, dt.datetime | None]]:

@@ -1,5 +1,6 @@
 """Operators that cut ordered work into pieces, against brute force."""
 
+import datetime as dt
 import math
 import random
 
@@ -28,21 +29,84 @@ def columns_of_numbers():
     }
 
 
-@pytest.mark.parametrize("buckets", [2048, 4])
-def test_exact_quantiles(spark, monkeypatch, buckets):
-    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+def quantile(values, p):
+    ordered = sorted(x for x in values if x is not None)
+    at = p * (len(ordered) - 1)
+    low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+@pytest.mark.parametrize("limits", [{}, {"SIZE": 64, "CHUNK": 200}, {"SIZE": 64, "CHUNK": 200, "MOST": 40}, {"SIZE": 16, "CHUNK": 100, "MOST": 0, "SMALL": 0}], ids=str)
+def test_exact_quantiles(spark, monkeypatch, limits):
+    """Whole columns, short summaries, and brackets too full for the driver."""
+    for name, value in limits.items():
+        monkeypatch.setattr(quantiles, name, value)
     data = columns_of_numbers()
-    if buckets == 4:
-        data = {k: v for k, v in data.items() if k in ("few", "gaps", "same")}
     df = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"{c} double" for c in data)).repartition(5)
-    stats = {c: {"count": sum(x is not None for x in v), "min": min(x for x in v if x is not None), "max": max(x for x in v if x is not None)} for c, v in data.items()}
-    found = exact_quantiles(df, stats, PROBABILITIES)
+    found = exact_quantiles(df, data, PROBABILITIES)
     for c, values in data.items():
-        ordered = sorted(x for x in values if x is not None)
         for p, got in zip(PROBABILITIES, found[c]):
-            at = p * (len(ordered) - 1)
-            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
-            assert got == low + (high - low) * (at - math.floor(at)), (c, p)
+            assert got == quantile(values, p), (c, p)
+
+
+@pytest.mark.parametrize("limits", [{}, {"SIZE": 16, "CHUNK": 100, "MOST": 0}], ids=str)
+def test_limits_and_what_lies_beyond(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(quantiles, name, value)
+    data = {k: v for k, v in columns_of_numbers().items() if k != "huge"}
+    df = spark.createDataFrame(list(zip(*data.values())), ", ".join(f"{c} double" for c in data)).repartition(3)
+    for c, s in P.measure_numbers(df).items():
+        x = [v for v in data[c] if v is not None]
+        q1, q3 = quantile(x, 0.25), quantile(x, 0.75)
+        far = [v for v in x if v < q1 - 3 * (q3 - q1) or v > q3 + 3 * (q3 - q1)]
+        assert (s["q1"], s["q3"], s["count"], s["min"], s["max"]) == (q1, q3, len(x), min(x), max(x))
+        assert s["outliers"] == sum(v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1) for v in x), c
+        assert (s["extremes"], s["min_extreme"], s["max_extreme"]) == (len(far), min(far, default=None), max(far, default=None)), c
+
+
+def test_summaries_merge_in_any_order():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=30000), np.full(9000, 0.5), rng.exponential(size=20000) * 100])
+    parts = [quantiles.Summary.of(p) for p in np.array_split(x, 23)]
+    for order in (parts, parts[::-1], [quantiles.merged(parts[:9]), quantiles.merged(parts[9:])]):
+        s = quantiles.merged(order)
+        ordered = np.sort(x)
+        assert s.n == len(x) and len(s.vals) <= quantiles.SIZE and s.error < len(x) // 1000
+        for rank in (0, 1, 17, len(x) // 3, len(x) // 2, len(x) - 2, len(x) - 1):
+            low, high = s.bracket(rank)
+            assert low <= ordered[rank] <= high
+            assert ((ordered >= low) & (ordered <= high)).sum() <= s.at_most(low, high)
+        away = x - x.mean()
+        for got, want in ((s.mean, x.mean()), (s.m2, (away**2).sum()), (s.m3, (away**3).sum()), (s.m4, (away**4).sum()), (s.total, x.sum())):
+            assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_a_plan_reads_the_table_twice_for_quartiles_and_limits(spark, tmp_path):
+    spark.range(30000).selectExpr("id", "cast(id % 97 as double) v", "cast(id * 7 % 20011 as double) w").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tracker, before = spark.sparkContext.statusTracker(), set()
+    spark.sparkContext.setJobGroup("quartiles", "quartiles")
+    P.measure_numbers(df)
+    jobs = set(tracker.getJobIdsForGroup("quartiles")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 2 <= len(jobs) <= 3  # one per scan; the second adds up in one more stage, which may be a job of its own
+
+
+def test_distinct_counts_in_one_scan(spark, monkeypatch):
+    from tablewright.functions import distincts as D
+
+    rows = [(i % 11, float(i % 7) if i % 5 else None, f"t{i % 13}", dt.date(2024, 1, 1 + i % 9), [i % 3], None) for i in range(2000)]
+    rows += [(0, -0.0, "", None, None, None), (0, 0.0, None, None, [], None)]
+    df = spark.createDataFrame(rows, "i int, x double, s string, d date, a array<int>, n string").repartition(4)
+    want = {"i": 11, "x": 7, "s": 14, "d": 9, "a": 4, "n": 0}
+    assert {r.column_name: r.distinct for r in P.distinct_counts(df).collect()} == want
+    monkeypatch.setattr(D, "HELD", 3)
+    monkeypatch.setattr(D, "FOLD", 4)
+    monkeypatch.setattr(D, "RANGE_BYTES", 1 << 10)
+    counted = P.distinct_counts(df)
+    assert {r.column_name: r.distinct for r in counted.collect()} == want
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert P.distinct_counts(df.limit(0)).collect() == []
 
 
 def test_numeric_profile_matches_pandas(spark):
