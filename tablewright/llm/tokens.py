@@ -5,13 +5,13 @@ bitmap beside it says which of them go on to level k + 1; a rank directory holds
 ``STEP``-th place. The place of an id on the next level is the rank of its bit, so any token is read in a step per
 level without decoding its block.
 
-*Files.* Texts are sorted by id over ranges of ids. A block holds whole texts (about ``BLOCK`` ids): their ids, token counts and
+*Files.* Texts are encoded where they are read and stored as ids, which are then sorted over ranges of text ids. A block holds whole texts (about ``BLOCK`` ids): their ids, token counts and
 the codes. Blocks are rows of a table of the shared folder: (file, block, texts, tokens, doc_ids, counts, codes), file and
 block numbers rising with the id. A table survives a lost executor as any job's output does.
 
 *Encoding.* White space other than the space before a word is never inside a piece of the byte-level tokenizer, so a text cut
 before every run of spaces and line ends encodes to the same ids piece by piece. A piece is encoded once and its ids
-kept, by 64-bit hash, in a bounded table of the worker. Texts with other white space, and other tokenizers, are encoded whole.
+kept, by 64-bit hash, in a table of the worker that is bounded in bytes. Texts with other white space, and other tokenizers, are encoded whole.
 
 Defined cases: null and empty texts hold the end id alone. Null ids come first, equal ids in order of their text's digest, each row
 a text of its own. An empty table has no tokens. Extra columns are ignored.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import os
 import re
 import struct
 import zlib
@@ -33,12 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import shuffle_partitions, stored
-from tablewright.llm.words import span_hashes, text_slices
+from tablewright.llm.words import give_back_memory, span_hashes, text_slices
 
 END = 2
 BLOCK = 1 << 18
 STEP = 512
-KEPT = 1 << 20
+KEPT_BYTES = 24 << 20
+RECENT = 1 << 15
 AT_ONCE = 1 << 11
 TABLE = "file int, block int, texts int, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
 
@@ -101,8 +103,32 @@ class Codes:
         return out
 
 
+class Pieces:
+    """Pieces by rising hash: where their ids stand in a store, and how many they are."""
+
+    def __init__(self):
+        self.keys, self.offset, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and sizes; of hashes that are not there, anything."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.offset[at], self.sizes[at]
+
+    def add(self, keys: np.ndarray, offset: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in new hashes, in rising order."""
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.offset, self.sizes = np.insert(self.keys, place, keys), np.insert(self.offset, place, offset), np.insert(self.sizes, place, sizes)
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file. Pieces are encoded once; their ids stay in a table of at most about ``KEPT`` pieces, sorted by hash."""
+    """Ids of texts by a tokenizer file. Pieces are encoded once; their ids stay in a table of about ``KEPT_BYTES``, the newest in a small one beside it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -139,29 +165,38 @@ class Encoder:
 
     def looked_up(self, text: bytes, hashes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of pieces (sorted by hash) stand in the store, and how many they are; pieces it lacks are encoded first."""
-        if len(self.keys) + len(hashes) > KEPT:
+        if self.bytes() > KEPT_BYTES:
             self.forget()
-        near = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
-        new = self.keys[near] != hashes if len(self.keys) else np.ones(len(hashes), dtype=bool)
+        new = ~(self.known.has(hashes) | self.recent.has(hashes))
         if new.any():
-            where, parts, lengths = list(zip(begin[new].tolist(), stop[new].tolist())), [], []
+            where, own, at = list(zip(begin[new].tolist(), stop[new].tolist())), hashes[new], 0
+            sizes = np.empty(len(where), dtype=np.int32)
+            first = self.filled
             for i in range(0, len(where), AT_ONCE):  # the library's results are large
                 out = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in where[i : i + AT_ONCE]], add_special_tokens=False)
                 ids = [x.ids for x in out]
-                lengths.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-                parts.append(np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(lengths[-1].sum())))
-            sizes = np.concatenate(lengths)
-            place = np.searchsorted(self.keys, hashes[new])
-            self.keys = np.insert(self.keys, place, hashes[new])
-            self.offset = np.insert(self.offset, place, len(self.store) + np.cumsum(sizes) - sizes)
-            self.sizes = np.insert(self.sizes, place, sizes)
-            self.store = np.concatenate([self.store, *parts])
-        at = np.searchsorted(self.keys, hashes)
-        return self.offset[at], self.sizes[at]
+                sizes[i : i + len(ids)] = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+                at = int(sizes[i : i + len(ids)].sum())
+                if self.filled + at > len(self.store):
+                    self.store = np.concatenate([self.store[: self.filled], np.empty(max(at, self.filled // 4, 1 << 16), dtype=np.uint32)])
+                self.store[self.filled : self.filled + at] = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=at)
+                self.filled += at
+            self.recent.add(own, first + np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+            if len(self.recent.keys) > RECENT:
+                self.known.add(self.recent.keys, self.recent.offset, self.recent.sizes)
+                self.recent = Pieces()
+        offset, sizes = self.known.get(hashes)
+        late = self.recent.has(hashes)
+        offset[late], sizes[late] = self.recent.get(hashes[late])
+        return offset, sizes
+
+    def bytes(self) -> int:
+        """Bytes of the table of pieces and their ids."""
+        return 20 * (len(self.known.keys) + len(self.recent.keys)) + 4 * len(self.store)
 
     def forget(self) -> None:
         """Empty the table of pieces."""
-        self.keys, self.offset, self.sizes, self.store = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.known, self.recent, self.store, self.filled = Pieces(), Pieces(), np.empty(0, np.uint32), 0
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, each followed by ``end``, and their number per text."""
@@ -183,43 +218,63 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def _encode(path: str, end: int):
+    """Rows (doc_id, digest, width, ids) in the order the texts come in: ids of two bytes each where they fit, else four."""
+
     def run(batches: Iterator[pa.RecordBatch]):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread per task; Spark runs the tasks side by side
+        give_back_memory()
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
-        names, counts, ids, made = [], [], [], 0
-        file = TaskContext.get().partitionId()
-
-        def block():
-            nonlocal names, counts, ids, made
-            own, count = pa.concat_arrays(names), np.concatenate(counts)
-            row = pa.RecordBatch.from_arrays([
-                pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([int(count.sum())], pa.int64()),
-                pa.array([own.fill_null(0).to_numpy().tobytes()], pa.binary()), pa.array([np.packbits(own.is_null().to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
-                pa.array([count.astype("<u4").tobytes()], pa.binary()), pa.array([encode_codes(np.concatenate(ids))], pa.binary()),
-            ], [f.split()[0] for f in TABLE.split(", ")])
-            names, counts, ids, made = [], [], [], made + 1
-            return row
-
         for batch in batches:
-            for row, data, starts in text_slices(batch.column(1)):
+            for row, data, starts in text_slices(batch.column(2)):
                 out, count = encoder(data, starts, end)
-                names.append(batch.column(0).slice(row, len(count)))
-                counts.append(count)
-                ids.append(out)
-                if sum(map(len, ids)) >= BLOCK:
-                    yield block()
-        if ids:
-            yield block()
+                width = 2 if int(out.max(initial=0)) < 1 << 16 else 4
+                ends = pa.py_buffer((np.append(0, np.cumsum(count)) * width).astype(np.int32))
+                ids = pa.Array.from_buffers(pa.binary(), len(count), [None, ends, pa.py_buffer(out.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(count)), batch.column(1).slice(row, len(count)), pa.array(np.full(len(count), width, dtype=np.int32)), ids], ["doc_id", "digest", "width", "ids"])
 
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]):
+    """Blocks of whole texts, from rows (doc_id, width, ids) in the order of the file."""
+    give_back_memory()
+    file = TaskContext.get().partitionId()
+    names, counts, ids, held, made = [], [], [], 0, 0
+
+    def block():
+        own, count = pa.concat_arrays(names), np.array(counts, dtype="<u4")
+        return pa.RecordBatch.from_arrays([
+            pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([int(count.sum(dtype=np.int64))], pa.int64()),
+            pa.array([own.fill_null(0).to_numpy().tobytes()], pa.binary()), pa.array([np.packbits(own.is_null().to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
+            pa.array([count.tobytes()], pa.binary()), pa.array([encode_codes(np.concatenate(ids))], pa.binary()),
+        ], [f.split()[0] for f in TABLE.split(", ")])
+
+    for batch in batches:
+        start = 0
+        for i, width in enumerate(batch.column(1).to_pylist()):
+            own = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=f"<u{width}")
+            ids.append(own)
+            counts.append(len(own))
+            held += len(own)
+            if held >= BLOCK:
+                names.append(batch.column(0).slice(start, i + 1 - start))
+                yield block()
+                names, counts, ids, held, made, start = [], [], [], 0, made + 1, i + 1
+        if start < batch.num_rows:
+            names.append(batch.column(0).slice(start))
+    if ids:
+        yield block()
+
+
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
-    """The stored blocks of all texts, in order of their ids."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", F.xxhash64("text"))
-    texts = texts.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
-    return stored(texts.select("doc_id", "text").mapInArrow(_encode(tokenizer, end), TABLE), "tokens")
+    """The stored blocks of all texts, in order of their ids. Texts are encoded where they are read; only their ids are sorted."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(texts.mapInArrow(_encode(tokenizer, end), "doc_id long, digest long, width int, ids binary"), "token-ids")
+    placed = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    return stored(placed.select("doc_id", "width", "ids").mapInArrow(_blocks, TABLE), "tokens")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]):
