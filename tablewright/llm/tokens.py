@@ -6,8 +6,8 @@ bitmap beside it says which of them go on to level k + 1; a rank directory holds
 level without decoding its block.
 
 *Files.* Texts are encoded where they are read and stored as ids, which are then sorted over ranges of text ids. A block holds whole texts (about ``BLOCK`` ids): their ids, token counts and
-the codes. Blocks are rows of a table of the shared folder: (file, block, texts, tokens, doc_ids, counts, codes), file and
-block numbers rising with the id. A table survives a lost executor as any job's output does.
+the codes. Blocks are rows of a table of the shared folder: (file, block, texts, before, tokens, doc_ids, counts, codes), file and
+block numbers rising with the id; ``before`` counts the tokens of the file's earlier blocks. A table survives a lost executor as any job's output does.
 
 *Encoding.* White space other than the space before a word is never inside a piece of the byte-level tokenizer, so a text cut
 before every run of spaces and line ends encodes to the same ids piece by piece. A piece is encoded once and its ids
@@ -42,7 +42,7 @@ STEP = 512
 KEPT_BYTES = 24 << 20
 RECENT = 1 << 15
 AT_ONCE = 1 << 11
-TABLE = "file int, block int, texts int, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
+TABLE = "file int, block int, texts int, before long, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
 
 #: Bytes that other white space may start with; a text that has one is looked at.
 _ODD = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3])
@@ -242,12 +242,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
     """Blocks of whole texts, from rows (doc_id, width, ids) in the order of the file."""
     give_back_memory()
     file = TaskContext.get().partitionId()
-    names, counts, ids, held, made = [], [], [], 0, 0
+    names, counts, ids, held, made, before = [], [], [], 0, 0, 0
 
     def block():
         own, count = pa.concat_arrays(names), np.array(counts, dtype="<u4")
         return pa.RecordBatch.from_arrays([
-            pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([int(count.sum(dtype=np.int64))], pa.int64()),
+            pa.array([file], pa.int32()), pa.array([made], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()),
             pa.array([own.fill_null(0).to_numpy().tobytes()], pa.binary()), pa.array([np.packbits(own.is_null().to_numpy(zero_copy_only=False)).tobytes()], pa.binary()),
             pa.array([count.tobytes()], pa.binary()), pa.array([encode_codes(np.concatenate(ids))], pa.binary()),
         ], [f.split()[0] for f in TABLE.split(", ")])
@@ -262,7 +262,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
             if held >= BLOCK:
                 names.append(batch.column(0).slice(start, i + 1 - start))
                 yield block()
-                names, counts, ids, held, made, start = [], [], [], 0, made + 1, i + 1
+                names, counts, ids, held, made, before, start = [], [], [], 0, made + 1, before + held, i + 1
         if start < batch.num_rows:
             names.append(batch.column(0).slice(start))
     if ids:
@@ -272,7 +272,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]):
 def token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> DataFrame:
     """The stored blocks of all texts, in order of their ids. Texts are encoded where they are read; only their ids are sorted."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_encode(tokenizer, end), "doc_id long, digest long, width int, ids binary"), "token-ids")
+    rows = stored(texts.mapInArrow(_encode(tokenizer, end), "doc_id long, digest long, width int, ids binary"), "token-ids", compression="zstd")
     placed = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "digest").sortWithinPartitions("doc_id", "digest")
     return stored(placed.select("doc_id", "width", "ids").mapInArrow(_blocks, TABLE), "tokens")
 
@@ -292,9 +292,9 @@ def _digests(batches: Iterator[pa.RecordBatch]):
 def read_texts(files: DataFrame) -> DataFrame:
     """Row per text, read from its block: doc_id, start (tokens of all texts before), n_tokens, ids_crc32."""
     by_file = files.groupBy("file").agg(F.sum("tokens").alias("all_tokens")).withColumn("file_start", F.sum("all_tokens").over(Window.orderBy("file")) - F.col("all_tokens"))
-    inside = files.select("file", "block", "tokens").withColumn("block_start", F.sum("tokens").over(Window.partitionBy("file").orderBy("block")) - F.col("tokens"))
-    starts = inside.join(by_file, "file").select("file", "block", (F.col("file_start") + F.col("block_start")).alias("start"))
-    return files.join(starts, ["file", "block"]).select("doc_ids", "nulls", "counts", "codes", "start").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = F.broadcast(by_file.select("file", "file_start"))  # a row per file, of which there are as many as shuffle partitions; the codes stay where they are
+    return files.join(starts, "file").select("doc_ids", "nulls", "counts", "codes", (F.col("file_start") + F.col("before")).alias("start")).mapInArrow(
+        _digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_at(files: DataFrame, file: int, block: int, place: int) -> int:
