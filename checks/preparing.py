@@ -8,7 +8,7 @@ from checks import cleaning as K
 from checks.cleaning import fuzzy_sql
 from checks.common import AS_OF, DIRTY_ORDERS, dirty_orders, dirty_orders_sql, quoted, table, union_all
 from checks.profiling import fences
-from checks.rules import ALL, RATED, SRC, profile, scored
+from checks.rules import ALL, RATED, SRC, comparison_sql, profile, scored
 from tablewright.functions import constants as C
 from tablewright.operators import cleaners as X
 from tablewright.operators import impute as I
@@ -135,21 +135,17 @@ ORACLES["i15_transform_actions"] = f"SELECT DISTINCT coalesce(amount, (SELECT me
 
 
 def compared(s, d):
-    before = scored(s, d).select("order_id", "status", "city", "total_amount")
+    """The scored table before and after case and gaps are mended, a column dropped and one added: all sections."""
+    before = scored(s, d)
     after = I.impute_with(I.standardize_case(before)[0], "median", ["total_amount"]).drop("city").withColumn("flag", F.col("status").isNull().cast("int"))
-    return pipeline.compare_profiles(P.measure(before), P.measure(after), AS_OF).filter("section IN ('shape', 'missing', 'duplicates', 'column_missing_pct')")
+    return pipeline.compare_profiles(P.measure(before), P.measure(after), AS_OF)
 
 
 QUERIES["i16_compare_profiles"] = compared
-_B = "(SELECT order_id, status, city, total_amount FROM " + SRC + ")"
-_COMPARED = [("shape", "rows", f"(SELECT count(*) FROM {_B})", f"(SELECT count(*) FROM {_B})"), ("shape", "cols", "4", "4"),
-             ("missing", "cells", f"(SELECT count(*) - count(total_amount) FROM {_B})", "0"),
-             ("missing", "pct", f"(SELECT round((count(*) - count(total_amount)) * 100.0 / (count(*) * 4), 2) FROM {_B})", "0"),
-             ("duplicates", "rows", "0", "0"), ("column_missing_pct", "order_id", "0", "0"), ("column_missing_pct", "status", "0", "0"),
-             ("column_missing_pct", "city", "0", "NULL"), ("column_missing_pct", "flag", "NULL", "0"),
-             ("column_missing_pct", "total_amount", f"(SELECT round((count(*) - count(total_amount)) * 100.0 / count(*), 2) FROM {_B})", "0")]
-ORACLES["i16_compare_profiles"] = "SELECT *, round(after - before, 2) AS change, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'dropped' WHEN after = before THEN 'same' ELSE 'changed' END AS status FROM (" + union_all([
-    f"SELECT '{s}' AS section, '{i}' AS item, CAST({b} AS DOUBLE) AS before, CAST({a} AS DOUBLE) AS after" for s, i, b, a in _COMPARED]) + ")"
+_AFTER_KINDS = {c: k for c, k in ALL.items() if c != "city"} | {"flag": "numeric"}
+_AFTER = "(SELECT " + ", ".join({"status": f"{title('trim(status)')} AS status", "total_amount": f"coalesce(total_amount, (SELECT median(total_amount) FROM {SRC})) AS total_amount",
+                                 "flag": "CAST(status IS NULL AS INTEGER) AS flag"}.get(c, c) for c in _AFTER_KINDS) + f" FROM {SRC})"
+ORACLES["i16_compare_profiles"] = comparison_sql(ALL, SRC, _AFTER_KINDS, _AFTER, "order_date")
 
 
 def iterated(s, d):
@@ -158,6 +154,9 @@ def iterated(s, d):
 
 
 QUERIES["i17_iterate"] = iterated
+_AUTO_KINDS = {c: "numeric" if c in ("order_id", "total_amount") else "text" for c in _AUTO}
+_CLEAN_KINDS = {c: k for c, k in _AUTO_KINDS.items() if c != "reference"} | {"price_text": "numeric", "is_urgent": "boolean"}
+ORACLES["i17_iterate"] = comparison_sql(_AUTO_KINDS, _ASQL, _CLEAN_KINDS, f"({ORACLES['i14_auto_clean']})")
 
 
 def trail(s, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
 from checks.common import AS_OF, DIRTY_ORDERS, LINEITEM_NUMBERS, dirty_orders, dirty_orders_sql, quoted, table, union_all
 from checks.profiling import (CARDINALITY, CORR_COLUMNS, CORR_SOURCE, LOOKS_NUMERIC, STRIPPED, correlated, fences, over,
@@ -44,23 +45,43 @@ def profile(s, d):
     return _MEASURED[key]
 
 
-_STRIP = STRIPPED
-TEXT_METRICS = over(TEXT, "count(*) AS n, count({c}) AS present, count(DISTINCT {c}) AS d, count(DISTINCT lower({c})) AS dl, "
-                          "count(DISTINCT lower(" + _STRIP + ")) AS dn, count(*) FILTER (WHERE " + LOOKS_NUMERIC + ") AS looks, "
-                          "count(*) FILTER (WHERE regexp_matches({c}, " + quoted(C.REFERENCE_MARK) + ")) AS refs, "
-                          "count(*) FILTER (WHERE regexp_matches({c}, " + quoted(C.CURRENCY) + ")) AS cur, "
-                          "count(*) FILTER (WHERE {c} <> " + _STRIP + ") AS ws, "
-                          + ", ".join("count(*) FILTER (WHERE regexp_matches({c}, " + quoted(p) + f")) AS {k}"
-                                      for k, p in C.PII_PATTERNS.items()), SRC)
-NUM_METRICS = over(NUM, "count(*) AS n, count({c}) AS present, count(DISTINCT {c}) AS d, stddev_samp({c}) AS sd, skewness({c}) AS sk, "
-                        "quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3", SRC)
-MISSING = over(list(ALL), "count(*) AS n, count(*) - count({c}) AS missing", SRC)
-FAR = fences(NUM, SRC, "3")
-OUT = fences(NUM, SRC, "1.5")
-DIMENSIONS = f"""
-WITH tx AS ({TEXT_METRICS}), nm AS ({NUM_METRICS}), ms AS ({MISSING}), far AS ({FAR}),
-dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {SRC})) AS k, count(*) AS n FROM {SRC}),
-age AS (SELECT floor((epoch(TIMESTAMP '{AS_OF}') - epoch(max(order_date))) / 86400.0) AS days FROM {SRC}),
+_NAMED = "({})".format
+ID_LIKE = _NAMED(" OR ".join(f"contains(lower(column_name), '{w}')" for w in C.IDENTIFIER_NAMES))
+
+
+@dataclass
+class Stated:
+    """SQL that states the measures, dimensions and threats of one table."""
+
+    text_metrics: str
+    num_metrics: str
+    missing: str
+    far: str
+    out: str
+    dimensions: str
+    threats: dict[str, str]
+
+
+def stated(kinds: dict[str, str], src: str, dated: str | None = None) -> Stated:
+    """For a table given as SQL, the kinds of its columns, and its date column if it has one."""
+    text, num = [c for c, k in kinds.items() if k == "text"], [c for c, k in kinds.items() if k == "numeric"]
+    age = f"(SELECT floor((epoch(TIMESTAMP '{AS_OF}') - epoch(max({dated}))) / 86400.0) FROM {src})" if dated else "NULL"
+    text_metrics = over(text, "count(*) AS n, count({c}) AS present, count(DISTINCT {c}) AS d, count(DISTINCT lower({c})) AS dl, "
+                              "count(DISTINCT lower(" + STRIPPED + ")) AS dn, count(*) FILTER (WHERE " + LOOKS_NUMERIC + ") AS looks, "
+                              "count(*) FILTER (WHERE regexp_matches({c}, " + quoted(C.REFERENCE_MARK) + ")) AS refs, "
+                              "count(*) FILTER (WHERE regexp_matches({c}, " + quoted(C.CURRENCY) + ")) AS cur, "
+                              "count(*) FILTER (WHERE {c} <> " + STRIPPED + ") AS ws, "
+                              + ", ".join("count(*) FILTER (WHERE regexp_matches({c}, " + quoted(p) + f")) AS {k}"
+                                          for k, p in C.PII_PATTERNS.items()), src)
+    num_metrics = over(num, "count(*) AS n, count({c}) AS present, count(DISTINCT {c}) AS d, stddev_samp({c}) AS sd, skewness({c}) AS sk, "
+                            "quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3", src)
+    missing = over(list(kinds), "count(*) AS n, count(*) - count({c}) AS missing", src)
+    far = fences(num, src, "3")
+    out = fences(num, src, "1.5")
+    dimensions = f"""
+WITH tx AS ({text_metrics}), nm AS ({num_metrics}), ms AS ({missing}), far AS ({far}),
+dup AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS k, count(*) AS n FROM {src}),
+age AS (SELECT {age} AS days),
 s AS (SELECT
  greatest(0, 100 - (SELECT sum(missing) / sum(n) * 250 FROM ms)) AS completeness,
  greatest(0, 100 - (SELECT k / n * 500 FROM dup)) AS uniqueness,
@@ -73,7 +94,68 @@ s AS (SELECT
    - (SELECT coalesce(sum(CASE WHEN d = 1 AND present > 5 THEN 5 ELSE 0 END), 0) FROM tx)) AS accuracy,
  (SELECT CASE WHEN days > 730 THEN greatest(50, 90 - least(days / 365, 5) * 8) ELSE 90 END FROM age) AS timeliness),
 dims AS (""" + union_all([f"SELECT {i} AS position, '{n}' AS dimension, CAST({n} AS DOUBLE) AS score, CAST({w} AS DOUBLE) AS weight FROM s"
-                          for i, (n, w) in enumerate(C.QUALITY_WEIGHTS.items())]) + ")"
+                              for i, (n, w) in enumerate(C.QUALITY_WEIGHTS.items())]) + ")"
+    threats = {
+        "t1_missing": f"""SELECT concat('mv_', column_name) AS id, CASE WHEN {ID_LIKE} OR pct > 30 THEN 'critical' WHEN pct > 5 THEN 'warning' ELSE 'low' END AS severity,
+ concat('Missing values in ', column_name, ' (', pct, '%)') AS title, column_name, 'Data Quality' AS category,
+ CAST(CASE WHEN {ID_LIKE} THEN 99 WHEN pct > 30 THEN 90 WHEN pct > 5 THEN 85 ELSE 88 END AS INTEGER) AS confidence
+ FROM (SELECT column_name, round(missing * 100.0 / n, 2) AS pct FROM ({missing})) WHERE pct > 0""",
+        "t2_duplicates": f"""SELECT 'dup_exact' AS id, CASE WHEN pct > 5 THEN 'critical' WHEN pct > 1 THEN 'warning' ELSE 'low' END AS severity,
+ concat('Duplicate rows (', k, ', ', pct, '%)') AS title, 'All columns' AS column_name, 'Data Quality' AS category, CAST(95 AS INTEGER) AS confidence
+ FROM (SELECT k, round(k * 100.0 / n, 2) AS pct FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src})) AS k FROM {src})) WHERE k > 0""",
+        "t3_inconsistent_categories": f"""SELECT concat('inc_', column_name) AS id, CASE WHEN d - dl > 3 THEN 'warning' ELSE 'low' END AS severity,
+ concat('Inconsistent categories in ', column_name) AS title, column_name, 'Data Quality' AS category, CAST(94 AS INTEGER) AS confidence
+ FROM ({text_metrics}) WHERE d > dl AND d <= 100""",
+        "t4_mixed_types": f"""SELECT concat('mt_', column_name) AS id, 'critical' AS severity, concat('Mixed data types in ', column_name) AS title, column_name,
+ 'Data Quality' AS category, CAST(91 AS INTEGER) AS confidence FROM ({text_metrics}) WHERE present > 0 AND looks * 100.0 / present > 20 AND looks * 100.0 / present < 95""",
+        "t5_outliers": f"""SELECT concat('out_', column_name) AS id, CASE WHEN pct > 1 THEN 'warning' ELSE 'low' END AS severity,
+ concat('Outliers in ', column_name, ' (', outliers, ' values, ', pct, '%)') AS title, column_name, 'Data Quality' AS category, CAST(88 AS INTEGER) AS confidence
+ FROM (SELECT column_name, outliers, round(outliers * 100.0 / n, 2) AS pct FROM ({out})) WHERE outliers > 0""",
+        "t7_collinearity": f"""SELECT concat('corr_', col1, '_', col2) AS id, CASE WHEN abs(r) > 0.95 THEN 'critical' ELSE 'warning' END AS severity,
+ concat('Correlated features (r=', r, ')') AS title, concat(col1, ' ↔ ', col2) AS column_name, 'ML Risk' AS category,
+ CAST(CASE WHEN abs(r) > 0.95 THEN 97 ELSE 85 END AS INTEGER) AS confidence FROM (SELECT col1, col2, round(r, 3) AS r FROM ({pair_sql(num, src)})) WHERE NOT isnan(r) AND abs(r) > 0.85""",
+        "t8_pii_columns": union_all([
+            f"""SELECT concat('pii_{k}_', column_name) AS id, 'critical' AS severity, concat('{C.PII_LABELS[k]} in ', column_name) AS title, column_name,
+ 'Privacy' AS category, CAST(96 AS INTEGER) AS confidence FROM ({text_metrics}) WHERE present > 0 AND {k} * 100.0 / present > 30""" for k in C.PII_PATTERNS]),
+        "t9_stale_data": f"""SELECT 'stale_order_date' AS id, 'warning' AS severity, concat('Stale data (', age, ' days old)') AS title, 'order_date' AS column_name,
+ 'Business' AS category, CAST(82 AS INTEGER) AS confidence FROM (SELECT CAST(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(max(order_date))) / 86400.0) AS BIGINT) AS age,
+ floor((epoch(max(order_date)) - epoch(min(order_date))) / 86400.0) AS span FROM {src}) WHERE age > 90 AND span > 90""",
+    }
+    if not dated:
+        del threats["t9_stale_data"]
+    return Stated(text_metrics, num_metrics, missing, far, out, dimensions, threats)
+
+
+OWN = stated(ALL, SRC, "order_date")
+TEXT_METRICS, NUM_METRICS, MISSING, FAR, OUT, DIMENSIONS, THREAT_PARTS = (
+    OWN.text_metrics, OWN.num_metrics, OWN.missing, OWN.far, OWN.out, OWN.dimensions, OWN.threats)
+
+
+def facts_sql(kinds: dict[str, str], src: str, dated: str | None = None) -> str:
+    """(section, item, value) of a table: everything a comparison of two profiles looks at."""
+    own = stated(kinds, src, dated)
+    threats = union_all([f"SELECT id, severity FROM ({q})" for q in own.threats.values()])
+    cells = f"SELECT sum(missing) AS missing, any_value(n) AS n FROM ({own.missing})"
+    copies = f"(SELECT count(*) FROM {src}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {src}))"
+    return f"""SELECT 'shape' AS section, 'rows' AS item, CAST((SELECT count(*) FROM {src}) AS DOUBLE) AS value
+UNION ALL SELECT 'shape', 'cols', {len(kinds)} UNION ALL SELECT 'missing', 'cells', missing FROM ({cells})
+UNION ALL SELECT 'missing', 'pct', round(missing * 100.0 / (n * {len(kinds)}), 2) FROM ({cells}) UNION ALL SELECT 'duplicates', 'rows', {copies}
+UNION ALL SELECT 'column_missing_pct', column_name, round(missing * 100.0 / n, 2) FROM ({own.missing})
+UNION ALL SELECT 'quality_score', 'overall', o FROM ({own.dimensions} SELECT round(sum(score * weight), 1) AS o FROM dims)
+UNION ALL SELECT 'dimension', dimension, score FROM ({own.dimensions} SELECT dimension, round(score, 1) AS score FROM dims)
+UNION ALL SELECT 'threats', 'total', count(*) FROM ({threats}) UNION ALL SELECT 'threats', 'critical', count(*) FILTER (WHERE severity = 'critical') FROM ({threats})"""
+
+
+def comparison_sql(kinds: dict[str, str], src: str, new_kinds: dict[str, str], new: str, dated: str | None = None) -> str:
+    """The facts of a table and of what became of it side by side; both tables are worked out once."""
+    return f"""WITH old_table AS MATERIALIZED (SELECT * FROM {src}), new_table AS MATERIALIZED (SELECT * FROM {new}),
+b AS ({facts_sql(kinds, "(SELECT * FROM old_table)", dated)}), a AS ({facts_sql(new_kinds, "(SELECT * FROM new_table)", dated)})
+SELECT section, item, before, after, round(after - before, 2) + 0 AS change,
+CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'dropped' WHEN round(after - before, 2) = 0 THEN 'same' ELSE 'changed' END AS status
+FROM (SELECT coalesce(b.section, a.section) AS section, coalesce(b.item, a.item) AS item, b.value AS before, a.value AS after
+FROM b FULL OUTER JOIN a ON a.section = b.section AND a.item = b.item)"""
+
+
 GRADE = ("CASE WHEN {x} >= 95 THEN 'A+' WHEN {x} >= 90 THEN 'A' WHEN {x} >= 80 THEN 'B' WHEN {x} >= 60 THEN 'C' WHEN {x} >= 40 THEN 'D' ELSE 'F' END")
 
 for dim, key in zip(C.QUALITY_WEIGHTS, ["q1", "q2", "q3", "q4", "q5", "q6", "q7"]):
@@ -95,34 +177,6 @@ SELECT metric, yours, CAST(industry AS DOUBLE) AS industry, CASE WHEN (high AND
 CAST(CASE WHEN high AND yours < industry THEN round(industry - yours) ELSE 0 END AS DOUBLE) AS points_below FROM v"""
 
 # Threats -------------------------------------------------------------------------------------
-_NAMED = "({})".format
-ID_LIKE = _NAMED(" OR ".join(f"contains(lower(column_name), '{w}')" for w in C.IDENTIFIER_NAMES))
-THREAT_PARTS = {
-    "t1_missing": f"""SELECT concat('mv_', column_name) AS id, CASE WHEN {ID_LIKE} OR pct > 30 THEN 'critical' WHEN pct > 5 THEN 'warning' ELSE 'low' END AS severity,
- concat('Missing values in ', column_name, ' (', pct, '%)') AS title, column_name, 'Data Quality' AS category,
- CAST(CASE WHEN {ID_LIKE} THEN 99 WHEN pct > 30 THEN 90 WHEN pct > 5 THEN 85 ELSE 88 END AS INTEGER) AS confidence
- FROM (SELECT column_name, round(missing * 100.0 / n, 2) AS pct FROM ({MISSING})) WHERE pct > 0""",
-    "t2_duplicates": f"""SELECT 'dup_exact' AS id, CASE WHEN pct > 5 THEN 'critical' WHEN pct > 1 THEN 'warning' ELSE 'low' END AS severity,
- concat('Duplicate rows (', k, ', ', pct, '%)') AS title, 'All columns' AS column_name, 'Data Quality' AS category, CAST(95 AS INTEGER) AS confidence
- FROM (SELECT k, round(k * 100.0 / n, 2) AS pct FROM (SELECT count(*) AS n, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {SRC})) AS k FROM {SRC})) WHERE k > 0""",
-    "t3_inconsistent_categories": f"""SELECT concat('inc_', column_name) AS id, CASE WHEN d - dl > 3 THEN 'warning' ELSE 'low' END AS severity,
- concat('Inconsistent categories in ', column_name) AS title, column_name, 'Data Quality' AS category, CAST(94 AS INTEGER) AS confidence
- FROM ({TEXT_METRICS}) WHERE d > dl AND d <= 100""",
-    "t4_mixed_types": f"""SELECT concat('mt_', column_name) AS id, 'critical' AS severity, concat('Mixed data types in ', column_name) AS title, column_name,
- 'Data Quality' AS category, CAST(91 AS INTEGER) AS confidence FROM ({TEXT_METRICS}) WHERE present > 0 AND looks * 100.0 / present > 20 AND looks * 100.0 / present < 95""",
-    "t5_outliers": f"""SELECT concat('out_', column_name) AS id, CASE WHEN pct > 1 THEN 'warning' ELSE 'low' END AS severity,
- concat('Outliers in ', column_name, ' (', outliers, ' values, ', pct, '%)') AS title, column_name, 'Data Quality' AS category, CAST(88 AS INTEGER) AS confidence
- FROM (SELECT column_name, outliers, round(outliers * 100.0 / n, 2) AS pct FROM ({OUT})) WHERE outliers > 0""",
-    "t7_collinearity": f"""SELECT concat('corr_', col1, '_', col2) AS id, CASE WHEN abs(r) > 0.95 THEN 'critical' ELSE 'warning' END AS severity,
- concat('Correlated features (r=', r, ')') AS title, concat(col1, ' ↔ ', col2) AS column_name, 'ML Risk' AS category,
- CAST(CASE WHEN abs(r) > 0.95 THEN 97 ELSE 85 END AS INTEGER) AS confidence FROM (SELECT col1, col2, round(r, 3) AS r FROM ({pair_sql(NUM, SRC)})) WHERE abs(r) > 0.85""",
-    "t8_pii_columns": union_all([
-        f"""SELECT concat('pii_{k}_', column_name) AS id, 'critical' AS severity, concat('{C.PII_LABELS[k]} in ', column_name) AS title, column_name,
- 'Privacy' AS category, CAST(96 AS INTEGER) AS confidence FROM ({TEXT_METRICS}) WHERE present > 0 AND {k} * 100.0 / present > 30""" for k in C.PII_PATTERNS]),
-    "t9_stale_data": f"""SELECT 'stale_order_date' AS id, 'warning' AS severity, concat('Stale data (', age, ' days old)') AS title, 'order_date' AS column_name,
- 'Business' AS category, CAST(82 AS INTEGER) AS confidence FROM (SELECT CAST(floor((epoch(TIMESTAMP '{AS_OF}') - epoch(max(order_date))) / 86400.0) AS BIGINT) AS age,
- floor((epoch(max(order_date)) - epoch(min(order_date))) / 86400.0) AS span FROM {SRC}) WHERE age > 90 AND span > 90""",
-}
 BRIEF = ["id", "severity", "title", "column_name", "category", "confidence"]
 _BUILD = {
     "t1_missing": lambda p: T.missing_threats(p), "t2_duplicates": lambda p: T.duplicate_threats(p),
