@@ -74,17 +74,20 @@ def filled(df: DataFrame, name: str, value: object) -> Column:
     return F.coalesce(col(name), F.lit(value))
 
 
-def measure_fills(df: DataFrame, choices: dict[str, str]) -> list[Fill]:
-    """Fill values for the chosen strategies, one pass per kind of statistic."""
+def measure_fills(df: DataFrame, choices: dict[str, str], outline: TableProfile | None = None) -> list[Fill]:
+    """Fill values for the chosen strategies, one pass per kind of statistic; what ``outline`` has measured is not measured again."""
     df = P.with_nulls(df)
-    missing = {r.column_name: r.missing for r in P.missing_counts(df.select(*[col(c) for c in choices])).collect()}
+    if outline:
+        missing = {m["column_name"]: m["missing"] for m in outline.metrics}
+    else:
+        missing = {r.column_name: r.missing for r in P.missing_counts(df.select(*[col(c) for c in choices])).collect()}
     by = {s: [c for c, k in choices.items() if k == s and missing[c]] for s in STRATEGIES}
     value: dict[str, object] = {}
     middle = by["median"] + by["median_indicator"]
     if middle:
         value.update(medians(df, middle))
     if by["mean"]:
-        value.update(means(df, by["mean"]))
+        value.update({c: outline.metric(c)["mean"] for c in by["mean"]} if outline else means(df, by["mean"]))
     if by["mode"]:
         value.update(modes(df, by["mode"]))
     value.update({c: 0 for c in by["zero"]})
@@ -111,10 +114,10 @@ def apply_fills(df: DataFrame, fills: list[Fill]) -> tuple[DataFrame, list[dict]
     return df.select(*out), audit
 
 
-def impute(df: DataFrame, choices: dict[str, str]) -> tuple[DataFrame, list[dict]]:
+def impute(df: DataFrame, choices: dict[str, str], outline: TableProfile | None = None) -> tuple[DataFrame, list[dict]]:
     if not choices:
         return df, []
-    return apply_fills(df, measure_fills(df, choices))
+    return apply_fills(df, measure_fills(df, choices, outline))
 
 
 def impute_with(df: DataFrame, strategy: str, columns: list[str]) -> DataFrame:

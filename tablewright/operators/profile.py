@@ -589,24 +589,40 @@ def measure(df: DataFrame, name: str = "table", top_k: int = 5) -> TableProfile:
         return _measure(table, name, top_k)
 
 
-def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
-    spark = df.sparkSession
-    text, numbers = text_columns(df), numeric_columns(df)
+def outline(df: DataFrame, name: str = "table") -> TableProfile:
+    """Counts, distinct values and moments of every column in two scans: a profile without quantiles, text measures, pairs and duplicates."""
+    with held(with_nulls(df)) as table:
+        metrics, _, rows = _counted(table, {})
+        for c, s in measure_numbers(table, quantiles=False).items():
+            metrics[c].update({k: v for k, v in s.items() if k != "column_name"})
+        return TableProfile(df.sparkSession, name, rows, 0, list(metrics.values()), [])
+
+
+def _counted(df: DataFrame, forms: dict[str, Column]) -> tuple[dict[str, dict], dict, int]:
+    """Per column its place, kind, rows, present and distinct values; the counts of ``forms`` beside them; the rows of the table. One scan."""
+    text = text_columns(df)
     metrics = {
         f.name: {"column_name": f.name, "position": i, "kind": kind_of(f.dataType), "dtype": f.dataType.simpleString()}
         for i, f in enumerate(df.schema.fields)
     }
-    countable = [c for c in countable_columns(df) if c not in text]
-    others = [c for c in df.columns if c not in countable and c not in text]  # maps: present or not is all that is counted
-    cells = {f"c:{c}": col(c) for c in countable} | {f"m:{c}": F.when(col(c).isNotNull(), F.lit(0)) for c in others} | text_forms(text)
-    counts = {r.name: r for r in distincts(df, cells).collect()}
+    countable = [c for c in countable_columns(df) if not forms or c not in text]
+    others = [c for c in df.columns if c not in countable and not (forms and c in text)]  # maps: present or not is all that is counted
+    cells = {f"c:{c}": col(c) for c in countable} | {f"m:{c}": F.when(col(c).isNotNull(), F.lit(0)) for c in others} | forms
+    counts = {r["name"]: r for r in distincts(df, cells).collect()}
     rows = next((r.rows for r in counts.values()), 0)
     for c in df.columns:
-        found = counts.get(f"{text.index(c)}:distinct" if c in text else f"c:{c}" if c in countable else f"m:{c}")
+        found = counts.get(f"c:{c}" if c in countable else f"m:{c}" if c in others else f"{text.index(c)}:distinct")
         present = found.present if found else 0
         metrics[c].update(rows=rows, present=present, missing=rows - present)
-        if c in countable:
+        if c not in others:
             metrics[c]["distinct"] = found.distinct if found else 0
+    return metrics, counts, rows
+
+
+def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
+    spark = df.sparkSession
+    text, numbers = text_columns(df), numeric_columns(df)
+    metrics, counts, rows = _counted(df, text_forms(text))
     for c, s in measure_numbers(df, numbers).items():
         metrics[c].update({k: v for k, v in s.items() if k != "column_name"})
     tops = []

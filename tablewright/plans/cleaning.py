@@ -1,7 +1,7 @@
 """Measure, decide, transform.
 
-Gates of all columns are tallied together in one grouped scan of the unpivoted text columns. The
-driver reads one small row per column and decides which cleaners act. What was decided is a
+Gates of all columns and all cleaners are tallied together in one grouped scan of the unpivoted text columns. The
+driver reads one small row per column and decides which cleaners act; columns that cleaners change and leave text take one more scan. What was decided is a
 ``CleaningPlan``: plain data that compiles to one ``select``, can be stored as JSON, and applies
 unchanged to new batches or to a stream.
 """
@@ -18,7 +18,7 @@ from tablewright.functions.text import col, name_has_token
 from tablewright.functions import constants as K
 from tablewright.operators import cleaners as C
 from tablewright.operators.fixes import fix_cleaner
-from tablewright.operators.profile import count_flags, held, numeric_columns, rows_frame, spread_out, text_columns, unpivot
+from tablewright.operators.profile import held, numeric_columns, rows_frame, spread_out, text_columns
 
 AUDIT_SCHEMA = "step int, action string, column_name string, rows_affected long, confidence int, source string, detail string"
 
@@ -95,27 +95,45 @@ def audit_frame(spark: SparkSession, audit: list[dict]) -> DataFrame:
     return rows_frame(spark, audit, AUDIT_SCHEMA)
 
 
-def tally(df: DataFrame, expressions: dict[str, Column], cleaners: list[C.Cleaner]) -> dict[str, dict]:
-    """Counts of every cleaner's conditions per column, in one scan."""
-    columns = list(expressions)
+@dataclass
+class State:
+    """A column as some cleaners leave it."""
+
+    column: str
+    value: Column
+    at: int  # the cleaners before this one have had their turn
+
+
+def tally(df: DataFrame, states: list[State], lead: list[C.Cleaner], cleaners: list[C.Cleaner]) -> list[dict]:
+    """Counts of the conditions of ``cleaners`` over the values of every state, and of those of ``lead`` one after another, in one scan."""
+    narrow = spread_out(df.select(*[s.value.alias(f"s{i}") for i, s in enumerate(states)]))
+    cells = [x for i, s in enumerate(states) for x in (F.lit(i), F.lit(s.column), F.col(f"s{i}"))]
+    long = narrow.select(F.stack(F.lit(len(states)), *cells).alias("state", "column_name", "raw"))
+    flags, x = {}, F.col("raw")
+    for i, cleaner in enumerate(lead):
+        flags[f"{i}__present"] = x.isNotNull()
+        flags.update({f"{i}__{k}": e for k, e in cleaner.counts(x).items()})
+        x = cleaner.apply(x, {}, "")
     value = F.col("value")
-    flags: dict[str, Column] = {"present": value.isNotNull()}
+    long, columns = long.withColumn("value", x), {s.column for s in states}
+    flags["present"] = value.isNotNull()
     for c in cleaners:
         named = [n for n in columns if c.concerns(n)]
         for k, e in c.counts(value).items():
             concerned = e if len(named) == len(columns) else F.col("column_name").isin(*named) & e if named else F.lit(False)
             flags[k] = flags[k] | concerned if k in flags and len(named) < len(columns) else concerned
-    narrow = spread_out(df.select(*[expressions[c].alias(c) for c in columns]))
-    long = unpivot(narrow, columns)
-    return {r.column_name: {k: v for k, v in r.asDict().items() if k != "column_name"} for r in count_flags(long, flags).collect()}
+    marked = long.select("state", *[f.cast("int").alias(k) for k, f in flags.items()])
+    rows = marked.groupBy("state").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in flags]).collect()
+    found = {r["state"]: {k: r[k] for k in flags} for r in rows}
+    return [found.get(i, dict.fromkeys(flags, 0)) for i in range(len(states))]
 
 
 def measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str] | None = None) -> CleaningPlan:
     """Decide which cleaners act on which text columns.
 
-    Ungated leading cleaners fold into the measured expression. Each round then reads the gates
-    still ahead of every unsettled column; a column settles when its type changes or no further
-    gate opens, so the number of scans is one more than the most text changes any column needs.
+    The first scan counts all conditions of all cleaners, on what the leading ungated ones leave. A column is settled by it unless a
+    cleaner that fires leaves it text. What such a column looks like after each of its cleaners is foretold from the counts so far, and the next scan counts
+    every foretold state at once; only where it proves a forecast wrong is there another. A plan is the one that deciding cleaner by cleaner gives.
     """
     columns = text_columns(df) if columns is None else columns
     if not columns:
@@ -124,70 +142,63 @@ def measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str] |
         return _measure_plan(table, cleaners, columns)
 
 
+def _first_hit(cleaners: list[C.Cleaner], at: int, t: dict, column: str) -> int | None:
+    if not t["present"]:
+        return None
+    return next((i for i in range(at, len(cleaners)) if cleaners[i].fires(t, column)), None)
+
+
+def _kept(cleaner: C.Cleaner, t: dict) -> dict:
+    return {"present": t["present"], **{k: t[k] for k in cleaner.counts(F.lit(""))}}
+
+
+def _foretold(cleaners: list[C.Cleaner], state: State, t: dict) -> list[State]:
+    """``state`` and those that follow it if the counts ``t`` stay what they are."""
+    out = [state]
+    while (hit := _first_hit(cleaners, out[-1].at, t, state.column)) is not None and not cleaners[hit].output(_kept(cleaners[hit], t)):
+        out.append(State(state.column, cleaners[hit].apply(out[-1].value, _kept(cleaners[hit], t), state.column), hit + 1))
+    return out
+
+
 def _measure_plan(df: DataFrame, cleaners: list[C.Cleaner], columns: list[str]) -> CleaningPlan:
     plan = CleaningPlan()
     lead = 0
     while lead < len(cleaners) and cleaners[lead].name.partition(":")[0] in UNGATED:
         lead += 1
-    counted = _lead_counts(df, cleaners[:lead], columns)
-    expressions: dict[str, Column] = {}
-    for c in columns:
+    counts = tally(df, [State(c, col(c), 0) for c in columns], cleaners[:lead], cleaners[lead:])
+    chains, known = {}, {}
+    for c, t in zip(columns, counts):
         x = col(c)
-        for cleaner in cleaners[:lead]:
-            if cleaner.fires(counted[c][cleaner.name], c):
-                plan.steps.append(Step(c, cleaner.name, counted[c][cleaner.name]))
-                x = cleaner.apply(x, counted[c][cleaner.name], c)
-        expressions[c] = x
-    at = {c: lead for c in columns}
-    while expressions and any(i < len(cleaners) for i in at.values()):
-        ahead = cleaners[min(at[c] for c in expressions):]
-        tallies = tally(df, expressions, ahead)
-        for c in list(expressions):
-            t = tallies.get(c, {"present": 0})
-            hit = None
-            for i in range(at[c], len(cleaners)):
-                if t["present"] and cleaners[i].fires(t, c):
-                    hit = i
+        for i, cleaner in enumerate(cleaners[:lead]):
+            own = {k.split("__", 1)[1]: v for k, v in t.items() if k.startswith(f"{i}__")}
+            if cleaner.fires(own, c):
+                plan.steps.append(Step(c, cleaner.name, own))
+                x = cleaner.apply(x, own, c)
+        chains[c], known[c] = [State(c, x, lead)], [t]
+    while chains:
+        ahead: dict[str, list[State]] = {}
+        for c, chain in chains.items():
+            for j, (state, t) in enumerate(zip(chain, known[c])):
+                hit = _first_hit(cleaners, state.at, t, c)
+                if hit is None:
                     break
-            if hit is None:
-                del expressions[c]
-                continue
-            cleaner = cleaners[hit]
-            kept = {"present": t["present"], **{k: t[k] for k in cleaner.counts(F.lit(""))}}
-            plan.steps.append(Step(c, cleaner.name, kept))
-            if cleaner.output(kept):
-                del expressions[c]
-            else:
-                expressions[c] = cleaner.apply(expressions[c], kept, c)
-                at[c] = hit + 1
-                if at[c] >= len(cleaners):
-                    del expressions[c]
+                cleaner, kept = cleaners[hit], _kept(cleaners[hit], t)
+                plan.steps.append(Step(c, cleaner.name, kept))
+                if cleaner.output(kept) or hit + 1 >= len(cleaners):
+                    break
+                if j + 1 == len(chain) or chain[j + 1].at != hit + 1:  # not foretold
+                    ahead[c] = _foretold(cleaners, State(c, cleaner.apply(state.value, kept, c), hit + 1), t)
+                    break
+        states = [s for chain in ahead.values() for s in chain]
+        if not states:
+            break
+        counts = iter(tally(df, states, [], cleaners[min(s.at for s in states):]))
+        chains, known = ahead, {c: [next(counts) for _ in chain] for c, chain in ahead.items()}
     order = {c: i for i, c in enumerate(df.columns)}
     plan.steps.sort(key=lambda s: order[s.column])
     return plan
 
 
-def _lead_counts(df: DataFrame, lead: list[C.Cleaner], columns: list[str]) -> dict[str, dict[str, dict]]:
-    """Counts of the ungated cleaners, each on what the ones before it leave, in one scan."""
-    if not lead:
-        return {c: {} for c in columns}
-    value = F.col("value")
-    flags, x = {}, value
-    for i, cleaner in enumerate(lead):
-        flags[f"{i}__present"] = x.isNotNull()
-        flags.update({f"{i}__{k}": e for k, e in cleaner.counts(x).items()})
-        x = cleaner.apply(x, {}, "")
-    narrow = spread_out(df.select(*[col(c) for c in columns]))
-    long = unpivot(narrow, columns)
-    found = {r.column_name: r.asDict() for r in count_flags(long, flags).collect()}
-    out = {}
-    for c in columns:
-        row = found.get(c, {})
-        out[c] = {cleaner.name: {k.split("__", 1)[1]: row.get(k, 0) for k in flags if k.startswith(f"{i}__")}
-                  for i, cleaner in enumerate(lead)}
-    return out
-
-
 def measure_fixes(df: DataFrame, fixes: dict[str, list[dict]], min_confidence: float = 0.75) -> CleaningPlan:
     """Decide which of a supplied plan's fixes act, column by column in the given order.
 
@@ -231,9 +242,9 @@ def run_cleaners(df: DataFrame, cleaners: list[C.Cleaner] = C.RUN_ALL, columns:
     return plan.apply(spread_out(df)) if plan.steps else df, plan.audit()
 
 
-def clean_numeric_years(df: DataFrame, cutoff: int = 30) -> tuple[DataFrame, list[dict]]:
+def clean_numeric_years(df: DataFrame, cutoff: int = 30, columns: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
     """Year clean-up of numeric columns, only where the name says they hold years."""
-    named = [c for c in numeric_columns(df) if name_has_token(c, K.YEAR_NAMES)]
+    named = [c for c in (numeric_columns(df) if columns is None else columns) if name_has_token(c, K.YEAR_NAMES)]
     if not named:
         return df, []
     fixed = {c: C.year_value(col(c).cast("long").cast("string"), True, cutoff) for c in named}

@@ -14,7 +14,7 @@ from tablewright.operators import correct, impute
 from tablewright.operators import profile as P
 from tablewright.operators.quality import dimension_scores, quality_score
 from tablewright.operators.threats import threat_counts
-from tablewright.plans.cleaning import apply_fixes, clean_numeric_years, run_cleaners
+from tablewright.plans.cleaning import apply_fixes, clean_numeric_years, measure_plan, run_cleaners
 from tablewright.session import cut_lineage
 
 
@@ -35,9 +35,8 @@ def _numbered(audit: list[dict]) -> list[dict]:
 def auto_correct(df: DataFrame, corrections: DataFrame | None = None, threshold: float = 0.90, fuzzy: bool = True) -> Result:
     """Headers, encoding, semantic types, type fixes, formats, category merges, empty references."""
     out, audit = correct.clean_column_names(df)
-    for stage in ([C.MOJIBAKE], C.SEMANTIC, C.TYPE_FIXES, C.FORMAT_FIXES):
-        out, done = run_cleaners(out, stage)
-        audit += done
+    out, done = run_cleaners(out, C.CORRECT)
+    audit += done
     out, done = correct.merge_categories(out, threshold, fuzzy)
     audit += done
     if corrections is not None:
@@ -59,29 +58,37 @@ def auto_clean(df: DataFrame, fixes: dict[str, list[dict]] | None = None, strate
     instead of repeating the shuffle. ``order`` gives forward fill its keys and order columns.
     """
     rows = df.count()
-    out, audit = run_cleaners(df, C.RUN_ALL)
-    out, done = clean_numeric_years(out)
-    audit += done
-    if fixes:
-        out, done = apply_fixes(out, fixes)
+    later = [*C.TYPE_FIXES, C.MOJIBAKE, *C.DATE_FIXES]
+    names, renamed = correct.clean_column_names(df)
+    if fixes or renamed:  # what comes between changes values or the names that cleaners go by
+        out, audit = run_cleaners(df, C.RUN_ALL)
+        out, done = clean_numeric_years(out)
         audit += done
-    out, done = correct.clean_column_names(out)
-    audit += done
-    for stage in (C.TYPE_FIXES, [C.MOJIBAKE]):
-        out, done = run_cleaners(out, stage)
+        if fixes:
+            out, done = apply_fixes(out, fixes)
+            audit += done
+        out = out.toDF(*names.columns)
+        audit += renamed
+        out, done = run_cleaners(out, later)
+        audit += done
+    else:
+        first = {c.name for c in C.RUN_ALL}
+        plan = measure_plan(df, [*C.RUN_ALL, *later])
+        out, audit = plan.apply(P.spread_out(df)) if plan.steps else df, plan.audit()
+        typed = {s.column for s in plan.steps if s.rule.output(s.tally) and s.cleaner in first}
+        out, done = clean_numeric_years(out, columns=[c for c in P.numeric_columns(out) if c in typed or c in P.numeric_columns(df)])
         audit += done
     out, done = correct.drop_empty_reference_columns(out)
     audit += done
-    out, done = run_cleaners(out, C.DATE_FIXES)
-    audit += done
     out = store(impute.remove_duplicates(out))
     left = out.count()
     if left < rows:
         audit.append({"action": "REMOVE_DUPLICATES", "column_name": None, "rows_affected": rows - left, "confidence": 99, "source": "deterministic"})
     out, done = impute.standardize_case(out)
     audit += done
-    chosen = impute.choose_imputation(P.measure(out, top_k=1), strategies)
-    out, done = impute.impute(out, {r.column_name: r.strategy for r in chosen.collect()})
+    outline = P.outline(out)
+    chosen = impute.choose_imputation(outline, strategies)
+    out, done = impute.impute(out, {r.column_name: r.strategy for r in chosen.collect()}, outline)
     audit += done
     if clip:
         out, done = impute.winsorize(out)
