@@ -10,7 +10,7 @@ the codes. Blocks are rows of a table of the shared folder: (file, block, texts,
 block numbers rising with the id; ``before`` counts the tokens of the file's earlier blocks. A table survives a lost executor as any job's output does.
 
 *Encoding.* White space other than the space before a word is never inside a piece of the byte-level tokenizer, so a text cut
-before every run of spaces and line ends encodes to the same ids piece by piece. A piece is encoded once and its ids
+before every run of spaces and line ends encodes to the same ids piece by piece. A piece is encoded once, many at a time as one text of lines, and its ids
 kept, by 64-bit hash, in a table of the worker that is bounded in bytes. Texts with other white space, and other tokenizers, are encoded whole.
 
 Defined cases: null and empty texts hold the end id alone. Null ids come first, equal ids in order of their text's digest, each row
@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -39,8 +40,9 @@ from tablewright.llm.words import give_back_memory, span_hashes, text_slices
 END = 2
 BLOCK = 1 << 18
 STEP = 512
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 48 << 20
 RECENT = 1 << 15
+LONGEST_JOINED = 256
 AT_ONCE = 1 << 11
 TABLE = "file int, block int, texts int, before long, tokens long, doc_ids binary, nulls binary, counts binary, codes binary"
 
@@ -140,6 +142,11 @@ class Encoder:
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not parts.get("normalizer")
             and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in parts.get("added_tokens", []))
         )
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        probe = self.tokenizer.encode("a\n b\nc", add_special_tokens=False).ids
+        alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", " b", "c")]
+        # between pieces without one, a line end is a token of its own, so many pieces can be encoded as one text
+        self.between = line_end[0] if self.by_piece and len(line_end) == 1 and probe == [*alone[0], *line_end, *alone[1], *line_end, *alone[2]] else None
         self.forget()
 
     def pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,19 +176,19 @@ class Encoder:
             self.forget()
         new = ~(self.known.has(hashes) | self.recent.has(hashes))
         if new.any():
-            where, own, at = list(zip(begin[new].tolist(), stop[new].tolist())), hashes[new], 0
-            sizes = np.empty(len(where), dtype=np.int32)
-            first = self.filled
-            for i in range(0, len(where), AT_ONCE):  # the library's results are large
-                out = self.tokenizer.encode_batch_fast([text[a:b].decode() for a, b in where[i : i + AT_ONCE]], add_special_tokens=False)
-                ids = [x.ids for x in out]
-                sizes[i : i + len(ids)] = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-                at = int(sizes[i : i + len(ids)].sum())
-                if self.filled + at > len(self.store):
-                    self.store = np.concatenate([self.store[: self.filled], np.empty(max(at, self.filled // 4, 1 << 16), dtype=np.uint32)])
-                self.store[self.filled : self.filled + at] = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=at)
-                self.filled += at
-            self.recent.add(own, first + np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
+            own, a, b = hashes[new], begin[new], stop[new]
+            offset, sizes = np.empty(len(own), dtype=np.int64), np.empty(len(own), dtype=np.int32)
+            together = self.joinable(text, a, b)
+            for some, encode in ((np.flatnonzero(together), self.encoded_as_one), (np.flatnonzero(~together), self.encoded_each)):
+                for i in range(0, len(some), AT_ONCE):  # the library's results are large
+                    now = some[i : i + AT_ONCE]
+                    ids, sizes[now] = encode([text[x:y] for x, y in zip(a[now].tolist(), b[now].tolist())])
+                    if self.filled + len(ids) > len(self.store):
+                        self.store = np.concatenate([self.store[: self.filled], np.empty(max(len(ids), self.filled // 4, 1 << 16), dtype=np.uint32)])
+                    self.store[self.filled : self.filled + len(ids)] = ids
+                    offset[now] = self.filled + np.cumsum(sizes[now], dtype=np.int64) - sizes[now]
+                    self.filled += len(ids)
+            self.recent.add(own, offset, sizes)
             if len(self.recent.keys) > RECENT:
                 self.known.add(self.recent.keys, self.recent.offset, self.recent.sizes)
                 self.recent = Pieces()
@@ -190,6 +197,28 @@ class Encoder:
         offset[late], sizes[late] = self.recent.get(hashes[late])
         return offset, sizes
 
+    def joinable(self, text: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which pieces keep their ids when line ends stand around them: short ones without a line end that start with one space at most."""
+        if self.between is None:
+            return np.zeros(len(begin), dtype=bool)
+        data = np.frombuffer(text, dtype=np.uint8)
+        ends = np.append(0, np.cumsum(data == 10))
+        second = data[np.minimum(begin + 1, stop - 1)]
+        return (ends[stop] == ends[begin]) & (stop - begin <= LONGEST_JOINED) & ((data[begin] != 32) | ((second != 32) & (stop - begin > 1)))
+
+    def encoded_as_one(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end and their number per piece, from one text with a line end between the pieces."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(pieces).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        cut = np.append(np.flatnonzero(ids == self.between), len(ids))
+        if len(cut) != len(pieces):
+            return self.encoded_each(pieces)
+        return np.delete(ids, cut[:-1]), np.diff(np.append(-1, cut)) - 1
+
+    def encoded_each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
     def bytes(self) -> int:
         """Bytes of the table of pieces and their ids."""
         return 20 * (len(self.known.keys) + len(self.recent.keys)) + 4 * len(self.store)
@@ -202,7 +231,12 @@ class Encoder:
         """Ids of all texts of a slice, each followed by ``end``, and their number per text."""
         texts = len(starts) - 1
         begin, stop = self.pieces(data, starts)
-        hashes, at, which = np.unique(span_hashes(data, begin, stop), return_index=True, return_inverse=True)
+        which, own = pd.factorize(span_hashes(data, begin, stop))  # by hash table: most pieces come often
+        rising = np.argsort(own)
+        hashes, place = own[rising], np.empty(len(own), dtype=np.int64)
+        place[rising] = np.arange(len(own))
+        at, which = np.empty(len(own), dtype=np.int64), place[which]
+        at[which[::-1]] = np.arange(len(which))[::-1]
         offset, sizes = self.looked_up(data.tobytes(), hashes, begin[at], stop[at])
         owner = np.searchsorted(starts, begin, "right") - 1
         size = sizes[which]
