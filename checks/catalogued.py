@@ -130,6 +130,19 @@ ORACLES["k19_spearman"] = """SELECT 'l_quantity' AS col1, 'l_extendedprice' AS c
 rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2 AS b FROM lineitem)"""
 QUERIES["k20_near_duplicates"] = lambda s, d: K.near_duplicates(table(s, d, "documents"), "doc_id", "text")
 ORACLES["k20_near_duplicates"] = f"""SELECT md5(lower({space('text')})) AS form, count(*) AS copies, count(DISTINCT text) AS spellings, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1"""
+# A long text per part and three copies of it with one, two and three characters replaced.
+_LONG = "concat(md5(cast(p_partkey AS STRING)), ' ', md5(concat('x', cast(p_partkey AS STRING))), ' ', md5(concat('y', cast(p_partkey AS STRING))))"
+_TYPOS = {0: _LONG, 1: f"concat('z', substr({_LONG}, 2))", 2: f"concat('z', substr({_LONG}, 2, 49), 'z', substr({_LONG}, 52))", 3: f"concat('z', substr({_LONG}, 2, 49), 'z', substr({_LONG}, 52, 46), 'z')"}
+
+
+def typo_copies(s, d):
+    parts = table(s, d, "part")
+    copies = [parts.selectExpr(f"p_partkey * 4 + {k} AS id", f"{e} AS text") for k, e in _TYPOS.items()]
+    return K.typo_copies(copies[0].union(copies[1]).union(copies[2]).union(copies[3]), "id", "text")
+
+
+QUERIES["k20_typo_copies"] = typo_copies
+ORACLES["k20_typo_copies"] = union_all([f"SELECT p_partkey * 4 + {a} AS first_id, p_partkey * 4 + {b} AS copy_id, CAST({b - a} AS INTEGER) AS edits FROM part" for a in range(4) for b in range(a + 1, 4)])
 _GATES = {"volume": ("count(*)", 100, None), "freshness_days": (f"datediff(DATE '{AS_OF}', max(o_orderdate))", None, 30), "null_rate": ("avg(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END)", None, 0.01),
           "mean_price": ("avg(o_totalprice)", 1000, 1000000)}
 QUERIES["k21_quality_gates"] = lambda s, d: K.quality_gates(table(s, d, "orders"), _GATES)

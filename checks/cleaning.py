@@ -283,6 +283,27 @@ def wide_categories(s, d):
 QUERIES["x13_case_variants_of_a_wide_column"] = wide_categories
 ORACLES["x13_case_variants_of_a_wide_column"] = """SELECT 'name' AS column_name, name AS old_value, upper(name) AS new_value, n, CAST(0.95 AS DOUBLE) AS confidence, 'case_variant' AS type
 FROM (SELECT concat('maker ', p_name, ' ', p_partkey) AS name, count(*) AS n FROM part GROUP BY 1)"""
+# Long and short names with two edits each: a replaced letter at two places of 160 letters, two swaps in 14.
+_LETTERS = "translate(md5(concat('{}', cast(p_partkey AS STRING))), '0123456789', 'ghijklmnop')"
+_NAME160 = "concat(" + ", ".join(_LETTERS.format(x) for x in "abcde") + ", ' ', cast(p_partkey AS STRING))"
+_EDITED = f"concat(substr({_NAME160}, 1, 39), 'z', substr({_NAME160}, 41, 79), 'y', substr({_NAME160}, 121))"
+_SWAPS = [("concat('abcdefghijklmn ', cast(p_partkey AS STRING))", "concat('bacdefghijlkmn ', cast(p_partkey AS STRING))"), (_NAME160, _EDITED)]
+
+
+def two_edits(s, d):
+    """Every right spelling twice and its variant once, long and short ones in one column."""
+    parts = table(s, d, "part")
+    rows = [parts.selectExpr(f"{e} AS name") for right, wrong in _SWAPS for e in (right, right, wrong)]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.union(more)
+    return correct.fuzzy_merges(out)
+
+
+QUERIES["x14_fuzzy_merges_of_a_wide_column"] = two_edits
+ORACLES["x14_fuzzy_merges_of_a_wide_column"] = f"""SELECT 'name' AS column_name, {_SWAPS[0][1]} AS old_value, {_SWAPS[0][0]} AS new_value, CAST(1 AS BIGINT) AS n,
+round((13 + length(CAST(p_partkey AS VARCHAR))) / (15 + length(CAST(p_partkey AS VARCHAR))), 2) AS confidence, 'fuzzy_merge' AS type FROM part
+UNION ALL SELECT 'name', {_SWAPS[1][1]}, {_SWAPS[1][0]}, 1, round((159 + length(CAST(p_partkey AS VARCHAR))) / (161 + length(CAST(p_partkey AS VARCHAR))), 2), 'fuzzy_merge' FROM part"""
 QUERIES["x20_value_frequency_sample"] = lambda s, d: correct.value_frequency_sample(dirty_orders(s, d, "status", "city", "customer_ref"))
 ORACLES["x20_value_frequency_sample"] = union_all([
     f"SELECT '{c}' AS column_name, value, n FROM (SELECT value, n, row_number() OVER (ORDER BY n DESC, value) AS a, row_number() OVER (ORDER BY n, value DESC) AS b FROM "

@@ -49,6 +49,17 @@ def csv_latin(s, d):
 
 QUERIES["s1_read_csv"] = csv_inferred
 ORACLES["s1_read_csv"] = "SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang FROM documents"
+
+
+def csv_in_ranges(s, d):
+    """Texts with line ends in one file, read with a schema: lines find their records whatever range they lie in."""
+    path = folder(s)
+    writers.write_csv(table(s, d, "documents").select("doc_id", "text", "lang").coalesce(1), path)
+    return readers.read_csv(s, path, "doc_id BIGINT, text STRING, lang STRING")
+
+
+QUERIES["s1_read_csv_in_ranges"] = csv_in_ranges
+ORACLES["s1_read_csv_in_ranges"] = "SELECT doc_id, text, lang FROM documents"
 QUERIES["s2_read_csv_fallback_encoding"] = csv_latin
 ORACLES["s2_read_csv_fallback_encoding"] = "SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\n\\x{20}-\\x{FF}]', '', 'g') AS text FROM documents"
 

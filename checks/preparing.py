@@ -128,6 +128,18 @@ _STAGED = f"""SELECT order_id, {K.base('customer_ref')} AS customer_ref, {title(
 ORACLES["i14_auto_clean"] = f"""WITH t AS (SELECT DISTINCT * FROM ({_STAGED}))
 SELECT order_id, coalesce(customer_ref, 'Unknown') AS customer_ref, coalesce(status, (SELECT status FROM t WHERE status IS NOT NULL GROUP BY status ORDER BY count(*) DESC, status LIMIT 1)) AS status,
 round(coalesce(total_amount, (SELECT avg(total_amount) FROM t)), 4) AS total_amount, round(coalesce(price_text, (SELECT avg(price_text) FROM t)), 4) AS price_text, is_urgent, note, city FROM t"""
+# A table of numbers alone, with copies and gaps.
+_PLAIN = "SELECT o_custkey AS cust, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS amount, o_orderkey % 5 AS k FROM orders"
+_TWICE = f"({_PLAIN} UNION ALL {_PLAIN} WHERE o_orderkey % 7 = 0)"
+
+
+def numbers_alone(s, d):
+    plain = table(s, d, "orders").selectExpr("o_orderkey", "o_custkey AS cust", "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS amount", "o_orderkey % 5 AS k")
+    return plain.drop("o_orderkey").unionByName(plain.filter("o_orderkey % 7 = 0").drop("o_orderkey"))
+
+
+QUERIES["i14_auto_clean_numeric"] = lambda s, d: pipeline.auto_clean(numbers_alone(s, d)).table.withColumn("amount", F.round("amount", 4))
+ORACLES["i14_auto_clean_numeric"] = f"""WITH t AS (SELECT DISTINCT * FROM {_TWICE}) SELECT cust, round(coalesce(amount, (SELECT CASE WHEN abs(round(skewness(amount), 3)) > 1 THEN median(amount) ELSE avg(amount) END FROM t)), 4) AS amount, k FROM t"""
 _ACTIONS = [{"type": "impute_median", "column": "amount"}, {"type": "impute_mode", "column": "prio"}, {"type": "standardize_case", "column": "prio"},
             {"type": "drop_column", "column": "rare"}, {"type": "drop_column", "column": "order_id"}, {"type": "remove_duplicates"}]
 QUERIES["i15_transform_actions"] = lambda s, d: pipeline.transform_actions(gaps(s, d), _ACTIONS)

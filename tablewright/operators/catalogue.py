@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions import constants as K
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.functions.segments import cumulative, haloed
 from tablewright.functions.text import clean_space, col, norm, words
 from tablewright.operators import profile as P
+from tablewright.operators import spelling
+from tablewright.session import cut_lineage
 
 # --------------------------------------------------------------------------- outliers
 
@@ -275,6 +280,63 @@ def spearman(df: DataFrame, a: str, b: str, segments: int | None = None) -> Data
         F.lit(a).alias("col1"), F.lit(b).alias("col2"), "spearman")
 
 
+def typo_copies(df: DataFrame, id: str, text: str, edits: int = 3) -> DataFrame:
+    """(first_id, copy_id, edits): pairs of different plain forms (case and white space aside) at most ``edits`` single-character edits apart.
+
+    Texts of at least ``SHORTEST_COPY`` characters. ``edits`` edits leave a run of a quarter of the text or more as it was, and winnowing keeps the
+    smallest hash of every window shorter than that run, so two such texts share a kept hash. They meet by it and by length, in tiles of
+    bounded size, and are compared by edit distance. Each form stands for all its copies, with the smallest of their ids.
+    """
+    if edits != 3:
+        raise ValueError("windows are laid out for three edits")
+    form = norm(clean_space(col(text)))
+    forms = df.select(form.alias("form"), col(id).alias("first")).filter(F.length("form") >= SHORTEST_COPY)
+    forms = forms.groupBy("form").agg(F.min("first").alias("first"))
+    forms = cut_lineage(forms.withColumn("id", F.monotonically_increasing_id()))
+    rows = forms.select("id", "form").mapInArrow(_kept_hashes, "key long, id long, size int, rule int, counts binary")
+    met = spelling.block_pairs(rows)
+    side = lambda k: forms.select(F.col("id").alias(k), F.struct("first", "form").alias(f"v{k}"))
+    pairs = met.join(side("a"), "a").join(side("b"), "b").withColumn("edits", F.levenshtein("va.form", "vb.form", edits)).filter("edits >= 0")
+    return pairs.select(F.least("va.first", "vb.first").alias("first_id"), F.greatest("va.first", "vb.first").alias("copy_id"), "edits")
+
+
+SHORTEST_COPY, GRAM = 64, 6
+
+
+def _kept_hashes(batches):
+    """(key, id, size, rule, counts): the smallest run hash of every window of a text, by its length and the next."""
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own, size = spelling.code_points([text])[0].astype(np.uint64), len(text)
+            run = np.zeros(size - GRAM + 1, dtype=np.uint64)
+            for k in range(GRAM):
+                run = run * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(run)]
+            run = spelling._mixed(run)
+            keys = []
+            # lengths of a class share windows; texts near its ends are put in both classes
+            for scale in {(size - 3).bit_length(), size.bit_length(), (size + 3).bit_length()}:
+                window = (1 << (scale - 1)) // 8 - GRAM  # with the run's own length below a quarter of what three edits leave
+                kept = np.unique(sliding_least(run, max(1, min(window, len(run)))))
+                for bucket in (size // 4, size // 4 + 1):
+                    keys.append(spelling._mixed(kept ^ np.uint64(scale * 1_000_003 + bucket * 64)))
+            key = np.unique(np.concatenate(keys))
+            n = len(key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.full(n, size, dtype=np.int32)), pa.array(np.full(n, spelling.BY_LENGTH, dtype=np.int32)), pa.array([b""] * n, pa.binary())],
+                ["key", "id", "size", "rule", "counts"])
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of every ``width`` neighbours, from running minima within blocks of that width."""
+    n = len(x) - width + 1
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
+    padded[: len(x)] = x
+    blocks = padded.reshape(-1, width)
+    up = np.minimum.accumulate(blocks, axis=1).ravel()
+    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(down[:n], up[width - 1 : width - 1 + n])
+
+
 def near_duplicates(df: DataFrame, id: str, text: str) -> DataFrame:
     """Groups of texts that differ only in case and white space, by digest of the plain form."""
     form = norm(clean_space(col(text)))
@@ -310,19 +372,62 @@ def customer_value(orders: DataFrame, customer: str, date: str, amount: str) ->
                       F.round(years, 4).alias("years"), F.round(F.col("average") * F.col("orders"), 2).alias("value"))
 
 
+ITEM_GROUP = 256
+
+
+def _pair_counts(items: int):
+    """Rows (group, numbers) sorted by group: how often each item of a group meets each earlier one, a group at a time."""
+
+    def run(batches):
+        group, counts = None, None
+
+        def sums():
+            own, other = np.nonzero(counts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array((own + group * ITEM_GROUP).astype(np.int32)), pa.array(other.astype(np.int32)), pa.array(counts[own, other])], ["a", "b", "n"])
+
+        for batch in batches:
+            keys, lists = batch.column(0).to_numpy(), batch.column(1)
+            for i, g in enumerate(keys.tolist()):
+                if g != group:
+                    if group is not None:
+                        yield sums()
+                    group, counts = g, np.zeros((ITEM_GROUP, min(items, (g + 1) * ITEM_GROUP)), dtype=np.int64)
+                numbers = lists[i].values.to_numpy()
+                first = int(np.searchsorted(numbers, g * ITEM_GROUP))
+                for k in range(first, len(numbers)):
+                    counts[numbers[k] - g * ITEM_GROUP, numbers[:k]] += 1
+        if group is not None:
+            yield sums()
+
+    return run
+
+
 def basket_pairs(items: DataFrame, basket: str, item: str, least_support: float = 0.01) -> DataFrame:
-    """Support, confidence and lift of item pairs that occur in enough baskets.
+    """Support, confidence and lift of item pairs that occur in enough baskets, by pattern growth over groups of items.
 
-    Rare items go first: a frequent pair has two frequent items, and there are at most
-    (mean basket size / support) of those, which bounds the pairs one basket can give.
+    Items too rare for any frequent pair go first; the others are numbered, most frequent first. A basket is the rising list of its items' numbers. For
+    each group of ``ITEM_GROUP`` numbers that it holds, the list up to its last item of that group is what the group's counts depend on
+    (a conditional basket), so a basket is sent at most once per group and never taken apart into pairs. A task counts group against
+    earlier items in an array as it reads, and gives its sums; groups are spread over tasks by a salt, so a hot one is no single task.
     """
     held = items.select(col(basket).alias("basket"), col(item).alias("item")).distinct()
     baskets = held.select("basket").distinct().count()
     counts = held.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least_support * baskets)
-    kept = held.join(counts.select("item"), "item", "left_semi")
-    a, b = kept.alias("a"), kept.alias("b")
-    pairs = a.join(b, (F.col("a.basket") == F.col("b.basket")) & (F.col("a.item") < F.col("b.item"))).groupBy(
-        F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")).agg(F.count("*").alias("together")).filter(F.col("together") >= least_support * baskets)
+    # at most (mean basket size / support) items are this frequent
+    frequent = [r["item"] for r in counts.orderBy(F.desc("n"), "item").select("item").collect()]
+    spark = items.sparkSession
+    kind = counts.schema["item"].dataType
+    numbers = spark.createDataFrame(list(zip(frequent, range(len(frequent)))), T.StructType([T.StructField("item", kind), T.StructField("number", T.IntegerType())]))
+    lists = held.join(F.broadcast(numbers), "item").groupBy("basket").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+    groups = F.array_distinct(F.transform("numbers", lambda n: F.floor(n / ITEM_GROUP).cast("int")))
+    conditional = lists.select("basket", "numbers", F.explode(groups).alias("group")).select(
+        "group", "basket", F.filter("numbers", lambda n: n < (F.col("group") + 1) * ITEM_GROUP).alias("numbers"))
+    salted = conditional.repartition("group", F.pmod(F.xxhash64("basket"), F.lit(16))).sortWithinPartitions("group").select("group", "numbers")
+    met = salted.mapInArrow(_pair_counts(len(frequent)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("together")).filter(F.col("together") >= least_support * baskets)
+    names = F.broadcast(numbers)
+    met = met.join(names.select(F.col("number").alias("a"), F.col("item").alias("one")), "a").join(names.select(F.col("number").alias("b"), F.col("item").alias("two")), "b")
+    pairs = met.select(F.least("one", "two").alias("item_a"), F.greatest("one", "two").alias("item_b"), "together")
     na, nb = counts.select(F.col("item").alias("item_a"), F.col("n").alias("na")), counts.select(F.col("item").alias("item_b"), F.col("n").alias("nb"))
     return pairs.join(na, "item_a").join(nb, "item_b").select(
         "item_a", "item_b", "together", F.round(F.col("together") / baskets, 6).alias("support"), F.round(F.col("together") / F.col("na"), 4).alias("confidence"),

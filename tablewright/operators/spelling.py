@@ -31,6 +31,7 @@ FREQUENT = 1 << 16
 TILE = 1 << 12
 PAIRS = 1 << 18
 CELLS = 1 << 20
+BY_LENGTH = 5  # rule of blocks whose members need only be less than ``EDITS`` apart in length
 _BUCKETS = 32  # the last one holds white space
 _SPACES = np.array([9, 10, 11, 12, 13, 32], dtype=np.uint32)
 _TURN = np.uint64(0x9E3779B97F4A7C15)
@@ -216,6 +217,8 @@ def _fits(size_a: np.ndarray, size_b: np.ndarray, rule: np.ndarray) -> np.ndarra
     """Can strings of these lengths be alike by the rule of the block they meet in?"""
     low, high = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
     very = 27 * low >= 23 * high
+    if len(rule) and rule[0] == BY_LENGTH:
+        return high - low < EDITS
     return np.where(rule < 2, very | (high - low <= EDITS), np.where(rule == 2, 23 * low >= 17 * high, very))
 
 
@@ -232,7 +235,7 @@ def _block_pairs(tile, ids, size, rule, part, whole, counts) -> Iterator[tuple[n
         ok = (ids[i] < ids[j]) & (whole[i] | (part[i] != part[j])) & (rule[i] == rule[j])
         ok[ok] = _fits(size[i[ok]], size[j[ok]], rule[i[ok]])
         i, j = i[ok], j[ok]
-        short = (rule[i] & 1) == 0
+        short = (rule[i] == 0) | (rule[i] == 2)
         alike = np.ones(len(i), dtype=bool)
         alike[short] = may_be_alike(counts[i[short]], counts[j[short]])
         yield ids[i[alike]], ids[j[alike]]
@@ -256,7 +259,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         counts = np.zeros((batch.num_rows, _BUCKETS), dtype=np.uint8)
-        short = (columns[3] & 1) == 0
+        short = (columns[3] == 0) | (columns[3] == 2)
         counts[short] = np.frombuffer(b"".join(batch.column(6).filter(pa.array(short)).to_pylist()), dtype=np.uint8).reshape(-1, _BUCKETS)
         columns.append(counts)
         rows = [np.concatenate([h, c]) for h, c in zip(held, columns)] if held else columns
@@ -277,7 +280,11 @@ def candidate_pairs(strings: DataFrame) -> DataFrame:
     top = columns.mapInArrow(_frequencies, "run long, times long").groupBy("run").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "run").limit(FREQUENT).toArrow()
     frequent, times = top["run"].to_numpy().astype(np.int64).view(np.uint64), top["times"].to_numpy().astype(np.int64)
     rising = np.argsort(frequent)
-    rows = columns.mapInArrow(_prefixes(frequent[rising], times[rising]), "key long, id long, size int, rule int, counts binary")
+    return block_pairs(columns.mapInArrow(_prefixes(frequent[rising], times[rising]), "key long, id long, size int, rule int, counts binary"))
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the ids that share a key and whose lengths and character counts fit: rows (key, id, size, rule, counts)."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("key", F.ceil(F.col("strings") / TILE).alias("parts"))
     placed = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.text import col
+from tablewright.sources.quoted_csv import ENCODINGS, read_quoted_csv
 
 # Keys a JSON envelope may hold its rows under, in order of preference.
 ENVELOPE_KEYS = ["records", "data", "rows", "results", "items"]
@@ -15,9 +16,11 @@ ENVELOPE_KEYS = ["records", "data", "rows", "results", "items"]
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
     """CSV with a header. Without a schema, types are inferred, which costs one more scan.
 
-    Quoted values may hold line ends, as those that ``write_csv`` makes do; a file is then read by one task. Large single
-    files without such values read in pieces with ``multi_line`` off.
+    Quoted values may hold line ends, as those that ``write_csv`` makes do. With a schema a file is read by many tasks all the same; only where types
+    are inferred is it read by one. Files without such values read in pieces with ``multi_line`` off.
     """
+    if schema is not None and multi_line and encoding.upper() in ENCODINGS:
+        return read_quoted_csv(spark, path, schema, encoding)
     reader = spark.read.option("header", True).option("encoding", encoding).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
