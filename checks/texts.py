@@ -15,24 +15,26 @@ from tablewright.operators.quality import quality_score
 QUERIES, ORACLES = {}, {}
 
 
-def html_sql(x):
-    for tag in G.DROPPED_ELEMENTS:
-        x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
-    for n in range(1, 7):
-        x = f"regexp_replace({x}, '(?i)<h{n}[^>]*>(.*?)</h{n}>', E'\\n## \\\\1\\n', 'g')"
-    for pattern, by in (("(?is)<p[^>]*>(.*?)</p>", "E'\\\\1\\n'"), ("(?is)<li[^>]*>(.*?)</li>", "E'- \\\\1\\n'"), ("(?is)<code[^>]*>(.*?)</code>", "E'`\\\\1`'"),
-                        ("(?is)<pre[^>]*>(.*?)</pre>", "E'\\n```\\n\\\\1\\n```\\n'"), ("<[^>]+>", "' '")):
-        x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
-    x = f"regexp_replace({x}, '\\n{{3,}}', E'\\n\\n', 'g')"
-    x = f"regexp_replace({x}, ' {{2,}}', ' ', 'g')"
-    return strip(f"regexp_replace(replace({x}, '&nbsp;', ' '), '&[a-z]+;', '', 'g')")
+def page_text_sql() -> str:
+    """Pages taken apart into tokens by row, what is hidden told by a running count of open elements."""
+    open_, shut = (", ".join(f"'{slash}{e}'" for e in G.DROPPED_ELEMENTS) for slash in ("", "/"))
+    whole = " OR ".join(f"regexp_matches(t, '(?is)^<{e}\\b.*</{e}\\s*>$')" for e in G.RAW_ELEMENTS)
+    text = lambda x: x.replace("\n", "\\n")
+    marks = " ".join(f"WHEN '{e}' THEN E'{text(a)}' WHEN '/{e}' THEN E'{text(z)}'" for e, (a, z) in G.TAG_MARKS.items())
+    return f"""WITH tokens AS (SELECT page_id, unnest(list) AS t, generate_subscripts(list, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, {quoted(G.PAGE_TOKENS)}) AS list FROM pages)),
+named AS (SELECT *, t[1] = '<' AND length(t) > 1 AS tag, lower(regexp_extract(t, {quoted(G.TAG_NAME)}, 1)) AS name, {whole} AS whole FROM tokens),
+stepped AS (SELECT *, CASE WHEN NOT tag OR whole THEN 0 WHEN name IN ({open_}) THEN 1 WHEN name IN ({shut}) THEN -1 ELSE 0 END AS step FROM named),
+summed AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) AS s FROM stepped),
+shown AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS hidden FROM summed),
+joined AS (SELECT page_id, string_agg(CASE WHEN NOT tag THEN t WHEN whole THEN '' ELSE CASE name {marks} ELSE ' ' END END, '' ORDER BY i) AS x FROM shown WHERE hidden = 0 AND step = 0 GROUP BY page_id)
+SELECT pages.page_id, {strip("regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(x, ''), '\n{3,}', E'\n\n', 'g'), ' {2,}', ' ', 'g'), '&nbsp;', ' ', 'g'), '&[a-z]+;', '', 'g')")} AS text FROM pages LEFT JOIN joined ON joined.page_id = pages.page_id"""
 
 
 def page_text(s, d):
     return table(s, d, "pages").select("page_id", G.html_to_text(F.col("html")).alias("text"))
 
 
-PAGE_TEXT = f"(SELECT page_id, {html_sql('html')} AS text FROM pages)"
+PAGE_TEXT = f"({page_text_sql()})"
 QUERIES["g1_html_to_text"] = page_text
 ORACLES["g1_html_to_text"] = PAGE_TEXT[1:-1]
 

@@ -150,3 +150,20 @@ def test_audit_tells_what_was_lost(spark):
     plan = cleaning.measure_plan(df, [C.DATES])
     row = cleaning.audit_frame(spark, plan.audit()).first()
     assert (row.rows_affected, row.detail) == (2, "2 of 3 values changed; 1 could not be read and are missing now")
+
+
+def test_pages_token_by_token(spark):
+    from tablewright.operators import text as G
+
+    pages = {
+        "<h1>One</h1><p>a<b>b</b></p><ul><li>x</li><li>y</li></ul>": "## One\na b \n - x\n- y",
+        "<script>if (a<b) { x > 1 }</script>kept<STYLE>p {}</STYLE>": "kept",
+        "<nav>a<nav>b</nav>c</nav>d</nav>e": "de",
+        "<header>never closed <p>x</p>": "",
+        "<pre>code</pre>&nbsp;&nbsp;a &amp; b<link rel=x>c": "```\ncode\n```\n  a  b c",
+        "1 < 2 and <code>f()</code>\n\n\n\nend": "1 < 2 and `f()`\n\nend",
+        "": "", "<>": "<>", "<script>open": "",
+    }
+    df = spark.createDataFrame([*enumerate(pages), (99, None)], "i int, html string").repartition(2)
+    got = {r.i: r.t for r in df.select("i", G.html_to_text(df.html).alias("t")).collect()}
+    assert got == {**dict(enumerate(pages.values())), 99: None}
