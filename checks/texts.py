@@ -75,6 +75,21 @@ QUERIES["g4_json_to_chunks"] = nested
 ORACLES["g4_json_to_chunks"] = """SELECT doc_id, path, chunk FROM (
 SELECT doc_id, '/' AS path, concat(CASE WHEN length(text) > 10 THEN concat('text: ', text, E'\\n') ELSE '' END, 'tags: ', source, ', lang-', lang) AS chunk FROM documents
 UNION ALL SELECT doc_id, '.meta', concat('where: kept in ', source, ' for later reading') FROM documents) WHERE length(chunk) > 30"""
+
+
+def deep(s, d):
+    """Documents under twelve levels of objects and lists, with text on the way."""
+    body = F.struct(F.lit("at the bottom of it all").alias("note"), "text")
+    for level in range(11, 0, -1):
+        inner = F.array(body) if level % 3 == 0 else body
+        body = F.struct(F.concat(F.lit(f"level {level} of the way down in "), "source").alias("where"), F.lit(level).alias("n"), inner.alias("next"))
+    return G.json_to_chunks(table(s, d, "documents").select("doc_id", F.to_json(body).alias("payload")), "doc_id", "payload")
+
+
+QUERIES["g4_json_of_twelve_levels"] = deep
+_DEEP = [("".join(".next[0]" if k % 3 == 0 else ".next" for k in range(1, level)) or "/", level) for level in range(1, 13)]
+ORACLES["g4_json_of_twelve_levels"] = union_all([f"SELECT doc_id, '{path}' AS path, concat('where: level {level} of the way down in ', source) AS chunk FROM documents" for path, level in _DEEP[:-1]] + [
+    f"SELECT doc_id, '{_DEEP[-1][0]}' AS path, concat('note: at the bottom of it all', CASE WHEN length(text) > 10 THEN concat(E'\\ntext: ', text) ELSE '' END) AS chunk FROM documents WHERE length(text) > 10"])
 _RECORDS = """(SELECT u.conv_id, u.turn, coalesce(s.text, '') AS instruction, u.text AS input, a.text AS output FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
 LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY 1) s ON s.conv_id = u.conv_id WHERE u.role = 'user')"""
 
