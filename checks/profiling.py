@@ -10,6 +10,7 @@ from checks.common import (DIRTY_ORDERS, LINEITEM_NUMBERS, dirty_orders, dirty_o
 from tablewright.functions import constants as C
 from tablewright.operators import impute
 from tablewright.operators import profile as P
+from tablewright.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 DIRTY_TEXT = ["customer_ref", "status", "priority", "price_text", "is_urgent", "city", "delta", "note"]
@@ -76,6 +77,17 @@ def skewed(s, d):
         "l_orderkey", "l_extendedprice * l_extendedprice * l_quantity AS squared", "l_quantity")
 
 
+def merged_batches(s, d):
+    """Lines in three batches, each measured once and stored as states; the whole from the states alone."""
+    lines = table(s, d, "lineitem")
+    states = [cut_lineage(P.column_states(lines.filter(f"l_orderkey % 3 = {k}"))) for k in range(3)]
+    whole = P.merge_states(states[0].unionByName(states[1]).unionByName(states[2]))
+    return whole.select("column_name", "rows", "present", *[F.round(c, 2).alias(c) for c in ("mean", "std", "min", "max")], *[(F.round(c, 3) + 0).alias(c) for c in ("skewness", "kurtosis")])
+
+
+QUERIES["p14_states_of_batches"] = merged_batches
+ORACLES["p14_states_of_batches"] = over(LINEITEM_NUMBERS, "count(*) AS rows, count({c}) AS present, round(avg({c}), 2) AS mean, round(stddev_samp({c}), 2) AS std, round(CAST(min({c}) AS DOUBLE), 2) AS min, "
+                                        "round(CAST(max({c}) AS DOUBLE), 2) AS max, round(skewness({c}), 3) + 0 AS skewness, round(kurtosis({c}), 3) + 0 AS kurtosis", "lineitem")
 QUERIES["p6_iqr_outliers"] = lambda s, d: P.iqr_outliers(skewed(s, d))
 ORACLES["p6_iqr_outliers"] = f"""SELECT column_name, outliers, round(outliers * 100.0 / n, 2) AS outlier_pct,
 round(lo, 2) AS lower_bound, round(hi, 2) AS upper_bound FROM ({fences(['l_orderkey', 'squared', 'l_quantity'], f'({_SKEWED})')})"""

@@ -130,7 +130,7 @@ def merged(parts: Iterable[Summary]) -> Summary:
     return out.settled()
 
 
-def _rows(states: dict[int, Summary]) -> pa.RecordBatch:
+def state_rows(states: dict[int, Summary]) -> pa.RecordBatch:
     columns = [pa.array(list(states), pa.int64())]
     for name in ("n", "total", "mean", "m2", "m3", "m4", "low", "high", "error"):
         columns.append(pa.array([getattr(s, name) for s in states.values()], pa.int64() if name in ("n", "error") else pa.float64()))
@@ -138,7 +138,7 @@ def _rows(states: dict[int, Summary]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in STATE.split(", ")])
 
 
-def _states(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, Summary]]:
+def read_states(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, Summary]]:
     for row in table.to_pylist():
         row.pop("group", None)
         row["vals"], row["weights"] = np.frombuffer(row["vals"]), np.frombuffer(row["weights"], dtype=np.int64)
@@ -198,16 +198,16 @@ def _summarise(wide: bool):
 
         _read(batches, wide, _Chunks(use))
         if states:
-            yield _rows({k: merged(s) for k, s in states.items()})
+            yield state_rows({k: merged(s) for k, s in states.items()})
 
     return run
 
 
 def _merge_group(table: pa.Table) -> pa.Table:
     parts: dict[int, list[Summary]] = {}
-    for key, s in _states(table):
+    for key, s in read_states(table):
         parts.setdefault(key, []).append(s)
-    return pa.Table.from_batches([_rows({k: merged(s) for k, s in parts.items()})])
+    return pa.Table.from_batches([state_rows({k: merged(s) for k, s in parts.items()})])
 
 
 def summaries(df: DataFrame, wide: bool = True) -> dict[int, Summary]:
@@ -217,7 +217,7 @@ def summaries(df: DataFrame, wide: bool = True) -> dict[int, Summary]:
         states = states.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("key", "group").applyInArrow(_merge_group, STATE)
         states = states.groupBy("key").applyInArrow(_merge_group, STATE)
     parts: dict[int, list[Summary]] = {}
-    for key, s in _states(states.toArrow()):
+    for key, s in read_states(states.toArrow()):
         parts.setdefault(key, []).append(s)
     return {k: merged(s) for k, s in parts.items()}
 

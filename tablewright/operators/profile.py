@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from tablewright.functions import constants as K
 from tablewright.functions.dates import parse_date
 from tablewright.functions.distincts import distincts
-from tablewright.functions.quantiles import column_facts
+from tablewright.functions.quantiles import STATE, Summary, column_facts, merged, read_states, state_rows, summaries
 from tablewright.functions.text import col, norm, numeric_looking, strip, value_key
 
 # --------------------------------------------------------------------------- column classes
@@ -583,12 +583,92 @@ class TableProfile:
         return next(m for m in self.metrics if m["column_name"] == column)
 
 
-def measure(df: DataFrame, name: str = "table", top_k: int = 5) -> TableProfile:
-    """Profile a table in a fixed number of scans; each collects a few numbers per column."""
-    with held(with_nulls(df)) as table:
+def measure(df: DataFrame, name: str = "table", top_k: int = 5, known: TableProfile | None = None, changed: set[str] | None = None) -> TableProfile:
+    """Profile a table in a fixed number of scans; each collects a few numbers per column.
+
+    Where ``known`` is the profile of the table before some of its columns ``changed`` (its rows being the same, in any order), only those and new
+    ones are measured; the others are read again for correlations with a changed column and for duplicate rows alone.
+    """
+    table = with_nulls(df)
+    if known is not None and changed is not None:
+        before = {m["column_name"]: m for m in known.metrics}
+        same = [f.name for f in df.schema.fields if f.name not in changed and before.get(f.name, {}).get("dtype") == f.dataType.simpleString()]
+        if same:
+            return _measure_changed(table, name, top_k, known, same)
+    with held(table) as table:
         return _measure(table, name, top_k)
 
 
+def _measure_changed(df: DataFrame, name: str, top_k: int, known: TableProfile, same: list[str]) -> TableProfile:
+    fresh = [c for c in df.columns if c not in same]
+    metrics = {c: dict(known.metric(c)) for c in same}
+    tops = [t for t in known.tops if t["column_name"] in same]
+    pairs = [p for p in known.pairs if p["col1"] in same and p["col2"] in same]
+    if fresh:
+        with held(df.select(*[col(c) for c in fresh])) as part:
+            own = _measure(part, name, top_k, whole=False)
+        metrics.update({m["column_name"]: m for m in own.metrics})
+        tops += own.tops
+    for i, c in enumerate(df.columns):
+        metrics[c]["position"] = i
+    numbers = numeric_columns(df)
+    if any(c in fresh for c in numbers):
+        pairs = _pairs(df, numbers, metrics)
+    order = {c: i for i, c in enumerate(df.columns)}
+    tops.sort(key=lambda r: (order[r["column_name"]], r["rank"]))
+    duplicates = known.duplicates if not fresh and len(same) == known.cols else duplicate_summary(df).first().exact_duplicates
+    return TableProfile(df.sparkSession, name, known.rows, duplicates, [metrics[c] for c in df.columns], pairs, tops)
+
+
+def _pairs(df: DataFrame, numbers: list[str], metrics: dict[str, dict]) -> list[dict]:
+    """Correlations of all pairs of numeric columns whose moments are known."""
+    spread = {c: {**metrics[c], "count": metrics[c].get("count", metrics[c]["present"]), "missing": metrics[c]["missing"]} for c in numbers}
+    pairs = [r.asDict() for r in correlations(df, numbers, spread).filter("r is not null").collect()]
+    order = {c: i for i, c in enumerate(numbers)}
+    return sorted(pairs, key=lambda p: (order[p["col1"]], order[p["col2"]]))
+
+
+def column_states(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column_name, rows, state columns): the mergeable summary of every numeric column of a batch, one scan. Stored, it stands for the batch."""
+    columns = numeric_columns(df) if columns is None else columns
+    found, rows = summaries(doubles(df, columns)) if columns else {}, df.count()
+    batch = state_rows({i: found.get(i, Summary()) for i in range(len(columns))})
+    frame = df.sparkSession.createDataFrame(pa.Table.from_batches([batch]))
+    return frame.select(F.array(*[F.lit(c) for c in columns or [""]])[F.col("key").cast("int")].alias("column_name"), F.lit(rows).cast("long").alias("rows"), *frame.columns[1:])
+
+
+def merge_states(states: DataFrame, probabilities: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """One row per column from the stored states of any number of batches: counts, moments, range, and two values that each quantile lies between for certain.
+
+    No batch is read again. States of a column meet in groups of batches first, so no task holds many.
+    """
+    kept = [f.split()[0] for f in STATE.split(", ")][1:]
+    schema = "column_name string, rows long, " + STATE.split(", ", 1)[1]
+
+    def fold(table: pa.Table) -> pa.Table:
+        whole = merged(s for _, s in read_states(table.select(kept).add_column(0, "key", pa.array([0] * table.num_rows, pa.int64()))))
+        own = pa.Table.from_batches([state_rows({0: whole})]).drop_columns(["key"])
+        names = pa.array([table["column_name"][0].as_py()], pa.string())
+        return own.add_column(0, "rows", pa.array([sum(table["rows"].to_pylist())], pa.int64())).add_column(0, "column_name", names)
+
+    def told(table: pa.Table) -> pa.Table:
+        out = fold(table)
+        s = next(iter(read_states(out.select(kept).add_column(0, "key", pa.array([0], pa.int64())))))[1]
+        stats = number_stats(table["column_name"][0].as_py(), {"summary": s, "quantiles": {}, "fences": {}})
+        columns = {"column_name": [stats["column_name"]], "rows": out["rows"].to_pylist(), "present": [s.n]}
+        columns |= {k: pa.array([stats[k]], pa.float64()) for k in ("total", "mean", "std", "min", "max", "skewness", "kurtosis")}
+        for p in probabilities:
+            at = p * (s.n - 1)
+            low, high = (s.bracket(math.floor(at))[0], s.bracket(math.ceil(at))[1]) if s.n else (None, None)
+            columns |= {f"q{round(p * 100)}_low": pa.array([low], pa.float64()), f"q{round(p * 100)}_high": pa.array([high], pa.float64())}
+        return pa.table(columns)
+
+    grouped = states.withColumn("group", F.pmod(F.xxhash64("vals", "n", "total"), F.lit(64))).groupBy("column_name", "group").applyInArrow(fold, schema)
+    out = "column_name string, rows long, present long, " + ", ".join(f"{k} double" for k in ("total", "mean", "std", "min", "max", "skewness", "kurtosis"))
+    out += "".join(f", q{round(p * 100)}_{side} double" for p in probabilities for side in ("low", "high"))
+    return grouped.groupBy("column_name").applyInArrow(told, out)
+
+
 def outline(df: DataFrame, name: str = "table") -> TableProfile:
     """Counts, distinct values and moments of every column in two scans: a profile without quantiles, text measures, pairs and duplicates."""
     with held(with_nulls(df)) as table:
@@ -619,7 +699,8 @@ def _counted(df: DataFrame, forms: dict[str, Column]) -> tuple[dict[str, dict],
     return metrics, counts, rows
 
 
-def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
+def _measure(df: DataFrame, name: str, top_k: int, whole: bool = True) -> TableProfile:
+    """Every metric of a table; without ``whole``, none that looks at several columns."""
     spark = df.sparkSession
     text, numbers = text_columns(df), numeric_columns(df)
     metrics, counts, rows = _counted(df, text_forms(text))
@@ -638,12 +719,8 @@ def _measure(df: DataFrame, name: str, top_k: int) -> TableProfile:
                 metrics[r["column_name"]].update(mode=r["value"], mode_count=r["n"])
     for c, (n, first, last) in date_spans(df).items():
         metrics[c].update(dates=n, first_date=first, last_date=last)
-    duplicates = duplicate_summary(df).first().exact_duplicates
-    spread = {c: {**metrics[c], "count": metrics[c].get("count", 0), "missing": metrics[c]["rows"] - metrics[c].get("count", 0)}
-              for c in numbers}
-    pairs = [r.asDict() for r in correlations(df, numbers, spread).filter("r is not null").collect()]
-    order = {c: i for i, c in enumerate(numbers)}
-    pairs.sort(key=lambda p: (order[p["col1"]], order[p["col2"]]))
+    duplicates = duplicate_summary(df).first().exact_duplicates if whole else 0
+    pairs = _pairs(df, numbers, metrics) if whole else []
     return TableProfile(spark, name, rows, duplicates, list(metrics.values()), pairs, tops)
 
 

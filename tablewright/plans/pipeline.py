@@ -26,6 +26,7 @@ class Result:
     audit: list[dict]
     shape: tuple[int, int]
     new_shape: tuple[int, int]
+    changed: set[str] | None = None  # columns whose values may differ, where no row went; None where any may
 
 
 def _numbered(audit: list[dict]) -> list[dict]:
@@ -46,7 +47,12 @@ def auto_correct(df: DataFrame, corrections: DataFrame | None = None, threshold:
                    "source": "user_approved"} for r in counted]
     out, done = correct.drop_empty_reference_columns(out)
     rows = df.count()
-    return Result(out, _numbered(audit + done), (rows, len(df.columns)), (rows, len(out.columns)))
+    return Result(out, _numbered(audit + done), (rows, len(df.columns)), (rows, len(out.columns)), _touched(df, out, audit + done))
+
+
+def _touched(before: DataFrame, after: DataFrame, audit: list[dict]) -> set[str]:
+    """Columns that the audit says were worked on, and new ones."""
+    return {a["column_name"] for a in audit if a.get("column_name")} | (set(after.columns) - set(before.columns))
 
 
 def auto_clean(df: DataFrame, fixes: dict[str, list[dict]] | None = None, strategies: dict[str, str] | None = None,
@@ -96,7 +102,7 @@ def auto_clean(df: DataFrame, fixes: dict[str, list[dict]] | None = None, strate
     if order:
         out, done = impute.forward_fill_sorted(out, **order)
         audit += done
-    return Result(out, _numbered(audit), (rows, len(df.columns)), (left, len(out.columns)))
+    return Result(out, _numbered(audit), (rows, len(df.columns)), (left, len(out.columns)), _touched(df, out, audit) if left == rows else None)
 
 
 def transform_actions(df: DataFrame, actions: list[dict]) -> DataFrame:
@@ -162,12 +168,12 @@ class Session:
     iterations: int = 0
 
     def iterate(self, clean: Callable[[DataFrame], Result]) -> DataFrame:
-        """Clean the active table, re-profile it, and report the change; the result becomes active."""
+        """Clean the active table, re-profile what changed of it, and report the change; the result becomes active."""
         current = self.original if self.table is None else self.table
         before = self.profile or P.measure(current)
         result = clean(current)
         table = cut_lineage(result.table)
-        after = P.measure(table)
+        after = P.measure(table, known=before, changed=result.changed)
         self.table, self.profile = table, after
         self.audit += [{**a, "step": len(self.audit) + i} for i, a in enumerate(result.audit)]
         self.iterations += 1

@@ -110,3 +110,33 @@ def test_pieces_follow_the_rows(spark, monkeypatch):
 
     monkeypatch.setattr(segments, "SEGMENT_ROWS", 10)
     assert segments.segmented(spark.range(1000), ["id"]).select("__segment").distinct().count() == 100
+
+
+def test_only_what_changed_is_measured_again(spark, monkeypatch):
+    rows = [(i, f"t{i % 5}", float(i % 9), ["x", "y", None][i % 3], i * 0.5) for i in range(60)]
+    before = spark.createDataFrame(rows, "i int, s string, v double, t string, w double")
+    known = P.measure(before)
+    after = before.withColumn("t", F.coalesce("t", F.lit("z"))).withColumn("v", F.col("v") + 1).drop("w").withColumn("new", F.col("i") % 2)
+    read = []
+    real = P._measure
+    monkeypatch.setattr(P, "_measure", lambda df, *rest, **more: read.append(df.columns) or real(df, *rest, **more))
+    got = P.measure(after, known=known, changed={"t", "v"})
+    assert read == [["v", "t", "new"]]
+    want = P.measure(after)
+    assert (got.rows, got.duplicates, got.tops) == (want.rows, want.duplicates, want.tops)
+    strip = lambda m: {k: v for k, v in m.items() if v is not None and k != "quantiles"}
+    assert [strip(m) for m in got.metrics] == [strip(m) for m in want.metrics]
+    assert [(p["col1"], p["col2"]) for p in got.pairs] == [(p["col1"], p["col2"]) for p in want.pairs]
+    assert all(abs(a["r"] - b["r"]) < 1e-9 for a, b in zip(got.pairs, want.pairs))
+
+
+def test_states_of_batches_merge(spark):
+    rows = [(i, float(i * 37 % 1009) if i % 4 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, v double")
+    parts = [P.column_states(df.filter(f"i % 3 = {k}")) for k in range(3)]
+    whole = {r.column_name: r for r in P.merge_states(parts[0].union(parts[1]).union(parts[2])).collect()}
+    want = P.measure_numbers(df)
+    for c, r in whole.items():
+        assert (r.rows, r.present, r.min, r.max) == (3000, want[c]["count"], want[c]["min"], want[c]["max"])
+        assert all(abs(r[k] - want[c][k]) < 1e-6 * max(1, abs(want[c][k])) for k in ("mean", "std", "skewness", "kurtosis", "total"))
+        assert r.q25_low <= want[c]["q1"] <= r.q25_high and r.q50_low <= want[c]["median"] <= r.q50_high
