@@ -73,29 +73,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: rows of ``docs``, once per time a text is taken, the one on the edge cut after its last word taken."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"  # names that no column has
+    i, d, s, t, z, r, x = (mark + n for n in ("id", "digest", "source", "taken", "size", "round", "cut"))
     taken = mix(docs, id_col, text_col, source_col)
-    key = ["doc_id", "digest"]
+    key = ["doc_id", "digest", "source"]
     repeated = not taken.groupBy(*key).count().where("count > 1").isEmpty()
-    took = taken.where("taken > 0").groupBy(*key).agg(F.sum("taken").alias("_taken"), F.first("size").alias("_size"))
+    took = taken.where("taken > 0").groupBy(*key).agg(F.sum("taken").alias(t), F.first("size").alias(z))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # texts meet their decision by id and digest; an id that may be null is joined as text
-    name = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("_id")
-    own = docs.select(name, F.xxhash64(text).alias("_digest"), *[F.col(f"`{c}`") for c in docs.columns])
-    took = took.select(F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")).alias("_id"), F.col("digest").alias("_digest"), "_taken", "_size")
-    rows = own.join(took, ["_id", "_digest"])
-    if repeated:  # equal rows stand for one, which is taken as often as all of them
-        rows = rows.dropDuplicates(["_id", "_digest"])
-    rows = rows.withColumn("_round", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_round") - 1) * F.col("_size")
-    cut = F.when(left >= F.col("_size"), text).otherwise(F.concat_ws("", F.slice(F.split(text, SPACE_LIMIT), F.lit(1), left.cast("int"))))
-    rows = rows.withColumn("_cut", cut)
+    # texts meet their decision by id, digest and source; what may be null is joined as text
+    named = lambda c, n: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias(n)
+    own = docs.select(named(F.col(id_col), i), F.xxhash64(text).alias(d), named(F.col(source_col), s), *[F.col(f"`{c}`") for c in docs.columns])
+    took = took.select(named(F.col("doc_id"), i), F.col("digest").alias(d), named(F.col("source"), s), t, z)
+    rows = own.join(took, [i, d, s])
+    if repeated:  # rows of one id, text and source stand for one, which is taken as often as all of them: the first by the hash of its columns
+        plain = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+        first = Window.partitionBy(i, d, s).orderBy(F.xxhash64(*plain), F.to_json(F.array(*plain)))
+        rows = rows.withColumn(r, F.row_number().over(first)).where(F.col(r) == 1).drop(r)
+    rows = rows.withColumn(r, F.explode(F.sequence(F.lit(1), F.ceil(F.col(t) / F.col(z)).cast("int"))))
+    left = F.col(t) - (F.col(r) - 1) * F.col(z)
+    cut = F.when(left >= F.col(z), text).otherwise(F.concat_ws("", F.slice(F.split(text, SPACE_LIMIT), F.lit(1), left.cast("int"))))
+    rows = rows.withColumn(x, cut)
     kinds = dict(docs.dtypes)
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("_cut").alias(c))
+            out.append(F.col(x).alias(c))
         elif c == "n_chars":
-            out.append(F.length("_cut").cast(kinds[c]).alias(c))
+            out.append(F.length(x).cast(kinds[c]).alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return rows.select(*out)
