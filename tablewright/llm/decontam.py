@@ -211,7 +211,7 @@ def _search(tests: TestSet, slop: int):
         return pa.table({
             "block": texts["block"], "first": texts["first"], "doc_id": texts["doc_id"], "n_words": pa.array(n_words, pa.int64()),
             "n_near": pa.array([near.get(d, 0) for d in range(len(n_words))], pa.int64()), "n_items": pa.array([len(x) for x in ids], pa.int64()),
-            "items": pa.array([sorted(tests.names[i] for i in x if tests.names[i] is not None) for x in ids], pa.list_(pa.string())),
+            "items": pa.array([sorted({tests.names[i] for i in x if tests.names[i] is not None}) for x in ids], pa.list_(pa.string())),
             "ranges": pa.array([ranges.get(d, []) for d in range(len(n_words))], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
         })
 
@@ -237,7 +237,7 @@ def _slices(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, percent: int = 5) -> DataFrame:
     """Row per text: ``n_words``, ``n_hit`` (words inside an exact match), ``n_near`` (windows matched only nearly), ``n_items`` and
-    ``items`` (test items with an exact match), ``contaminated``: 100 * n_hit >= ``percent`` * n_words, and any hit.
+    ``items`` (ids of test items with an exact match, each once; items without an id count their hits only), ``contaminated``: 100 * n_hit >= ``percent`` * n_words, and any hit.
     """
     words = [np.empty(0, dtype=np.uint64)]
     for part in _slices(items, item_id, item_text):
@@ -250,8 +250,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             found = found.union(part)
         # texts without words may share a first position; they have nothing to unite, so any one of their rows stands for one text
         found = found.groupBy("block", "first", "doc_id", "n_words").agg(
-            F.sum("n_near").alias("n_near"), F.sum("n_items").alias("n_items"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"),
+            F.sum("n_near").alias("n_near"), F.sum("n_items").alias("n_items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"))
     # ranges are sorted; what a range adds is its part after the end of all before it
     found = found.withColumn("n_hit", F.expr("aggregate(ranges, named_struct('n', 0L, 'e', -1L), (s, r) -> named_struct('n', s.n + greatest(r.b - greatest(r.a, s.e), 0L), 'e', greatest(s.e, r.b)), s -> s.n)"))
-    return found.select("doc_id", "n_words", "n_hit", "n_near", "n_items", "items", F.expr(f"n_hit > 0 and 100 * n_hit >= {percent} * n_words").alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", "n_near", F.size("items").cast("long").alias("n_items"), "items", F.expr(f"n_hit > 0 and 100 * n_hit >= {percent} * n_words").alias("contaminated"))

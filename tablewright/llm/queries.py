@@ -111,7 +111,7 @@ windows AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 12], ' ') AS g, l
 places AS (SELECT row, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(range(1, greatest(len(w) - n + 1, 0) + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows))),
 hits AS (SELECT DISTINCT row, i, p.n, item_id FROM places p JOIN windows v ON p.g = v.g AND p.n = v.n),
 words AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM hits) GROUP BY row),
-items AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row)
+items AS (SELECT row, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY row)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)""",
     "op12_source_divergence_audit": divergence.sql(),
