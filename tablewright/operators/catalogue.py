@@ -283,8 +283,8 @@ def spearman(df: DataFrame, a: str, b: str, segments: int | None = None) -> Data
 def typo_copies(df: DataFrame, id: str, text: str, edits: int = 3) -> DataFrame:
     """(first_id, copy_id, edits): pairs of different plain forms (case and white space aside) at most ``edits`` single-character edits apart.
 
-    Texts of at least ``SHORTEST_COPY`` characters. ``edits`` edits leave a run of a quarter of the text or more as it was, and winnowing keeps the
-    smallest hash of every window shorter than that run, so two such texts share a kept hash. They meet by it and by length, in tiles of
+    Texts of at least ``SHORTEST_COPY`` characters. Three edits leave a run of a quarter of the longer text as it was: k characters of 4 k to 4 k + 3. Winnowing
+    keeps the smallest hash of every window that fits in that run, so two such texts share a kept hash of that k. They meet by it, in tiles of
     bounded size, and are compared by edit distance. Each form stands for all its copies, with the smallest of their ids.
     """
     if edits != 3:
@@ -295,35 +295,42 @@ def typo_copies(df: DataFrame, id: str, text: str, edits: int = 3) -> DataFrame:
     forms = cut_lineage(forms.withColumn("id", F.monotonically_increasing_id()))
     rows = forms.select("id", "form").mapInArrow(_kept_hashes, "key long, id long, size int, rule int, counts binary")
     met = spelling.block_pairs(rows)
-    side = lambda k: forms.select(F.col("id").alias(k), F.struct("first", "form").alias(f"v{k}"))
+    side = lambda k: forms.select(F.col("id").alias(k), F.struct("first", "form").alias(f"v{k}")).hint("merge")
     pairs = met.join(side("a"), "a").join(side("b"), "b").withColumn("edits", F.levenshtein("va.form", "vb.form", edits)).filter("edits >= 0")
     return pairs.select(F.least("va.first", "vb.first").alias("first_id"), F.greatest("va.first", "vb.first").alias("copy_id"), "edits")
 
 
 SHORTEST_COPY, GRAM = 64, 6
+_TURN = 0x9E3779B97F4A7C15
 
 
 def _kept_hashes(batches):
-    """(key, id, size, rule, counts): the smallest run hash of every window of a text, by its length and the next."""
+    """(key, id, size, rule, counts): of each text, the smallest run hash of every window, for a quarter of its length and the next number.
+
+    Runs are half as long as the quarter: all runs of a text at once from sums of its code points times powers of an odd number.
+    """
+    powers = inverse = np.ones(1, dtype=np.uint64)
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        ids, keys, sizes = batch.column(0).to_numpy(), [], []
+        for text in batch.column(1).to_pylist():
             own, size = spelling.code_points([text])[0].astype(np.uint64), len(text)
-            run = np.zeros(size - GRAM + 1, dtype=np.uint64)
-            for k in range(GRAM):
-                run = run * np.uint64(0x9E3779B97F4A7C15) + own[k : k + len(run)]
-            run = spelling._mixed(run)
-            keys = []
-            # lengths of a class share windows; texts near its ends are put in both classes
-            for scale in {(size - 3).bit_length(), size.bit_length(), (size + 3).bit_length()}:
-                window = (1 << (scale - 1)) // 8 - GRAM  # with the run's own length below a quarter of what three edits leave
-                kept = np.unique(sliding_least(run, max(1, min(window, len(run)))))
-                for bucket in (size // 4, size // 4 + 1):
-                    keys.append(spelling._mixed(kept ^ np.uint64(scale * 1_000_003 + bucket * 64)))
-            key = np.unique(np.concatenate(keys))
-            n = len(key)
+            if size > len(powers):
+                powers, inverse = (np.multiply.accumulate(np.append(np.uint64(1), np.full(2 * size, x, dtype=np.uint64))) for x in (_TURN, pow(_TURN, -1, 2**64)))
+            upto = np.append(np.uint64(0), np.cumsum(own * powers[:size], dtype=np.uint64))
+            found = []
+            for quarter in (size // 4, size // 4 + 1):  # texts at most three apart in length share that of the longer
+                gram = max(GRAM, quarter // 2)
+                run = spelling._mixed((upto[gram:] - upto[:-gram]) * inverse[: size - gram + 1])
+                found.append(spelling._mixed(np.unique(sliding_least(run, quarter - gram + 1)) ^ np.uint64(quarter)))
+            key = np.unique(np.concatenate(found))
+            keys.append(key)
+            sizes.append(size)
+        many = np.array([len(k) for k in keys], dtype=np.int64)
+        n = int(many.sum())
+        if n:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(np.full(n, i)), pa.array(np.full(n, size, dtype=np.int32)), pa.array(np.full(n, spelling.BY_LENGTH, dtype=np.int32)), pa.array([b""] * n, pa.binary())],
-                ["key", "id", "size", "rule", "counts"])
+                [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, many)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), many)),
+                 pa.array(np.full(n, spelling.BY_LENGTH, dtype=np.int32)), pa.array([b""] * n, pa.binary())], ["key", "id", "size", "rule", "counts"])
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:

@@ -10,8 +10,11 @@ copy of a run is a run of its own), ordered rarest first, it therefore needs onl
 every string like it. Pairs whose longer string is shorter than ``SHORT`` meet by runs of two, longer ones by runs of four. The order of rarity
 comes from a table of at most ``FREQUENT`` runs, which steers cost alone: any order finds the same pairs.
 
-*Blocks.* Strings meet per scope and run. Blocks of one string are left out by counts, others are cut into tiles of at most ``TILE``
-strings, so a hot run becomes many tasks. Within a tile, lengths and counts of characters close most pairs before they leave it.
+*Scopes.* All strings of a scope of at most ``WHOLE`` meet by the scope itself, one row a string instead of one a run. The table of larger scopes has
+``FREQUENT`` entries at most; scopes that it leaves out meet whole too.
+
+*Blocks.* Strings meet per scope and run, in one shuffle. Blocks of one string give nothing, those of at most ``TILE`` strings their pairs; larger ones are
+cut into tiles of that size, so a hot run becomes many tasks. Within a tile, lengths and counts of characters close most pairs before they leave it.
 
 *Scoring.* Matching blocks are found for many pairs at once, as array work over padded code points.
 """
@@ -25,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.session import cut_lineage
+
 LIKE, VERY_LIKE, EDITS = 0.85, 0.92, 4
 SHORT = 24
 FREQUENT = 1 << 16
+WHOLE = 64
 TILE = 1 << 12
-PAIRS = 1 << 18
+PAIRS, PAIRS_AT_ONCE = 1 << 18, 1 << 20
 CELLS = 1 << 20
 BY_LENGTH = 5  # rule of blocks whose members need only be less than ``EDITS`` apart in length
 _BUCKETS = 32  # the last one holds white space
@@ -172,27 +178,38 @@ def likeness(a: list[str], b: list[str], sorted_a: list[str], sorted_b: list[str
 # --------------------------------------------------------------------------- the join
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, times) over the texts of a batch that have runs of that length."""
-    for batch in batches:
-        for texts in (batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            for q, own in ((2, [t for t in texts if len(t) < SHORT]), (4, [t for t in texts if len(t) + EDITS >= SHORT])):
-                run, times = np.unique(runs(own, q)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(times.astype(np.int64))], ["run", "times"])
+def _frequencies(large: np.ndarray):
+    """(run, times) over the texts of a batch that lie in the large scopes and have runs of that length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(np.isin(batch.column(1).to_numpy(), large)))
+            for texts in (batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                for q, own in ((2, [t for t in texts if len(t) < SHORT]), (4, [t for t in texts if len(t) + EDITS >= SHORT])):
+                    found, times = np.unique(runs(own, q)[1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["run", "times"])
 
-def _prefixes(frequent: np.ndarray, times: np.ndarray):
-    """(key, id, size, rule, counts) of the runs that each string meets others by; the key tells scope, kind and run."""
+    return run
+
+
+def _prefixes(large: np.ndarray, frequent: np.ndarray, times: np.ndarray):
+    """(key, id, size, rule, counts) of the runs that each string of a large scope meets others by; the key tells scope, kind and run. In other scopes a string has
+    one row of a kind, for the whole scope."""
 
     def run(batches):
         for batch in batches:
             scope = np.ascontiguousarray(batch.column(1).to_numpy()).view(np.uint64)
+            by_runs = np.isin(batch.column(1).to_numpy(), large)
             for by_words, texts in ((False, batch.column(2).to_pylist()), (True, batch.column(3).to_pylist())):
                 size = np.array([len(t) for t in texts], dtype=np.int64)
                 for q, own in ((2, np.flatnonzero(size < SHORT)), (4, np.flatnonzero(size + EDITS >= SHORT))):
                     rule = 2 * by_words + (q == 4)
                     turned = np.uint64((rule + 1) * int(_TURN) % 2**64)
-                    owner, found, copy = runs([texts[i] for i in own], q)
+                    owner, found, copy = runs([texts[i] if by_runs[i] else "" for i in own], q)
+                    one = np.append(True, owner[1:] != owner[:-1]) if len(owner) else np.empty(0, dtype=bool)
+                    whole = ~by_runs[own][owner]
+                    found[whole] = 0
+                    owner, found, copy = (x[one | ~whole] for x in (owner, found, copy))
                     place = np.minimum(np.searchsorted(frequent, found), max(len(frequent) - 1, 0))
                     weight = np.where(frequent[place] == found, times[place], 0) if len(frequent) else np.zeros(len(found), dtype=np.int64)
                     order = np.lexsort((copy, found, weight, owner))
@@ -241,34 +258,113 @@ def _block_pairs(tile, ids, size, rule, part, whole, counts) -> Iterator[tuple[n
         yield ids[i[alike]], ids[j[alike]]
 
 
+def _pairs_of(rows) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The open pairs of all tiles in ``rows``, some ``PAIRS_AT_ONCE`` together, each once there."""
+    pairs, n = [], 0
+
+    def once():
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        return pa.array(a[new]), pa.array(b[new])
+
+    for p in _block_pairs(*rows):
+        if len(p[0]):
+            pairs.append(p)
+            n += len(p[0])
+        if n >= PAIRS_AT_ONCE:
+            yield once()
+            pairs, n = [], 0
+    if pairs:
+        yield once()
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """All columns as arrays; the last one, character counts, only where a short string has any."""
+    columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+    counts, rule = np.zeros((batch.num_rows, _BUCKETS), dtype=np.uint8), columns[3]
+    short = (rule == 0) | (rule == 2)
+    counts[short] = np.frombuffer(b"".join(batch.column(batch.num_columns - 1).filter(pa.array(short)).to_pylist()), dtype=np.uint8).reshape(-1, _BUCKETS)
+    return [*columns, counts]
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by tile: candidate pairs, each once per batch; the tile that a batch leaves open is carried on."""
     held: list[np.ndarray] = []
-
-    def done(rows):
-        pairs = [p for p in _block_pairs(*rows) if len(p[0])]
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            once = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(a[once]), pa.array(b[once])], ["a", "b"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        counts = np.zeros((batch.num_rows, _BUCKETS), dtype=np.uint8)
-        short = (columns[3] == 0) | (columns[3] == 2)
-        counts[short] = np.frombuffer(b"".join(batch.column(6).filter(pa.array(short)).to_pylist()), dtype=np.uint8).reshape(-1, _BUCKETS)
-        columns.append(counts)
+        columns = _columns(batch)
         rows = [np.concatenate([h, c]) for h, c in zip(held, columns)] if held else columns
-        last = int(np.flatnonzero(np.append(True, rows[0][1:] != rows[0][:-1]))[-1])
+        last = int(_starts(rows[0])[-1])
         if last:
-            yield from done([r[:last] for r in rows])
+            for a, b in _pairs_of([r[:last] for r in rows]):
+                yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
         held = [r[last:] for r in rows]
     if held:
-        yield from done(held)
+        for a, b in _pairs_of(held):
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+
+_MET = "a long, b long, key long, size int, rule int, counts binary"
+
+
+def _met_by_key(most: int):
+    """Over rows sorted by key: the candidate pairs (a, b) of blocks of at most ``most`` strings; the rows of larger blocks as they are, with no b."""
+    names = [f.split(" ")[0] for f in _MET.split(", ")]
+
+    def as_rows(key, ids, size, rule, counts):
+        if len(key):
+            sent = pa.Array.from_buffers(pa.binary(_BUCKETS), len(key), [None, pa.py_buffer(np.ascontiguousarray(counts))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(size), pa.array(rule), sent], names)
+
+    def done(rows, large):
+        yield from as_rows(*[r[large] for r in rows])
+        key, ids, size, rule, counts = (r[~large] for r in rows)
+        if len(key):
+            for a, b in _pairs_of((key, ids, size, rule, np.zeros(len(key), dtype=np.int64), np.ones(len(key), dtype=bool), counts)):
+                yield pa.RecordBatch.from_arrays([a, b, *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        hot = None  # key of a block that is known to be large
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = _columns(batch)
+            rows = [np.concatenate([h, c]) for h, c in zip(held, columns)] if held else columns
+            new = _starts(rows[0])
+            many = np.diff(np.append(new, len(rows[0])))
+            large = many > most
+            large[0] |= hot is not None and rows[0][0] == hot
+            hot = rows[0][-1] if large[-1] else None
+            keep = len(rows[0]) if large[-1] else int(new[-1])
+            if keep:
+                yield from done([r[:keep] for r in rows], np.repeat(large, many)[:keep])
+            held = [r[keep:] for r in rows] if keep < len(rows[0]) else []
+        if held:
+            yield from done(held, np.zeros(len(held[0]), dtype=bool))
+
+    return run
+
+
+def meeting_rows(strings: DataFrame) -> DataFrame:
+    """(key, id, size, rule, counts): what strings meet by."""
+    columns = strings.select("id", "scope", "form", "sorted")
+    scopes = columns.groupBy("scope").agg(F.count(F.lit(1)).alias("strings")).where(F.col("strings") > WHOLE)
+    large = np.sort(scopes.orderBy(F.desc("strings"), "scope").limit(FREQUENT).toArrow()["scope"].to_numpy().astype(np.int64))
+    frequent = times = np.empty(0, dtype=np.int64)
+    if len(large):
+        top = columns.mapInArrow(_frequencies(large), "run long, times long").groupBy("run").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "run").limit(FREQUENT).toArrow()
+        frequent, times = top["run"].to_numpy().astype(np.int64), top["times"].to_numpy().astype(np.int64)
+    frequent = frequent.view(np.uint64)
+    rising = np.argsort(frequent)
+    return columns.mapInArrow(_prefixes(large, frequent[rising], times[rising]), "key long, id long, size int, rule int, counts binary")
 
 
 def candidate_pairs(strings: DataFrame) -> DataFrame:
@@ -276,21 +372,23 @@ def candidate_pairs(strings: DataFrame) -> DataFrame:
 
     ``strings`` has id, scope (a number; pairs stay inside one scope), form and sorted, and must give the same rows whenever it is read.
     """
-    columns = strings.select("id", "scope", "form", "sorted")
-    top = columns.mapInArrow(_frequencies, "run long, times long").groupBy("run").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "run").limit(FREQUENT).toArrow()
-    frequent, times = top["run"].to_numpy().astype(np.int64).view(np.uint64), top["times"].to_numpy().astype(np.int64)
-    rising = np.argsort(frequent)
-    return block_pairs(columns.mapInArrow(_prefixes(frequent[rising], times[rising]), "key long, id long, size int, rule int, counts binary"))
+    return block_pairs(meeting_rows(strings))
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the ids that share a key and whose lengths and character counts fit: rows (key, id, size, rule, counts)."""
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1").select("key", F.ceil(F.col("strings") / TILE).alias("parts"))
-    placed = rows.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    """(a, b), a < b, of the ids that share a key and whose lengths and character counts fit: rows (key, id, size, rule, counts).
+
+    Spark cannot tell how many rows come out of array functions, so no join here is left to its estimate: it would broadcast them.
+    """
+    met = cut_lineage(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_met_by_key(TILE), _MET))
+    large = met.where("b IS NULL").select("key", F.col("a").alias("id"), "size", "rule", "counts")
+    parts = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
+    placed = large.join(parts.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     tiles = tiles.select(
         F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "id", "size", "rule", "part", (F.col("part") == F.col("other")).alias("whole"), "counts")
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_met, "a long, b long").distinct()
+    tiled = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_met, "a long, b long")
+    return met.where("b IS NOT NULL").select("a", "b").union(tiled).distinct()
 
 
 def with_likeness(pairs: DataFrame) -> DataFrame:
