@@ -172,7 +172,7 @@ def fuzzy_merges(df: DataFrame) -> DataFrame:
     values = cut_lineage(left.select(
         F.monotonically_increasing_id().alias("id"), "column_name", "value", "n", norm(F.col("value")).alias("low"), form.alias("form"),
         F.array_join(F.array_sort(F.split(form, r"\s+")), " ").alias("sorted"), F.xxhash64("column_name", F.regexp_replace("value", "[^0-9]", "")).alias("scope")))
-    side = lambda k: values.select(F.col("id").alias(k), F.struct("column_name", "value", "n", "low", "form", "sorted", F.regexp_replace("value", "[^0-9]", "").alias("digits")).alias(f"v{k}"))
+    side = lambda k: values.select(F.col("id").alias(k), F.struct("column_name", "value", "n", "low", "form", "sorted", F.regexp_replace("value", "[^0-9]", "").alias("digits")).alias(f"v{k}")).hint("merge")
     met = spelling.candidate_pairs(values).join(side("a"), "a").join(side("b"), "b").select(F.col("va").alias("x"), F.col("vb").alias("y"))
     same = (F.col("x.column_name") == F.col("y.column_name")) & (F.col("x.digits") == F.col("y.digits")) & (F.col("x.low") != F.col("y.low"))
     wins = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.value") < F.col("y.value")))
@@ -183,7 +183,7 @@ def fuzzy_merges(df: DataFrame) -> DataFrame:
     far = F.levenshtein("a", "b", spelling.EDITS) < 0
     close = spelling.with_likeness(pairs).filter((F.col("ratio") >= spelling.LIKE) & ~(far & (F.col("ratio") < spelling.VERY_LIKE)))
     best = Window.partitionBy("column_name", "old_value").orderBy(F.desc("ratio"), F.desc("winner_n"), "new_value")
-    chosen = close.withColumn("rank", F.row_number().over(best)).filter("rank = 1")
+    chosen = cut_lineage(close.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("a", "b", "sa", "sb"))
     variants = chosen.select("column_name", F.col("old_value").alias("new_value"))
     return chosen.join(variants, ["column_name", "new_value"], "left_anti").select(
         "column_name", "old_value", "new_value", "n", F.round("ratio", 2).alias("confidence"), F.lit("fuzzy_merge").alias("type"))

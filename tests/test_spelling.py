@@ -86,6 +86,20 @@ def test_hot_blocks_are_cut(spark, monkeypatch):
     assert want <= found_pairs(spark, texts)
 
 
+def test_strings_of_small_scopes_meet_by_the_scope(spark):
+    """Long strings in scopes of a few: a row or two each, not one per run, and the same pairs."""
+    r = random.Random(9)
+    texts = planted(r, (14, 40, 160), 12)
+    rows = [(i, i // 40, t, " ".join(sorted(t.split()))) for i, t in enumerate(texts)] + [(1000 + i, 99, f"{t} x", f"{t} x") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, scope long, form string, sorted string")
+    small = frame.filter("scope < 99")
+    assert spelling.meeting_rows(small).count() <= 4 * len(texts)
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i // 40 == j // 40 and alike(texts[i], texts[j])}
+    found = {(x.a, x.b) for x in spelling.candidate_pairs(frame).collect()}
+    assert want <= found and len(want) > 5
+    assert all(scopes[a] == scopes[b] for scopes in [{x[0]: x[1] for x in rows}] for a, b in found)
+
+
 def test_matching_blocks_equal_the_plain_scorer():
     r = random.Random(6)
     a = ["".join(r.choice("abcd ") for _ in range(r.randrange(40))) for _ in range(800)] + ["", "", "x" * 300, "ab" * 150, "é漢字😀 x"]
