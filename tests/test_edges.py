@@ -167,3 +167,11 @@ def test_pages_token_by_token(spark):
     df = spark.createDataFrame([*enumerate(pages), (99, None)], "i int, html string").repartition(2)
     got = {r.i: r.t for r in df.select("i", G.html_to_text(df.html).alias("t")).collect()}
     assert got == {**dict(enumerate(pages.values())), 99: None}
+
+
+def test_a_source_of_several_pages_is_ingested_as_often_as_its_status_has_it(spark):
+    status = spark.createDataFrame([("a", "unchanged"), ("b", "changed"), ("b", "changed"), ("c", "unchanged"), ("c", "unchanged"), ("d", "removed"), ("e", "new")], "source string, status string")
+    index = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "source string, chunk int")
+    chunks = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30), ("e", 50)], "source string, chunk int")
+    got = sorted(tuple(r) for r in G.delta_ingest(index, chunks, status).collect())
+    assert got == [("a", 1), ("b", 20), ("b", 20), ("c", 3), ("c", 3), ("e", 50)]
