@@ -111,7 +111,7 @@ def suspicious_columns(df: DataFrame, p: P.TableProfile, order: str | None = Non
     out = out.unionByName(base.filter("kind = 'text' AND distinct = rows").filter(~named).select("column_name", F.lit("all_unique").alias("issue")))
     text = P.text_columns(df)
     if text:
-        packed = P.count_flags(P.long_text(df, text), {"present": c("value").isNotNull(), "packed": c("value").rlike(r"[,|;]")})
+        packed = P.count_flags(P.folded_text(df, text), {"present": c("value").isNotNull(), "packed": c("value").rlike(r"[,|;]")})
         out = out.unionByName(packed.filter("packed > 0.2 * present").select("column_name", F.lit("delimiter_packed").alias("issue")))
     if order:
         others = [n for n in P.numeric_columns(df) if n != order]

@@ -11,7 +11,7 @@ from tablewright.functions import constants as K
 from tablewright.functions.text import col, name_has, norm, strip, to_double
 from tablewright.operators import cleaners as C
 from tablewright.operators import spelling
-from tablewright.operators.profile import count_flags, long_text, rows_frame, text_columns, value_key
+from tablewright.operators.profile import count_flags, folded_text, long_text, rows_frame, text_columns, value_key
 from tablewright.session import cut_lineage
 
 
@@ -73,7 +73,7 @@ def detect_format_mix(df: DataFrame) -> DataFrame:
     """Text columns that mix date shapes or number notations."""
     v = F.col("value")
     flags = {**C.date_shapes(v), "comma_numbers": v.rlike(K.WESTERN_NUMBER), "dot_numbers": v.rlike(K.EUROPEAN_NUMBER)}
-    counted = count_flags(long_text(df), flags)
+    counted = count_flags(folded_text(df), flags)
     kinds = sum(((F.col(f"shape_{i}") > 0).cast("int") for i in range(3)), F.lit(0))
     issues = F.array(
         F.when(kinds > 1, "mixed_date_format"),
@@ -86,8 +86,8 @@ def detect_format_mix(df: DataFrame) -> DataFrame:
 def detect_type_issues(df: DataFrame) -> DataFrame:
     v = F.col("value")
     bare = strip(F.regexp_replace(F.regexp_replace(v, r"[\$₹£€¥,]", ""), K.REFERENCE_MARK, ""))
-    counted = count_flags(long_text(df), {"present": v.isNotNull(), "currency": v.rlike(K.CURRENCY),
-                                          "marks": v.rlike(K.REFERENCE_MARK), "numbers": to_double(bare).isNotNull()})
+    counted = count_flags(folded_text(df), {"present": v.isNotNull(), "currency": v.rlike(K.CURRENCY),
+                                            "marks": v.rlike(K.REFERENCE_MARK), "numbers": to_double(bare).isNotNull()})
     currency, marks, numbers = (F.col(k) / F.col("present") for k in ("currency", "marks", "numbers"))
     issue = (F.when((currency > 0.3) & (numbers > 0.5), "currency_as_string").when(marks > 0.1, "embedded_references")
              .when(numbers > 0.7, "numeric_as_string"))
@@ -100,7 +100,7 @@ def detect_semantic_issues(df: DataFrame) -> DataFrame:
     v = F.col("value")
     flags = {"present": v.isNotNull(), "null_strings": C.is_null_token(v), "percentage_strings": strip(v).rlike(K.PERCENT),
              "boolean_strings": norm(v).isin(*K.TRUE_TOKENS, *K.FALSE_TOKENS), "negative_parentheses": strip(v).rlike(K.PAREN_NUMBER)}
-    counted = count_flags(long_text(df), flags).filter("present > 0")
+    counted = count_flags(folded_text(df), flags).filter("present > 0")
     n, r = F.col("n"), F.col("n") / F.col("present")
     rules = {"null_strings": n > 0, "percentage_strings": r > 0.4, "boolean_strings": r > 0.7,
              "negative_parentheses": (n >= 2) & (r > 0.05)}

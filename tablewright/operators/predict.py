@@ -385,7 +385,7 @@ def suggest_date_parts(df: DataFrame) -> DataFrame:
     dated = [{"column_name": c} for c in P.columns_of(df, "datetime")]
     text = P.text_columns(df)
     if text:
-        parsed = P.count_flags(P.long_text(df), {"all_rows": F.lit(True), "dates": parse_date(F.col("value")).isNotNull()})
+        parsed = P.count_flags(P.folded_text(df), {"all_rows": F.lit(True), "dates": parse_date(F.col("value")).isNotNull()})
         dated += [{"column_name": r.column_name} for r in parsed.filter(F.col("dates") > F.col("all_rows") * 0.5).collect()]
     frame = P.rows_frame(spark, dated, "column_name string")
     new = F.concat_ws(",", *[F.concat("column_name", F.lit(s)) for s in ("_year", "_month", "_dayofweek", "_quarter")])

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.functions import quantiles
+from tablewright.functions import distincts, quantiles
 from tablewright.functions.quantiles import exact_quantiles
 from tablewright.operators import catalogue, correct, impute, predict
 from tablewright.operators import profile as P
@@ -210,3 +210,14 @@ def test_dedupe_and_imputation_keep_their_promises(spark):
 def test_standardize_case_keeps_missing(spark):
     df = spark.createDataFrame([("north",), ("North",), (" NORTH",), (None,)], "r string")
     assert {r.r for r in impute.standardize_case(df)[0].collect()} == {"North", None}
+
+
+def test_equal_values_of_a_stretch_are_looked_at_once(spark):
+    df = spark.range(0, 30_000, 1, 3).selectExpr("concat('v', id % 7) AS a", "CASE WHEN id % 5 > 0 THEN cast(id AS STRING) END AS b", "cast(NULL AS STRING) AS c")
+    rows = distincts.folded_values(df).collect()
+    assert sum(r.key == 0 for r in rows) == 3 * 7 and sum(r.key == 2 for r in rows) == 3
+    assert [sum(r.n for r in rows if r.key == k and r.value is not None) for k in range(3)] == [30_000, 24_000, 0]
+    assert [sum(r.n for r in rows if r.key == k and r.value is None) for k in range(3)] == [0, 6_000, 30_000]
+    assert distincts.folded_values(df.limit(0)).collect() == []
+    flags = P.count_flags(P.folded_text(df), {"rows": F.lit(True), "threes": F.col("value") == "v3"})
+    assert {r.column_name: (r.rows, r.threes) for r in flags.collect()} == {"a": (30_000, len(range(3, 30_000, 7))), "b": (30_000, 0), "c": (30_000, 0)}
