@@ -132,3 +132,19 @@ def test_records_of_odd_files(spark, tmp_path):
     assert got == [(1, "h"), (2, '"one\r\ntwo"'), (3, "plain"), (5, '"a""b"'), (6, '"last\n\n"')]
     (tmp_path / "d.csv").write_bytes(b"")
     assert quoted_csv.quoted_records(spark, str(tmp_path / "d.csv")).collect() == []
+
+
+def test_ranges_check_writes_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task writes all texts: as many files as the input has parts."""
+    from checks import connecting
+
+    rows = [(i, f"one \"{i}\"\ntwo, {i}", "en") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(connecting, "folder", lambda s: str(tmp_path / "csv"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = sorted(tuple(r) for r in connecting.csv_in_ranges(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == rows and len(list((tmp_path / "csv").glob("part-*"))) >= 4
