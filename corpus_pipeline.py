@@ -26,7 +26,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "row_number"
     while name in docs.columns:
         name += "_"
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", compression="zstd"), name
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -68,7 +68,7 @@ def run(spark: SparkSession, folder: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = queries.table(spark, folder, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, folder), "stage")
+        docs = stored(stage(spark, docs, folder), "stage", compression="zstd")
     return docs
 
 
