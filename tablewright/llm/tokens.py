@@ -10,8 +10,10 @@ the codes. Blocks are rows of a table of the shared folder: (file, block, texts,
 block numbers rising with the id; ``before`` counts the tokens of the file's earlier blocks. A table survives a lost executor as any job's output does.
 
 *Encoding.* White space other than the space before a word is never inside a piece of the byte-level tokenizer, so a text cut
-before every run of spaces and line ends encodes to the same ids piece by piece. A piece is encoded once, many at a time as one text of lines, and its ids
-kept, by 64-bit hash, in a table of the worker that is bounded in bytes. Texts with other white space, and other tokenizers, are encoded whole.
+before every run of spaces and line ends encodes to the same ids piece by piece. So does one cut where letters, digits and punctuation meet, but for what
+follows an apostrophe and the characters of the tokenizer's own added tokens. A piece is encoded once and its ids kept, by 64-bit hash, in a table of the worker that is
+bounded in bytes; a word of letters, which the library's pattern would leave whole, goes to its model at once, other pieces many at a time as one text of lines.
+Texts with other white space, and other tokenizers, are encoded whole.
 
 Defined cases: null and empty texts hold the end id alone. Null ids come first, equal ids in order of their text's digest, each row
 a text of its own. An empty table has no tokens. Extra columns are ignored.
@@ -50,6 +52,15 @@ TABLE = "file int, block int, texts int, before long, tokens long, doc_ids binar
 _ODD = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xE1, 0xE2, 0xE3])
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
+#: Kinds of bytes: letter, digit, punctuation, apostrophe; 0 is any other.
+_LETTER, _DIGIT, _MARK, _QUOTE = 1, 2, 3, 4
+_KINDS = np.array([0 if b < 33 or b > 126 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _QUOTE if b == 39 else _MARK for b in range(256)], dtype=np.uint8)
+#: Whether a piece may end between two kinds: never next to one unknown, nor after an apostrophe, which may start a contraction.
+_APART = np.array([a not in (0, _QUOTE, b) and b != 0 and not (a == _MARK and b == _QUOTE) for a in range(5) for b in range(5)])
+#: The character that stands for each byte in a byte-level vocabulary.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTERS = {b: chr(b) if b in _SHOWN else chr(256 + b - sum(x < b for x in _SHOWN)) for b in range(256)}
+
 
 def encode_codes(ids: np.ndarray) -> bytes:
     """The codes of an array of ids below 2**32."""
@@ -147,18 +158,45 @@ class Encoder:
         alone = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("a", " b", "c")]
         # between pieces without one, a line end is a token of its own, so many pieces can be encoded as one text
         self.between = line_end[0] if self.by_piece and len(line_end) == 1 and probe == [*alone[0], *line_end, *alone[1], *line_end, *alone[2]] else None
+        self.kinds = _KINDS.copy()
+        added = [t["content"].encode() for t in parts.get("added_tokens", [])]
+        self.kinds[[b for t in added for b in t if not chr(b).isalnum()]] = 0  # an added token is never cut
+        if any(t.get("single_word") for t in parts.get("added_tokens", [])) or any(self.apart(np.frombuffer(t, np.uint8)).any() or (_KINDS[list(t)] <= _DIGIT).all() for t in added):
+            self.kinds[:] = 0
+        self.model = self.tokenizer.model
+        words = ["a", " Words", "stra\u00dfe", " \u0141\u00f3d\u017a", "\u00c0\u00ff\u0100\u017f"]
+        self.by_word = self.by_piece and parts["model"].get("type") == "BPE" and not parts["model"].get("dropout") and all(self.encoded_words([w.encode()])[0].tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for w in words) and not any(
+            (self.letters(np.frombuffer(t, np.uint8)) | (np.frombuffer(t, np.uint8) == 32)).all() for t in added)
         self.forget()
 
+    @staticmethod
+    def letters(data: np.ndarray) -> np.ndarray:
+        """Which bytes are letters: A-Z, a-z and U+00C0 to U+017F but for the two signs among them."""
+        found = _KINDS[data] == _LETTER
+        two = (data >= 0xC3) & (data <= 0xC5)
+        two[:-1] &= (data[:-1] != 0xC3) | ((data[1:] != 0x97) & (data[1:] != 0xB7))
+        found |= two
+        found[1:] |= two[:-1]
+        return found
+
+    def apart(self, data: np.ndarray) -> np.ndarray:
+        """Whether a piece may start at each byte because the kinds of characters before and after differ."""
+        kind = self.kinds[data]
+        kind[self.letters(data)] = self.kinds[97]
+        out = np.zeros(len(data), dtype=bool)
+        out[1:] = _APART[5 * kind[:-1] + kind[1:]]
+        return out
+
     def pieces(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First byte and end of every piece of a slice: texts, cut before every run of spaces and line ends if that is safe."""
+        """First byte and end of every piece of a slice: texts, cut before every run of spaces and line ends and between kinds of characters if that is safe."""
         texts = len(starts) - 1
         first = np.zeros(len(data), dtype=bool)
         first[starts[:-1]] = True
         last = starts[1:] - 1
         if self.by_piece and texts:
             gap = (data == 32) | (data == 10)
-            cut = np.zeros(len(data), dtype=bool)
-            cut[1:] = gap[1:] & ~gap[:-1]
+            cut = self.apart(data)
+            cut[1:] |= gap[1:] & ~gap[:-1]
             odd = _ODD[data]
             odd[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
             for t in np.flatnonzero(np.add.reduceat(odd, starts[:-1])):
@@ -178,8 +216,8 @@ class Encoder:
         if new.any():
             own, a, b = hashes[new], begin[new], stop[new]
             offset, sizes = np.empty(len(own), dtype=np.int64), np.empty(len(own), dtype=np.int32)
-            together = self.joinable(text, a, b)
-            for some, encode in ((np.flatnonzero(together), self.encoded_as_one), (np.flatnonzero(~together), self.encoded_each)):
+            alone, together = self.single_words(text, a, b), self.joinable(text, a, b)
+            for some, encode in ((np.flatnonzero(alone), self.encoded_words), (np.flatnonzero(together & ~alone), self.encoded_as_one), (np.flatnonzero(~together & ~alone), self.encoded_each)):
                 for i in range(0, len(some), AT_ONCE):  # the library's results are large
                     now = some[i : i + AT_ONCE]
                     ids, sizes[now] = encode([text[x:y] for x, y in zip(a[now].tolist(), b[now].tolist())])
@@ -197,6 +235,24 @@ class Encoder:
         offset[late], sizes[late] = self.recent.get(hashes[late])
         return offset, sizes
 
+    def single_words(self, text: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Which pieces are letters alone, after one space at most."""
+        if not self.by_word:
+            return np.zeros(len(begin), dtype=bool)
+        data = np.frombuffer(text, dtype=np.uint8)
+        seen = np.append(0, np.cumsum(self.letters(data)))
+        first = begin + (data[begin] == 32)
+        return (stop > first) & (seen[stop] - seen[first] == stop - first)
+
+    def encoded_words(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end and their number per word, from the model alone."""
+        tokenize = self.model.tokenize
+        ends = list(itertools.accumulate(map(len, pieces), initial=0))
+        shown = b"".join(pieces).decode("latin-1").translate(_CHARACTERS)
+        ids = [[t.id for t in tokenize(shown[a:b])] for a, b in zip(ends, ends[1:])]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum())), sizes
+
     def joinable(self, text: bytes, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Which pieces keep their ids when line ends stand around them: short ones without a line end that start with one space at most."""
         if self.between is None:
