@@ -127,10 +127,28 @@ def drop_empty_reference_columns(df: DataFrame) -> tuple[DataFrame, list[dict]]:
 MERGE_SCHEMA = "column_name string, old_value string, new_value string, n long, confidence double, type string"
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """(column_name, value, key, form) of the text values present; key and form are short stand-ins."""
+def _keyed(values: DataFrame) -> DataFrame:
+    """(column_name, value, n, key, form) of values with how often they come; key and form are short stand-ins."""
     v = F.col("value")
-    return long_text(df).filter(v.isNotNull()).select("column_name", "value", value_key(v).alias("key"), value_key(norm(v)).alias("form"))
+    return values.select("column_name", "value", "n", value_key(v).alias("key"), value_key(norm(v)).alias("form"))
+
+
+def _present(df: DataFrame) -> DataFrame:
+    """(column_name, value, n) of the text values present, a row each."""
+    return long_text(df).filter(F.col("value").isNotNull()).select("column_name", "value", F.lit(1).cast("long").alias("n"))
+
+
+def counted_values(df: DataFrame) -> DataFrame:
+    """(column_name, value, n): the distinct text values with how often they come, counted in one pass over the table and stored."""
+    return cut_lineage(_present(df).groupBy("column_name", "value").agg(F.sum("n").alias("n")))
+
+
+def _families(values: DataFrame) -> DataFrame:
+    """(column_name, value, form, n) of the values among ``values`` (column_name, value, n) that are spelled in more than one way."""
+    keyed = _keyed(values)
+    several = (keyed.groupBy("column_name", "form", "key").agg(F.count("*").alias("rows")).groupBy("column_name", "form").agg(F.count("*").alias("spellings"))
+               .filter("spellings > 1").select("column_name", "form"))
+    return keyed.join(several, ["column_name", "form"], "left_semi").groupBy("column_name", "form", "value").agg(F.sum("n").alias("n"))
 
 
 def case_families(df: DataFrame) -> DataFrame:
@@ -138,16 +156,16 @@ def case_families(df: DataFrame) -> DataFrame:
 
     Spellings are counted by key, so long texts stay where they are; only the texts of families with several spellings are read again.
     """
-    keyed = _keyed(df)
-    several = (keyed.groupBy("column_name", "form", "key").agg(F.count("*").alias("n")).groupBy("column_name", "form").agg(F.count("*").alias("spellings"))
-               .filter("spellings > 1").select("column_name", "form"))
-    return keyed.join(several, ["column_name", "form"], "left_semi").groupBy("column_name", "form", "value").agg(F.count("*").alias("n"))
+    return _families(_present(df))
 
 
-def case_variant_merges(df: DataFrame) -> DataFrame:
-    """Spellings that differ only in case or edge space, with the most frequent as canonical. Columns of any width are looked at."""
+def case_variant_merges(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Spellings that differ only in case or edge space, with the most frequent as canonical. Columns of any width are looked at.
+
+    ``values`` are the ``counted_values`` of the table, where they are known.
+    """
     family = Window.partitionBy("column_name", "form")
-    ranked = case_families(df).withColumn("new_value", F.first("value").over(family.orderBy(F.desc("n"), "value")))
+    ranked = (case_families(df) if values is None else _families(values)).withColumn("new_value", F.first("value").over(family.orderBy(F.desc("n"), "value")))
     return ranked.filter("value <> new_value").select(
         "column_name", F.col("value").alias("old_value"), "new_value", "n", F.lit(0.95).alias("confidence"), F.lit("case_variant").alias("type"))
 
@@ -160,14 +178,14 @@ def plain_form(x: Column) -> Column:
     return strip(F.regexp_replace(bare, f"({suffixes})$", ""))
 
 
-def fuzzy_merges(df: DataFrame) -> DataFrame:
+def fuzzy_merges(df: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Likely typos and word-order variants among the values that case merging leaves, whatever their number and length.
 
     All pairs of a column that are alike are found (``spelling``). Values whose digits differ are different things. Of a pair the more
-    frequent value wins; a variant goes to its closest winner, and no winner is itself a variant.
+    frequent value wins; a variant goes to its closest winner, and no winner is itself a variant. ``values`` as in ``case_variant_merges``.
     """
-    counts = _keyed(df).groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    left = counts.join(case_variant_merges(df).select("column_name", F.col("old_value").alias("value")), ["column_name", "value"], "left_anti")
+    counts = counted_values(df) if values is None else values
+    left = counts.join(case_variant_merges(df, counts).select("column_name", F.col("old_value").alias("value")), ["column_name", "value"], "left_anti")
     form = plain_form(F.col("value"))
     values = cut_lineage(left.select(
         F.monotonically_increasing_id().alias("id"), "column_name", "value", "n", norm(F.col("value")).alias("low"), form.alias("form"),
@@ -190,8 +208,10 @@ def fuzzy_merges(df: DataFrame) -> DataFrame:
 
 
 def category_merges(df: DataFrame, fuzzy: bool = True) -> DataFrame:
-    merges = case_variant_merges(df)
-    return merges.unionByName(fuzzy_merges(df)) if fuzzy else merges
+    if not fuzzy:
+        return case_variant_merges(df)
+    values = counted_values(df)  # both kinds of merges read the values, not the table
+    return case_variant_merges(df, values).unionByName(fuzzy_merges(df, values))
 
 
 MAPPED_BYTES = 4 << 20  # largest mapping that is broadcast
