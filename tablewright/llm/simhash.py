@@ -224,7 +224,7 @@ def near_links(prints: DataFrame, radius: int = 3) -> DataFrame:
     """(a, b) of fingerprints: links that connect just what lies at most ``radius`` bits apart. ``prints`` has one column of distinct ones."""
     cells = prints.select("print").mapInArrow(_cells(radius // 2 + 1), "cell long, print long, own boolean")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("points"), F.count_if("own").alias("owners")).where("points > 1 and owners > 0")
-    met = cells.join(sizes, "cell").select(
+    met = cells.join(sizes.hint("merge"), "cell").select(  # Spark takes a print's cells, dozens, for one row and would send them all
         "cell", "print", "own", F.ceil(F.col("owners") / TILE).alias("rows"), F.ceil(F.col("points") / TILE).alias("columns"))
     row, column = F.pmod(F.xxhash64("print"), F.col("rows")), F.pmod(F.xxhash64("print", F.lit(1)), F.col("columns"))
     asks = met.where("own").select("cell", "print", F.lit(True).alias("own"), row.alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("c"))

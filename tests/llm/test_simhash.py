@@ -121,3 +121,12 @@ def test_dense_group_of_thousands_returns_few_links():
     assert len(a) <= 2 * len(own)
     near = np.bitwise_count(own[:, None] ^ own[None, :]) <= 3
     assert linked_classes(own, zip(a, b)) == linked_classes(own, zip(*(own[x] for x in np.nonzero(near))))
+
+
+def test_cells_are_never_sent_to_the_driver(spark):
+    """A print has dozens of cells, which Spark sizes as one row: a table of prints just under the broadcast limit must not be joined by broadcast."""
+    prints = spark.range(1000).selectExpr("xxhash64(id) AS print")
+    links = S.near_links(prints)
+    links.collect()
+    for plan in (links._jdf.queryExecution().sparkPlan(), links._jdf.queryExecution().executedPlan()):
+        assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()
