@@ -10,16 +10,16 @@ diverges from that of its suffix: the texts it predicts must gain ``DIVERGENCE``
 The suffixes of a kept context are kept too. A kept context's distribution is that of all symbols seen after it, smoothed towards
 that of its suffix with a weight of ``PULL``.
 
-*Tables.* Alphabet, contexts and chances are stored tables with a row per (context, symbol), as large as the texts make them. A context
-of k symbols followed by one is a context of k + 1, so one 64-bit key names both. Tasks get filters of a fixed size, which let every
-admitted key pass; the few others that pass find no row in the exact join.
+*Exchange.* Blocks of texts are kept on disk as the numbers of their words and stay where they are. What a block has to count goes out once per distinct key, sorted,
+in steps, packed, by ranges of keys: first its words, then the pairs of context and symbol after contexts of one symbol, then those after all longer ones that
+two counted contexts make up. The counts come back to the part of the blocks that asked, in the order of its keys, which it makes anew. A context of k symbols
+followed by one is a context of k + 1, so a token's context occurs as often as the pair of the token in front of it. Keys are symbol numbers side by side where 64 bits hold them, else hashes of 64 bits.
 
 *Scores.* Each symbol is predicted by the longest state that the text before it ends in; the score is the sum of log10. As the suffixes
-of states are states, it is the score of the empty context plus what each state on the way adds, so the keys of a text are summed
-within the text and meet their states and pairs in plain joins. The most frequent of these, about ``INLINE``, are sent to the tasks.
+of states are states, it is the score of the empty context plus what each state on the way adds. What tokens gain is summed per context; kept contexts are told
+to tasks by a filter of 2 ** ``GATE_BITS`` bits, doubled until at most ``INLINE`` others pass it, and by these others.
 
-*Base.* Words counted over all training texts, each end a token. The ``SENT`` most frequent words are sent to the tasks with their
-counts; the rest of a text's words meet their counts in a join, so the vocabulary may grow with the data.
+*Base.* Words counted over all training texts, each end a token.
 
 Training texts are those whose crc32 of the id as text, modulo 7, is not 2. Words count as equal if their 64-bit hashes are.
 
@@ -31,15 +31,19 @@ likely. Extra columns are ignored.
 from __future__ import annotations
 
 import dataclasses
+import functools
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import stored
-from tablewright.llm.words import mixed, slice_words, text_slices
+from tablewright.llm.shared import shuffle_partitions, stored
+from tablewright.llm.words import give_back_memory, mixed, slice_words, text_slices, trim
 
 BITS = 12
 SYMBOLS = 1 << BITS  # of a tree in memory
@@ -49,6 +53,11 @@ DIVERGENCE = 20.0
 PULL = 8.0
 SENT = 1 << 17
 INLINE = 1 << 20
+BLOCK = 3 << 18  # tokens of a block
+PART = 1 << 24  # bytes of text whose words and pairs a task counts
+KEPT = 1 << 25, 1 << 25  # bytes of an array, and of freed ones, that a task keeps while it works on a block
+PIECE = 1 << 18  # bytes of a row; larger ones are costly for the JVM
+PIECES = 128  # of a part of the blocks, on its way
 GATE_BITS = 26
 FOLDS, HELD_OUT = 7, 2
 END_WORD = 0x0E4D  # stands for the end among word hashes
@@ -56,36 +65,9 @@ OTHER_WORD = 0x07E4  # and for all words without a symbol
 TURN = 17
 END, OTHER = 0, SYMBOLS - 1
 FOLD = f"pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), {FOLDS}) = {HELD_OUT}"
-COUNTS = "key long, times long"
-LEVEL = "key long, context long, short long, times long"
-
-
-def _tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-
-
-def _summed(parts: Iterator[np.ndarray], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """(key, times) of many arrays of keys, summed over several before they leave; at most about ``most`` keys are held."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def out():
-        keys, times = _merged(held)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), pa.array(times, pa.int64())], ["key", "times"])
-
-    for keys in parts:
-        held.append(_tallied(keys))
-        if len(held) == 16:
-            held[:] = [_merged(held)]
-            if len(held[0][0]) > most:
-                yield out()
-                held.clear()
-    if held:
-        yield out()
+END_NUMBER, OTHER_NUMBER = 0, 1
+INFO = ["doc_id", "n_tokens", "n_known", "base", "words"]
+WORDS = 0  # among kinds of requests; the others are lengths of contexts
 
 
 def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,10 +77,6 @@ def _words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(text, cuts, np.arange(len(starts) - 1)), np.insert(hashes, cuts, np.uint64(END_WORD))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]):
-    yield from _summed(_words(data, starts)[1] for batch in batches for _, data, starts in text_slices(batch.column(0)))
-
-
 @dataclasses.dataclass
 class Alphabet:
     """Sorted hashes of the words that have a symbol, and the symbols."""
@@ -243,70 +221,62 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return x << np.uint64(TURN) | x >> np.uint64(64 - TURN)
 
 
-def _turn(x: Column) -> Column:
-    return F.shiftleft(x, TURN).bitwiseOR(F.shiftrightunsigned(x, 64 - TURN))
-
+def _named(contexts: np.ndarray, k: int, width: int, depth: int) -> np.ndarray:
+    """Keys of contexts of ``k`` symbols that tell them apart from those of other lengths in one table: the number after a one, where all lengths fit."""
+    if depth * width < 64:
+        return contexts | np.uint64(1 << k * width)
+    return mixed(contexts) ^ mixed(np.array([2**64 - k], dtype=np.uint64))
 
-def _turn_back(x: Column) -> Column:
-    return F.shiftrightunsigned(x, TURN).bitwiseOR(F.shiftleft(x, 64 - TURN))
 
-
-def _symbol() -> Column:
-    """The last symbol of a key."""
-    return F.col("key").bitwiseXOR(_turn(F.col("context")))
-
-
-def context_keys(text: np.ndarray, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Place of every token in its text, and for 0 to ``depth`` symbols the key of the context before it, which needs a place of its length - 1.
-
-    The key of a context followed by a symbol is the context's, turned, xor the symbol; that of the empty context is 0.
-    """
-    first = np.ones(len(symbols), dtype=bool)
-    first[1:] = text[1:] != text[:-1]
-    starts = np.flatnonzero(first)
-    place = np.arange(len(symbols)) - np.repeat(starts, np.diff(np.append(starts, len(symbols))))
-    before = np.zeros_like(symbols)
-    before[1:] = symbols[:-1]
-    before[first] = END_WORD
-    out = [np.zeros_like(symbols)]
-    for _ in range(depth):
-        farther = np.zeros_like(symbols)
-        farther[1:] = out[-1][:-1]
-        out.append(_turned(farther) ^ before)
-    return place, out
+def _suffixes(keys: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """The keys without the farthest symbol of each, 0 where there was one, of keys that are numbers after a one."""
+    out = np.zeros_like(keys)
+    for k in range(2, depth + 1):
+        own = keys >> np.uint64(k * width) == np.uint64(1)
+        out[own] = keys[own] & np.uint64((1 << (k - 1) * width) - 1) | np.uint64(1 << (k - 1) * width)
+    return out
 
 
-def _salted(keys: np.ndarray, k: int, pair: bool) -> np.ndarray:
-    return keys ^ np.uint64(_salt(k, pair) % 2**64)
+def _followed(contexts: np.ndarray, bits: int, symbols: np.ndarray, width: int) -> tuple[np.ndarray, int]:
+    """Number of each context of ``bits`` bits followed by a symbol of ``width``, and its bits; where these are more than 64, a hash."""
+    if bits + width <= 64:
+        return contexts << np.uint64(width) | symbols, bits + width
+    return _turned(mixed(contexts)) ^ mixed(symbols + np.uint64(1)), 64
 
 
-def _salt(k: int, pair: bool) -> int:
-    """What tells the states and pairs of each length apart in one table, as a signed number."""
-    return int(mixed(np.array([2 * k + pair + 1], dtype=np.uint64)).view(np.int64)[0])
+def _scattered(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of ``bits`` bits that spreads them evenly."""
+    if bits >= 64:
+        return x
+    mask, half = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
+    for odd in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15):
+        x = x * np.uint64(odd) & mask
+        x = x ^ x >> half
+    return x
 
 
-def _places(keys: np.ndarray) -> np.ndarray:
-    return mixed(keys) >> np.uint64(64 - GATE_BITS)
+def _places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return mixed(keys) >> np.uint64(64 - bits)
 
 
-def gate(keys: DataFrame) -> np.ndarray:
-    """Bits of a fixed number, one of which is set for each of the keys."""
+def gate(keys: DataFrame, size: int = GATE_BITS) -> np.ndarray:
+    """Bits, 2 ** ``size`` of them, one of which is set for each of the keys."""
 
     def run(batches):
         for batch in batches:
-            places = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+            places = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size))
             word, first = np.unique(places >> np.uint64(6), return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (places & np.uint64(63)), first) if len(first) else places
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
 
     rows = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(1 << GATE_BITS - 6, dtype=np.uint64)
+    out = np.zeros(1 << size - 6, dtype=np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
 
 def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    places = _places(keys)
+    places = _places(keys, len(bits).bit_length() + 5)
     return bits[places >> np.uint64(6)] >> (places & np.uint64(63)) & np.uint64(1) == 1
 
 
@@ -318,218 +288,518 @@ def _among(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return known[place] == keys, place
 
 
-def _symbolised(batch: pa.RecordBatch, column: int, names: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row of the first text, texts, and text number, hash and symbol of every token, slice by slice. The column after the text has the text's words with a symbol besides ``names``."""
-    own = batch.column(column + 1).flatten()
-    own = np.unique(own.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    for row, data, starts in text_slices(batch.column(column)):
-        text, hashes = _words(data, starts)
-        named = _among(names, hashes)[0] | _among(own, hashes)[0]
-        yield row, len(starts) - 1, text, hashes, np.where(named, hashes, np.uint64(OTHER_WORD))
+@dataclasses.dataclass(frozen=True)
+class Facts:
+    """Of the training texts: tokens, distinct words, those seen once, symbols, and tokens of other words; the first number of the symbols that each part counted."""
 
+    n: int
+    v: int
+    once: int
+    symbols: int
+    other: int
+    least: int
+    first: np.ndarray
 
-def _level_counts(names, k: int, bits, most: int = 1 << 20):
-    """(key, context, short, times) of symbols after contexts of ``k`` that pass; ``short`` is the key of the suffix and the symbol."""
+    @property
+    def width(self) -> int:
+        """Bits of a symbol's number; that of the end is 0, that of all other words 1."""
+        return (self.symbols + 1).bit_length()
 
-    def run(batches):
-        held: list[list[np.ndarray]] = []
+    @property
+    def discount(self) -> float:
+        return min(0.9, max(0.1, self.once / max(self.v, 1)))
+
+    @property
+    def unseen(self) -> float:
+        """The chance of all unseen words."""
+        return self.discount * self.v / self.n if self.n else 0.5
+
+    @property
+    def shared(self) -> float:
+        """The chance of the symbol that all other words share."""
+        return (self.other - self.discount * (self.v - self.symbols)) / max(self.n, 1) + self.unseen
 
-        def merged():
-            keys, first, at = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_inverse=True)
-            times = np.bincount(at, np.concatenate([h[3] for h in held]), minlength=len(keys)).astype(np.int64)
-            return [keys, *(np.concatenate([h[j] for h in held])[first] for j in (1, 2)), times]
+    def base(self, times: np.ndarray) -> np.ndarray:
+        return np.log10(times + 1.0) - np.log10(self.n + self.v + 1.0)
 
-        def out(columns):
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in columns], ["key", "context", "short", "times"])
+    def root(self, times: np.ndarray) -> np.ndarray:
+        return np.where(times > 0, np.log10(np.maximum(times - self.discount, 1e-12) / max(self.n, 1)), np.log10(self.unseen))
 
+
+def _packed(x: np.ndarray) -> tuple[int, int, bytes]:
+    """Whole numbers from 0 on as the bytes that they use, all lowest ones first, compressed."""
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.astype(np.uint64)).view(np.uint8).reshape(len(x), 8).T[:width]
+    return len(x), width, pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: tuple[int, int, bytes]) -> np.ndarray:
+    n, width, raw = packed
+    out = np.zeros((n, 8), dtype=np.uint8)
+    if n and width:
+        out[:, :width] = np.frombuffer(pa.decompress(raw, n * width, "zstd"), dtype=np.uint8).reshape(width, n).T
+    return out.view(np.uint64).ravel()
+
+
+def _steps(keys: np.ndarray) -> tuple[int, tuple]:
+    """Sorted keys as the first one and the steps between them."""
+    return int(keys[0]) if len(keys) else 0, _packed(np.diff(keys))
+
+
+def _from_steps(steps: tuple[int, tuple], n: int) -> np.ndarray:
+    return np.cumsum(np.append(np.uint64(steps[0]), _unpacked(steps[1])), dtype=np.uint64)[:n]
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+        to.write(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unstreamed(batches):
+    for batch in batches:
+        for one in batch.column(0):
+            yield from pa.ipc.open_stream(one.as_buffer())
+
+
+def _table(rows: RDD, spark: SparkSession, schema: str) -> DataFrame:
+    """The rows of batches that came as bytes."""
+    return spark.createDataFrame(rows.map(lambda x: (x,)), "batch binary").mapInArrow(_unstreamed, schema)
+
+
+def _keeping_memory(run):
+    """``run``, which yields, with memory that it frees kept for itself."""
+
+    @functools.wraps(run)
+    def kept(*given):
+        give_back_memory(*KEPT)
+        try:
+            yield from run(*given)
+        finally:
+            give_back_memory()
+            trim()
+
+    return kept
+
+
+def _coded(most: int):
+    """(codes, last) of blocks of about ``most`` tokens, in pieces: the block's words, with their times in training texts; which are its tokens; per text its tokens, whether it is for training, and its id."""
+
+    @_keeping_memory
+    def run(batches):
+        held: list[tuple] = []
+
+        def out():
+            words, at, counts = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-np.floor(np.log2(counts)), kind="stable")  # frequent words get small numbers, equally frequent ones stay sorted
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.arange(len(order))
+            at, lengths, train = number[at], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            times = np.bincount(at, np.repeat(train, lengths), minlength=len(words)).astype(np.int64)
+            codes = _steps(words[order]), _packed(times), _packed(at), _packed(lengths), np.packbits(train).tobytes(), _stream(pa.table([pa.chunked_array([h[3] for h in held])], ["doc_id"]).combine_chunks().to_batches()[0])
+            held.clear()
+            raw = pickle.dumps(codes)
+            cuts = range(0, len(raw), PIECE)
+            return pa.RecordBatch.from_arrays([pa.array([raw[k : k + PIECE] for k in cuts], pa.binary()), pa.array([k == cuts[-1] for k in cuts])], ["codes", "last"])
+
+        tokens = 0
         for batch in batches:
-            for _, _, text, _, symbols in _symbolised(batch, 0, names.value):
-                place, context = context_keys(text, symbols, k)
-                at = place >= k - 1
-                if bits is not None:
-                    at[at] = passes(bits.value, context[k][at])
-                key, first, times = np.unique(_turned(context[k][at]) ^ symbols[at], return_index=True, return_counts=True)
-                held.append([key, context[k][at][first], (_turned(context[k - 1][at]) ^ symbols[at])[first], times.astype(np.int64)])
-                if len(held) == 16:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > most:
-                        yield out(held[0])
-                        held.clear()
+            train = batch.column(2).to_numpy(zero_copy_only=False)
+            for row, data, starts in text_slices(batch.column(1)):
+                texts = len(starts) - 1
+                text, hashes = _words(data, starts)
+                held.append((hashes, np.bincount(text, minlength=texts), train[row : row + texts], batch.column(0).slice(row, texts)))
+                tokens += len(hashes)
+                if tokens >= most:
+                    yield out()
+                    tokens = 0
         if held:
-            yield out(merged())
+            yield out()
 
     return run
 
 
-def tables(training: DataFrame, names, alphabet: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
-    """(key, value, times): log10 of what every state gives to its suffix's chances, and what every pair of state and symbol adds to that.
+def _distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones, sorted, and the place of each key among them."""
+    room = len(keys).bit_length()
+    if bits + room > 64 or not len(keys):
+        return np.unique(keys, return_inverse=True)
+    both = keys << np.uint64(room)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()  # sorting numbers is faster than sorting places
+    new = np.ones(len(both), dtype=bool)
+    new[1:] = both[1:] >> np.uint64(room) != both[:-1] >> np.uint64(room)
+    own = both[new] >> np.uint64(room)
+    place = np.empty(len(keys), dtype=np.int32)
+    both &= np.uint64((1 << room) - 1)
+    place[both.view(np.int64)] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return own, place
+
+
+@dataclasses.dataclass
+class Level:
+    """Tokens of a block after an admitted context of ``k`` symbols; as long as ``times`` are asked for, also some whose context may not be admitted.
 
-    ``training`` has text and its further words with a symbol; ``alphabet`` key, times and root, the chance of every symbol.
+    ``at``: their places; ``context``: the place of each one's context among ``contexts``; ``all``: its occurrences; ``keys``: those of the distinct pairs of
+    context and symbol, sorted, numbers of ``bits`` bits; ``pair``: the place of each one's; ``times``: occurrences of its pair.
     """
-    spark = training.sparkSession
-    level = alphabet.select("key", F.lit(0).cast("long").alias("context"), "times", "root", F.col("root").alias("chance"))
-    levels, states = [], []
-    for k in range(1, depth + 1):
-        admitted = level.where(F.col("times") >= least) if k == 1 else level.where((F.col("times") >= least) & (_symbol() != END_WORD))
-        admitted = admitted.select(F.col("key").alias("context"), F.col("times").alias("all"))  # a context stands before a symbol as often as it occurs
-        bits = None if k == 1 else spark.sparkContext.broadcast(gate(admitted.select("context")))
-        counts = training.mapInArrow(_level_counts(names, k, bits), LEVEL).groupBy("key").agg(F.first("context").alias("context"), F.first("short").alias("short"), F.sum("times").alias("times"))
-        all_of = F.lit(None).cast("long") if k == 1 else F.col("all")
-        wider = level.select(F.col("key").alias("short"), F.col("times").alias("short_times"), all_of.alias("short_all"), "root", F.col("chance").alias("lower"))
-        own = counts.join(admitted, "context").join(wider, "short")
-        wide = F.col("root") if k == 1 else (F.col("short_times") + PULL * F.col("root")) / (F.col("short_all") + PULL)
-        left_out = (F.col("times") - 1 + PULL * wide) / (F.col("all") - 1 + PULL)
-        level = stored(own.select(
-            "key", "context", _turn_back(F.col("short").bitwiseXOR(_symbol())).alias("suffix"), "times", "all", "root", "lower",
-            ((F.col("times") + PULL * F.col("lower")) / (F.col("all") + PULL)).alias("chance"), (F.col("times") * F.log2(left_out / wide)).alias("gain")), "level")
-        levels.append(level)
-        states.append(stored(level.groupBy("context").agg(F.first("suffix").alias("suffix"), F.first("all").alias("all"), F.sum("gain").alias("gain")), "states"))
-    out, longer = [], None
-    for k in range(depth, 0, -1):
-        kept = states[k - 1].where(F.col("gain") >= divergence)
-        if longer is not None:
-            wanted = longer.select(F.col("suffix").alias("context")).union(kept.select("context")).distinct()
-            kept = states[k - 1].join(wanted, "context", "left_semi")
-        kept = longer = stored(kept.select("context", "suffix", "all"), "kept")
-        back = F.log10(F.lit(PULL) / (F.col("all") + PULL))
-        out.append(kept.select(F.col("context").bitwiseXOR(F.lit(_salt(k, False))).alias("key"), back.alias("value"), F.col("all").alias("times")))
-        pairs = levels[k - 1].join(kept.select("context"), "context", "left_semi")
-        out.append(pairs.select(F.col("key").bitwiseXOR(F.lit(_salt(k, True))).alias("key"), (F.log10(F.col("chance") / F.col("lower")) - back).alias("value"), "times"))
-    both = out[0]
-    for more in out[1:]:
-        both = both.union(more)
-    return stored(both, "weights")
-
-
-def _inline_from(weights: DataFrame, most: int) -> int:
-    """The number of times from which on at most ``most`` rows are, a power of 2 ** (1 / 8)."""
-    step = F.floor(F.log2(F.col("times").cast("double")) * 8)
-    total, least = 0, 2**62
-    for row in sorted(weights.groupBy(step.alias("step")).count().collect(), reverse=True):
-        total += row["count"]
-        if total > most:
-            break
-        least = int(np.ceil(2 ** (row.step / 8) - 1e-9))
-    return least
-
-
-def _score(names, words, inline, bits):
-    """Per text: tokens; over the words and weights sent along known tokens, base sum and score; the other words, and the other keys that may have a weight, with their times."""
-
-    def grouped(owner, keys, texts):
-        order = np.lexsort((keys, owner))
-        own, key = owner[order], keys[order]
-        new = np.ones(len(own), dtype=bool)
-        new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-        at = np.flatnonzero(new)
-        cuts = pa.array(np.searchsorted(own[at], np.arange(texts + 1)), pa.int32())
-        return [pa.ListArray.from_arrays(cuts, pa.array(key[at].view(np.int64), pa.int64())), pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(own))), pa.int64()))]
 
-    def run(batches):
-        known, weight, root = words.value
-        heavy, value = inline.value
-        for batch in batches:
-            for row, texts, text, hashes, symbols in _symbolised(batch, 1, names.value):
-                hit, place = _among(known, hashes)
-                base = np.bincount(text[hit], weight[place[hit]], minlength=texts).astype(float)  # whole numbers where no word is known
-                score = np.bincount(text[hit], root[place[hit]], minlength=texts).astype(float)
-                place, context = context_keys(text, symbols, DEPTH)
-                owners, keys, at = [], [], np.arange(len(symbols))
-                for k in range(1, DEPTH + 1):
-                    at = at[place[at] >= k - 1]
-                    for pair in (False, True):
-                        own = _salted(_turned(context[k][at]) ^ symbols[at] if pair else context[k][at], k, pair)
-                        may = passes(bits.value, own)
-                        if not pair:  # without a state there is no pair and no longer state
-                            at, own, may = at[may], own[may], may[may]
-                        there, where = _among(heavy, own[may])
-                        score += np.bincount(text[at[may][there]], value[where[there]], minlength=texts)
-                        owners.append(text[at[may][~there]])
-                        keys.append(own[may][~there])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, texts), pa.array(np.bincount(text, minlength=texts), pa.int64()), pa.array(np.bincount(text[hit], minlength=texts), pa.int64()),
-                    pa.array(base, pa.float64()), pa.array(score, pa.float64()), *grouped(text[~hit], hashes[~hit], texts), *grouped(np.concatenate(owners), np.concatenate(keys), texts),
-                ], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "rare_times", "far", "far_times"])
+    k: int
+    at: np.ndarray
+    context: np.ndarray
+    contexts: np.ndarray
+    all: np.ndarray
+    keys: np.ndarray
+    bits: int
+    pair: np.ndarray
+    times: np.ndarray | None
+
+
+def _counts(replies: list[tuple], asked: int) -> np.ndarray:
+    """What was counted of the keys of a request, part by part."""
+    found = np.concatenate([np.zeros(0, dtype=np.uint64), *(_unpacked(x) for _, x, *_ in sorted(replies))]).astype(np.int64)
+    if len(found) != asked:
+        raise RuntimeError(f"{len(found)} counts for {asked} keys")
+    return found
+
+
+class Words:
+    """The distinct words of a block, sorted, and their times in its training texts."""
+
+    def __init__(self, codes: tuple):
+        steps, times = codes[:2]
+        words = _from_steps(steps, times[0])
+        self.order = np.argsort(words)
+        self.keys, self.times = words[self.order], _unpacked(times)[self.order]
+
+
+def _numbered(facts: Facts):
+    """Blocks as their tokens' symbols, and per text id, tokens, known tokens, base sum and its words' chances; the words themselves are left behind."""
+
+    @_keeping_memory
+    def run(pieces):
+        out = []
+        for codes, replies in _by_block(pieces, 1):
+            words = Words(codes)
+            order = np.empty_like(words.order)
+            order[words.order] = np.arange(len(order))
+            known = _counts(replies[WORDS], len(order))
+            symbol = (known >= facts.least) | (words.keys == np.uint64(END_WORD))
+            numbers = np.zeros(len(order), dtype=np.uint64)
+            if facts.n:
+                numbers[(known > 0) & symbol] = np.concatenate([_unpacked(x) + np.uint64(facts.first[part]) for part, _, x in sorted(replies[WORDS])])
+            numbers[words.keys == np.uint64(END_WORD)] = END_NUMBER
+            known, symbol, numbers = known[order], symbol[order], numbers[order]
+            _, _, at, lengths, train, ids = codes
+            at, starts = _unpacked(at).astype(np.int64), _unpacked(lengths).astype(np.int64)
+            text = np.repeat(np.arange(len(starts)), starts)
+            sums = [np.bincount(text, x[at], minlength=len(starts)) for x in (known > 0, facts.base(known), facts.root(known))]
+            ids = pa.ipc.open_stream(ids).read_next_batch().column(0)
+            info = pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], INFO)
+            out.append(pickle.dumps((
+                _packed(np.append(np.uint64(OTHER_NUMBER), numbers[symbol])), _packed(np.append(facts.other, known[symbol])), _packed(np.where(symbol, np.cumsum(symbol), 0)[at]), lengths, train, _stream(info))))
+        yield from _split(out)
+
+    return run
+
+
+class Block:
+    """The tokens of many texts: text number, symbol and its chance by itself, and whether it is for training."""
+
+    def __init__(self, codes: tuple, facts: Facts):
+        table, seen, at, lengths, train, self.info = codes
+        lengths = _unpacked(lengths).astype(np.int64)
+        self.facts, self.at, self.table, self.seen = facts, _unpacked(at).astype(np.int32), _unpacked(table), _unpacked(seen).astype(np.int64)
+        self.end = int(np.flatnonzero(self.table == np.uint64(END_NUMBER))[0])  # each text has one
+        self.texts, self.text = len(lengths), np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.first = np.cumsum(lengths) - lengths
+        self.training = np.repeat(np.unpackbits(np.frombuffer(train, dtype=np.uint8), count=len(lengths)).astype(bool), lengths)
+        self.chance = (self.seen - facts.discount) / max(facts.n, 1)
+        self.chance[0] = facts.shared
+
+    def levels(self, replies: list[list[tuple]], depth: int) -> Iterator[Level]:
+        """Level by level; ``replies`` by the context's length. Those of two symbols or more can be asked for together: the context of a token
+        is the pair of the token in front of it, and it takes two admitted contexts that overlap to make a longer one."""
+        width, least = self.facts.width, self.facts.least
+        context = np.empty(len(self.at), dtype=np.int32)
+        context[1:] = self.at[:-1]
+        context[self.first] = self.end
+        contexts, bits, occurrences = self.table, width, self.seen[context]
+        at = np.flatnonzero(occurrences >= least)
+        for k in range(1, depth + 1):
+            own, of = _followed(contexts[context[at]], bits, self.table[self.at[at]], width)
+            keys, pair = _distinct(_scattered(own, of), of)
+            contexts, before = np.zeros(len(keys), dtype=np.uint64), contexts
+            contexts[pair] = own
+            del own
+            found = None
+            if k < len(replies):
+                found = _counts(replies[k], len(keys))
+                on = occurrences[at] >= least if k > 2 else slice(None)  # those of one and two symbols all are
+                yield Level(k, at[on], context[at[on]], before, occurrences[at[on]], keys, of, pair[on], found[pair[on]])
+                del on
+            else:
+                yield Level(k, at, context[at], before, occurrences[at], keys, of, pair, None)
+                if k == 1:
+                    return
+            bits = of
+            context = np.full(len(self.at), -1, dtype=np.int32)
+            after = at + 1 < len(context)
+            context[at[after] + 1] = pair[after]
+            context[self.first] = -1
+            del after, pair, keys, before
+            if found is not None:
+                occurrences = np.where(context >= 0, found[context] if len(found) else 0, 0)
+            at = np.flatnonzero(occurrences >= least) if k == 1 else at[context[at] >= 0]
+
+
+def _joined(rows: Iterator) -> list[bytes]:
+    out, own = [], []
+    for row in rows:
+        own.append(bytes(row.codes))
+        if row.last:
+            out.append(b"".join(own))
+            own = []
+    return out
+
+
+def _split(x: object) -> Iterator[bytes]:
+    """A fixed number of pieces, so that the parts of two tables of such pieces fit together, and none is large for the JVM."""
+    raw = pickle.dumps(x)
+    step = len(raw) // PIECES + 1
+    for k in range(PIECES):
+        yield raw[k * step : (k + 1) * step]
+
+
+def _whole(pieces: Iterator[bytes]) -> list:
+    return pickle.loads(b"".join(pieces))
+
+
+def _by_block(pieces: Iterator[tuple[bytes, bytes]], kinds: int) -> Iterator[tuple[tuple, list[list[tuple]]]]:
+    """Codes and replies, by kind, of each block of a part."""
+    blocks, replies = zip(*pieces)
+    blocks, replies = _whole(blocks), [] if replies[0] is None else _whole(replies)
+    own = [[[] for _ in range(kinds)] for _ in blocks]
+    for reply in replies:
+        kind, number, *counts = pickle.loads(reply)
+        own[number][kind].append(tuple(counts))
+    del replies
+    for number in range(len(blocks)):
+        codes, blocks[number] = blocks[number], None
+        yield pickle.loads(codes), own[number]
+        own[number] = None
+        trim()
+
+
+def _request(kind: int, index: int, number: int, keys: np.ndarray, bits: int, times: np.ndarray, parts: int) -> Iterator[tuple[int, tuple]]:
+    """(part, request): sorted keys by ranges, with their times in training texts."""
+    bounds = np.array([(1 << bits) * p // parts for p in range(1, parts)], dtype=np.uint64)
+    cuts = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+    for part in np.flatnonzero(np.diff(cuts)).tolist():
+        own = slice(cuts[part], cuts[part + 1])
+        yield part, (kind, index, number, part, _steps(keys[own]), _packed(times[own]))
+
+
+def _asked_words(parts: int):
+    @_keeping_memory
+    def run(index, pieces):
+        for number, codes in enumerate(_whole(pieces)):
+            words = Words(pickle.loads(codes))
+            yield from _request(WORDS, index, number, words.keys, 64, words.times, parts)
 
     return run
 
 
-def _rare_words(known):
-    """(row, key) of the distinct words of every text that are not among the known ones."""
+def _asked(kinds: int, parts: int, facts: Facts, depth: int):
+    """Of each block the distinct pairs after contexts of one symbol, or, when these are counted, of all longer ones."""
+
+    @_keeping_memory
+    def run(index, pieces):
+        for number, (codes, replies) in enumerate(_by_block(pieces, kinds)):
+            block = Block(codes, facts)
+            for level in block.levels(replies, depth):
+                if level.times is None:
+                    times = np.bincount(level.pair, block.training[level.at], minlength=len(level.keys)).astype(np.int64)
+                    yield from _request(level.k, index, number, level.keys, level.bits, times, parts)
+
+    return run
+
+
+def _counted(least: int):
+    """(part of the blocks, reply): how often each key of a request occurs in all of them; of words also the numbers of symbols. To part -1 go the facts about the words."""
+
+    @_keeping_memory
+    def run(requests):
+        kinds: dict[int, list[tuple]] = {}
+        for _, (kind, *request) in requests:
+            kinds.setdefault(kind, []).append(request)
+        for kind, asked in kinds.items():
+            times = [_unpacked(own) for *_, own in asked]
+            keys, at = np.unique(np.concatenate([_from_steps(steps, len(own)) for (_, _, _, steps, _), own in zip(asked, times)]), return_inverse=True)
+            total = np.bincount(at, np.concatenate(times)).astype(np.int64)
+            if kind == WORDS:
+                symbol = (total >= least) | ((keys == np.uint64(END_WORD)) & (total > 0))
+                number = np.cumsum(symbol) - 1
+                yield -1, pickle.dumps((asked[0][2], int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int(symbol.sum()), int(total[~symbol].sum())))
+            cuts = np.cumsum([len(own) for own in times])[:-1]
+            for (index, block, part, *_), own in zip(asked, np.split(at, cuts)):
+                yield index, pickle.dumps((kind, block, part, _packed(total[own]), *([_packed(number[own][symbol[own]])] if kind == WORDS else [])))
+
+    return run
+
+
+def _facts(replies: DataFrame, parts: int, least: int) -> Facts:
+    found = [pickle.loads(r.reply) for r in replies.where("part = -1").collect()]
+    symbols = np.zeros(parts, dtype=np.int64)
+    for part, _, _, _, count, _ in found:
+        symbols[part] = count
+    n, v, once, _, other = (sum(x[j] for x in found) for j in range(1, 6))
+    return Facts(n, v, once, int(symbols.sum()), other, least, np.cumsum(symbols) - symbols + 2)  # after the end and the shared symbol
+
+
+def _stretches(at: np.ndarray, length: int = 1 << 17) -> Iterator[slice]:
+    return (slice(k, min(k + length, len(at))) for k in range(0, len(at), length))
+
+
+def _gains(facts: Facts, depth: int, pull: float):
+    """(key, suffix, gain) of contexts: bits that training tokens of a block gain, each left out of its own estimate, over the context's suffix. A suffix that the key tells is not given."""
+    told = depth * facts.width < 64
+
+    @_keeping_memory
+    def run(pieces):
+        for codes, replies in _by_block(pieces, depth + 1):
+            block, before = Block(codes, facts), None
+            columns = []
+            shorter = np.zeros((2, len(block.at)))  # times and occurrences in the suffix
+            suffixes = np.zeros(0 if told else len(block.at), dtype=np.int64)
+            for level in block.levels(replies, depth):
+                gain, seen, suffix = np.zeros(len(level.contexts)), np.zeros(len(level.contexts), dtype=bool), np.zeros(len(level.contexts), dtype=np.uint64)
+                for some in _stretches(level.at):
+                    own = np.flatnonzero(block.training[level.at[some]]) + some.start
+                    at, times, occurrences, context = level.at[own], level.times[own], level.all[own], level.context[own]
+                    root = block.chance[block.at[at]]
+                    wide = root if level.k == 1 else (shorter[0][at] + pull * root) / (shorter[1][at] + pull)
+                    gain += np.bincount(context, np.log2((times - 1 + pull * wide) / (occurrences - 1 + pull) / wide), minlength=len(gain))
+                    seen[context] = True
+                    if level.k > 1 and not told:
+                        suffix[context] = suffixes[at]
+                some = np.flatnonzero(seen)
+                if level.k > 1 and not told:
+                    suffix[some] = _named(before[suffix[some]], level.k - 1, facts.width, depth)
+                columns.append((_named(level.contexts[some], level.k, facts.width, depth), suffix[some], gain[some]))
+                if level.k < depth:
+                    shorter[0][level.at], shorter[1][level.at] = level.times, level.all
+                    if not told:
+                        suffixes[level.at], before = level.context, level.contexts
+                level = None  # gone before the next one is made
+            key, suffix, gain = (np.concatenate(x) for x in zip(*columns))
+            rows = pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ([key] if told else [key, suffix])] + [pa.array(gain, pa.float64())], ["key", "gain"] if told else ["key", "suffix", "gain"])
+            for some in _stretches(key, 1 << 14):
+                yield _stream(rows.slice(some.start, some.stop - some.start))
+
+    return run
+
+
+def _gained(gains: RDD, spark: SparkSession, facts: Facts, depth: int) -> DataFrame:
+    """(key, suffix, gain), each context once."""
+    if depth * facts.width >= 64:
+        return _table(gains, spark, "key long, suffix long, gain double").groupBy("key").agg(F.max("suffix").alias("suffix"), F.sum("gain").alias("gain"))
 
     def run(batches):
         for batch in batches:
-            rows = batch.column(0).to_numpy(zero_copy_only=False)
-            for row, data, starts in text_slices(batch.column(1)):
-                text, hashes = _words(data, starts)
-                rare = ~_among(known.value, hashes)[0]
-                own, key = text[rare], hashes[rare]
-                order = np.lexsort((key, own))
-                own, key = own[order], key[order]
-                new = np.ones(len(own), dtype=bool)
-                new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[row + own[new]], pa.int64()), pa.array(key[new].view(np.int64), pa.int64())], ["row", "key"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_suffixes(keys, facts.width, depth).view(np.int64)), batch.column(1)], ["key", "suffix", "gain"])
 
-    return run
+    return _table(gains, spark, "key long, gain double").groupBy("key").agg(F.sum("gain").alias("gain")).mapInArrow(run, "key long, suffix long, gain double")
 
 
-def _with_names(texts: DataFrame, known, vocabulary: DataFrame) -> DataFrame:
-    """``texts`` with the words of each that have a symbol and are not among the known ones."""
-    rows = stored(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
-    rare = rows.select("row", "text").mapInArrow(_rare_words(known), "row long, key long")
-    named = rare.join(vocabulary.where(F.col("times") >= LEAST).select("key"), "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("named"))
-    return stored(rows.join(named, "row", "left").select("doc_id", "text", "named"), "named")
+def kept_states(gained: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of the contexts of (key, suffix, gain), those that gain enough and their suffixes: bits that all of them pass, and which others pass too.
+
+    The bits are doubled until at most ``most`` others do.
+    """
+    states = stored(gained, "states")
+    own = kept = states.where(F.col("gain") >= divergence)
+    for _ in range(depth - 1):
+        wanted = kept.select(F.col("suffix").alias("key")).union(own.select("key")).distinct()
+        kept = states.join(wanted, "key", "left_semi")
+    kept = stored(kept.select("key"), "kept")
+    size, most = GATE_BITS, INLINE if most is None else most
+    while True:
+        bits = gate(kept, size)
+        sent = states.sparkSession.sparkContext.broadcast(bits)
+
+        def run(batches, sent=sent):
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[passes(sent.value, keys.view(np.uint64))])], ["key"])
+
+        others = stored(states.join(kept, "key", "left_anti").select("key").mapInArrow(run, "key long"), "others")
+        sent.unpersist()
+        if size >= 30 or others.count() <= most:
+            return bits, np.sort(others.toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64))
+        size += 1
+
+
+def _scored(states, facts: Facts, depth: int, pull: float):
+    """Of every text id, tokens, known tokens, base sum and score: its words' chances, and what each kept context on the way adds to the chance of the symbol after it."""
+
+    @_keeping_memory
+    def run(pieces):
+        bits, others = states.value
+        for codes, replies in _by_block(pieces, depth + 1):
+            block = Block(codes, facts)
+            lower, score = block.chance[block.at], np.zeros(block.texts)
+            for level in block.levels(replies, depth):
+                used = np.flatnonzero(np.bincount(level.context, minlength=len(level.contexts)))
+                named, kept = _named(level.contexts[used], level.k, facts.width, depth), np.zeros(len(level.contexts), dtype=bool)
+                kept[used] = passes(bits, named) & ~_among(others, named)[0]
+                for some in _stretches(level.at):
+                    on = np.flatnonzero(kept[level.context[some]]) + some.start
+                    at, times, occurrences = level.at[on], level.times[on], level.all[on]
+                    before = lower[at]
+                    lower[at] = (times + pull * before) / (occurrences + pull)
+                    score += np.bincount(block.text[at], np.log10((times / before + pull) / (occurrences + pull)), minlength=block.texts)
+                level = None
+            info = pa.ipc.open_stream(block.info).read_next_batch()
+            yield from zip(*(x.to_pylist() for x in info.columns[:4]), (info.column(4).to_numpy() + score).tolist())
+
+    return run
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
+    """Row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Blocks of texts are stored and stay where they are. Their distinct words, then pairs of context and symbol, go out by ranges of keys, packed, and the counts
+    come back to the part of the blocks that asked, in the same order.
+    """
+    spark, one = docs.sparkSession, BatchedSerializer(CPickleSerializer(), 1)  # of one size, what is zipped needs no further worker
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    training = texts.where(f"not ({FOLD})").select("text")
-    vocabulary = stored(training.mapInArrow(_word_counts, COUNTS).groupBy("key").agg(F.sum("times").alias("times")), "words")
-    has_symbol = (F.col("times") >= LEAST) | (F.col("key") == END_WORD)
-    facts = vocabulary.agg(
-        F.coalesce(F.sum("times"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("times") == 1).alias("once"),
-        F.count_if(has_symbol).alias("symbols"), F.coalesce(F.sum(F.when(~has_symbol, F.col("times"))), F.lit(0)).alias("other")).first()
-    top = vocabulary.orderBy(F.desc("times"), "key").limit(SENT).toArrow()
-    hashes, times = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["times"].to_numpy().astype(np.int64)
-    rising = np.argsort(hashes)
-    hashes, times = hashes[rising], times[rising]
-    n, v = max(facts.n, 1), max(facts.v, 1)
-    discount = min(0.9, max(0.1, facts.once / v))
-    unseen = discount * v / n if facts.n else 0.5  # the chance of all unseen words
-    scale = np.log10(facts.n + facts.v + 1.0)
-    own = np.union1d(hashes[(times >= LEAST) | (hashes == END_WORD)], np.array([END_WORD], dtype=np.uint64))
-    names, known = send(own), send(hashes)
-    if facts.symbols > len(own):
-        texts = _with_names(texts, known, vocabulary)
-    else:
-        texts = texts.withColumn("named", F.lit(None).cast("array<long>"))
-    root = (F.col("times") - F.lit(float(discount))) / F.lit(float(n))
-    shared = (facts.other - discount * (facts.v - facts.symbols)) / n + unseen
-    alphabet = vocabulary.where(has_symbol).select("key", "times", root.alias("root"))
-    if facts.n:
-        alphabet = alphabet.union(spark.createDataFrame([(OTHER_WORD, int(facts.other), float(shared))], "key long, times long, root double"))
-    weights = tables(texts.where(f"not ({FOLD})").select("text", "named"), names, stored(alphabet, "alphabet"), DEPTH, LEAST, DIVERGENCE)
-    from_times = _inline_from(weights, INLINE)
-    heavy = weights.where(F.col("times") >= from_times).select("key", "value").toArrow()
-    keys, value = heavy["key"].to_numpy().astype(np.int64).view(np.uint64), heavy["value"].to_numpy().astype(float)
-    rising = np.argsort(keys)
-    inline, bits = send((keys[rising], value[rising])), send(gate(weights.select("key")))
-    words = send((hashes, np.log10(times + 1.0) - scale, np.log10(np.maximum(times - discount, 1e-12) / n)))
-    rows = texts.mapInArrow(_score(names, words, inline, bits), "doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>, rare_times array<long>, far array<long>, far_times array<long>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("w")).select("row", F.col("w.rare").alias("key"), F.col("w.rare_times").alias("n"))
-    rare = rare.join(vocabulary, "key", "left").withColumn("c", F.coalesce("times", F.lit(0)))
-    chance = F.when(F.col("c") > 0, F.log10((F.col("c") - F.lit(float(discount))) / F.lit(float(n)))).otherwise(F.lit(float(np.log10(unseen))))
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * (F.log10(F.col("c") + F.lit(1.0)) - F.lit(float(scale)))).alias("more_base"),
-        F.sum(F.col("n") * chance).alias("more_score"))
-    far = rows.select("row", F.explode(F.arrays_zip("far", "far_times")).alias("w")).select("row", F.col("w.far").alias("key"), F.col("w.far_times").alias("n"))
-    far = far.join(weights.where(F.col("times") < from_times).select("key", "value"), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("value")).alias("far_score"))
-    out = rows.drop("rare", "rare_times", "far", "far_times").join(rare, "row", "left").join(far, "row", "left")
-    return out.select(
-        "doc_id", F.expr(FOLD).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(facts.n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + F.coalesce("far_score", F.lit(0.0))).alias("score"))
+    blocks = texts.select("doc_id", "text", F.expr(f"not ({FOLD})")).mapInArrow(_coded(BLOCK), "codes binary, last boolean").rdd
+    base = blocks.mapPartitions(lambda rows: _split(_joined(rows)))._reserialize(one).persist(StorageLevel.DISK_ONLY)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), size // PART + 1)
+
+    def counted(requests):
+        return stored(spark.createDataFrame(requests.partitionBy(parts).mapPartitions(_counted(LEAST)), "part int, reply binary"), "replies", "uncompressed")
+
+    def beside(own, *tables):
+        """The blocks with what was counted for them."""
+        replies = functools.reduce(DataFrame.union, tables).where("part >= 0").rdd.map(lambda r: (r.part, bytes(r.reply))).partitionBy(max(1, own.getNumPartitions()))
+        more = replies.getNumPartitions() - own.getNumPartitions()  # a session may deal out to more parts than asked for
+        if more > 0:
+            own = own.union(spark.sparkContext.parallelize([], more).mapPartitions(lambda _: _split([]))._reserialize(one))
+        return own.zip(replies.mapPartitions(lambda rows: _split([reply for _, reply in rows]))._reserialize(one))
+
+    words = counted(base.mapPartitionsWithIndex(_asked_words(parts)))
+    facts = _facts(words, parts, LEAST)
+    numbered = beside(base, words).mapPartitions(_numbered(facts))._reserialize(one).persist(StorageLevel.DISK_ONLY)
+    pairs = counted(numbered.map(lambda piece: (piece, None)).mapPartitionsWithIndex(_asked(1, parts, facts, DEPTH)))
+    base.unpersist()
+    longer = counted(beside(numbered, pairs).mapPartitionsWithIndex(_asked(2, parts, facts, DEPTH)))
+    joined = beside(numbered, pairs, longer)
+    states = spark.sparkContext.broadcast(kept_states(_gained(joined.mapPartitions(_gains(facts, DEPTH, PULL)), spark, facts, DEPTH), DEPTH, DIVERGENCE))
+    found = stored(spark.createDataFrame(joined.mapPartitions(_scored(states, facts, DEPTH, PULL)), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scored")
+    numbered.unpersist()
+    return found.select("doc_id", F.expr(FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(facts.n).cast("long").alias("train_tokens"), "base_score", "score")

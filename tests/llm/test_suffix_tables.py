@@ -89,3 +89,47 @@ def test_tables_larger_than_what_is_sent(spark, monkeypatch):
             own.append((own[-1] + own[-2]) % 12 if rng.random() < 0.7 else int(rng.geometric(0.06)))
         rows.append((k, " ".join(f"w{x}" for x in own)))
     assert compare(spark, [*rows, (900, None), (901, ""), (902, "never seen words")]) > 40
+
+
+def chained(rng, texts, words=12):
+    rows = []
+    for k in range(texts):
+        own = [1, 2]
+        while len(own) < 80:
+            own.append((own[-1] + own[-2]) % words if rng.random() < 0.7 else int(rng.geometric(0.06)))
+        rows.append((k, " ".join(f"w{x}" for x in own)))
+    return rows
+
+
+def test_small_blocks_and_hashed_keys(spark, monkeypatch):
+    """Blocks of a few texts, and symbols whose numbers side by side take more than 64 bits."""
+    rows = [*chained(np.random.default_rng(6), 90), (901, None), (902, "w1 w2 never seen"), (None, "w1 w2 w3"), (None, "w1 w2 w3")]
+    want = plain_scores(rows)[0]
+    monkeypatch.setattr(S, "BLOCK", 200)
+    for width in (None, 30):
+        if width:
+            monkeypatch.setattr(S.Facts, "width", property(lambda self: width))
+        found = S.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(found) == len(rows)
+        assert np.allclose([r.score for r in found], [want[r.doc_id] for r in found], rtol=1e-9)
+
+
+def test_what_is_exchanged_is_small(spark):
+    """A pair of context and symbol goes out as a few bytes once per block: four longs a pair and task, shuffled three times and stored, did not fit the disk."""
+    rng = np.random.default_rng(7)
+    symbols = np.concatenate([np.arange(4000), rng.integers(0, 4000, 400_000)]).astype(np.uint64)
+    keys, place = S._distinct(S._scattered(S._followed(symbols[:-1], 12, symbols[1:], 12)[0], 24), 24)
+    assert (keys == np.unique(keys)).all() and place.max() == len(keys) - 1
+    assert (S._from_steps(S._steps(keys), len(keys)) == keys).all()
+    assert len(S._steps(keys)[1][2]) < 2 * len(keys)
+
+
+def test_states_passing_a_small_filter_are_told_apart(spark, monkeypatch):
+    """A filter that most contexts pass is doubled until few others do."""
+    monkeypatch.setattr(S, "GATE_BITS", 7)
+    gained = spark.createDataFrame([(i + (1 << 20), 0, 25.0 if i % 2 else 1.0) for i in range(400)], "key long, suffix long, gain double")
+    bits, others = S.kept_states(gained, 3, 20.0, 20)
+    keys = np.arange(400, dtype=np.uint64) + np.uint64(1 << 20)
+    kept = S.passes(bits, keys) & ~S._among(others, keys)[0]
+    assert len(others) <= 20 and len(bits) > 1 << 1
+    assert kept.tolist() == [i % 2 == 1 for i in range(400)]
