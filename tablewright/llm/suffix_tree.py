@@ -475,20 +475,27 @@ class Words:
 
 
 def _numbered(facts: Facts):
-    """Blocks as their tokens' symbols, and per text id, tokens, known tokens, base sum and its words' chances; the words themselves are left behind."""
+    """(part, piece) of blocks as their tokens' symbols, and per text id, tokens, known tokens, base sum and its words' chances; the words themselves are left behind."""
 
     @_keeping_memory
-    def run(pieces):
+    def run(index, pieces):
         out = []
-        for codes, replies in _by_block(pieces, 1):
+        blocks, replies = zip(*pieces)
+        blocks = _whole(blocks)
+        own = [[] for _ in blocks]
+        for reply in _whole(replies):
+            _, number, *counts = pickle.loads(reply)
+            own[number].append(tuple(counts))
+        for codes, replies in zip(blocks, own):
+            codes = pickle.loads(codes)
             words = Words(codes)
             order = np.empty_like(words.order)
             order[words.order] = np.arange(len(order))
-            known = _counts(replies[WORDS], len(order))
+            known = _counts(replies, len(order))
             symbol = (known >= facts.least) | (words.keys == np.uint64(END_WORD))
             numbers = np.zeros(len(order), dtype=np.uint64)
             if facts.n:
-                numbers[(known > 0) & symbol] = np.concatenate([_unpacked(x) + np.uint64(facts.first[part]) for part, _, x in sorted(replies[WORDS])])
+                numbers[(known > 0) & symbol] = np.concatenate([_unpacked(x) + np.uint64(facts.first[part]) for part, _, x in sorted(replies)])
             numbers[words.keys == np.uint64(END_WORD)] = END_NUMBER
             known, symbol, numbers = known[order], symbol[order], numbers[order]
             _, _, at, lengths, train, ids = codes
@@ -499,7 +506,7 @@ def _numbered(facts: Facts):
             info = pa.RecordBatch.from_arrays([ids, pa.array(starts), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], INFO)
             out.append(pickle.dumps((
                 _packed(np.append(np.uint64(OTHER_NUMBER), numbers[symbol])), _packed(np.append(facts.other, known[symbol])), _packed(np.where(symbol, np.cumsum(symbol), 0)[at]), lengths, train, _stream(info))))
-        yield from _split(out)
+        yield from ((index, piece) for piece in enumerate(_split(out)))
 
     return run
 
@@ -576,10 +583,13 @@ def _whole(pieces: Iterator[bytes]) -> list:
     return pickle.loads(b"".join(pieces))
 
 
-def _by_block(pieces: Iterator[tuple[bytes, bytes]], kinds: int) -> Iterator[tuple[tuple, list[list[tuple]]]]:
-    """Codes and replies, by kind, of each block of a part."""
-    blocks, replies = zip(*pieces)
-    blocks, replies = _whole(blocks), [] if replies[0] is None else _whole(replies)
+def _by_block(rows: Iterator[tuple[int, tuple | bytes]], kinds: int) -> Iterator[tuple[tuple, list[list[tuple]]]]:
+    """Codes and replies, by kind, of each block of a part, from pieces of the blocks and replies."""
+    pieces, replies = [], []
+    for _, own in rows:
+        (replies if isinstance(own, bytes) else pieces).append(own)
+    blocks = _whole(piece for _, piece in sorted(pieces)) if pieces else []
+    del pieces
     own = [[[] for _ in range(kinds)] for _ in blocks]
     for reply in replies:
         kind, number, *counts = pickle.loads(reply)
@@ -779,27 +789,32 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     blocks = texts.select("doc_id", "text", F.expr(f"not ({FOLD})")).mapInArrow(_coded(BLOCK), "codes binary, last boolean").rdd
     base = blocks.mapPartitions(lambda rows: _split(_joined(rows)))._reserialize(one).persist(StorageLevel.DISK_ONLY)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(shuffle_partitions(spark), size // PART + 1)
+    parts, count = max(shuffle_partitions(spark), size // PART + 1), max(1, base.getNumPartitions())
 
     def counted(requests):
         return stored(spark.createDataFrame(requests.partitionBy(parts).mapPartitions(_counted(LEAST)), "part int, reply binary"), "replies", "uncompressed")
 
+    def replies(*tables):
+        return functools.reduce(DataFrame.union, tables).where("part >= 0").rdd.map(lambda r: (r.part, bytes(r.reply))).partitionBy(count)
+
     def beside(own, *tables):
-        """The blocks with what was counted for them."""
-        replies = functools.reduce(DataFrame.union, tables).where("part >= 0").rdd.map(lambda r: (r.part, bytes(r.reply))).partitionBy(max(1, own.getNumPartitions()))
-        more = replies.getNumPartitions() - own.getNumPartitions()  # a session may deal out to more parts than asked for
-        if more > 0:
-            own = own.union(spark.sparkContext.parallelize([], more).mapPartitions(lambda _: _split([]))._reserialize(one))
-        return own.zip(replies.mapPartitions(lambda rows: _split([reply for _, reply in rows]))._reserialize(one))
+        """The blocks with what was counted for them, part by part as both are dealt out alike."""
+        both = own.union(replies(*tables))
+        if both.getNumPartitions() != own.getNumPartitions():
+            raise RuntimeError("blocks and counts are dealt out differently")
+        return both
 
     words = counted(base.mapPartitionsWithIndex(_asked_words(parts)))
     facts = _facts(words, parts, LEAST)
-    numbered = beside(base, words).mapPartitions(_numbered(facts))._reserialize(one).persist(StorageLevel.DISK_ONLY)
-    pairs = counted(numbered.map(lambda piece: (piece, None)).mapPartitionsWithIndex(_asked(1, parts, facts, DEPTH)))
+    own = replies(words)
+    more = own.getNumPartitions() - base.getNumPartitions()  # a session may deal out to more parts than asked for
+    parted = base.union(spark.sparkContext.parallelize([], more).mapPartitions(lambda _: _split([]))._reserialize(one)) if more > 0 else base
+    parted = parted.zip(own.mapPartitions(lambda rows: _split([reply for _, reply in rows]))._reserialize(one))
+    numbered = parted.mapPartitionsWithIndex(_numbered(facts)).partitionBy(count)
+    pairs = counted(numbered.mapPartitionsWithIndex(_asked(1, parts, facts, DEPTH)))
     base.unpersist()
     longer = counted(beside(numbered, pairs).mapPartitionsWithIndex(_asked(2, parts, facts, DEPTH)))
     joined = beside(numbered, pairs, longer)
     states = spark.sparkContext.broadcast(kept_states(_gained(joined.mapPartitions(_gains(facts, DEPTH, PULL)), spark, facts, DEPTH), DEPTH, DIVERGENCE))
     found = stored(spark.createDataFrame(joined.mapPartitions(_scored(states, facts, DEPTH, PULL)), "doc_id long, n_tokens long, n_known long, base_score double, score double"), "scored")
-    numbered.unpersist()
     return found.select("doc_id", F.expr(FOLD).alias("held_out"), "n_tokens", "n_known", F.lit(facts.n).cast("long").alias("train_tokens"), "base_score", "score")
